@@ -14,8 +14,10 @@ def split_row_number(
     stripe: Column,
     order: Sequence[Column],
     name: str,
+    size: str | None = None,
 ) -> DataFrame:
-    """Add ``row_number() over (partition by BY order by ORDER)`` as ``name``.
+    """Add ``row_number() over (partition by BY order by ORDER)`` as ``name``,
+    and the size of the group as ``size`` if named.
 
     ``stripe`` must not decrease along ``order``: it cuts every group into
     consecutive stripes. Each stripe is sorted by its own task and starts at the
@@ -28,7 +30,9 @@ def split_row_number(
         Window.unboundedPreceding, -1
     )
     starts = striped.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(
-        *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
+        *keys,
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
+        *([F.sum("_n").over(Window.partitionBy(*by)).alias(size)] if size else []),
     )
     within = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return (

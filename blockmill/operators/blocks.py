@@ -18,7 +18,7 @@ from blockmill.runtime import BROADCAST_ROWS
 BLOCK = "block_id"
 
 
-def assign_blocks(df: DataFrame, n: int, key: str, seed: int | str = 42) -> DataFrame:
+def assign_blocks(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """Every row to one of ``n`` blocks, uniformly and independently.
 
     ``key`` must be unique per row: equal keys would always share a block.
@@ -31,7 +31,7 @@ def deal_blocks(
     n: int,
     key: str,
     source: str,
-    seed: int | str = 42,
+    seed: int = 42,
     rows_per_stripe: int = 1_000_000,
 ) -> DataFrame:
     """Deal the rows of each source round-robin over ``n`` blocks.
@@ -87,18 +87,18 @@ def blocks_at(df: DataFrame, ids: Sequence[int]) -> DataFrame:
     return df.where(F.col(BLOCK).isin(list(ids)))
 
 
-def pick_blocks(df: DataFrame, n: int, seed: int | str = 42) -> DataFrame:
+def pick_blocks(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """Ids of ``n`` blocks drawn without replacement; none if there are fewer."""
     ranked = block_order(df, draw_order(seed, F.col(BLOCK)))
     return ranked.where((F.col("n_blocks") >= n) & (F.col("pos") < n)).select(BLOCK)
 
 
-def random_blocks(df: DataFrame, n: int, seed: int | str = 42) -> DataFrame:
+def random_blocks(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """Rows of ``n`` blocks drawn without replacement."""
     return df.join(_few(pick_blocks(df, n, seed), n), BLOCK, "left_semi")
 
 
-def two_random_blocks(df: DataFrame, n1: int, n2: int, seed: int | str = 42) -> DataFrame:
+def two_random_blocks(df: DataFrame, n1: int, n2: int, seed: int = 42) -> DataFrame:
     """Two disjoint draws, told apart by ``side`` (1 or 2).
 
     Both are empty when ``n1 + n2`` exceeds the number of blocks.
@@ -125,14 +125,14 @@ def train_predict_blocks(
 
 
 def draw_block_ids(
-    spark: SparkSession, total: int, n: int, n_blocks: int, seed: int | str = 42
+    spark: SparkSession, total: int, n: int, n_blocks: int, seed: int = 42
 ) -> DataFrame:
     """Draw ``n`` distinct ids from ``[0, total)`` and fold them onto the blocks."""
     drawn = spark.range(total).orderBy(bucket_hash(seed, F.col("id")), "id").limit(n)
     return drawn.select((F.col("id") % F.lit(n_blocks)).alias(BLOCK)).distinct()
 
 
-def random_split(df: DataFrame, key: str, weights: Sequence[int], seed: int | str = 42) -> DataFrame:
+def random_split(df: DataFrame, key: str, weights: Sequence[int], seed: int = 42) -> DataFrame:
     """Add ``split``, the index of the part a row falls into, by integer weights."""
     ticket = bucket_hash(seed, F.col(key)) % F.lit(sum(weights))
     part, upper = F.lit(len(weights) - 1), sum(weights)

@@ -20,7 +20,7 @@ from pyspark.ml.fpm import FPGrowth, FPGrowthModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockmill.functions.itemsets import canonical
+from blockmill.functions.itemsets import canonical, support
 from blockmill.operators.blocks import BLOCK
 from blockmill.runtime import join_checked, store_counted
 
@@ -38,6 +38,12 @@ class LocalItemsets:
     blocks: DataFrame
     n_blocks: int
 
+    def with_support(self) -> DataFrame:
+        """``itemsets`` with n_rows and support, the share of the block's rows."""
+        rows = self.blocks.select(BLOCK, "n_rows")
+        joined = join_checked(self.itemsets, rows, [BLOCK], self.n_blocks, F.col("items"))
+        return joined.withColumn("support", support(F.col("freq"), F.col("n_rows")))
+
 
 def _threshold(min_support: float | None, min_count: int | None, rounding: str) -> Column:
     if (min_support is None) == (min_count is None):

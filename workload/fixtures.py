@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blockmill.functions.hashing import DRAW_SEED
 from blockmill.operators.baskets import form_baskets
 from blockmill.operators.blocks import assign_blocks
 from blockmill.runtime import store
@@ -61,8 +62,46 @@ def stored_baskets(
     return store(blocked_baskets(spark, sf_dir, item, n), "baskets")
 
 
-def sql_hash(seed: int | str, key: str) -> str:
-    return f"('0x' || substr(md5('{seed}:' || ({key})::VARCHAR), 1, 8))::BIGINT"
+_MASK = 2**32 - 1
+
+
+def _hash_int(value: int, seed: int) -> int:
+    """Murmur3 of one 32-bit word, to start from a literal seed column."""
+    rotl = lambda x, r: ((x << r) & _MASK) | (x >> (32 - r))
+    word = rotl((value & _MASK) * 0xCC9E2D51 & _MASK, 15) * 0x1B873593 & _MASK
+    h = (rotl(seed ^ word, 13) * 5 + 0xE6546B64) & _MASK
+    h ^= 4
+    h = (h ^ (h >> 16)) * 0x85EBCA6B & _MASK
+    h = (h ^ (h >> 13)) * 0xC2B2AE35 & _MASK
+    return h ^ (h >> 16)
+
+
+def sql_hash(seed: int, key: str) -> str:
+    """Murmur3 of (seed, bigint key), the SQL side of ``bucket_hash``."""
+
+    def let(value: str, body: str) -> str:
+        return f"list_transform([{value}], lambda x: {body})[1]"
+
+    def mul(value: str, factor: int) -> str:
+        return f"((({value}) * {factor}::UBIGINT) & {_MASK}::UBIGINT)"
+
+    def rotl(value: str, r: int) -> str:
+        return let(value, f"(((x << {r}) & {_MASK}::UBIGINT) | (x >> {32 - r}))")
+
+    def shift(value: str, r: int) -> str:
+        return let(value, f"xor(x, x >> {r})")
+
+    h = f"{_hash_int(seed, 42)}::UBIGINT"
+    for word in (f"(({key})::BIGINT & {_MASK})", f"((({key})::BIGINT >> 32) & {_MASK})"):
+        k = mul(rotl(mul(f"{word}::UBIGINT", 0xCC9E2D51), 15), 0x1B873593)
+        h = f"((({rotl(f'xor({h}, {k})', 13)}) * 5 + {0xE6546B64}) & {_MASK}::UBIGINT)"
+    h = mul(shift(f"xor({h}, 8::UBIGINT)", 16), 0x85EBCA6B)
+    h = mul(shift(h, 13), 0xC2B2AE35)
+    return f"({shift(h, 16)})::BIGINT"
+
+
+def sql_draw(seed: int, block: str = "block_id") -> str:
+    return f"{sql_hash(seed + DRAW_SEED, block)}, {block}"
 
 
 def sql_pairs(item: str = "p_brand") -> str:
@@ -86,7 +125,7 @@ def sql_picked(item: str = "p_brand", n: int = N_BLOCKS, picked: int = N_PICKED)
     return f"""{sql_pairs(item)},
  blk AS (SELECT DISTINCT txn_id, {sql_hash(SEED, 'txn_id')} % {n} AS block_id FROM base),
  pick AS (SELECT block_id FROM (SELECT block_id, row_number() OVER (
-     ORDER BY md5('{SEED}:b' || block_id::VARCHAR)) AS rn
+     ORDER BY {sql_draw(SEED)}) AS rn
    FROM (SELECT DISTINCT block_id FROM blk)) WHERE rn <= {picked}),
  b AS (SELECT blk.block_id, base.txn_id, base.item
    FROM base JOIN blk USING (txn_id) JOIN pick USING (block_id))"""
