@@ -8,6 +8,7 @@ put together, and the result goes back to its pieces.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +17,6 @@ from blockmill.runtime import store
 #: Longest run of entries of one row that is handled by one task.
 ROW_PIECE = 100_000
 
-#: Rounds between two stored states.
-STORE_EVERY = 5
-
 
 def start_messages(similarities: DataFrame, row_piece: int = ROW_PIECE) -> DataFrame:
     """(i, k, piece, pieces, r, a) with r = 0 and a = s."""
@@ -41,14 +39,9 @@ def _back_to_pieces(rows: DataFrame, reports: DataFrame) -> DataFrame:
     return rows.join(spread.drop("pieces"), ["i", "piece"])
 
 
-def one_round(state: DataFrame, damping: float = 0.5) -> DataFrame:
-    """Responsibilities, then availabilities.
-
-    ``r' = d r + (1 - d)(a + best other a - best a)`` within a row, the other
-    being 0 where there is none; ``a' = d P + (1 - d)(P if i = k else
-    min(0, P + r'))`` with P the sum of the other positive r' of the row.
-    """
-    d, rest = F.lit(damping), F.lit(1 - damping)
+def responsibilities(state: DataFrame, damping: float = 0.5) -> DataFrame:
+    """``r' = d r + (1 - d)(a + best other a - best a)`` within a row, the other
+    being 0 where there is none."""
     ordered = Window.partitionBy("i", "piece").orderBy(F.desc("a"), "k")
     best_two = F.slice(F.sort_array(F.collect_list(F.struct("a", "k")), asc=False), 1, 2)
     tops = (
@@ -67,19 +60,20 @@ def one_round(state: DataFrame, damping: float = 0.5) -> DataFrame:
     other = F.when(F.col("k") == F.col("best_k"), F.coalesce("second", F.lit(0.0))).otherwise(
         F.col("best")
     )
-    with_r = _back_to_pieces(state, tops).select(
-        "i",
-        "k",
-        "piece",
-        "pieces",
-        (d * F.col("r") + rest * (F.col("a") + other - F.col("best"))).alias("r"),
-    )
+    updated = F.lit(damping) * F.col("r") + F.lit(1 - damping) * (F.col("a") + other - F.col("best"))
+    return _back_to_pieces(state, tops).select("i", "k", "piece", "pieces", updated.alias("r"))
+
+
+def availabilities(state: DataFrame, damping: float = 0.5) -> DataFrame:
+    """``a' = d P + (1 - d)(P if i = k else min(0, P + r'))`` with P the sum of
+    the other positive r' of the row."""
     positive = F.greatest("r", F.lit(0.0))
-    sums = with_r.groupBy("i", "pieces").agg(F.sum(positive).alias("all"))
+    sums = state.groupBy("i", "pieces").agg(F.sum(positive).alias("all"))
     p = F.col("all") - positive
     freed = F.when(F.col("i") == F.col("k"), p).otherwise(F.least(F.lit(0.0), p + F.col("r")))
-    return _back_to_pieces(with_r, sums).select(
-        "i", "k", "piece", "pieces", "r", (d * p + rest * freed).alias("a")
+    updated = F.lit(damping) * p + F.lit(1 - damping) * freed
+    return _back_to_pieces(state, sums).select(
+        "i", "k", "piece", "pieces", "r", updated.alias("a")
     )
 
 
@@ -88,14 +82,14 @@ def run_rounds(
 ) -> DataFrame:
     """(i, k, r, a) after ``rounds`` rounds.
 
-    The state is stored every few rounds, which keeps the plan short and lets
-    the run go on from there when an executor is lost.
+    The state is stored after each round: the plan never grows, and a lost
+    executor costs at most the round at hand.
     """
-    state = start_messages(similarities, row_piece)
-    for done in range(1, rounds + 1):
-        state = one_round(state, damping)
-        if done % STORE_EVERY == 0 and done < rounds:
-            state = store(state, "messages")
+    state = store(start_messages(similarities, row_piece), "messages")
+    for _ in range(rounds):
+        half = responsibilities(state, damping).persist(StorageLevel.MEMORY_AND_DISK)
+        state = store(availabilities(half, damping), "messages")
+        half.unpersist()
     return state.select("i", "k", "r", "a")
 
 

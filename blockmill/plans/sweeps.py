@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockmill.functions.hashing import bucket_hash
@@ -22,6 +22,11 @@ from blockmill.operators.sizing import itemset_stats, sample_size
 _ID_SPACE = 2**20
 
 
+def _each(counts: Sequence[int]) -> Column:
+    """One row per count."""
+    return F.explode(F.array(*(F.lit(n).cast("bigint") for n in counts)))
+
+
 def mine_blockings(
     baskets: DataFrame,
     counts: Sequence[int],
@@ -34,9 +39,7 @@ def mine_blockings(
 
     Returns the local itemsets and the blocks, both with ``n``, the blocking.
     """
-    copies = baskets.select(
-        key, "items", F.explode(F.array(*map(F.lit, counts))).cast("bigint").alias("n")
-    )
+    copies = baskets.select(key, "items", _each(counts).alias("n"))
     place = F.col("n") * F.lit(_ID_SPACE) + bucket_hash(seed, F.col(key)) % F.col("n")
     local = mine_blocks(
         copies.select(place.alias(BLOCK), "items"), min_support=min_support, max_len=max_len
@@ -69,7 +72,7 @@ def sweep_block_counts(
     """Judge the merged result of every block count against the one-block result."""
     itemsets, blocks = mine_blockings(baskets, [1, *counts], min_support, max_len=max_len)
     merged = _merge_each(itemsets, blocks, [])
-    settings = F.explode(F.array(*map(F.lit, counts))).cast("bigint").alias("n")
+    settings = _each(counts).alias("n")
     truth = merged.where("n = 1").select(settings, "items", "freq")
     approx = merged.where("n > 1")
     scores = evaluate_itemsets(approx, truth, ["n"])

@@ -13,7 +13,7 @@ from blockmill.operators.blocks import BLOCK
 from blockmill.runtime import join_checked
 
 #: The schemas of the two side tables.
-GOODS_SCHEMA = "name string, price double, type string"
+GOODS_SCHEMA = "name string, price double, Type string"
 ITEMSET_CSV_SCHEMA = "fim string, freq int"
 
 
@@ -98,8 +98,8 @@ def labelled_vectors(lines: DataFrame, text: str = "value") -> DataFrame:
 
 
 def read_goods(spark: SparkSession, path: str) -> DataFrame:
-    """Goods table from JSON lines: name, price, type (spelt ``Type`` in files)."""
-    return spark.read.schema(GOODS_SCHEMA).json(path)
+    """(name, price, type) from JSON lines, where the last field is spelt ``Type``."""
+    return spark.read.schema(GOODS_SCHEMA).json(path).withColumnRenamed("Type", "type")
 
 
 def read_itemset_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -62,6 +62,28 @@ def stored_baskets(
     return store(blocked_baskets(spark, sf_dir, item, n), "baskets")
 
 
+#: Brands the goods table leaves out, to meet unknown items.
+UNPRICED = ("Brand#1", "Brand#2", "Brand#3")
+
+
+def goods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, price, type) per brand, without the unpriced ones"""
+    return (
+        table(spark, sf_dir, "part")
+        .where(~F.col("p_brand").isin(*UNPRICED))
+        .groupBy(F.col("p_brand").alias("name"))
+        .agg(F.min("p_retailprice").alias("price"), F.min("p_type").alias("type"))
+    )
+
+
+def sql_goods() -> str:
+    names = ", ".join(f"'{name}'" for name in UNPRICED)
+    return (
+        "goods AS (SELECT p_brand AS name, min(p_retailprice) AS price, min(p_type) AS type "
+        f"FROM part WHERE p_brand NOT IN ({names}) GROUP BY p_brand)"
+    )
+
+
 _MASK = 2**32 - 1
 
 
