@@ -163,8 +163,14 @@ def _tiles(left: DataFrame, right: DataFrame, k: int, skip_self: bool) -> DataFr
     left = left.join(right_sizes, "g").select(
         "g", F.col("tile").alias("lt"), others.alias("rt"), "id", "vec"
     )
+    # New names throughout: both sides may come from the same table.
     right = right.join(left_sizes, "g").select(
-        "g", others.alias("lt"), F.col("tile").alias("rt"), "id", "vec", "label"
+        F.col("g").alias("rg"),
+        others.alias("rlt"),
+        F.col("tile").alias("rrt"),
+        F.col("id").alias("rid"),
+        F.col("vec").alias("rvec"),
+        F.col("label").alias("rlabel"),
     )
 
     def run(key, ls: pd.DataFrame, rs: pd.DataFrame) -> pd.DataFrame:
@@ -173,17 +179,18 @@ def _tiles(left: DataFrame, right: DataFrame, k: int, skip_self: bool) -> DataFr
         found = _best(
             ls["id"].to_numpy(dtype=np.int64),
             _matrix(ls["vec"]),
-            rs["id"].to_numpy(dtype=np.int64),
-            _matrix(rs["vec"]),
-            rs["label"].to_numpy(dtype=np.int64),
+            rs["rid"].to_numpy(dtype=np.int64),
+            _matrix(rs["rvec"]),
+            rs["rlabel"].to_numpy(dtype=np.int64),
             k,
             skip_self,
         )
         return found.assign(g=key[0])[["g", "q", "sq_dist", "id", "label"]]
 
-    keys = ["g", "lt", "rt"]
-    pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        run, f"g bigint, {_PAIR}"
+    pairs = (
+        left.groupBy("g", "lt", "rt")
+        .cogroup(right.groupBy("rg", "rlt", "rrt"))
+        .applyInPandas(run, f"g bigint, {_PAIR}")
     )
     hits = F.array_sort(F.collect_list(F.struct("sq_dist", "id", "label")))
     return pairs.groupBy("g", "q").agg(F.slice(hits, 1, k).cast(_HITS).alias("hits"))

@@ -96,7 +96,12 @@ def run_rounds(
 def message_passing(
     similarities: DataFrame, rounds: int = 100, damping: float = 0.5, row_piece: int = ROW_PIECE
 ) -> DataFrame:
-    """(i, centre): the k with the largest a + r, the lowest k on a tie."""
+    """(i, centre): the k with the largest a + r, the lowest k on a tie.
+
+    Values that agree to 12 digits count as tied, as the order in which sums
+    are added up changes the digits after that from run to run.
+    """
     final = run_rounds(similarities, rounds, damping, row_piece)
-    best = F.max(F.struct((F.col("a") + F.col("r")).alias("v"), (-F.col("k")).alias("neg")))
+    value = F.round(F.col("a") + F.col("r"), 12)
+    best = F.max(F.struct(value.alias("v"), (-F.col("k")).alias("neg")))
     return final.groupBy("i").agg(best.alias("b")).select("i", (-F.col("b.neg")).alias("centre"))

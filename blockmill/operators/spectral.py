@@ -15,6 +15,10 @@ from blockmill.functions.hashing import HASH_RANGE, bucket_hash
 from blockmill.functions.ranking import split_row_number
 from blockmill.functions.vectors import array_to_vector, vector_to_array
 from blockmill.operators.neighbours import knn_label, nearest_within
+from blockmill.runtime import store
+
+#: Most rows for which the decomposition is done in one place.
+LOCAL_ROWS = 2_000
 
 #: Stripes used to number the rows of a block without one big sort.
 _STRIPES = 64
@@ -74,37 +78,62 @@ def normalised_similarity(weights: DataFrame) -> DataFrame:
     )
 
 
+def _leading_vectors(entries: DataFrame, size: int, k: int) -> list[tuple[int, np.ndarray]] | None:
+    """Left singular vectors of a matrix small enough for one machine."""
+    if size > LOCAL_ROWS:
+        return None
+    dense = np.zeros((size, size))
+    for row, column, value in entries.collect():
+        dense[row, column] = value
+    left, _, _ = np.linalg.svd(dense)
+    return [(i, left[i, :k]) for i in range(size)]
+
+
 def spectral_adaptive(block: DataFrame, k: int, k_max: int = 30, seed: int = 1) -> DataFrame:
     """(id, prediction) for the rows ``id, vec`` of one sample block.
 
-    The similarity stays a sparse distributed matrix; the ``k`` leading left
-    singular vectors are found by Spark's distributed decomposition.
+    The similarity is a sparse table of ``2 k_max`` entries per row. Its ``k``
+    leading left singular vectors come from Spark's distributed decomposition,
+    or from numpy when the block has at most ``LOCAL_ROWS`` rows.
     """
+    spark = block.sparkSession
     rows = block.select(F.lit(0).cast("bigint").alias("block_id"), "id", "vec")
-    numbered = split_row_number(
-        rows.select("id").withColumn("_h", bucket_hash(3, F.col("id"))),
-        [],
-        F.floor(F.col("_h") * _STRIPES / F.lit(HASH_RANGE)),
-        [F.col("_h"), F.col("id")],
-        "_row",
-    ).select("id", (F.col("_row") - 1).alias("pos")).persist()
-    entries = (
+    numbered = store(
+        split_row_number(
+            rows.select("id").withColumn("_h", bucket_hash(3, F.col("id"))),
+            [],
+            F.floor(F.col("_h") * _STRIPES / F.lit(HASH_RANGE)),
+            [F.col("_h"), F.col("id")],
+            "_row",
+        ).select("id", (F.col("_row") - 1).alias("pos")),
+        "positions",
+    )
+    weights = (
         normalised_similarity(adaptive_similarity(rows, k_max))
         .join(numbered.select(F.col("id").alias("i"), F.col("pos").alias("pi")), "i")
         .join(numbered.select(F.col("id").alias("j"), F.col("pos").alias("pj")), "j")
         .select("pi", "pj", "w")
     )
-    size = numbered.count()
-    matrix = CoordinateMatrix(
-        entries.rdd.map(lambda r: MatrixEntry(r[0], r[1], r[2])), size, size
-    ).toIndexedRowMatrix()
-    left = matrix.computeSVD(k, computeU=True).U
-    embedded = left.rows.map(lambda r: (r.index, Vectors.dense(r.vector.toArray()))).toDF(
-        ["pos", "features"]
+    # A zero on the diagonal keeps rows in that are similar to nothing.
+    entries = weights.unionByName(
+        numbered.select(F.col("pos").alias("pi"), F.col("pos").alias("pj"), F.lit(0.0).alias("w"))
     )
+    size = numbered.count()
+    vectors = _leading_vectors(entries, size, k)
+    if vectors is not None:
+        embedded = spark.createDataFrame(
+            [(i, Vectors.dense(v)) for i, v in vectors], ["pos", "features"]
+        )
+    else:
+        matrix = CoordinateMatrix(
+            entries.rdd.map(lambda r: MatrixEntry(r[0], r[1], r[2])), size, size
+        ).toIndexedRowMatrix()
+        left = matrix.computeSVD(k, computeU=True).U
+        embedded = left.rows.map(lambda r: (r.index, Vectors.dense(r.vector.toArray()))).toDF(
+            ["pos", "features"]
+        )
     predicted = KMeans(k=k, seed=seed).fit(embedded).transform(embedded)
-    result = numbered.join(predicted.select("pos", "prediction"), "pos").select("id", "prediction")
-    return result
+    return numbered.join(predicted.select("pos", "prediction"), "pos").select("id", "prediction")
 
 
 def anchor_labels(
