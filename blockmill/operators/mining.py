@@ -84,7 +84,7 @@ def mine_blocks(
     ).withColumn("prefix", F.coalesce("prefix", F.array().cast(item_type)))
 
     levels: list[DataFrame] = []
-    held: DataFrame | None = None
+    held: list[DataFrame] = []
     while True:
         counted = (
             state.select(BLOCK, "prefix", F.explode("rest").alias("item"), "weight")
@@ -103,12 +103,13 @@ def mine_blocks(
         if not n_frequent or len(levels) == max_len:
             break
         state = _extend(state, frequent, n_frequent, first=len(levels) == 1)
-        state = state.persist(StorageLevel.MEMORY_AND_DISK)
-        if held is not None:
-            held.unpersist()
-        held = state
-    if held is not None:
-        held.unpersist()
+        if len(levels) + 1 != max_len:
+            # Read by the count of this level and again to make the next one.
+            held.append(state.persist(StorageLevel.MEMORY_AND_DISK))
+        if len(held) > 2:
+            held.pop(0).unpersist()
+    for rows_held in held:
+        rows_held.unpersist()
 
     found = [
         level.select(
@@ -146,12 +147,25 @@ def _extend(state: DataFrame, frequent: DataFrame, n_frequent: int, first: bool)
     )
 
 
-def fit_exact(baskets: DataFrame, min_support: float, min_confidence: float = 0.6) -> FPGrowthModel:
-    """Spark's own parallel FP-growth over all baskets (threshold rounded up)."""
-    prepared = baskets.select(F.array_distinct("items").alias("items"))
+def fit_exact(
+    baskets: DataFrame,
+    min_support: float,
+    min_confidence: float = 0.6,
+    num_partitions: int | None = None,
+) -> FPGrowthModel:
+    """Spark's own parallel FP-growth over all baskets (threshold rounded up).
+
+    Reads ``baskets`` several times, and again whenever the model's tables are
+    used, so pass stored baskets. The conditional trees are shared out over
+    ``num_partitions`` tasks, by default one per core of the cluster.
+    """
+    spark = baskets.sparkSession
     return FPGrowth(
-        itemsCol="items", minSupport=min_support, minConfidence=min_confidence
-    ).fit(prepared)
+        itemsCol="items",
+        minSupport=min_support,
+        minConfidence=min_confidence,
+        numPartitions=num_partitions or spark.sparkContext.defaultParallelism,
+    ).fit(baskets.select(F.array_distinct("items").alias("items")))
 
 
 def exact_itemsets(model: FPGrowthModel, min_size: int = 2) -> DataFrame:

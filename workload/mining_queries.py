@@ -57,6 +57,11 @@ def sampled(
     )
 
 
+def all_baskets(spark: SparkSession, sf_dir: str, item: str = "p_brand") -> DataFrame:
+    """Every order's basket, written once as mining reads it several times."""
+    return store(baskets(spark, sf_dir, item), "baskets")
+
+
 def picked_local(spark: SparkSession, sf_dir: str, rounding: str = "floor") -> LocalItemsets:
     """Local itemsets of the drawn blocks."""
     sample = lines_to_baskets(spark, sf_dir)(
@@ -97,7 +102,7 @@ _RULES = (
 
 @query("fim_exact", f"WITH {_EXACT} SELECT {sql_key()} AS items, freq FROM exact WHERE len(items) > 1")
 def fim_exact(spark, sf_dir):
-    return keyed(mining.exact_itemsets(mining.fit_exact(baskets(spark, sf_dir), SUPPORT)))
+    return keyed(mining.exact_itemsets(mining.fit_exact(all_baskets(spark, sf_dir), SUPPORT)))
 
 
 _LOCAL_OUT = f"SELECT block_id, {sql_key()} AS items, freq FROM loc"
@@ -221,7 +226,7 @@ def itemset_support(spark, sf_dir):
     f"{sql_key('antecedent')} AS antecedent, consequent, round(confidence, 6) AS confidence FROM rules",
 )
 def assoc_rules(spark, sf_dir):
-    model = mining.fit_exact(baskets(spark, sf_dir), SUPPORT, MIN_CONFIDENCE)
+    model = mining.fit_exact(all_baskets(spark, sf_dir), SUPPORT, MIN_CONFIDENCE)
     return mining.exact_rules(model).select(
         itemset_key(F.col("antecedent")).alias("antecedent"),
         F.get("consequent", F.lit(0)).alias("consequent"),
@@ -358,7 +363,7 @@ _SETTINGS_SQL = ", ".join(f"({e}::DOUBLE, {d}::DOUBLE)" for e, d in _SETTINGS)
       round((SELECT c FROM tp) / (SELECT count(*) FROM exact), 4) AS recall FROM st, p""",
 )
 def eps_delta_sweep(spark, sf_dir):
-    exact = mining.exact_itemsets(mining.fit_exact(baskets(spark, sf_dir), SUPPORT), min_size=1)
+    exact = mining.exact_itemsets(mining.fit_exact(all_baskets(spark, sf_dir), SUPPORT), min_size=1)
     return sweeps.sweep_eps_delta(
         picked_local(spark, sf_dir, "ceil"), exact, _SETTINGS, MIN_CONFIDENCE
     )
@@ -387,7 +392,7 @@ def rounded_scores(scores: DataFrame) -> DataFrame:
       FROM merged m FULL JOIN exact e ON m.items = e.items)""",
 )
 def fim_eval(spark, sf_dir):
-    exact = mining.exact_itemsets(mining.fit_exact(baskets(spark, sf_dir), SUPPORT))
+    exact = mining.exact_itemsets(mining.fit_exact(all_baskets(spark, sf_dir), SUPPORT))
     return rounded_scores(evaluate.evaluate_itemsets(sampled(spark, sf_dir), exact))
 
 
@@ -402,7 +407,7 @@ def fim_eval(spark, sf_dir):
     FROM merged m JOIN exact e ON m.items = e.items""",
 )
 def fim_ase(spark, sf_dir):
-    rows = store(baskets(spark, sf_dir), "baskets")
+    rows = all_baskets(spark, sf_dir)
     exact = mining.exact_itemsets(mining.fit_exact(rows, SUPPORT))
     errors = evaluate.support_error(sampled(spark, sf_dir), exact, N_BLOCKS, rows.count())
     return errors.select(F.round("error", 6).alias("error"), F.round("ase", 6).alias("ase"))
@@ -443,7 +448,7 @@ _SWEEP_SCORES = (
     SELECT n, {_SWEEP_SCORES} FROM x GROUP BY n""",
 )
 def eval_sweep_blocks(spark, sf_dir):
-    rows = store(baskets(spark, sf_dir, "p_size"), "baskets")
+    rows = all_baskets(spark, sf_dir, "p_size")
     result = sweeps.sweep_block_counts(rows, _COUNTS, 0.005, rows.count(), max_len=2)
     return rounded_scores(result).withColumns({c: F.round(c, 6) for c in ("error", "ase")})
 
@@ -465,7 +470,7 @@ def eval_sweep_blocks(spark, sf_dir):
     SELECT min_support, {_SWEEP_SCORES} FROM x GROUP BY min_support""",
 )
 def eval_sweep_support(spark, sf_dir):
-    rows = store(baskets(spark, sf_dir, "p_size"), "baskets")
+    rows = all_baskets(spark, sf_dir, "p_size")
     result = sweeps.sweep_supports(rows, _SUPPORTS, 5, rows.count(), max_len=2)
     return rounded_scores(result).withColumns({c: F.round(c, 6) for c in ("error", "ase")})
 
