@@ -7,7 +7,9 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.linalg import Vectors
-from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
+from pyspark.mllib.linalg import Vectors as OldVectors
+from pyspark.mllib.linalg import VectorUDT as OldVectorUDT
+from pyspark.mllib.linalg.distributed import IndexedRowMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,15 +80,33 @@ def normalised_similarity(weights: DataFrame) -> DataFrame:
     )
 
 
-def _leading_vectors(entries: DataFrame, size: int, k: int) -> list[tuple[int, np.ndarray]] | None:
-    """Left singular vectors of a matrix small enough for one machine."""
-    if size > LOCAL_ROWS:
-        return None
-    dense = np.zeros((size, size))
-    for row, column, value in entries.collect():
-        dense[row, column] = value
-    left, _, _ = np.linalg.svd(dense)
-    return [(i, left[i, :k]) for i in range(size)]
+def _leading_vectors(entries: DataFrame, size: int, k: int) -> DataFrame:
+    """(pos, features): the ``k`` leading left singular vectors, row by row.
+
+    ``entries`` (pi, pj, w) is a stored table, as the decomposition goes over
+    it once per iteration.
+    """
+    spark = entries.sparkSession
+    if size <= LOCAL_ROWS:
+        dense = np.zeros((size, size))
+        for row, column, value in entries.collect():
+            dense[row, column] = value
+        left = np.linalg.svd(dense)[0][:, :k]
+        return spark.createDataFrame(
+            [(i, Vectors.dense(row)) for i, row in enumerate(left)], ["pos", "features"]
+        )
+    to_sparse = F.udf(
+        lambda hits: OldVectors.sparse(size, [(h.pj, h.w) for h in hits]), OldVectorUDT()
+    )
+    hits = F.array_sort(F.collect_list(F.struct("pj", "w")))
+    rows = entries.groupBy("pi").agg(to_sparse(hits).alias("vector"))
+    matrix = IndexedRowMatrix(
+        store(rows.select(F.col("pi").alias("index"), "vector"), "rows"), size, size
+    )
+    left = matrix.computeSVD(k, computeU=True).U
+    return left.rows.map(lambda r: (r.index, Vectors.dense(r.vector.toArray()))).toDF(
+        ["pos", "features"]
+    )
 
 
 def spectral_adaptive(block: DataFrame, k: int, k_max: int = 30, seed: int = 1) -> DataFrame:
@@ -96,7 +116,6 @@ def spectral_adaptive(block: DataFrame, k: int, k_max: int = 30, seed: int = 1)
     leading left singular vectors come from Spark's distributed decomposition,
     or from numpy when the block has at most ``LOCAL_ROWS`` rows.
     """
-    spark = block.sparkSession
     rows = block.select(F.lit(0).cast("bigint").alias("block_id"), "id", "vec")
     numbered = store(
         split_row_number(
@@ -118,20 +137,9 @@ def spectral_adaptive(block: DataFrame, k: int, k_max: int = 30, seed: int = 1)
     entries = weights.unionByName(
         numbered.select(F.col("pos").alias("pi"), F.col("pos").alias("pj"), F.lit(0.0).alias("w"))
     )
-    size = numbered.count()
-    vectors = _leading_vectors(entries, size, k)
-    if vectors is not None:
-        embedded = spark.createDataFrame(
-            [(i, Vectors.dense(v)) for i, v in vectors], ["pos", "features"]
-        )
-    else:
-        matrix = CoordinateMatrix(
-            entries.rdd.map(lambda r: MatrixEntry(r[0], r[1], r[2])), size, size
-        ).toIndexedRowMatrix()
-        left = matrix.computeSVD(k, computeU=True).U
-        embedded = left.rows.map(lambda r: (r.index, Vectors.dense(r.vector.toArray()))).toDF(
-            ["pos", "features"]
-        )
+    embedded = store(
+        _leading_vectors(store(entries, "similarity"), numbered.count(), k), "embedded"
+    )
     predicted = KMeans(k=k, seed=seed).fit(embedded).transform(embedded)
     return numbered.join(predicted.select("pos", "prediction"), "pos").select("id", "prediction")
 
