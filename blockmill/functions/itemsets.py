@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def canonical(items: Column) -> Column:
     """Distinct items in natural order: numeric for ints, lexical for strings."""
-    return F.array_sort(F.array_distinct(items))
+    return F.sort_array(F.array_distinct(items))
 
 
 def itemset_key(items: Column) -> Column:

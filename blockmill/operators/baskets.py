@@ -18,5 +18,5 @@ def form_baskets(lines: DataFrame, by: Sequence[str], item: str = "item") -> Dat
         lines.select(*by, item)
         .distinct()
         .groupBy(*by)
-        .agg(F.array_sort(F.collect_list(item)).alias("items"))
+        .agg(F.sort_array(F.collect_list(item)).alias("items"))
     )

@@ -63,7 +63,7 @@ def block_order(df: DataFrame, order: Column) -> DataFrame:
     """
     ids = df.select(BLOCK).distinct()
     listed = ids.agg(
-        F.array_sort(F.collect_list(F.struct(order.alias("k"), F.col(BLOCK)))).alias("all")
+        F.sort_array(F.collect_list(F.struct(order.alias("k"), F.col(BLOCK)))).alias("all")
     )
     return listed.select(
         F.posexplode("all").alias("pos", "entry"), F.size("all").alias("n_blocks")

@@ -28,7 +28,7 @@ def enrich_itemsets(itemsets: DataFrame, goods: DataFrame) -> DataFrame:
         .groupBy("items", "freq")
         .agg(
             F.round(F.sum(F.coalesce("good.price", F.lit(0.0))), 2).alias("total_price"),
-            F.array_sort(F.collect_set(category)).alias("categories"),
+            F.sort_array(F.collect_set(category)).alias("categories"),
         )
         .select(
             "items",

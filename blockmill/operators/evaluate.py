@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 def _sides(approx: DataFrame, exact: DataFrame, by: Sequence[str], how: str) -> DataFrame:
     keys = [*by, "items"]
-    left = approx.select(*by, F.array_sort("items").alias("items"), F.col("freq").alias("est"))
-    right = exact.select(*by, F.array_sort("items").alias("items"), F.col("freq").alias("real"))
+    left = approx.select(*by, F.sort_array("items").alias("items"), F.col("freq").alias("est"))
+    right = exact.select(*by, F.sort_array("items").alias("items"), F.col("freq").alias("real"))
     return left.join(right, keys, how)
 
 

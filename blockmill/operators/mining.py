@@ -20,7 +20,7 @@ from pyspark.ml.fpm import FPGrowth, FPGrowthModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockmill.functions.itemsets import canonical, support
+from blockmill.functions.itemsets import support
 from blockmill.operators.blocks import BLOCK
 from blockmill.runtime import join_checked, store_counted
 
@@ -71,7 +71,7 @@ def mine_blocks(
     least ``max(1, floor(min_support * rows of the block))`` baskets of the
     block hold it (``rounding="ceil"`` rounds up), or ``min_count`` baskets.
     """
-    rows = baskets.select(BLOCK, canonical(F.col("items")).alias("rest"))
+    rows = baskets.select(BLOCK, F.array_distinct("items").alias("rest"))
     blocks, n_blocks = store_counted(
         rows.groupBy(BLOCK)
         .agg(F.count(F.lit(1)).alias("n_rows"))
@@ -127,16 +127,18 @@ def mine_blocks(
 def _extend(state: DataFrame, frequent: DataFrame, n_frequent: int, first: bool) -> DataFrame:
     """Working rows of the next level."""
     allowed = frequent.groupBy(BLOCK, "prefix").agg(F.collect_list("item").alias("allowed"))
-    cut = (
-        join_checked(state, allowed, [BLOCK, "prefix"], n_frequent, F.col("rest"))
-        .select(BLOCK, "prefix", F.array_intersect("rest", "allowed").alias("rest"), "weight")
-        .where(F.size("rest") > 1)
+    kept = F.array_intersect("rest", "allowed")
+    cut = join_checked(state, allowed, [BLOCK, "prefix"], n_frequent, F.col("rest")).select(
+        BLOCK, "prefix", (F.sort_array(kept) if first else kept).alias("rest"), "weight"
     )
     if first:
         # Baskets that agree on their frequent items count as one from here on.
         cut = cut.groupBy(BLOCK, "prefix", "rest").agg(F.sum("weight").alias("weight"))
+    # The outer form, as the inner one has Spark work out ``rest`` once more for
+    # a filter on its size; the condition on pos drops what it adds.
+    exploded = F.posexplode_outer("rest").alias("pos", "item")
     return (
-        cut.select(BLOCK, "prefix", "rest", "weight", F.posexplode("rest").alias("pos", "item"))
+        cut.select(BLOCK, "prefix", "rest", "weight", exploded)
         .where(F.col("pos") < F.size("rest") - 1)
         .select(
             BLOCK,
@@ -171,14 +173,14 @@ def fit_exact(
 def exact_itemsets(model: FPGrowthModel, min_size: int = 2) -> DataFrame:
     """(items, freq) of a fitted model in canonical order, singles left out."""
     return model.freqItemsets.where(F.size("items") >= min_size).select(
-        F.array_sort("items").alias("items"), "freq"
+        F.sort_array("items").alias("items"), "freq"
     )
 
 
 def exact_rules(model: FPGrowthModel) -> DataFrame:
     """(antecedent, consequent, confidence) of a fitted model."""
     return model.associationRules.select(
-        F.array_sort("antecedent").alias("antecedent"), "consequent", "confidence"
+        F.sort_array("antecedent").alias("antecedent"), "consequent", "confidence"
     )
 
 

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from blockmill.functions.hashing import bucket_hash
 from blockmill.functions.vectors import majority
 
-#: Most vectors that are shipped to every task.
+#: Most vectors, and most numbers in them, that are shipped to every task.
 SHIP_ROWS = 50_000
+SHIP_NUMBERS = 8_000_000
 
 #: Rows per tile when both sides are large.
 TILE_ROWS = 4_000
@@ -68,7 +69,7 @@ def _shrink(pairs: pd.DataFrame, k: int) -> pd.DataFrame:
 
 def _gather(pairs: DataFrame, k: int) -> DataFrame:
     """(q, hits): the k best of the partial results, nearest first."""
-    hits = F.array_sort(F.collect_list(F.struct("sq_dist", "id", "label")))
+    hits = F.sort_array(F.collect_list(F.struct("sq_dist", "id", "label")))
     return pairs.groupBy("q").agg(F.slice(hits, 1, k).cast(_HITS).alias("hits"))
 
 
@@ -84,29 +85,43 @@ def nearest(
     ``queries`` has ``id, vec``; ``candidates`` has ``id, vec, label``; vectors
     are arrays. Exact for any size of either side.
     """
-    queries = queries.select(F.col("id").cast("bigint").alias("id"), "vec")
-    candidates = candidates.select(
-        F.col("id").cast("bigint").alias("id"), "vec", F.col("label").cast("int").alias("label")
-    )
+    queries, candidates = _query_side(queries), _candidate_side(candidates)
     if _at_most(candidates, ship_rows):
         return _ship_candidates(queries, candidates, k, skip_self)
+    return _nearest_to_many(queries, candidates, k, skip_self, ship_rows)
+
+
+def _query_side(df: DataFrame) -> DataFrame:
+    return df.select(F.col("id").cast("bigint").alias("id"), "vec")
+
+
+def _candidate_side(df: DataFrame) -> DataFrame:
+    return df.select(
+        F.col("id").cast("bigint").alias("id"), "vec", F.col("label").cast("int").alias("label")
+    )
+
+
+def _nearest_to_many(
+    queries: DataFrame, candidates: DataFrame, k: int, skip_self: bool, ship_rows: int
+) -> DataFrame:
     if _at_most(queries, ship_rows):
         return _ship_queries(queries, candidates, k, skip_self)
-    both = queries.withColumn("label", F.lit(0)), candidates
-    return _tiles(*(df.withColumn("g", F.lit(0).cast("bigint")) for df in both), k, skip_self).select(
-        "q", "hits"
-    )
+    whole = F.lit(0).cast("bigint").alias("g")
+    left = queries.select(whole, "id", "vec", F.lit(0).alias("label"))
+    right = candidates.select(whole, "id", "vec", "label")
+    return _tiles(left, right, k, skip_self).select("q", "hits")
 
 
 def _at_most(df: DataFrame, rows: int) -> bool:
-    return df.limit(rows + 1).count() <= rows
+    """Whether a side may be shipped; looks at no more rows than it has to."""
+    seen = df.limit(rows + 1).agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("vec")), F.lit(0)).alias("numbers")
+    ).first()
+    return seen["rows"] <= rows and seen["numbers"] <= SHIP_NUMBERS
 
 
 def _ship_candidates(queries: DataFrame, candidates: DataFrame, k: int, skip_self: bool) -> DataFrame:
-    side = candidates.toPandas()
-    ids = side["id"].to_numpy(dtype=np.int64)
-    labels = side["label"].to_numpy(dtype=np.int64)
-    shipped = queries.sparkSession.sparkContext.broadcast((ids, _matrix(side["vec"]), labels))
+    shipped = _broadcast_side(candidates)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, vecs, labels = shipped.value
@@ -115,17 +130,55 @@ def _ship_candidates(queries: DataFrame, candidates: DataFrame, k: int, skip_sel
             if not len(q_ids) or not len(ids):
                 continue
             found = _best(q_ids, _matrix(batch["vec"]), ids, vecs, labels, k, skip_self)
-            hits = [
-                [{"sq_dist": d, "id": i, "label": l} for d, i, l in rows]
-                for rows in (
-                    zip(g["sq_dist"], g["id"], g["label"]) for _, g in found.groupby("q", sort=False)
-                )
+            # The hits of a query follow each other, nearest first.
+            triples = [
+                {"sq_dist": d, "id": i, "label": l}
+                for d, i, l in zip(found["sq_dist"], found["id"], found["label"])
             ]
-            yield pd.DataFrame({"q": found["q"].unique(), "hits": hits})
+            starts = np.flatnonzero(np.r_[True, np.diff(found["q"].to_numpy()) != 0])
+            ends = np.r_[starts[1:], len(triples)]
+            yield pd.DataFrame(
+                {
+                    "q": found["q"].to_numpy()[starts],
+                    "hits": [triples[s:e] for s, e in zip(starts, ends)],
+                }
+            )
 
     return queries.mapInPandas(run, f"q bigint, hits {_HITS}")
 
 
+def _ship_labels(queries: DataFrame, labelled: DataFrame, k: int) -> DataFrame:
+    """(id, label) with the vote counted in the same pass, column-wise."""
+    shipped = _broadcast_side(labelled)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, vecs, labels = shipped.value
+        names, codes = np.unique(labels, return_inverse=True)
+        for batch in batches:
+            q_ids = batch["id"].to_numpy(dtype=np.int64)
+            if not len(q_ids) or not len(ids):
+                continue
+            found = _best(np.arange(len(q_ids)), _matrix(batch["vec"]), ids, vecs, codes, k, False)
+            votes = np.zeros((len(q_ids), len(names)), dtype=np.int64)
+            np.add.at(votes, (found["q"].to_numpy(), found["label"].to_numpy()), 1)
+            # argmax takes the first maximum, so the lowest label on a tie.
+            yield pd.DataFrame({"id": q_ids, "label": names[votes.argmax(axis=1)]})
+
+    return queries.mapInPandas(run, "id bigint, label int")
+
+
+def _broadcast_side(side: DataFrame):
+    """ids, vectors and labels of a side that was found small enough."""
+    rows = side.toPandas()
+    return side.sparkSession.sparkContext.broadcast(
+        (
+            rows["id"].to_numpy(dtype=np.int64),
+            _matrix(rows["vec"]),
+            rows["label"].to_numpy(dtype=np.int64),
+        )
+    )
+
+
 def _ship_queries(queries: DataFrame, candidates: DataFrame, k: int, skip_self: bool) -> DataFrame:
     side = queries.toPandas()
     q_ids = side["id"].to_numpy(dtype=np.int64)
@@ -192,7 +245,7 @@ def _tiles(left: DataFrame, right: DataFrame, k: int, skip_self: bool) -> DataFr
         .cogroup(right.groupBy("rg", "rlt", "rrt"))
         .applyInPandas(run, f"g bigint, {_PAIR}")
     )
-    hits = F.array_sort(F.collect_list(F.struct("sq_dist", "id", "label")))
+    hits = F.sort_array(F.collect_list(F.struct("sq_dist", "id", "label")))
     return pairs.groupBy("g", "q").agg(F.slice(hits, 1, k).cast(_HITS).alias("hits"))
 
 
@@ -213,8 +266,12 @@ def nearest_within(df: DataFrame, group: str, k: int) -> DataFrame:
 def knn_label(
     queries: DataFrame, labelled: DataFrame, k: int = 1, ship_rows: int = SHIP_ROWS
 ) -> DataFrame:
-    """(id, label): majority label of the ``k`` nearest labelled vectors."""
-    found = nearest(queries, labelled, k, ship_rows=ship_rows)
+    """(id, label): majority label of the ``k`` nearest labelled vectors, the
+    lowest one on a tie."""
+    queries, labelled = _query_side(queries), _candidate_side(labelled)
+    if _at_most(labelled, ship_rows):
+        return _ship_labels(queries, labelled, k)
+    found = _nearest_to_many(queries, labelled, k, False, ship_rows)
     return found.select(F.col("q").alias("id"), majority(F.col("hits.label")).alias("label"))
 
 

@@ -12,7 +12,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockmill.runtime import store
+from blockmill.runtime import scratch_path, store
 
 #: Longest run of entries of one row that is handled by one task.
 ROW_PIECE = 100_000
@@ -83,12 +83,14 @@ def run_rounds(
     """(i, k, r, a) after ``rounds`` rounds.
 
     The state is stored after each round: the plan never grows, and a lost
-    executor costs at most the round at hand.
+    executor costs at most the round at hand. Two places are written in turn,
+    so there are never more than two states on disk.
     """
-    state = store(start_messages(similarities, row_piece), "messages")
-    for _ in range(rounds):
+    places = [scratch_path(similarities.sparkSession, "messages") for _ in range(2)]
+    state = store(start_messages(similarities, row_piece), "messages", places[0])
+    for done in range(1, rounds + 1):
         half = responsibilities(state, damping).persist(StorageLevel.MEMORY_AND_DISK)
-        state = store(availabilities(half, damping), "messages")
+        state = store(availabilities(half, damping), "messages", places[done % 2])
         half.unpersist()
     return state.select("i", "k", "r", "a")
 

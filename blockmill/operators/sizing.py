@@ -66,7 +66,7 @@ def r_max_quantile(local: LocalItemsets, q: float = 0.95) -> DataFrame:
 
     Brings one number per sampled block together, nothing else.
     """
-    ordered = block_r_max(local).agg(F.array_sort(F.collect_list("r_max")).alias("all"))
+    ordered = block_r_max(local).agg(F.sort_array(F.collect_list("r_max")).alias("all"))
     index = F.floor(F.lit(q) * (F.size("all") - 1)).cast("int")
     return ordered.select(F.get("all", index).alias("r_max"))
 

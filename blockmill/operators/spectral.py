@@ -98,7 +98,7 @@ def _leading_vectors(entries: DataFrame, size: int, k: int) -> DataFrame:
     to_sparse = F.udf(
         lambda hits: OldVectors.sparse(size, [(h.pj, h.w) for h in hits]), OldVectorUDT()
     )
-    hits = F.array_sort(F.collect_list(F.struct("pj", "w")))
+    hits = F.sort_array(F.collect_list(F.struct("pj", "w")))
     rows = entries.groupBy("pi").agg(to_sparse(hits).alias("vector"))
     matrix = IndexedRowMatrix(
         store(rows.select(F.col("pi").alias("index"), "vector"), "rows"), size, size

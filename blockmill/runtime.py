@@ -10,8 +10,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows a table may have before we stop asking Spark to broadcast it.
-BROADCAST_ROWS = 200_000
+#: Most rows a table may have before we stop asking Spark to broadcast it; the
+#: tables in question have rows of about 100 bytes, so this is some 100 MB.
+BROADCAST_ROWS = 1_000_000
 
 #: Into how many parts the large side of a join is spread when the small side
 #: turned out too big to broadcast.
@@ -43,14 +44,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/blockmill/{name}-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` once and go on from the files.
 
     Cuts the lineage like a checkpoint, survives the loss of any executor, and
-    leaves Catalyst with the true size of the table.
+    leaves Catalyst with the true size of the table. ``path`` names a place to
+    write over, for loops that only need their last state.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    path = path or scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

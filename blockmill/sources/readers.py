@@ -45,7 +45,7 @@ def read_blocks(
     # One entry per file, so the listing is gathered as a whole.
     numbered = (
         file_catalog(spark, names)
-        .agg(F.array_sort(F.collect_list(F.struct((-F.col("length")).alias("k"), "path"))).alias("a"))
+        .agg(F.sort_array(F.collect_list(F.struct((-F.col("length")).alias("k"), "path"))).alias("a"))
         .select(F.posexplode("a").alias("pos", "file"))
         .select(_same_path(F.col("file.path")).alias("_path"), F.col("pos").cast("bigint").alias(BLOCK))
     )
