@@ -39,6 +39,7 @@ def mine_blockings(
 
     Returns the local itemsets and the blocks, both with ``n``, the blocking.
     """
+    counts = sorted(set(counts))
     copies = baskets.select(key, "items", _each(counts).alias("n"))
     place = F.col("n") * F.lit(_ID_SPACE) + bucket_hash(seed, F.col(key)) % F.col("n")
     local = mine_blocks(
@@ -74,7 +75,7 @@ def sweep_block_counts(
     merged = _merge_each(itemsets, blocks, [])
     settings = _each(counts).alias("n")
     truth = merged.where("n = 1").select(settings, "items", "freq")
-    approx = merged.where("n > 1")
+    approx = merged.where(F.col("n").isin(list(counts)))
     scores = evaluate_itemsets(approx, truth, ["n"])
     errors = support_error(approx, truth, F.col("n"), total_rows, ["n"])
     return scores.join(errors, "n", "left")
@@ -101,7 +102,7 @@ def sweep_supports(
     kept = itemsets.withColumn("min_support", level).where(F.col("freq") >= needed)
     merged = _merge_each(kept, blocks, ["min_support"])
     truth = merged.where("n = 1")
-    approx = merged.where("n > 1")
+    approx = merged.where(F.col("n") == n_blocks)
     scores = evaluate_itemsets(approx, truth, ["min_support"])
     errors = support_error(approx, truth, n_blocks, total_rows, ["min_support"])
     return scores.join(errors, "min_support", "left")

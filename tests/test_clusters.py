@@ -205,7 +205,7 @@ def test_trimmed_models(spark):
     assert kept == sorted(i / 20 for i in range(2, 18))
 
 
-def reference_rounds(sims, rounds, d=0.5):
+def literal_rounds(sims, rounds, d=0.5):
     """The recurrence, read literally."""
     state = {key: (0.0, s) for key, s in sims.items()}
     for _ in range(rounds):
@@ -228,7 +228,7 @@ def test_message_passing_follows_the_recurrence(spark, row_piece):
     sims |= {(5, k): rng.random() for k in range(1, 12)}
     df = spark.createDataFrame([(i, k, s) for (i, k), s in sims.items()], "i int, k int, s double")
     state = propagation.run_rounds(df, 3, row_piece=row_piece).collect()
-    want = reference_rounds(sims, 3)
+    want = literal_rounds(sims, 3)
     assert {(r.i, r.k): r.r for r in state} == pytest.approx({k: v[0] for k, v in want.items()})
     assert {(r.i, r.k): r.a for r in state} == pytest.approx({k: v[1] for k, v in want.items()})
     centres = propagation.message_passing(df, rounds=1, row_piece=row_piece).collect()

@@ -70,12 +70,12 @@ def test_scores_of_nothing(spark):
 def test_one_block_agrees_with_itself(spark):
     baskets = random_baskets(random.Random(3), 120, items=8)
     rows = spark.createDataFrame(list(enumerate(baskets)), "txn_id bigint, items array<int>")
-    row = sweeps.sweep_supports(rows, [0.1, 0.2], 1, 120).orderBy("min_support").collect()
-    # blocking 1 is both truth and estimate only if asked for twice; use 2 blocks to differ
-    assert [r.min_support for r in row] in ([0.1, 0.2], [])
-    scores = sweeps.sweep_block_counts(rows, [2, 4], 0.1, 120).collect()
+    for row in sweeps.sweep_supports(rows, [0.1, 0.2], 1, 120).collect():
+        assert (row.precision, row.recall, row.error) == (1.0, 1.0, 0.0)
+    scores = sweeps.sweep_block_counts(rows, [1, 2, 4], 0.1, 120).collect()
     truth = {k for k in brute_itemsets(baskets, 12) if len(k) > 1}
-    assert {r.n for r in scores} == {2, 4} and {r.n_exact for r in scores} == {len(truth)}
+    assert [r.precision for r in scores if r.n == 1] == [1.0]
+    assert {r.n for r in scores} == {1, 2, 4} and {r.n_exact for r in scores} == {len(truth)}
 
 
 def test_enrichment_counts_unknown_goods_as_a_category(spark):
