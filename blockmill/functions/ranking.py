@@ -19,25 +19,29 @@ def split_row_number(
     """Add ``row_number() over (partition by BY order by ORDER)`` as ``name``,
     and the size of the group as ``size`` if named.
 
-    ``stripe`` must not decrease along ``order``: it cuts every group into
-    consecutive stripes. Each stripe is sorted by its own task and starts at the
+    ``stripe`` must not be null nor decrease along ``order``: it cuts every
+    group into consecutive stripes. Each stripe is sorted by its own task and starts at the
     number of rows in the stripes before it, so a group holding much of the data
     is shared out instead of sorted in one place.
     """
-    keys = [*by, "_stripe"]
+    # In a struct, null group keys are equal to each other and survive the join.
+    group = ["_group"] if by else []
+    keys = [*group, "_stripe"]
     striped = df.withColumn("_stripe", stripe)
-    before = Window.partitionBy(*by).orderBy("_stripe").rowsBetween(
+    if by:
+        striped = striped.withColumn("_group", F.struct(*by))
+    before = Window.partitionBy(*group).orderBy("_stripe").rowsBetween(
         Window.unboundedPreceding, -1
     )
     starts = striped.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(
         *keys,
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
-        *([F.sum("_n").over(Window.partitionBy(*by)).alias(size)] if size else []),
+        *([F.sum("_n").over(Window.partitionBy(*group)).alias(size)] if size else []),
     )
     within = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return (
         striped.withColumn("_within", within)
         .join(starts, keys)
         .withColumn(name, F.col("_start") + F.col("_within"))
-        .drop("_stripe", "_within", "_start")
+        .drop("_group", "_stripe", "_within", "_start")
     )

@@ -41,17 +41,20 @@ def deal_blocks(
     by many tasks: it is cut along the hash into stripes of about
     ``rows_per_stripe`` rows.
     """
-    hashed = df.withColumn("_hash", bucket_hash(seed, F.col(key)))
-    sizes = df.groupBy(source).agg(
+    # In a struct, a null source is equal to itself and survives the join.
+    hashed = df.withColumn("_hash", bucket_hash(seed, F.col(key))).withColumn(
+        "_source", F.struct(source)
+    )
+    sizes = hashed.groupBy("_source").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(rows_per_stripe)).alias("_stripes")
     )
     stripe = F.floor(F.col("_hash") * F.col("_stripes") / F.lit(HASH_RANGE))
     numbered = split_row_number(
-        hashed.join(sizes, source), [source], stripe, [F.col("_hash"), F.col(key)], "_row"
+        hashed.join(sizes, "_source"), [source], stripe, [F.col("_hash"), F.col(key)], "_row"
     )
     start = bucket_hash(seed, F.col(source))
     return numbered.withColumn(BLOCK, (F.col("_row") + start) % F.lit(n)).drop(
-        "_hash", "_stripes", "_row"
+        "_hash", "_source", "_stripes", "_row"
     )
 
 

@@ -125,11 +125,17 @@ def mine_blocks(
 
 
 def _extend(state: DataFrame, frequent: DataFrame, n_frequent: int, first: bool) -> DataFrame:
-    """Working rows of the next level."""
-    allowed = frequent.groupBy(BLOCK, "prefix").agg(F.collect_list("item").alias("allowed"))
-    kept = F.array_intersect("rest", "allowed")
+    """Working rows of the next level.
+
+    ``array_intersect`` hashes its second array and walks the first one: with
+    the short basket second it never builds a table of all frequent items, and
+    what it returns has the order of the first, so baskets need no sorting.
+    """
+    allowed = frequent.groupBy(BLOCK, "prefix").agg(
+        F.sort_array(F.collect_list("item")).alias("allowed")
+    )
     cut = join_checked(state, allowed, [BLOCK, "prefix"], n_frequent, F.col("rest")).select(
-        BLOCK, "prefix", (F.sort_array(kept) if first else kept).alias("rest"), "weight"
+        BLOCK, "prefix", F.array_intersect("allowed", "rest").alias("rest"), "weight"
     )
     if first:
         # Baskets that agree on their frequent items count as one from here on.

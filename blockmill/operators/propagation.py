@@ -87,7 +87,8 @@ def run_rounds(
     so there are never more than two states on disk.
     """
     places = [scratch_path(similarities.sparkSession, "messages") for _ in range(2)]
-    state = store(start_messages(similarities, row_piece), "messages", places[0])
+    given = store(similarities.select("i", "k", "s"), "similarities")
+    state = store(start_messages(given, row_piece), "messages", places[0])
     for done in range(1, rounds + 1):
         half = responsibilities(state, damping).persist(StorageLevel.MEMORY_AND_DISK)
         state = store(availabilities(half, damping), "messages", places[done % 2])

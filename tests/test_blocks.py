@@ -79,7 +79,8 @@ def test_reblocking_is_independent_of_the_first_blocks(spark):
 
 def test_deal_is_even_within_every_source(spark):
     # one source holds nearly all rows, and is cut into many stripes
-    source = F.when(F.col("key") < 1800, 0).otherwise(F.col("key") % 3 + 1).cast("bigint")
+    source = F.when(F.col("key") < 1800, 0).when(F.col("key") < 1950, F.col("key") % 3 + 1)
+    source = source.cast("bigint")  # null for the last rows
     rows = spark.range(2000).withColumnRenamed("id", "key").withColumn("src", source)
     dealt = B.deal_blocks(rows, 7, "key", "src", rows_per_stripe=50)
     assert dealt.count() == 2000

@@ -123,3 +123,10 @@ def test_goods_and_vectors_from_text(spark, tmp_path):
     assert tuple(R.read_goods(spark, str(tmp_path / "g.json")).first()) == ("1", 2.5, "a")
     row = R.labelled_vectors(spark.createDataFrame([("0.5, 1,2.0,7.0",)], "value string")).first()
     assert row.label == 7 and list(row.features) == [0.5, 1.0, 2.0]
+
+
+def test_written_tables_are_replaced(spark, tmp_path):
+    path = str(tmp_path / "t")
+    W.write_parquet(spark.range(5), path)
+    W.write_parquet(spark.range(3), path)
+    assert spark.read.parquet(path).count() == 3

@@ -141,7 +141,6 @@ def src_goods_json(spark, sf_dir):
 def snk_parquet(spark, sf_dir):
     path = scratch_path(spark, "out")
     W.write_parquet(baskets(spark, sf_dir), path)
-    W.write_parquet(baskets(spark, sf_dir), path)  # replaces the first
     return spark.read.parquet(path).select("txn_id", itemset_key(F.col("items")).alias("items"))
 
 
