@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockmill.functions.itemsets import itemset_key
+from blockmill.runtime import store
 
 #: Stands for the category of an item the goods table does not know. Such items
 #: share one category of their own.
@@ -53,6 +54,13 @@ def itemset_report(itemsets: DataFrame, goods: DataFrame, rows: int | Column) ->
     )
 
 
+def register_report(report: DataFrame, view: str) -> DataFrame:
+    """Make the report a view for SQL; it is mined and joined once, then read."""
+    stored = store(report, "report")
+    stored.createOrReplaceTempView(view)
+    return stored
+
+
 def top_by(report: DataFrame, column: str, n: int = 20) -> DataFrame:
     """The ``n`` rows with the highest ``column``, ties in key order."""
     return report.orderBy(F.desc(column), "fim").limit(n)

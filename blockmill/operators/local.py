@@ -38,8 +38,9 @@ def block_max(df: DataFrame, column: str) -> DataFrame:
     return first_blocks(df, 1).agg(F.max(column).alias("local_max"))
 
 
-def block_describe(df: DataFrame, columns: Sequence[str], n: int = 1) -> DataFrame:
-    """count, mean, stddev, min and max over the first ``n`` blocks, as strings."""
+def block_describe(df: DataFrame, columns: Sequence[str] = (), n: int = 1) -> DataFrame:
+    """count, mean, stddev, min and max over the first ``n`` blocks, as strings;
+    of all numeric and string columns unless some are named."""
     return first_blocks(df, n).describe(*columns)
 
 

@@ -93,3 +93,6 @@ def test_enrichment_counts_unknown_goods_as_a_category(spark):
     report = enrich.itemset_report(sets, goods, 10)
     assert [r.fim for r in enrich.top_by(report, "support", 2).collect()] == ["{a,b}", "{a,x}"]
     assert [r.fim for r in enrich.single_category(report).collect()] == ["{a,b}", "{x,y}"]
+    enrich.register_report(report, "sets")
+    top = spark.sql("SELECT fim FROM sets WHERE one_category ORDER BY total_price DESC LIMIT 1")
+    assert top.first().fim == "{a,b}"

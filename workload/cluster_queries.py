@@ -9,6 +9,7 @@ from blockmill.functions.hashing import bucket_hash
 from blockmill.functions.vectors import array_to_vector, euclidean_distance, vector_to_array
 from blockmill.operators import ensemble, learn, neighbours, propagation, quality, spectral
 from blockmill.operators.blocks import assign_blocks, blocks_at
+from blockmill.runtime import store
 from workload.fixtures import SEED, baskets, sql_hash, sql_pairs, table
 from workload.registry import query
 
@@ -356,7 +357,7 @@ def spectral_adaptive(spark, sf_dir):
 
 def similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(i, k, s): share of the orders that hold both brands, both ways round."""
-    orders = baskets(spark, sf_dir)
+    orders = store(baskets(spark, sf_dir), "baskets")
     number = lambda name: F.regexp_extract(name, "[0-9]+", 0).cast("int")
     first = orders.select("items", F.explode("items").alias("x"))
     both = first.select("x", F.explode("items").alias("y")).where("x <> y")
