@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockmill.llm import bpe, simhash, urls
+from blockmill.llm import bpe, simhash, toxicity, urls
 from blockmill.llm.tables import table
 from workload.registry import query
 
@@ -63,3 +63,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs).select(
         "doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id"
     )
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_documents(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
