@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockmill.llm import bpe, simhash, toxicity, urls
+from blockmill.llm import bpe, density, pivots, simhash, toxicity, urls
 from blockmill.llm.tables import table
 from workload.registry import query
 
@@ -70,3 +70,36 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score_documents(docs, table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@query(
+    "op2_pivot_search",
+    """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e
+      FROM embeddings
+      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scored AS (
+      SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+      FROM v q JOIN v c ON c.vec_id <> q.vec_id
+      WHERE q.vec_id % 100 = 0
+    ), ranked AS (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank
+      FROM scored
+    )
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+    """,
+)
+def op2_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(
+        "vec_id", pivots.quantised(F.col("embedding")).alias("vector")
+    )
+    return pivots.top_products(vectors, F.col("vec_id") % 100 == 0)
+
+
+@query("op9_text_density")
+def op9_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = pages.select("page_id", "url", density.main_texts("html").alias("text"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
