@@ -19,18 +19,20 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from blockmill.llm.tables import text_of
+from blockmill.llm.tables import slices, text_of
 
 #: Pieces kept with their tokens per Python worker; all are forgotten at this number.
-REMEMBERED_PIECES = 400_000
+REMEMBERED_PIECES = 100_000
 #: Longer pieces are encoded anew each time.
 REMEMBERED_LENGTH = 64
 #: Token pairs kept with their compatibility per Python worker.
-REMEMBERED_PAIRS = 2_000_000
+REMEMBERED_PAIRS = 300_000
 
 
 class BytePairs:
@@ -207,6 +209,7 @@ class SparkCodec:
                 yield pd.Series([codec.decode(p or b"") for p in packed], dtype=object)
 
         self._encode, self._decode = encode, decode
+        self.open = lambda: _codec(name, shared, pattern)
 
     def encode(self, text: Column | str) -> Column:
         """Packed ids (little-endian unsigned 32 bits each); null counts as empty."""
@@ -223,15 +226,30 @@ def encode_texts(
     """Add the packed ids of ``text`` and the bytes they decode to.
 
     Rows are kept one to one, in place; a null text is an empty one; existing
-    columns named ``ids`` or ``decoded`` are replaced. Nothing is shuffled.
+    columns named ``ids`` or ``decoded`` are replaced. Nothing is shuffled. Both
+    columns come from one pass of one worker, a record batch cut into slices of
+    bounded size, so a worker holds few texts at a time.
     """
     codec = SparkCodec(df.sparkSession, path, pattern)
-    return df.withColumn(ids, codec.encode(text)).withColumn(decoded, codec.decode(ids))
+    kept = [c for c in df.columns if c not in (ids, decoded)]
+    fields = [df.schema[c] for c in kept]
+    schema = T.StructType([*fields, T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.BinaryType())])
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec.open()
+        for batch in batches:
+            for part in slices(batch, text):
+                packed = [own.encode(t or "") for t in part.column(text).to_pylist()]
+                arrays = [part.column(c) for c in kept]
+                arrays += [pa.array(packed, pa.binary()), pa.array(map(own.decode, packed), pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, [*kept, ids, decoded])
+
+    return df.select(*kept).mapInArrow(both, schema)
 
 
 def token_digests(df: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of whole texts."""
-    coded = encode_texts(df.select("doc_id", "text"), path, pattern)
+    coded = encode_texts(df.select("doc_id", text_of("text").alias("text")), path, pattern)
     return coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

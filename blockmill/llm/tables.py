@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from blockmill.runtime import scratch_path, store
 
+#: Bytes of text a Python worker takes out of a record batch at a time.
+SLICE_BYTES = 2 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -17,6 +26,17 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit(""))
 
 
+def slices(batch: pa.RecordBatch, text: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A record batch in consecutive parts of about ``size`` bytes of text each,
+    one row at least."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(lengths, dtype=np.int64) // size
+    cuts = [0, *(np.nonzero(np.diff(part))[0] + 1).tolist(), batch.num_rows]
+    for low, high in pairwise(cuts):
+        if high > low:
+            yield batch.slice(low, high - low)
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``edges(a, b)``; the root is the
     smallest node of its component.
@@ -66,4 +86,4 @@ def connected(edges: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["connected", "store", "table", "text_of"]
+__all__ = ["connected", "slices", "store", "table", "text_of"]
