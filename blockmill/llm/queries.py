@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockmill.llm import bpe, density, pivots, simhash, toxicity, urls
+from blockmill.llm import bpe, density, pivots, simhash, toxicity, urls, warc
 from blockmill.llm.tables import table
 from workload.registry import query
 
@@ -72,6 +72,15 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+@query("op1_warc_derivatives")
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.derive(warc.responses_of_pages(pages)).select(
+        "page_id", "warc_type", F.col("derived_id").alias("record_id"), "refers_to", "target_uri", "warc_date",
+        "content_type", "payload_digest", "block_digest", "content_length", "header", "block",
+    )
+
+
 @query(
     "op2_pivot_search",
     """
