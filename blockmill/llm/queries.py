@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockmill.llm import bpe, decontamination, density, pivots, simhash, toxicity, urls, warc
+from blockmill.llm import bpe, decontamination, density, pivots, simhash, surrogates, toxicity, urls, warc
 from blockmill.llm.tables import table
 from workload.registry import query
 
@@ -87,6 +87,16 @@ def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Key of the surrogates in the queries; a real run passes a secret of its own.
+SURROGATE_KEY = "surrogate key of the queries"
+
+
+@query("op8_surrogates")
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace_private(docs, SURROGATE_KEY)
+
+
 @query(
     "op2_pivot_search",
     """
