@@ -28,11 +28,11 @@ from pyspark.sql import types as T
 from blockmill.llm.tables import slices, text_of
 
 #: Pieces kept with their tokens per Python worker; all are forgotten at this number.
-REMEMBERED_PIECES = 100_000
+REMEMBERED_PIECES = 400_000
 #: Longer pieces are encoded anew each time.
 REMEMBERED_LENGTH = 64
 #: Token pairs kept with their compatibility per Python worker.
-REMEMBERED_PAIRS = 300_000
+REMEMBERED_PAIRS = 500_000
 
 
 class BytePairs:
