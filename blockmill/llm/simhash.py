@@ -216,17 +216,33 @@ def near_duplicates(
     id takes part in links but is never the smallest; where a component has no
     other id, ``component_id`` is null. Repeated rows stay repeated.
     """
-    marked = store(docs.select(F.col(id).alias("doc_id"), fingerprints(text).alias("fp")), "prints")
+    return _linked(docs.select(F.col(id).alias("doc_id"), fingerprints(text).alias("fp")), max_distance).drop("root")
+
+
+def _linked(prints: DataFrame, max_distance: int) -> DataFrame:
+    """Add ``root``, one fingerprint of each component, and ``component_id``."""
+    marked = store(prints, "prints")
     distinct = store(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "print-classes")
     links = store(fingerprint_links(distinct, max_distance), "links")
     if links.isEmpty():
-        classes = distinct.withColumnRenamed("first", "component_id")
+        classes = distinct.select("fp", F.col("fp").alias("root"), F.col("first").alias("component_id"))
     else:
         roots = connected(links).withColumnRenamed("node", "fp")
         rooted = store(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
         firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-        classes = rooted.join(firsts, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+        classes = rooted.join(firsts, "root").select("fp", "root", "component_id")
+    return marked.join(classes, "fp")
+
+
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", max_distance: int = 4) -> DataFrame:
+    """One document of each component: that with the smallest id (null ids last),
+    of several such texts the one with the smallest hash; repeated rows count once."""
+    # Two hashes name a row, so that null ids can be joined as well.
+    names = {"_k1": F.xxhash64(id, text), "_k2": F.xxhash64(text, id, F.lit(1))}
+    prints = docs.select(F.col(id).alias("doc_id"), fingerprints(text).alias("fp"), *[c.alias(n) for n, c in names.items()])
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_k1", "_k2")
+    kept = _linked(prints, max_distance).groupBy("root").agg(F.min(rank).alias("kept")).select("kept._k1", "kept._k2")
+    return docs.withColumns(names).join(store(kept, "kept"), [*names]).dropDuplicates([*names]).select(*docs.columns)
 
 
 def as_hex(fp: Column) -> Column:

@@ -17,9 +17,6 @@ entities are, as hashed pairs.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,16 +81,18 @@ def _permuted_half(key: str, kind: Column, half: Column, other: Column, round_no
 def permuted_digits(key: str, kind: Column, digits: Column, attempt: Column) -> Column:
     """A keyed permutation of the digit strings of each length (up to 30)."""
 
-    def step(state: Column, n: int) -> Column:
-        left, right = state.getItem(0), state.getItem(1)
-        moved = _permuted_half(key, kind, left, right, n, attempt)
-        return F.array(right, moved)
+    def step(n: int):
+        def swap(state: Column) -> Column:
+            left, right = state.getItem(0), state.getItem(1)
+            return F.array(right, _permuted_half(key, kind, left, right, n, attempt))
+
+        return swap
 
     cut = F.floor(F.length(digits) / 2).cast("int")
     state = F.array(F.substring(digits, F.lit(1), cut), F.substring(digits, cut + 1, F.length(digits)))
     # transform over one element names the state, so that it is not worked out again for each use
     for n in range(ROUNDS):
-        state = F.transform(F.array(state), lambda s, n=n: step(s, n)).getItem(0)
+        state = F.transform(F.array(state), step(n)).getItem(0)
     return F.concat(state.getItem(0), state.getItem(1))
 
 
@@ -305,12 +304,12 @@ def surrogate_table(marked: DataFrame, key: str) -> DataFrame:
         )
 
 
-def replace_private(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Replace all personal data in ``text``; add ``n_replaced``.
+def replace_private(docs: DataFrame, key: str, text: str = "text", counted: str | None = "n_replaced") -> DataFrame:
+    """Replace all personal data in ``text``; add their number as ``counted``.
 
     A null text stays null and an empty one empty; all other columns stay as they
     are, rows stay one to one, and equal texts give equal results. A column named
-    ``n_replaced`` is replaced.
+    as ``counted`` is replaced; without a name nothing is added.
     """
     marked = mark_entities(docs, text)
     table = surrogate_table(marked, key)
@@ -338,6 +337,7 @@ def replace_private(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         ),
     )
     whole = F.array_join(F.zip_with("_gaps", F.concat(replaced, F.array(F.lit(""))), lambda g, s: F.concat(g, s)), "")
-    return ready.withColumn("n_replaced", F.size("_found")).withColumn(
-        text, F.when(F.col("n_replaced") > 0, whole).otherwise(F.col(text))
-    ).drop("_gaps", "_found", "_fixes", "_h1", "_h2")
+    done = ready.withColumn(text, F.when(F.size("_found") > 0, whole).otherwise(F.col(text)))
+    if counted:
+        done = done.withColumn(counted, F.size("_found"))
+    return done.drop("_gaps", "_found", "_fixes", "_h1", "_h2")
