@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockmill.llm import bpe, decontamination, density, pivots, simhash, surrogates, toxicity, urls, warc
+from blockmill.llm import bpe, decontamination, density, passages, pivots, simhash, surrogates, toxicity, urls, warc
 from blockmill.llm.tables import table
 from workload.registry import query
 
@@ -65,6 +65,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_passages")
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op6_decontamination")
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
