@@ -18,9 +18,6 @@ from blockmill.operators.mining import (
 )
 from blockmill.operators.sizing import itemset_stats, sample_size
 
-#: Block ids of one blocking lie below this; blocking n starts at n times it.
-_ID_SPACE = 2**20
-
 
 def _each(counts: Sequence[int]) -> Column:
     """One row per count."""
@@ -41,11 +38,12 @@ def mine_blockings(
     """
     counts = sorted(set(counts))
     copies = baskets.select(key, "items", _each(counts).alias("n"))
-    place = F.col("n") * F.lit(_ID_SPACE) + bucket_hash(seed, F.col(key)) % F.col("n")
+    # Blocking and block name a block together, so no id can run into another's.
+    place = F.struct("n", (bucket_hash(seed, F.col(key)) % F.col("n")).alias("block"))
     local = mine_blocks(
         copies.select(place.alias(BLOCK), "items"), min_support=min_support, max_len=max_len
     )
-    n = F.floor(F.col(BLOCK) / F.lit(_ID_SPACE)).cast("bigint")
+    n = F.col(f"{BLOCK}.n")
     return local.with_support().withColumn("n", n), local.blocks.withColumn("n", n)
 
 

@@ -153,34 +153,28 @@ def sql_picked(item: str = "p_brand", n: int = N_BLOCKS, picked: int = N_PICKED)
    FROM base JOIN blk USING (txn_id) JOIN pick USING (block_id))"""
 
 
+def sql_subsets(source: str, by: str = "") -> str:
+    """({by}items, freq): in how many baskets of ``source`` each set of items lies,
+    whatever its length; equal baskets are folded together first"""
+    return (
+        f"SELECT {by}items, CAST(sum(w) AS BIGINT) AS freq FROM (SELECT {by}w, "
+        "list_filter(s, lambda x, i: (m >> (i - 1)) & 1 = 1) AS items FROM ("
+        f"SELECT {by}s, w, unnest(range(1, 1::BIGINT << len(s))) AS m FROM ("
+        f"SELECT {by}s, count(*) AS w FROM (SELECT {by}list(DISTINCT item ORDER BY item) AS s "
+        f"FROM {source} GROUP BY {by}txn_id) GROUP BY ALL))) GROUP BY ALL"
+    )
+
+
 def sql_local(
     threshold: str = "greatest(1, CAST(floor(n_rows * 0.02::DOUBLE) AS BIGINT))",
-    max_len: int = 3,
 ) -> str:
-    """On b: n(block_id, n_rows, mc) and loc(block_id, items list, freq), levels 1 to max_len"""
-    ctes = [
+    """On b: n(block_id, n_rows, mc) and loc(block_id, items list, freq, n_rows), all lengths"""
+    return (
         f"n AS (SELECT block_id, n_rows, {threshold} AS mc FROM "
-        "(SELECT block_id, count(DISTINCT txn_id) AS n_rows FROM b GROUP BY block_id))"
-    ]
-    levels = []
-    for size in range(1, max_len + 1):
-        names = [f"x{i}" for i in range(size)]
-        joins = "".join(
-            f" JOIN b {right} ON {left}.block_id = {right}.block_id"
-            f" AND {left}.txn_id = {right}.txn_id AND {left}.item < {right}.item"
-            for left, right in zip(names, names[1:])
-        )
-        items = ", ".join(f"{name}.item" for name in names)
-        ctes.append(
-            f"l{size} AS (SELECT x0.block_id, [{items}] AS items, count(*) AS freq "
-            f"FROM b x0{joins} GROUP BY ALL)"
-        )
-        levels.append(f"SELECT * FROM l{size}")
-    ctes.append(
-        "loc AS (SELECT block_id, items, freq, n_rows FROM "
-        f"({' UNION ALL '.join(levels)}) JOIN n USING (block_id) WHERE freq >= mc)"
+        "(SELECT block_id, count(DISTINCT txn_id) AS n_rows FROM b GROUP BY block_id)),\n "
+        f"loc AS (SELECT block_id, items, freq, n_rows FROM ({sql_subsets('b', 'block_id, ')}) "
+        "JOIN n USING (block_id) WHERE freq >= mc)"
     )
-    return ",\n ".join(ctes)
 
 
 def sql_key(items: str = "items") -> str:

@@ -28,12 +28,12 @@ from workload.fixtures import (
     sql_local,
     sql_pairs,
     sql_picked,
+    sql_subsets,
     stored_baskets,
 )
 from workload.registry import query
 
 SUPPORT = 0.02
-MAX_LEN = 3
 MIN_CONFIDENCE = 0.15
 _CEIL = "greatest(1, CAST(ceil(n_rows * 0.02::DOUBLE) AS BIGINT))"
 
@@ -53,7 +53,6 @@ def sampled(
         SUPPORT,
         prepare=lines_to_baskets(spark, sf_dir),
         m=m,
-        max_len=MAX_LEN,
     )
 
 
@@ -67,27 +66,13 @@ def picked_local(spark: SparkSession, sf_dir: str, rounding: str = "floor") -> L
     sample = lines_to_baskets(spark, sf_dir)(
         random_blocks(blocked_lines(spark, sf_dir), N_PICKED, SEED)
     )
-    return mine_blocks(
-        store(sample, "sample"), min_support=SUPPORT, max_len=MAX_LEN, rounding=rounding
-    )
-
+    return mine_blocks(store(sample, "sample"), min_support=SUPPORT, rounding=rounding)
 
-def _levels(max_len: int, source: str = "base") -> str:
-    """all_sets(items, freq) over base(txn_id, item), levels 1 to max_len"""
-    parts = []
-    for size in range(1, max_len + 1):
-        names = [f"x{i}" for i in range(size)]
-        joins = "".join(
-            f" JOIN {source} {b} ON {a}.txn_id = {b}.txn_id AND {a}.item < {b}.item"
-            for a, b in zip(names, names[1:])
-        )
-        items = ", ".join(f"{name}.item" for name in names)
-        parts.append(f"SELECT [{items}] AS items, count(*) AS freq FROM {source} x0{joins} GROUP BY ALL")
-    return f"all_sets AS ({' UNION ALL '.join(parts)})"
 
+_ALL_SETS = f"all_sets AS ({sql_subsets('base')})"
 
 _EXACT = (
-    f"{sql_pairs()}, {_levels(3)}, exact AS (SELECT items, freq FROM all_sets WHERE freq >= "
+    f"{sql_pairs()}, {_ALL_SETS}, exact AS (SELECT items, freq FROM all_sets WHERE freq >= "
     "ceil((SELECT count(DISTINCT txn_id) FROM base) * 0.02::DOUBLE))"
 )
 _RULES = (
@@ -110,20 +95,20 @@ _LOCAL_OUT = f"SELECT block_id, {sql_key()} AS items, freq FROM loc"
 
 @query("fim_local", f"WITH {sql_blocked()}, {sql_local()} {_LOCAL_OUT}")
 def fim_local(spark, sf_dir):
-    local = mine_blocks(stored_baskets(spark, sf_dir), min_support=SUPPORT, max_len=MAX_LEN)
+    local = mine_blocks(stored_baskets(spark, sf_dir), min_support=SUPPORT)
     return keyed(local.itemsets)
 
 
-@query("fim_local_long", f"WITH {sql_blocked('p_type')}, {sql_local(max_len=6)} {_LOCAL_OUT}")
+@query("fim_local_long", f"WITH {sql_blocked('p_type')}, {sql_local()} {_LOCAL_OUT}")
 def fim_local_long(spark, sf_dir):
-    """Few items and long patterns: no limit on the length."""
+    """Few items and long patterns."""
     return keyed(mine_blocks(stored_baskets(spark, sf_dir, "p_type"), min_support=SUPPORT).itemsets)
 
 
 @query(
     "fim_local_global_count",
     f"WITH {sql_blocked('p_type')}, "
-    + sql_local("CAST(floor((SELECT count(DISTINCT txn_id) FROM b) * 0.01::DOUBLE) AS BIGINT)", 6)
+    + sql_local("CAST(floor((SELECT count(DISTINCT txn_id) FROM b) * 0.01::DOUBLE) AS BIGINT)")
     + f" {_LOCAL_OUT}",
 )
 def fim_local_global_count(spark, sf_dir):
@@ -133,7 +118,7 @@ def fim_local_global_count(spark, sf_dir):
 
 @query("fim_local_fixed_count", f"WITH {sql_blocked()}, {sql_local('20')} {_LOCAL_OUT}")
 def fim_local_fixed_count(spark, sf_dir):
-    return keyed(mine_blocks(stored_baskets(spark, sf_dir), min_count=20, max_len=MAX_LEN).itemsets)
+    return keyed(mine_blocks(stored_baskets(spark, sf_dir), min_count=20).itemsets)
 
 
 @query(
@@ -207,7 +192,7 @@ def sampled_fim_reblocked(spark, sf_dir):
     f"WITH {sql_blocked()}, {sql_local()}, {SQL_VOTE} SELECT {sql_key()} AS items, freq FROM merged",
 )
 def scalable_fim(spark, sf_dir):
-    return keyed(full_itemsets(stored_baskets(spark, sf_dir), SUPPORT, max_len=MAX_LEN))
+    return keyed(full_itemsets(stored_baskets(spark, sf_dir), SUPPORT))
 
 
 @query(
@@ -313,7 +298,6 @@ def sample_size_merged(spark, sf_dir):
         SUPPORT,
         prepare=lines_to_baskets(spark, sf_dir),
         m=5,
-        max_len=MAX_LEN,
     )
     sizes = sizing.merged_sample_size(local, 20_000, (0.05, 0.005), 0.05)
     return sizes.withColumn("r_max", F.round("r_max", 6)).withColumn(
@@ -346,6 +330,7 @@ def merged_itemsets_desc(spark, sf_dir):
     )
 
 
+# The settings of the sweeps.
 _SETTINGS = [(0.01, 0.05), (0.02, 0.05), (0.05, 0.05), (0.10, 0.05), (0.15, 0.05)]
 _SETTINGS_SQL = ", ".join(f"({e}::DOUBLE, {d}::DOUBLE)" for e, d in _SETTINGS)
 
@@ -353,7 +338,7 @@ _SETTINGS_SQL = ", ".join(f"({e}::DOUBLE, {d}::DOUBLE)" for e, d in _SETTINGS)
 @query(
     "eps_delta_sweep",
     f"""WITH {sql_picked()}, {sql_local(_CEIL)}, {_STATS}, {_BLOCK_RULES},
-    {_levels(3)}, exact AS (SELECT items FROM all_sets WHERE freq >=
+    {_ALL_SETS}, exact AS (SELECT items FROM all_sets WHERE freq >=
       ceil((SELECT count(DISTINCT txn_id) FROM base) * 0.02::DOUBLE)),
     tp AS (SELECT count(*) AS c FROM s JOIN exact USING (items)),
     p AS (SELECT * FROM (VALUES {_SETTINGS_SQL}) AS v(eps, delta))
@@ -385,7 +370,7 @@ def rounded_scores(scores: DataFrame) -> DataFrame:
 
 @query(
     "fim_eval",
-    f"""WITH {sql_picked()}, {sql_local()}, {SQL_VOTE}, {_levels(3)},
+    f"""WITH {sql_picked()}, {sql_local()}, {SQL_VOTE}, {_ALL_SETS},
     exact AS (SELECT items, freq FROM all_sets WHERE len(items) > 1 AND freq >=
       ceil((SELECT count(DISTINCT txn_id) FROM base) * 0.02::DOUBLE))
     SELECT {_SCORES} FROM (SELECT m.freq AS est, e.freq AS real
@@ -398,7 +383,7 @@ def fim_eval(spark, sf_dir):
 
 @query(
     "fim_ase",
-    f"""WITH {sql_picked()}, {sql_local()}, {SQL_VOTE}, {_levels(3)},
+    f"""WITH {sql_picked()}, {sql_local()}, {SQL_VOTE}, {_ALL_SETS},
     t AS (SELECT count(DISTINCT txn_id) AS total FROM base),
     exact AS (SELECT items, freq FROM all_sets WHERE len(items) > 1 AND freq >=
       ceil((SELECT total FROM t) * 0.02::DOUBLE))
@@ -413,6 +398,7 @@ def fim_ase(spark, sf_dir):
     return errors.select(F.round("error", 6).alias("error"), F.round("ase", 6).alias("ase"))
 
 
+# Block counts and supports of the sweeps.
 _COUNTS = list(range(3, 22, 2))
 _SUPPORTS = [round(0.004 + 0.0002 * i, 4) for i in range(10)]
 
@@ -424,7 +410,7 @@ def _sql_blockings(counts: list[int], threshold: str) -> str:
     )
     return (
         f"{sql_pairs('p_size')}, hashed AS (SELECT txn_id, item, "
-        f"{sql_hash(SEED, 'txn_id')} AS h FROM base), b AS ({every}), {sql_local(threshold, 2)}"
+        f"{sql_hash(SEED, 'txn_id')} AS h FROM base), b AS ({every}), {sql_local(threshold)}"
     )
 
 
@@ -449,7 +435,7 @@ _SWEEP_SCORES = (
 )
 def eval_sweep_blocks(spark, sf_dir):
     rows = all_baskets(spark, sf_dir, "p_size")
-    result = sweeps.sweep_block_counts(rows, _COUNTS, 0.005, rows.count(), max_len=2)
+    result = sweeps.sweep_block_counts(rows, _COUNTS, 0.005, rows.count())
     return rounded_scores(result).withColumns({c: F.round(c, 6) for c in ("error", "ase")})
 
 
@@ -471,7 +457,7 @@ def eval_sweep_blocks(spark, sf_dir):
 )
 def eval_sweep_support(spark, sf_dir):
     rows = all_baskets(spark, sf_dir, "p_size")
-    result = sweeps.sweep_supports(rows, _SUPPORTS, 5, rows.count(), max_len=2)
+    result = sweeps.sweep_supports(rows, _SUPPORTS, 5, rows.count())
     return rounded_scores(result).withColumns({c: F.round(c, 6) for c in ("error", "ase")})
 
 
