@@ -24,4 +24,4 @@ def bucket_hash(seed: int, key: Column) -> Column:
 
 def draw_order(seed: int, block: Column) -> Column:
     """Sort key that puts block ids in a random but repeatable order."""
-    return bucket_hash(seed + DRAW_SEED, block)
+    return bucket_hash(seed + DRAW_SEED, block.cast("bigint"))

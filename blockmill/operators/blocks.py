@@ -58,13 +58,17 @@ def deal_blocks(
     )
 
 
-def block_order(df: DataFrame, order: Column) -> DataFrame:
+def block_order(df: DataFrame, order: Column, n_blocks: int | None = None) -> DataFrame:
     """(block_id, pos, n_blocks): every block once, counted from 0 along ``order``.
 
-    Gathers the block *ids* in one place, which is catalogue-sized: one entry
-    per block, whatever the number of rows.
+    With ``n_blocks`` the ids are 0 to ``n_blocks - 1``, as ``assign_blocks`` gave
+    them, and the table is not read for them. Gathers the block *ids* in one place,
+    which is catalogue-sized: one entry per block, whatever the number of rows.
     """
-    ids = df.select(BLOCK).distinct()
+    if n_blocks is None:
+        ids = df.select(BLOCK).distinct()
+    else:
+        ids = df.sparkSession.range(n_blocks).select(F.col("id").alias(BLOCK))
     listed = ids.agg(
         F.sort_array(F.collect_list(F.struct(order.alias("k"), F.col(BLOCK)))).alias("all")
     )
@@ -78,9 +82,13 @@ def _few(picked: DataFrame, n: int) -> DataFrame:
     return F.broadcast(picked) if n <= BROADCAST_ROWS else picked
 
 
-def first_blocks(df: DataFrame, n: int = 1) -> DataFrame:
-    """Rows of the first ``n`` blocks; no rows when there are fewer blocks."""
-    ranked = block_order(df, F.col(BLOCK))
+def first_blocks(df: DataFrame, n: int = 1, n_blocks: int | None = None) -> DataFrame:
+    """Rows of the first ``n`` blocks; no rows when there are fewer blocks.
+
+    ``n_blocks``, where known, saves reading the table for its ids; blocks
+    without rows then count as blocks.
+    """
+    ranked = block_order(df, F.col(BLOCK), n_blocks)
     picked = ranked.where((F.col("n_blocks") >= n) & (F.col("pos") < n)).select(BLOCK)
     return df.join(_few(picked, n), BLOCK, "left_semi")
 
@@ -90,24 +98,26 @@ def blocks_at(df: DataFrame, ids: Sequence[int]) -> DataFrame:
     return df.where(F.col(BLOCK).isin(list(ids)))
 
 
-def pick_blocks(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
+def pick_blocks(df: DataFrame, n: int, seed: int = 42, n_blocks: int | None = None) -> DataFrame:
     """Ids of ``n`` blocks drawn without replacement; none if there are fewer."""
-    ranked = block_order(df, draw_order(seed, F.col(BLOCK)))
+    ranked = block_order(df, draw_order(seed, F.col(BLOCK)), n_blocks)
     return ranked.where((F.col("n_blocks") >= n) & (F.col("pos") < n)).select(BLOCK)
 
 
-def random_blocks(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """Rows of ``n`` blocks drawn without replacement."""
-    return df.join(_few(pick_blocks(df, n, seed), n), BLOCK, "left_semi")
+def random_blocks(df: DataFrame, n: int, seed: int = 42, n_blocks: int | None = None) -> DataFrame:
+    """Rows of ``n`` blocks drawn without replacement (``n_blocks`` as in ``first_blocks``)."""
+    return df.join(_few(pick_blocks(df, n, seed, n_blocks), n), BLOCK, "left_semi")
 
 
-def two_random_blocks(df: DataFrame, n1: int, n2: int, seed: int = 42) -> DataFrame:
+def two_random_blocks(
+    df: DataFrame, n1: int, n2: int, seed: int = 42, n_blocks: int | None = None
+) -> DataFrame:
     """Two disjoint draws, told apart by ``side`` (1 or 2).
 
     Both are empty when ``n1 + n2`` exceeds the number of blocks.
     """
     total = n1 + n2
-    ranked = block_order(df, draw_order(seed, F.col(BLOCK)))
+    ranked = block_order(df, draw_order(seed, F.col(BLOCK)), n_blocks)
     picked = ranked.where((F.col("n_blocks") >= total) & (F.col("pos") < total)).select(
         BLOCK, F.when(F.col("pos") < n1, 1).otherwise(2).alias("side")
     )
@@ -151,5 +161,5 @@ def reblock_chain(df: DataFrame, key: str, a: int, keep: int, c: int, seed: int
     The second blocking has a seed of its own: with the same seed a row's new
     block would follow from its old one.
     """
-    kept = first_blocks(assign_blocks(df, a, key, seed), keep)
+    kept = first_blocks(assign_blocks(df, a, key, seed), keep, a)
     return assign_blocks(kept.drop(BLOCK), c, key, seed + 1)

@@ -23,25 +23,27 @@ PieceFn = Callable[[int, pd.DataFrame], pd.DataFrame]
 DEFAULT_STATISTICS = ("count", "mean", "stddev", "min", "25%", "50%", "75%", "max")
 
 
-def block_collect(df: DataFrame, n: int = 1) -> DataFrame:
-    """Rows of the first ``n`` blocks."""
-    return first_blocks(df, n)
+def block_collect(df: DataFrame, n: int = 1, n_blocks: int | None = None) -> DataFrame:
+    """Rows of the first ``n`` blocks; a known ``n_blocks`` saves reading for ids."""
+    return first_blocks(df, n, n_blocks)
 
 
-def block_min(df: DataFrame, column: str) -> DataFrame:
+def block_min(df: DataFrame, column: str, n_blocks: int | None = None) -> DataFrame:
     """Minimum over the first block only: a local estimate."""
-    return first_blocks(df, 1).agg(F.min(column).alias("local_min"))
+    return first_blocks(df, 1, n_blocks).agg(F.min(column).alias("local_min"))
 
 
-def block_max(df: DataFrame, column: str) -> DataFrame:
+def block_max(df: DataFrame, column: str, n_blocks: int | None = None) -> DataFrame:
     """Maximum over the first block only: a local estimate."""
-    return first_blocks(df, 1).agg(F.max(column).alias("local_max"))
+    return first_blocks(df, 1, n_blocks).agg(F.max(column).alias("local_max"))
 
 
-def block_describe(df: DataFrame, columns: Sequence[str] = (), n: int = 1) -> DataFrame:
+def block_describe(
+    df: DataFrame, columns: Sequence[str] = (), n: int = 1, n_blocks: int | None = None
+) -> DataFrame:
     """count, mean, stddev, min and max over the first ``n`` blocks, as strings;
     of all numeric and string columns unless some are named."""
-    return first_blocks(df, n).describe(*columns)
+    return first_blocks(df, n, n_blocks).describe(*columns)
 
 
 def block_summary(df: DataFrame, statistics: Sequence[str] = ()) -> DataFrame:
@@ -73,14 +75,18 @@ def _pieces(fn: PieceFn) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataF
     return run
 
 
-def block_map(df: DataFrame, n: int, fn: PieceFn, schema: str) -> DataFrame:
+def block_map(
+    df: DataFrame, n: int, fn: PieceFn, schema: str, n_blocks: int | None = None
+) -> DataFrame:
     """Rows made by ``fn`` from each of the first ``n`` blocks; nothing is moved."""
-    return first_blocks(df, n).mapInPandas(_pieces(fn), schema)
+    return first_blocks(df, n, n_blocks).mapInPandas(_pieces(fn), schema)
 
 
-def block_reduce(df: DataFrame, n: int, *values: Column) -> DataFrame:
+def block_reduce(
+    df: DataFrame, n: int, *values: Column, n_blocks: int | None = None
+) -> DataFrame:
     """One row per block for the first ``n`` blocks, from aggregate expressions."""
-    return first_blocks(df, n).groupBy(BLOCK).agg(*values)
+    return first_blocks(df, n, n_blocks).groupBy(BLOCK).agg(*values)
 
 
 def block_fold(

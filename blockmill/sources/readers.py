@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blockmill.functions.hashing import draw_order
 from blockmill.functions.itemsets import canonical
 from blockmill.functions.vectors import array_to_vector, features_of, label_of
-from blockmill.operators.blocks import BLOCK
+from blockmill.operators.blocks import BLOCK, blocks_at
 from blockmill.runtime import join_checked
 
 #: The schemas of the two side tables.
@@ -23,11 +24,22 @@ def _same_path(path: Column) -> Column:
     return F.regexp_replace(plain, "^file:/+", "file:/")
 
 
-def file_catalog(spark: SparkSession, paths: str | Sequence[str], pattern: str = "*") -> DataFrame:
-    """(path, length) of every file; lists the files without opening them."""
+#: Reader options that decide which files are read.
+_FILE_OPTIONS = ("recursiveFileLookup", "pathGlobFilter", "modifiedBefore", "modifiedAfter")
+
+
+def file_catalog(
+    spark: SparkSession, paths: str | Sequence[str], pattern: str | None = None, **options
+) -> DataFrame:
+    """(path, length) of every file; lists the files without opening them.
+
+    ``options`` that choose files are those of the readers.
+    """
     names = [paths] if isinstance(paths, str) else list(paths)
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(names)
-    return listing.select("path", "length")
+    chosen = {k: v for k, v in options.items() if k in _FILE_OPTIONS}
+    if pattern is not None:
+        chosen["pathGlobFilter"] = pattern
+    return spark.read.format("binaryFile").options(**chosen).load(names).select("path", "length")
 
 
 def read_blocks(
@@ -37,30 +49,34 @@ def read_blocks(
 
     Blocks are numbered from 0 by file length, longest first, so the first n
     blocks are the n largest files. How Spark splits or packs the files into
-    tasks makes no difference to ``block_id``.
+    tasks makes no difference to ``block_id``. ``options`` go to the reader and,
+    as far as they choose files, to the listing; a row of a file that is not
+    listed is an error.
     """
     names = [paths] if isinstance(paths, str) else list(paths)
     rows = spark.read.format(fmt).options(**options).load(names)
     columns = rows.columns
     # One entry per file, so the listing is gathered as a whole.
     numbered = (
-        file_catalog(spark, names)
+        file_catalog(spark, names, **options)
         .agg(F.sort_array(F.collect_list(F.struct((-F.col("length")).alias("k"), "path"))).alias("a"))
         .select(F.posexplode("a").alias("pos", "file"))
-        .select(_same_path(F.col("file.path")).alias("_path"), F.col("pos").cast("bigint").alias(BLOCK))
+        .select(_same_path(F.col("file.path")).alias("_path"), F.col("pos").cast("bigint").alias("_number"))
     )
     placed = rows.select("*", _same_path(F.col("_metadata.file_path")).alias("_path"))
     joined = join_checked(
-        placed, numbered, ["_path"], len(rows.inputFiles()), F.monotonically_increasing_id()
+        placed, numbered, ["_path"], len(rows.inputFiles()), F.monotonically_increasing_id(), "left"
     )
-    return joined.select(*columns, BLOCK)
+    missing = F.raise_error(F.concat(F.lit("file is not listed: "), "_path"))
+    return joined.select(*columns, F.coalesce("_number", missing.cast("bigint")).alias(BLOCK))
 
 
 def read_text_blocks(
-    spark: SparkSession, paths: str | Sequence[str], delimiter: str | None = None
+    spark: SparkSession, paths: str | Sequence[str], delimiter: str | None = None, **options
 ) -> DataFrame:
     """(value, block_id): text records, one file per block."""
-    options = {"lineSep": delimiter} if delimiter else {}
+    if delimiter:
+        options["lineSep"] = delimiter
     return read_blocks(spark, paths, "text", **options)
 
 
@@ -69,10 +85,38 @@ def read_stored_blocks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def stored_block_ids(spark: SparkSession, path: str) -> DataFrame:
+    """Ids of the blocks below ``path``, from the names of the files alone."""
+    number = F.regexp_extract("path", f"/{BLOCK}=([0-9]+)/", 1)
+    files = file_catalog(spark, path, "*.parquet", recursiveFileLookup="true")
+    return files.where(number != "").select(number.cast("bigint").alias(BLOCK)).distinct()
+
+
+def random_stored_blocks(spark: SparkSession, path: str, n: int, seed: int = 42) -> DataFrame:
+    """Rows of ``n`` stored blocks drawn without replacement; none if there are fewer.
+
+    Draws what ``random_blocks`` draws of the same blocks, but no row is read to
+    find the ids, and only the directories drawn are opened.
+    """
+    ids = stored_block_ids(spark, path).orderBy(draw_order(seed, F.col(BLOCK)), BLOCK).limit(n)
+    drawn = [row[BLOCK] for row in ids.collect()]
+    return blocks_at(read_stored_blocks(spark, path), drawn if len(drawn) == n else [])
+
+
 def random_files(spark: SparkSession, folder: str, n: int, seed: int = 42) -> DataFrame:
-    """``n`` random Parquet files of a folder; all of them when there are fewer."""
-    catalog = file_catalog(spark, folder, "*.parquet")
-    return catalog.orderBy(F.hash(F.lit(seed), F.col("path")), "path").limit(n)
+    """``n`` random Parquet files of a table's folder; all of them when there are fewer.
+
+    The draw goes by the path below the folder, so a table that is moved gives
+    the same files.
+    """
+    catalog = file_catalog(spark, folder, "*.parquet", recursiveFileLookup="true")
+    below = F.element_at(F.split(F.col("path"), F.lit(f"/{folder.rstrip('/').split('/')[-1]}/")), -1)
+    return catalog.orderBy(F.hash(F.lit(seed), below), below).limit(n)
+
+
+def read_files(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """Rows of the Parquet files named by ``path``; their number is the caller's."""
+    return spark.read.parquet(*[row["path"] for row in files.select("path").collect()])
 
 
 def csv_column(text: Column | str, schema: str) -> Column:

@@ -33,6 +33,6 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     (df.coalesce(1) if single_file else df).write.mode("overwrite").csv(path)
 
 
-def write_itemset_csv(itemsets: DataFrame, path: str, single_file: bool = True) -> None:
+def write_itemset_csv(itemsets: DataFrame, path: str, single_file: bool = False) -> None:
     """Merged itemsets as (key, count) CSV."""
     write_csv(itemsets.select(itemset_key(F.col("items")).alias("fim"), "freq"), path, single_file)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from blockmill.operators import local as L
 from blockmill.operators.blocks import assign_blocks
+from blockmill.operators.blocks import random_blocks
 from blockmill.sources import readers as R
 from blockmill.sources import writers as W
 
@@ -72,6 +73,29 @@ def test_files_are_blocks_longest_first(spark, tmp_path, fmt):
         assert sizes == sorted(sizes, reverse=True)
 
 
+def test_files_in_nested_folders(spark, tmp_path):
+    path = str(tmp_path / "top")
+    for n in range(5):
+        spark.range(n * 40, n * 40 + 40).coalesce(1).write.parquet(f"{path}/a{n}/b{n}")
+    rows = R.read_blocks(spark, path, recursiveFileLookup="true")
+    assert rows.count() == 200 and rows.select("block_id").distinct().count() == 5
+    some = R.read_blocks(spark, path, recursiveFileLookup="true", pathGlobFilter="*.parquet")
+    assert some.count() == 200
+
+
+def test_drawing_stored_blocks_reads_only_those(spark, tmp_path, rows):
+    path = str(tmp_path / "stored")
+    W.reblock(rows.drop("block_id"), 6, "key", path)
+    assert sorted(r.block_id for r in R.stored_block_ids(spark, path).collect()) == list(range(6))
+    drawn = R.random_stored_blocks(spark, path, 2, 7)
+    same = random_blocks(R.read_stored_blocks(spark, path), 2, 7)
+    assert sorted(r.key for r in drawn.collect()) == sorted(r.key for r in same.collect())
+    plan = drawn._jdf.queryExecution()
+    assert "PartitionFilters: [block_id" in plan.toString()
+    assert plan.executedPlan().toString().count("FileScan") == 1
+    assert R.random_stored_blocks(spark, path, 7, 7).count() == 0
+
+
 def test_many_paths_and_delimiters(spark, tmp_path):
     (tmp_path / "a.txt").write_text("1 2;3;4 5 6 7")
     (tmp_path / "b.txt").write_text("8;9")
@@ -116,6 +140,7 @@ def test_random_files_gives_all_when_there_are_fewer(spark, tmp_path):
     spark.range(40).repartition(4).write.parquet(path)
     assert R.random_files(spark, path, 3).count() == 3
     assert R.random_files(spark, path, 9).count() == 4
+    assert R.read_files(spark, R.random_files(spark, path, 3)).count() == 30
 
 
 def test_goods_and_vectors_from_text(spark, tmp_path):

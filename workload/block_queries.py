@@ -47,16 +47,38 @@ def blocked_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sources ---------------------------------------------------------------
 
 
-@query("src_blocks")
+@query(
+    "src_blocks",
+    f"""WITH b AS (SELECT o_orderkey, {_H} % 5 AS k FROM orders)
+    SELECT f.fmt, count(*) AS n_rows, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key,
+      CAST(sum(o_orderkey) AS BIGINT) AS key_sum
+    FROM b, (SELECT unnest(['orc', 'parquet', 'json', 'csv', 'text']) AS fmt) f GROUP BY f.fmt, k""",
+)
 def src_blocks(spark, sf_dir):
-    path = scratch_path(spark, "orders")
-    B.assign_blocks(orders(spark, sf_dir), 5, "o_orderkey", SEED).repartition(
-        5, B.BLOCK
-    ).drop(B.BLOCK).write.orc(path)
-    blocks = R.read_blocks(spark, path, "orc")
-    return blocks.groupBy("block_id").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.max("o_orderkey").alias("last_key")
+    """Five files in nested folders, one per block, in each of five formats; what
+    lies in each block tells the blocks apart."""
+    keys = orders(spark, sf_dir).select("o_orderkey")
+    by_file = B.assign_blocks(keys, 5, "o_orderkey", SEED).withColumn(
+        "value", F.col("o_orderkey").cast("string")
     )
+    parts = []
+    for fmt in ("orc", "parquet", "json", "csv", "text"):
+        path = scratch_path(spark, f"orders-{fmt}")
+        written = by_file.select("value", B.BLOCK) if fmt == "text" else by_file.select("o_orderkey", B.BLOCK)
+        written.repartition(B.BLOCK).write.partitionBy(B.BLOCK).format(fmt).save(path)
+        options = {"inferSchema": "true"} if fmt == "csv" else {}
+        rows = R.read_blocks(spark, path, fmt, recursiveFileLookup="true", **options)
+        key = F.col(rows.columns[0]).cast("bigint")
+        parts.append(
+            rows.groupBy("block_id").agg(
+                F.count(F.lit(1)).alias("n_rows"), F.min(key).alias("first_key"),
+                F.max(key).alias("last_key"), F.sum(key).alias("key_sum"),
+            ).select(F.lit(fmt).alias("fmt"), "n_rows", "first_key", "last_key", "key_sum")
+        )
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every
 
 
 @query(
@@ -83,17 +105,23 @@ def src_inline_json(spark, sf_dir):
     return events.select("event_id", R.json_column("props", "k int")["k"].alias("k"))
 
 
-@query("src_text_blocks")
+@query(
+    "src_text_blocks",
+    f"""WITH {sql_pairs('p_size')}, g AS (SELECT txn_id, {sql_hash(SEED, 'txn_id')} % 5 AS k,
+      array_to_string(list(item ORDER BY item), ' ') AS value FROM base GROUP BY txn_id)
+    SELECT count(*) AS n_rows, CAST(sum(length(value)) AS BIGINT) AS n_chars, min(value) AS first_value
+    FROM g GROUP BY k""",
+)
 def src_text_blocks(spark, sf_dir):
     path = scratch_path(spark, "lines")
-    lines = baskets(spark, sf_dir, "p_size").select(
-        F.array_join(F.col("items").cast("array<string>"), " ").alias("value")
+    lines = B.assign_blocks(baskets(spark, sf_dir, "p_size"), 5, "txn_id", SEED).select(
+        F.array_join(F.col("items").cast("array<string>"), " ").alias("value"), B.BLOCK
     )
-    lines.repartition(5).write.option("lineSep", ";").text(path)
-    blocks = R.read_text_blocks(spark, path, delimiter=";")
+    lines.repartition(B.BLOCK).write.partitionBy(B.BLOCK).option("lineSep", ";").text(path)
+    blocks = R.read_text_blocks(spark, path, delimiter=";", recursiveFileLookup="true")
     return blocks.groupBy("block_id").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum(F.length("value")).alias("n_chars")
-    )
+        F.count(F.lit(1)).alias("n_rows"), F.sum(F.length("value")).alias("n_chars"), F.min("value").alias("first_value")
+    ).drop("block_id")
 
 
 @query(
@@ -229,7 +257,7 @@ def deal_blocks(spark, sf_dir):
     "SELECT o_orderkey, block_id FROM r WHERE rn <= 4",
 )
 def sub_blocks_first(spark, sf_dir):
-    return B.first_blocks(blocked_orders(spark, sf_dir), 4).select("o_orderkey", "block_id")
+    return B.first_blocks(blocked_orders(spark, sf_dir), 4, N_BLOCKS).select("o_orderkey", "block_id")
 
 
 @query("sub_blocks_at", f"WITH {_BLOCKED} SELECT o_orderkey, block_id FROM ob WHERE block_id IN (1, 5, 9)")
@@ -243,7 +271,7 @@ def sub_blocks_at(spark, sf_dir):
     "WHERE block_id IN (SELECT block_id FROM rb WHERE rn <= 8 AND n_blocks >= 8)",
 )
 def random_blocks(spark, sf_dir):
-    return B.random_blocks(blocked_orders(spark, sf_dir), 8, SEED).select("o_orderkey", "block_id")
+    return B.random_blocks(blocked_orders(spark, sf_dir), 8, SEED, N_BLOCKS).select("o_orderkey", "block_id")
 
 
 @query(
@@ -253,7 +281,7 @@ def random_blocks(spark, sf_dir):
     "WHERE rn <= 7 AND n_blocks >= 7",
 )
 def two_random_blocks(spark, sf_dir):
-    return B.two_random_blocks(blocked_orders(spark, sf_dir), 3, 4, SEED).select(
+    return B.two_random_blocks(blocked_orders(spark, sf_dir), 3, 4, SEED, N_BLOCKS).select(
         "o_orderkey", "block_id", "side"
     )
 
@@ -284,10 +312,17 @@ def draw_block_ids(spark, sf_dir):
     )
 
 
-@query("random_files")
+@query(
+    "random_files",
+    f"WITH {_BLOCKED}, {_RANKED} SELECT o_orderkey, o_totalprice, block_id FROM ob "
+    "WHERE block_id IN (SELECT block_id FROM rb WHERE rn <= 5)",
+)
 def random_files(spark, sf_dir):
-    return R.random_files(spark, sf_dir, 5, SEED).select(
-        F.element_at(F.split("path", "/"), -1).alias("file"), "length"
+    """Rows of five random files of one table, which has a file per block."""
+    path = scratch_path(spark, "files")
+    W.write_blocks(blocked_orders(spark, sf_dir), path)
+    return R.random_stored_blocks(spark, path, 5, SEED).select(
+        "o_orderkey", "o_totalprice", F.col("block_id").cast("bigint").alias("block_id")
     )
 
 
@@ -318,17 +353,17 @@ def reblock_chain(spark, sf_dir):
 
 @query("block_collect", f"WITH {_BLOCKED} SELECT o_orderkey, block_id FROM ob WHERE block_id < 1")
 def block_collect(spark, sf_dir):
-    return L.block_collect(blocked_orders(spark, sf_dir)).select("o_orderkey", "block_id")
+    return L.block_collect(blocked_orders(spark, sf_dir), n_blocks=N_BLOCKS).select("o_orderkey", "block_id")
 
 
 @query("block_min", f"WITH {_BLOCKED} SELECT min(o_totalprice) AS local_min FROM ob WHERE block_id < 1")
 def block_min(spark, sf_dir):
-    return L.block_min(blocked_orders(spark, sf_dir), "o_totalprice")
+    return L.block_min(blocked_orders(spark, sf_dir), "o_totalprice", N_BLOCKS)
 
 
 @query("block_max", f"WITH {_BLOCKED} SELECT max(o_totalprice) AS local_max FROM ob WHERE block_id < 1")
 def block_max(spark, sf_dir):
-    return L.block_max(blocked_orders(spark, sf_dir), "o_totalprice")
+    return L.block_max(blocked_orders(spark, sf_dir), "o_totalprice", N_BLOCKS)
 
 
 @query(
@@ -343,7 +378,7 @@ def block_max(spark, sf_dir):
 def block_describe(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity")
     blocks = B.assign_blocks(lines, N_BLOCKS, "l_orderkey", SEED)
-    return L.block_describe(blocks, ["l_quantity"], 2).select(
+    return L.block_describe(blocks, ["l_quantity"], 2, N_BLOCKS).select(
         "summary", F.round(F.col("l_quantity").cast("double"), 6).alias("l_quantity")
     )
 
@@ -365,19 +400,18 @@ def block_summary(spark, sf_dir):
 
 def _price_band(block: int, piece: pd.DataFrame) -> pd.DataFrame:
     bands = pd.cut(piece["o_totalprice"], [-1, 100_000, 300_000, 1e12], labels=["low", "mid", "high"])
-    return pd.DataFrame(
-        {"block_id": block, "o_orderkey": piece["o_orderkey"], "band": bands.astype(str)}
-    )
+    named = bands.astype(object).where(bands.notna(), None)  # no price, no band
+    return pd.DataFrame({"block_id": block, "o_orderkey": piece["o_orderkey"], "band": named})
 
 
 @query(
     "block_map",
     f"WITH {_BLOCKED} SELECT block_id, o_orderkey, CASE WHEN o_totalprice <= 100000 THEN 'low' "
-    "WHEN o_totalprice <= 300000 THEN 'mid' ELSE 'high' END AS band FROM ob WHERE block_id < 3",
+    "WHEN o_totalprice <= 300000 THEN 'mid' WHEN o_totalprice > 300000 THEN 'high' END AS band FROM ob WHERE block_id < 3",
 )
 def block_map(spark, sf_dir):
     return L.block_map(
-        blocked_orders(spark, sf_dir), 3, _price_band, "block_id bigint, o_orderkey bigint, band string"
+        blocked_orders(spark, sf_dir), 3, _price_band, "block_id bigint, o_orderkey bigint, band string", N_BLOCKS
     )
 
 
@@ -392,6 +426,7 @@ def block_reduce(spark, sf_dir):
         3,
         F.count(F.lit(1)).alias("n_rows"),
         (F.max("o_totalprice") - F.min("o_totalprice")).alias("spread"),
+        n_blocks=N_BLOCKS,
     )
 
 

@@ -10,14 +10,21 @@ from blockmill.operators import enrich, evaluate, mining, sizing
 from blockmill.operators.blocks import random_blocks
 from blockmill.operators.mining import LocalItemsets, mine_blocks
 from blockmill.plans import sweeps
-from blockmill.plans.itemsets import full_itemsets, sampled_itemsets, sampled_local_itemsets
-from blockmill.runtime import store
+from blockmill.plans.itemsets import (
+    full_itemsets,
+    sampled_itemsets,
+    sampled_local_itemsets,
+    stored_itemsets,
+)
+from blockmill.runtime import scratch_path, store
+from blockmill.sources.writers import write_blocks
 from workload.fixtures import (
     N_BLOCKS,
     N_PICKED,
     SEED,
     SQL_VOTE,
     baskets,
+    blocked_baskets,
     blocked_lines,
     goods,
     lines_to_baskets,
@@ -53,6 +60,7 @@ def sampled(
         SUPPORT,
         prepare=lines_to_baskets(spark, sf_dir),
         m=m,
+        of_blocks=n,
     )
 
 
@@ -64,7 +72,7 @@ def all_baskets(spark: SparkSession, sf_dir: str, item: str = "p_brand") -> Data
 def picked_local(spark: SparkSession, sf_dir: str, rounding: str = "floor") -> LocalItemsets:
     """Local itemsets of the drawn blocks."""
     sample = lines_to_baskets(spark, sf_dir)(
-        random_blocks(blocked_lines(spark, sf_dir), N_PICKED, SEED)
+        random_blocks(blocked_lines(spark, sf_dir), N_PICKED, SEED, N_BLOCKS)
     )
     return mine_blocks(store(sample, "sample"), min_support=SUPPORT, rounding=rounding)
 
@@ -174,6 +182,14 @@ def sampled_fim(spark, sf_dir):
     return keyed(sampled(spark, sf_dir))
 
 
+@query("stored_fim", f"{_PICKED_LOCAL}, {SQL_VOTE} SELECT {sql_key()} AS items, freq FROM merged")
+def stored_fim(spark, sf_dir):
+    """The same from baskets stored by block, as a data lake would hold them."""
+    path = scratch_path(spark, "blocks")
+    write_blocks(blocked_baskets(spark, sf_dir), path)
+    return keyed(stored_itemsets(spark, path, N_PICKED, SUPPORT, SEED))
+
+
 def _sql_reblocked(m: int, picked: int = N_PICKED) -> str:
     return f"""{sql_picked(picked=picked).replace(' b AS (', ' kept AS (')},
  b AS (SELECT {sql_hash(SEED + 1, 'txn_id')} % {picked * m} AS block_id, txn_id, item FROM kept)"""
@@ -298,6 +314,7 @@ def sample_size_merged(spark, sf_dir):
         SUPPORT,
         prepare=lines_to_baskets(spark, sf_dir),
         m=5,
+        of_blocks=N_BLOCKS,
     )
     sizes = sizing.merged_sample_size(local, 20_000, (0.05, 0.005), 0.05)
     return sizes.withColumn("r_max", F.round("r_max", 6)).withColumn(
