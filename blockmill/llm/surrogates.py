@@ -29,13 +29,14 @@ TITLE_BEFORE = r"\b(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Monsieur|Madame|Mme|Señor|Se
 PATTERNS = {
     "mail": r"[\p{L}\p{N}._%+\-]+@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)+",
     "key": r"AKIA[0-9A-Z]{16}",
-    "secret": rf"(?<={SECRET_BEFORE})[0-9A-Za-z+/_\-]{{8,}}",
+    # The first look behind is quick and fails nearly everywhere.
+    "secret": rf"(?<=[=: \"'])(?<={SECRET_BEFORE})[0-9A-Za-z+/_\-]{{8,}}",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d.]*\d)",
     "card": r"(?<!\d)(?:\d{16}|\d{4}(?<sep>[ \-])\d{4}\k<sep>\d{4}\k<sep>\d{4}|3[47]\d{13})(?!\d)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?\b",
     "ssn": r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)",
     "phone": r"(?<![\d\p{L}])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4}(?!\d)|\+\d{8,15}(?!\d)",
-    "name": rf"(?<={TITLE_BEFORE})\p{{Lu}}\p{{L}}+(?:[ \-]\p{{Lu}}\p{{L}}+){{0,2}}",
+    "name": rf"(?=\p{{Lu}})(?<= )(?<={TITLE_BEFORE})\p{{Lu}}\p{{L}}+(?:[ \-]\p{{Lu}}\p{{L}}+){{0,2}}",
 }
 # Titles by gender, and syllables of the surrogates by script.
 FEMALE = r"(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra)\.? $"
@@ -51,13 +52,18 @@ SYLLABLES = {
 
 #: All of them; a text without a match of HINT has no match of this.
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-HINT = rf"[0-9@]|{SECRET_BEFORE}|{TITLE_BEFORE}"
+HINT = r"[0-9@=:]|\b[DFHMS](?:r|rs|s|iss|err|rau|onsieur|adame|me|eñor|eñora|ra)\.? "
 
 ROUNDS = 4
 #: Corrections kept in a map that goes to all tasks; more are joined instead.
 MAPPED_ROWS = 20_000
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
 def _hash(key: str, *parts: Column) -> Column:
     """Keyed hash as hex: the key is hashed in on both sides of the parts."""
     inner = F.sha2(F.concat_ws("\x1f", F.lit(key), *parts), 256)
@@ -88,26 +94,31 @@ def permuted_digits(key: str, kind: Column, digits: Column, attempt: Column) ->
 
         return swap
 
-    cut = F.floor(F.length(digits) / 2).cast("int")
-    state = F.array(F.substring(digits, F.lit(1), cut), F.substring(digits, cut + 1, F.length(digits)))
-    # transform over one element names the state, so that it is not worked out again for each use
+    def halves(d: Column) -> Column:
+        cut = F.floor(F.length(d) / 2).cast("int")
+        return F.array(F.substring(d, F.lit(1), cut), F.substring(d, cut + 1, F.length(d)))
+
+    state = _let(digits, halves)
     for n in range(ROUNDS):
-        state = F.transform(F.array(state), step(n)).getItem(0)
-    return F.concat(state.getItem(0), state.getItem(1))
+        state = _let(state, step(n))
+    return _let(state, lambda s: F.concat(s.getItem(0), s.getItem(1)))
 
 
 def _refilled(shape: Column, digits: Column) -> Column:
     """The text of ``shape`` with its digits replaced, in turn, by ``digits``."""
-    parts = F.split(shape, r"(?<=\d)|(?=\d)")
-    filled = F.aggregate(
-        parts,
-        F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
-        lambda s, p: F.when(
-            p.rlike(r"^\d$"),
-            F.struct(F.concat(s["out"], F.substr(digits, s["at"], F.lit(1))).alias("out"), (s["at"] + 1).alias("at")),
-        ).otherwise(F.struct(F.concat(s["out"], p).alias("out"), s["at"].alias("at"))),
-    )
-    return filled["out"]
+
+    def fill(new: Column) -> Column:
+        filled = F.aggregate(
+            F.split(shape, r"(?<=\d)|(?=\d)"),
+            F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
+            lambda s, p: F.when(
+                p.rlike(r"^\d$"),
+                F.struct(F.concat(s["out"], F.substr(new, s["at"], F.lit(1))).alias("out"), (s["at"] + 1).alias("at")),
+            ).otherwise(F.struct(F.concat(s["out"], p).alias("out"), s["at"].alias("at"))),
+        )
+        return filled["out"]
+
+    return _let(digits, fill)
 
 
 def _luhn_digit(digits: Column) -> Column:
@@ -149,21 +160,24 @@ def _syllables(hashed: Column, script: Column, count: int, start: int = 1) -> Co
 
 def _characters(hashed: Column, text: Column) -> Column:
     """Letters and digits replaced one by one, keeping case and hexadecimal digits."""
-    stream = F.concat(hashed, F.sha2(hashed, 256), F.sha2(F.reverse(hashed), 256), F.sha2(F.concat(hashed, hashed), 256))
-    is_hex = text.rlike("^[0-9a-f]+$")
-
-    def one(c: Column, i: Column) -> Column:
-        n = F.conv(F.substr(stream, F.pmod(i * 2, F.lit(254)) + 1, F.lit(2)), 16, 10).cast("int")
-        at = lambda letters: F.substr(F.lit(letters), F.pmod(n, F.lit(len(letters))) + 1, F.lit(1))
-        return (
-            F.when(is_hex, at("0123456789abcdef"))
-            .when(c.rlike("[A-Z]"), at("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-            .when(c.rlike("[a-z]"), at("abcdefghijklmnopqrstuvwxyz"))
-            .when(c.rlike("[0-9]"), at("0123456789"))
-            .otherwise(c)
-        )
+    more = F.concat(hashed, F.sha2(hashed, 256), F.sha2(F.reverse(hashed), 256), F.sha2(F.concat(hashed, hashed), 256))
+    kinds = F.when(text.rlike("^[0-9a-f]+$"), "x").otherwise("")
+
+    def replaced(told: Column) -> Column:
+        def one(c: Column, i: Column) -> Column:
+            n = F.conv(F.substr(told["stream"], F.pmod(i * 2, F.lit(254)) + 1, F.lit(2)), 16, 10).cast("int")
+            at = lambda letters: F.substr(F.lit(letters), F.pmod(n, F.lit(len(letters))) + 1, F.lit(1))
+            return (
+                F.when(told["kinds"] == "x", at("0123456789abcdef"))
+                .when(c.rlike("[A-Z]"), at("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+                .when(c.rlike("[a-z]"), at("abcdefghijklmnopqrstuvwxyz"))
+                .when(c.rlike("[0-9]"), at("0123456789"))
+                .otherwise(c)
+            )
 
-    return F.array_join(F.transform(F.split(text, ""), one), "")
+        return F.array_join(F.transform(F.split(text, ""), one), "")
+
+    return _let(F.struct(more.alias("stream"), kinds.alias("kinds")), replaced)
 
 
 def kind_of(before: Column, entity: Column) -> Column:
@@ -178,18 +192,27 @@ def kind_of(before: Column, entity: Column) -> Column:
 def surrogate(key: str, entity: Column, kind: Column, gender: Column, attempt: Column) -> Column:
     """The replacement of one entity; another one for each ``attempt``."""
     tries = attempt.cast("string")
-    hashed = _hash(key, kind, tries, entity)
-    script = _script_of(entity)
-    digits = F.regexp_replace(entity, r"\D", "")
-    permuted = permuted_digits(key, F.concat(kind, F.regexp_replace(entity, r"\d", "0")), digits, tries)
+    return _let(_hash(key, kind, tries, entity), lambda h: _surrogate(key, entity, kind, gender, tries, h))
+
 
-    # A card keeps its issuer's first digit and, if it had one, a valid check digit.
+def _card(key: str, entity: Column, digits: Column, tries: Column) -> Column:
+    """A card keeps its issuer's first digit and, if it had one, a valid check digit."""
     head, body = F.substring(digits, 1, 1), F.substring(digits, F.lit(2), F.length(digits) - 2)
+    own = F.substring(digits, F.length(digits), F.lit(1)).cast("int")
+
+    def with_last(inner: Column) -> Column:
+        moved = F.pmod(own + _number(_hash(key, F.lit("last"), tries, inner)), F.lit(10)).cast("string")
+        return F.concat(inner, F.when(_is_luhn(digits), _luhn_digit(inner)).otherwise(moved))
+
     inner = F.concat(head, permuted_digits(key, F.concat(F.lit("card"), head), body, tries))
-    last = F.when(_is_luhn(digits), _luhn_digit(inner)).otherwise(
-        F.pmod(F.substring(digits, F.length(digits), F.lit(1)).cast("int") + _number(_hash(key, F.lit("last"), tries, inner)), F.lit(10)).cast("string")
-    )
-    card = _refilled(entity, F.concat(inner, last))
+    return _refilled(entity, _let(inner, with_last))
+
+
+def _surrogate(key: str, entity: Column, kind: Column, gender: Column, tries: Column, hashed: Column) -> Column:
+    script = _script_of(entity)
+    digits = F.regexp_replace(entity, r"\D", "")
+    permuted = permuted_digits(key, F.concat(kind, F.regexp_replace(entity, r"\d", "0")), digits, tries)
+    card = _let(digits, lambda d: _card(key, entity, d, tries))
 
     # Country code and area stay: they are format, not identity.
     country = F.regexp_extract(entity, r"^(\+\d{1,3})(?=[ .\-(])", 1)
@@ -267,6 +290,12 @@ def mark_entities(docs: DataFrame, text: str = "text") -> DataFrame:
     return cut.withColumn("_found", F.transform(entities, told))
 
 
+def _occurrences(marked: DataFrame, *columns: Column) -> DataFrame:
+    """One row for each entity ``f``. An inner explode would add a filter on the
+    size of the array, below which all texts are cut a second time."""
+    return marked.select(*columns, F.explode_outer("_found").alias("f")).filter("f IS NOT NULL")
+
+
 def surrogate_table(marked: DataFrame, key: str) -> DataFrame:
     """``entity, kind, gender, attempt, surrogate, mixed`` of all distinct entities.
 
@@ -274,7 +303,7 @@ def surrogate_table(marked: DataFrame, key: str) -> DataFrame:
     corpus. ``gender`` is that of all occurrences that show one, null if they
     disagree; ``mixed`` if not every occurrence shows it.
     """
-    each = marked.select(F.explode("_found").alias("f")).select("f.*")
+    each = _occurrences(marked).select("f.*")
     known = each.groupBy("entity", "kind").agg(
         F.min("gender").alias("low"), F.max("gender").alias("high"), F.max(F.col("gender").isNull()).alias("bare")
     )
@@ -317,7 +346,7 @@ def replace_private(docs: DataFrame, key: str, text: str = "text", counted: str
     fixes = table.filter("attempt > 0 OR mixed").select("entity", "kind", "surrogate")
     same = [F.xxhash64(text).alias("_h1"), F.xxhash64(F.col(text), F.lit(1)).alias("_h2")]
     maps = (
-        marked.select(*same, F.explode("_found").alias("f"))
+        _occurrences(marked, *same)
         .select("_h1", "_h2", "f.entity", "f.kind").distinct()
         .join(fixes, ["entity", "kind"])
         .groupBy("_h1", "_h2")
