@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from blockmill.functions.itemsets import itemset_key
 from blockmill.operators import enrich, evaluate, mining, sizing
-from blockmill.operators.blocks import random_blocks
 from blockmill.operators.mining import LocalItemsets, mine_blocks
 from blockmill.plans import sweeps
 from blockmill.plans.itemsets import (
@@ -69,12 +68,9 @@ def all_baskets(spark: SparkSession, sf_dir: str, item: str = "p_brand") -> Data
     return store(baskets(spark, sf_dir, item), "baskets")
 
 
-def picked_local(spark: SparkSession, sf_dir: str, rounding: str = "floor") -> LocalItemsets:
-    """Local itemsets of the drawn blocks."""
-    sample = lines_to_baskets(spark, sf_dir)(
-        random_blocks(blocked_lines(spark, sf_dir), N_PICKED, SEED, N_BLOCKS)
-    )
-    return mine_blocks(store(sample, "sample"), min_support=SUPPORT, rounding=rounding)
+def every_local(spark: SparkSession, sf_dir: str, rounding: str = "floor") -> LocalItemsets:
+    """Local itemsets of all blocks."""
+    return mine_blocks(stored_baskets(spark, sf_dir), min_support=SUPPORT, rounding=rounding)
 
 
 _ALL_SETS = f"all_sets AS ({sql_subsets('base')})"
@@ -142,39 +138,40 @@ def itemset_key_query(spark, sf_dir):
 
 
 _PICKED_LOCAL = f"WITH {sql_picked()}, {sql_local()}"
-_PICKED_CEIL = f"WITH {sql_picked()}, {sql_local(_CEIL)}"
+_ALL_LOCAL = f"WITH {sql_blocked()}, {sql_local()}"
+_ALL_CEIL = f"WITH {sql_blocked()}, {sql_local(_CEIL)}"
 
 
-@query("go_vote_merge", f"{_PICKED_LOCAL}, {SQL_VOTE} SELECT {sql_key()} AS items, freq FROM merged")
+@query("go_vote_merge", f"{_ALL_LOCAL}, {SQL_VOTE} SELECT {sql_key()} AS items, freq FROM merged")
 def go_vote_merge(spark, sf_dir):
-    return keyed(mining.merge_half(picked_local(spark, sf_dir)))
+    return keyed(mining.merge_half(every_local(spark, sf_dir)))
 
 
 @query(
     "go_any_merge",
-    f"{_PICKED_LOCAL} SELECT {sql_key()} AS items, CAST(sum(freq) AS BIGINT) // count(*) AS freq "
+    f"{_ALL_LOCAL} SELECT {sql_key()} AS items, CAST(sum(freq) AS BIGINT) // count(*) AS freq "
     "FROM loc WHERE len(items) > 1 GROUP BY items",
 )
 def go_any_merge(spark, sf_dir):
-    return keyed(mining.merge_by_vote(picked_local(spark, sf_dir).itemsets, 1))
+    return keyed(mining.merge_by_vote(every_local(spark, sf_dir).itemsets, 1))
 
 
 @query(
     "go_sum_merge",
-    f"{_PICKED_LOCAL} SELECT {sql_key()} AS items, CAST(sum(freq) AS BIGINT) AS total, "
+    f"{_ALL_LOCAL} SELECT {sql_key()} AS items, CAST(sum(freq) AS BIGINT) AS total, "
     "count(*) AS votes FROM loc WHERE len(items) > 1 GROUP BY items",
 )
 def go_sum_merge(spark, sf_dir):
-    return keyed(mining.merge_sum(picked_local(spark, sf_dir).itemsets))
+    return keyed(mining.merge_sum(every_local(spark, sf_dir).itemsets))
 
 
 @query(
     "go_max_merge",
-    f"{_PICKED_LOCAL} SELECT {sql_key()} AS items, max(freq) AS freq FROM loc "
+    f"{_ALL_LOCAL} SELECT {sql_key()} AS items, max(freq) AS freq FROM loc "
     "WHERE len(items) > 1 GROUP BY items",
 )
 def go_max_merge(spark, sf_dir):
-    return keyed(mining.merge_max(picked_local(spark, sf_dir).itemsets))
+    return keyed(mining.merge_max(every_local(spark, sf_dir).itemsets))
 
 
 @query("sampled_fim", f"{_PICKED_LOCAL}, {SQL_VOTE} SELECT {sql_key()} AS items, freq FROM merged")
@@ -213,10 +210,10 @@ def scalable_fim(spark, sf_dir):
 
 @query(
     "itemset_support",
-    f"{_PICKED_LOCAL} SELECT block_id, {sql_key()} AS items, round(freq / n_rows, 6) AS support FROM loc",
+    f"{_ALL_LOCAL} SELECT block_id, {sql_key()} AS items, round(freq / n_rows, 6) AS support FROM loc",
 )
 def itemset_support(spark, sf_dir):
-    return keyed(picked_local(spark, sf_dir).with_support()).select(
+    return keyed(every_local(spark, sf_dir).with_support()).select(
         "block_id", "items", F.round("support", 6).alias("support")
     )
 
@@ -240,11 +237,11 @@ _BLOCK_RULES = _RULES.format(by="b.block_id, ", on="a.block_id = b.block_id AND
 
 @query(
     "rule_confidence_stats",
-    f"{_PICKED_CEIL}, {_BLOCK_RULES} SELECT n.block_id, round(avg(confidence), 6) AS avg_confidence, "
+    f"{_ALL_CEIL}, {_BLOCK_RULES} SELECT n.block_id, round(avg(confidence), 6) AS avg_confidence, "
     "count(confidence) AS n_rules FROM n LEFT JOIN rules USING (block_id) GROUP BY n.block_id",
 )
 def rule_confidence_stats(spark, sf_dir):
-    local = picked_local(spark, sf_dir, "ceil")
+    local = every_local(spark, sf_dir, "ceil")
     rules = mining.rules_from_itemsets(local.itemsets, MIN_CONFIDENCE, ["block_id"])
     return mining.confidence_stats(rules, local.blocks).withColumn(
         "avg_confidence", F.round("avg_confidence", 6)
@@ -265,15 +262,15 @@ _STATS = (
 )
 
 
-@query("r_max", f"{_PICKED_CEIL}, {_STATS} SELECT round(r_max, 6) AS r_max, round(r_max_multi, 6) AS r_max_multi FROM st")
+@query("r_max", f"{_ALL_CEIL}, {_STATS} SELECT round(r_max, 6) AS r_max, round(r_max_multi, 6) AS r_max_multi FROM st")
 def r_max(spark, sf_dir):
-    stats = sizing.itemset_stats(picked_local(spark, sf_dir, "ceil"))
+    stats = sizing.itemset_stats(every_local(spark, sf_dir, "ceil"))
     return stats.select(F.round("r_max", 6).alias("r_max"), F.round("r_max_multi", 6).alias("r_max_multi"))
 
 
-@query("itemset_universe", f"{_PICKED_CEIL}, {_STATS} SELECT n_itemsets, n_itemsets_multi FROM st")
+@query("itemset_universe", f"{_ALL_CEIL}, {_STATS} SELECT n_itemsets, n_itemsets_multi FROM st")
 def itemset_universe(spark, sf_dir):
-    return sizing.itemset_stats(picked_local(spark, sf_dir, "ceil")).select(
+    return sizing.itemset_stats(every_local(spark, sf_dir, "ceil")).select(
         "n_itemsets", "n_itemsets_multi"
     )
 
@@ -284,12 +281,12 @@ def _size_sql(r: str, n: str, eps: str, delta: str) -> str:
 
 @query(
     "sample_size",
-    f"{_PICKED_CEIL}, {_STATS} SELECT "
+    f"{_ALL_CEIL}, {_STATS} SELECT "
     f"round({_size_sql('r_max', 'n_itemsets', '0.05::DOUBLE', '0.01::DOUBLE')}, 6) AS size_all, "
     f"round({_size_sql('r_max_multi', 'n_itemsets_multi', '0.05::DOUBLE', '0.01::DOUBLE')}, 6) AS size_multi FROM st",
 )
 def sample_size(spark, sf_dir):
-    stats = sizing.itemset_stats(picked_local(spark, sf_dir, "ceil"))
+    stats = sizing.itemset_stats(every_local(spark, sf_dir, "ceil"))
     every = sizing.sample_size(F.col("r_max"), F.col("n_itemsets"), 0.05, 0.01)
     multi = sizing.sample_size(F.col("r_max_multi"), F.col("n_itemsets_multi"), 0.05, 0.01)
     return stats.select(F.round(every, 6).alias("size_all"), F.round(multi, 6).alias("size_multi"))
@@ -324,24 +321,24 @@ def sample_size_merged(spark, sf_dir):
 
 @query(
     "r_max_quantile",
-    f"""{_PICKED_CEIL}, p AS (SELECT n.block_id, coalesce(max(freq / loc.n_rows), 0) AS r
+    f"""{_ALL_CEIL}, p AS (SELECT n.block_id, coalesce(max(freq / loc.n_rows), 0) AS r
       FROM n LEFT JOIN loc USING (block_id) GROUP BY n.block_id),
     o AS (SELECT r, row_number() OVER (ORDER BY r) AS rn, count(*) OVER () AS c FROM p)
     SELECT round(r, 6) AS r_max FROM o WHERE rn = floor(0.95::DOUBLE * (c - 1)) + 1""",
 )
 def r_max_quantile(spark, sf_dir):
-    return sizing.r_max_quantile(picked_local(spark, sf_dir, "ceil")).select(
+    return sizing.r_max_quantile(every_local(spark, sf_dir, "ceil")).select(
         F.round("r_max", 6).alias("r_max")
     )
 
 
 @query(
     "merged_itemsets_desc",
-    f"{_PICKED_CEIL} SELECT {sql_key()} AS items, round(max(freq / n_rows), 6) AS support "
+    f"{_ALL_CEIL} SELECT {sql_key()} AS items, round(max(freq / n_rows), 6) AS support "
     "FROM loc GROUP BY items ORDER BY max(freq / n_rows) DESC, 1",
 )
 def merged_itemsets_desc(spark, sf_dir):
-    merged = keyed(sizing.merged_by_support(picked_local(spark, sf_dir, "ceil")))
+    merged = keyed(sizing.merged_by_support(every_local(spark, sf_dir, "ceil")))
     return merged.orderBy(F.desc("support"), "items").select(
         "items", F.round("support", 6).alias("support")
     )
@@ -354,7 +351,7 @@ _SETTINGS_SQL = ", ".join(f"({e}::DOUBLE, {d}::DOUBLE)" for e, d in _SETTINGS)
 
 @query(
     "eps_delta_sweep",
-    f"""WITH {sql_picked()}, {sql_local(_CEIL)}, {_STATS}, {_BLOCK_RULES},
+    f"""WITH {sql_blocked()}, {sql_local(_CEIL)}, {_STATS}, {_BLOCK_RULES},
     {_ALL_SETS}, exact AS (SELECT items FROM all_sets WHERE freq >=
       ceil((SELECT count(DISTINCT txn_id) FROM base) * 0.02::DOUBLE)),
     tp AS (SELECT count(*) AS c FROM s JOIN exact USING (items)),
@@ -367,7 +364,7 @@ _SETTINGS_SQL = ", ".join(f"({e}::DOUBLE, {d}::DOUBLE)" for e, d in _SETTINGS)
 def eps_delta_sweep(spark, sf_dir):
     exact = mining.exact_itemsets(mining.fit_exact(all_baskets(spark, sf_dir), SUPPORT), min_size=1)
     return sweeps.sweep_eps_delta(
-        picked_local(spark, sf_dir, "ceil"), exact, _SETTINGS, MIN_CONFIDENCE
+        every_local(spark, sf_dir, "ceil"), exact, _SETTINGS, MIN_CONFIDENCE
     )
 
 
@@ -480,7 +477,7 @@ def eval_sweep_support(spark, sf_dir):
 
 # --- enrichment ------------------------------------------------------------
 
-_ENRICH = f"""{_PICKED_LOCAL}, {SQL_VOTE}, {sql_goods()},
+_ENRICH = f"""{_ALL_LOCAL}, {SQL_VOTE}, {sql_goods()},
  e AS (SELECT {sql_key('merged.items')} AS fim, merged.freq,
    CAST(round(sum(coalesce(price, 0)) * 100) AS BIGINT) AS total_cents,
    list_sort(list(DISTINCT coalesce(type, '{enrich.UNKNOWN_TYPE}'))) AS kinds
@@ -491,12 +488,16 @@ _ENRICH = f"""{_PICKED_LOCAL}, {SQL_VOTE}, {sql_goods()},
 _REPORT_COLUMNS = "fim, support, total_cents, one_category, categories"
 
 
+def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return full_itemsets(stored_baskets(spark, sf_dir), SUPPORT)
+
+
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich.enrich_itemsets(sampled(spark, sf_dir), goods(spark, sf_dir))
+    return enrich.enrich_itemsets(merged(spark, sf_dir), goods(spark, sf_dir))
 
 
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich.itemset_report(sampled(spark, sf_dir), goods(spark, sf_dir), 10_000)
+    return enrich.itemset_report(merged(spark, sf_dir), goods(spark, sf_dir), 10_000)
 
 
 def in_cents(rows: DataFrame) -> DataFrame:
