@@ -52,6 +52,8 @@ OTHER_WORDS = frozenset(
     "share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond "
     "widget widgets toolbar pagination pager search masthead complementary contentinfo hidden skip".split()
 )
+#: Words that make the next one a statement about the surroundings.
+ABOUT = frozenset("has no not with without".split())
 #: Elements that are never dropped for what they are called.
 KEPT = frozenset("html body main article".split())
 _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -77,7 +79,9 @@ def _is_other(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         return False
     for name, value in attrs:
         if name in ("class", "id", "role") and value:
-            if any(w.lower() in OTHER_WORDS for w in _NAME_WORD.findall(value)):
+            words = [w.lower() for w in _NAME_WORD.findall(value)]
+            # "has-sidebar" speaks of another element.
+            if any(w in OTHER_WORDS and before not in ABOUT for before, w in zip(["", *words], words, strict=False)):
                 return True
         elif name == "hidden" or name == "aria-hidden" and value == "true":
             return True

@@ -72,6 +72,7 @@ def test_without_article_element():
     [
         (None, ""), ("", ""), ("<p>", ""), ("plain &lt;text&gt;  here", "plain <text> here"), ("<div><p>a<p>b</div></p>c", "a\nb\nc"),
         ("<article>A<br>b<!-- no --><table><tr><td>1<td>2</table><aside>x</aside></article>", "A b\n1 2"),
+        ("<div class='page has-sidebar no-menu'><p>a<p>b</div><div class='side sidebar'>c</div>", "a\nb"),
         ("<nav>only a menu</nav>", ""), ("text<div class=", "text"), ("<article><div>" * 3000 + "deep", "deep"),
     ],
 )
