@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
+import uuid
+import zlib
 from collections.abc import Iterator
 from itertools import pairwise
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +30,24 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit(""))
 
 
+class Compressed:
+    """A model made small for a broadcast; opened once per Python worker."""
+
+    _open: ClassVar[dict[str, object]] = {}
+
+    def __init__(self, value: object):
+        self._name = uuid.uuid4().hex
+        self._data = zlib.compress(pickle.dumps(value, protocol=5), 1)
+
+    def open(self):
+        known = Compressed._open
+        if self._name not in known:
+            if len(known) >= 2:
+                known.clear()
+            known[self._name] = pickle.loads(zlib.decompress(self._data))
+        return known[self._name]
+
+
 def slices(batch: pa.RecordBatch, text: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """A record batch in consecutive parts of about ``size`` bytes of text each,
     one row at least."""
@@ -86,4 +108,4 @@ def connected(edges: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["connected", "slices", "store", "table", "text_of"]
+__all__ = ["Compressed", "connected", "slices", "store", "table", "text_of"]
