@@ -38,7 +38,7 @@ BLOCK_ITEMS = 8
 #: each of which all texts are held against.
 INDEX_WORDS = 5_000_000
 #: Words of text looked at together by a task.
-BATCH_WORDS = 400_000
+BATCH_WORDS = 100_000
 
 _WORD = re.compile(r"\w+")
 _SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
@@ -80,6 +80,7 @@ class BenchmarkIndex:
         self.parts = [tuple(shingles(words_of(p)) for p in split_item(t)) for _, t in items]
         counts = [Counter(words_of(t)) for _, t in items]
         self.longest = max(sum(c.values()) for c in counts)
+        self.words = sum(sum(c.values()) for c in counts)
         self.terms = {t: n for n, t in enumerate(sorted(set().union(*counts)))}
         self.weights: list[dict[int, float]] = []
         for c in counts:
@@ -127,6 +128,8 @@ class BenchmarkIndex:
     def find(self, texts: list[list[str]]) -> list[dict[int, tuple[float, float, float]]]:
         """For each text ``{item number: (score, question share, answer share)}``."""
         found: list[dict[int, tuple[float, float, float]]] = [{} for _ in texts]
+        if not texts:
+            return found
         step, get = self.longest, self.terms.get
         sizes = np.array([len(w) for w in texts], dtype=np.int64)
         terms = np.fromiter((get(w, -1) for words in texts for w in words), dtype=np.int64, count=int(sizes.sum()))
@@ -187,12 +190,30 @@ def build_indexes(items: DataFrame, id: str = "item_id", text: str = "text") ->
     return indexes
 
 
+def _together(indexes: list[BenchmarkIndex]) -> list[list[BenchmarkIndex]]:
+    """Indexes that a text is held against in one pass: ``INDEX_WORDS`` words at most."""
+    groups, size = [], INDEX_WORDS
+    for index in indexes:
+        if size + index.words > INDEX_WORDS or not groups:
+            groups.append([])
+            size = 0
+        groups[-1].append(index)
+        size += index.words
+    return groups
+
+
 def _finder(shared):
-    """The column function of one index; texts are taken a bounded number of words at a time."""
+    """The column function of some indexes; texts are taken a bounded number of words at a time."""
 
     @F.pandas_udf(FOUND)
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = shared.value
+
+        def find_all(texts: list[list[str]]) -> list[list[dict]]:
+            found = [(index, index.find(texts)) for index in shared.value]
+            return [
+                [_told(index.ids[i], *f) for index, x in found for i, f in sorted(x[n].items())] for n in range(len(texts))
+            ]
+
         for texts in batches:
             out, waiting, size = [], [], 0
             for t in texts:
@@ -200,10 +221,10 @@ def _finder(shared):
                 waiting.append(words)
                 size += len(words)
                 if size >= BATCH_WORDS:
-                    out += own.find(waiting)
+                    out += find_all(waiting)
                     waiting, size = [], 0
-            out += own.find(waiting) if waiting else []
-            yield pd.Series([[_told(own.ids[i], *f) for i, f in sorted(x.items())] for x in out], dtype=object)
+            out += find_all(waiting)
+            yield pd.Series(out, dtype=object)
 
     return find
 
@@ -216,7 +237,7 @@ def leaked_items(text: Column | str, indexes: list[BenchmarkIndex]) -> Column:
     """Items found in a text, with their best scores, by item id; an empty array
     where there are none. One row in, one row out; nothing is shuffled."""
     context = SparkSession.active().sparkContext
-    columns = [_finder(context.broadcast(index))(text_of(text)) for index in indexes]
+    columns = [_finder(context.broadcast(some))(text_of(text)) for some in _together(indexes)]
     if not columns:
         return F.array().cast(FOUND)
     return F.array_sort(F.concat(*columns))
