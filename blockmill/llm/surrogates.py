@@ -6,7 +6,9 @@ length (a Feistel network over the two halves), so different numbers of one kind
 and format never meet. Letters are replaced from a keyed hash: words of a name or
 of a mail address become syllables in the script and the letter case they came in,
 first names of a gender one of that gender. Equal entities get equal surrogates in
-all documents, so references stay intact; whether two different entities got the
+all documents, so references stay intact. Names are found after titles; in the same
+document they are also replaced where they, or words of them, come without one.
+Whether two different entities got the
 same surrogate, or one that is itself in the corpus, is checked over all distinct
 entities, and those that did are keyed again until none is left.
 
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from blockmill.llm.tables import store, text_of
 
 # What stands before a secret and before a name.
-SECRET_BEFORE = r"""(?:password|passwd|pwd|token|secret|api_key|apikey)(?: ?[=:] ?)["']?"""
-TITLE_BEFORE = r"\b(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra)\.? "
+SECRET_BEFORE = r"""(?i:password|passwd|pwd|token|secret|api_key|apikey)(?: ?[=:] ?)["']?"""
+TITLE_BEFORE = r"\b(?iu:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra)\.? "
 # The patterns of the entities, first match in this order.
 PATTERNS = {
     "mail": r"[\p{L}\p{N}._%+\-]+@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)+",
@@ -39,8 +41,8 @@ PATTERNS = {
     "name": rf"(?=\p{{Lu}})(?<= )(?<={TITLE_BEFORE})\p{{Lu}}\p{{L}}+(?:[ \-]\p{{Lu}}\p{{L}}+){{0,2}}",
 }
 # Titles by gender, and syllables of the surrogates by script.
-FEMALE = r"(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra)\.? $"
-MALE = r"(?:Mr|Herr|Monsieur|Señor|Sr)\.? $"
+FEMALE = r"(?iu:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra)\.? $"
+MALE = r"(?iu:Mr|Herr|Monsieur|Señor|Sr)\.? $"
 FEMALE_NAMES = "Anna Clara Elena Emma Ida Julia Laura Lena Maria Nora Paula Rosa Sara Sofia Vera Zoe".split()
 MALE_NAMES = "Adam Bruno Carl David Emil Felix Hugo Ivan Jonas Leo Martin Oscar Paul Simon Tomas Viktor".split()
 ANY_NAMES = "Alex Andrea Charlie Dominique Eli Jamie Jo Kim Lee Lou Max Morgan Noa Robin Sam Sascha".split()
@@ -52,7 +54,7 @@ SYLLABLES = {
 
 #: All of them; a text without a match of HINT has no match of this.
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-HINT = r"[0-9@=:]|\b[DFHMS](?:r|rs|s|iss|err|rau|onsieur|adame|me|eñor|eñora|ra)\.? "
+HINT = r"[0-9@=:]|AKIA|\b(?iu:[DFHMS])(?iu:r|rs|s|iss|err|rau|onsieur|adame|me|eñor|eñora|ra)\.? "
 
 ROUNDS = 4
 #: Corrections kept in a map that goes to all tasks; more are joined instead.
@@ -244,7 +246,7 @@ def _surrogate(key: str, entity: Column, kind: Column, gender: Column, tries: Co
     # First names and family names have surrogates of their own, so that a family
     # name alone still refers to the same person.
     words = F.split(entity, r"[ \-]")
-    given = _hash(key, F.lit("given"), tries, F.get(words, F.lit(0)))
+    given = _hash(key, F.lit("given"), tries, F.lower(F.get(words, F.lit(0))))
     chosen = _number(given, 1, 8)
     first = (
         F.when((script == "latin") & (gender == "f"), _pick(FEMALE_NAMES, chosen))
@@ -252,13 +254,14 @@ def _surrogate(key: str, entity: Column, kind: Column, gender: Column, tries: Co
         .when(script == "latin", _pick(ANY_NAMES, chosen))
         .otherwise(F.initcap(_syllables(given, script, 2)))
     )
-    family = F.initcap(_syllables(_hash(key, F.lit("family"), tries, F.element_at(words, -1)), script, 4))
+    family = F.initcap(_syllables(_hash(key, F.lit("family"), tries, F.lower(F.element_at(words, -1))), script, 4))
     middle = F.initcap(_syllables(given, script, 2, 41))
     name = (
         F.when(F.size(words) == 1, family)
         .when(F.size(words) == 2, F.concat(first, F.regexp_extract(entity, r"([ \-])", 1), family))
         .otherwise(F.concat_ws(" ", first, middle, family))
     )
+    name = F.when(entity == F.upper(entity), F.upper(name)).otherwise(name)
 
     return (
         F.when(kind == "mail", mail)
@@ -333,6 +336,48 @@ def surrogate_table(marked: DataFrame, key: str) -> DataFrame:
         )
 
 
+def _name_parts(entity: Column, new: Column) -> Column:
+    """``(w, s)``: a name and each of its words, in every letter case, and what stands for it."""
+    words = F.zip_with(F.split(entity, r"[ \-]"), F.split(new, r"[ \-]"), lambda w, s: F.struct(w.alias("w"), s.alias("s")))
+    pairs = F.concat(F.array(F.struct(entity.alias("w"), new.alias("s"))), words)
+    same = lambda x: x
+    return F.flatten(
+        F.transform(pairs, lambda p: F.array(*[F.struct(f(p["w"]).alias("w"), f(p["s"]).alias("s")) for f in (same, F.upper, F.initcap)]))
+    )
+
+
+def _renamed(gap: Column, parts: Column, pattern: Column) -> Column:
+    """``(text, n)``: a gap with the names replaced that recur in it, and how many."""
+
+    def put(hits: Column) -> Column:
+        new = F.transform(hits, lambda x: F.filter(parts, lambda p: p["w"] == x).getItem(0)["s"])
+        pieces = F.zip_with(F.split(gap, pattern, -1), F.concat(new, F.array(F.lit(""))), lambda g, s: F.concat(g, s))
+        return F.struct(F.array_join(pieces, "").alias("text"), F.size(hits).alias("n"))
+
+    return _let(F.regexp_extract_all(gap, pattern, F.lit(0)), put)
+
+
+def with_recurrences(gaps: Column, found: Column, replaced: Column) -> Column:
+    """The gaps, ``(text, n)`` each, with the names among ``found`` replaced where
+    they, or one of their words, recur without a title."""
+    names = F.filter(
+        F.zip_with(found, replaced, lambda f, s: F.struct(f["entity"].alias("w"), f["kind"].alias("kind"), s.alias("s"))),
+        lambda n: n["kind"] == "name",
+    )
+    # Longer ones first, so that a whole name goes before its words.
+    parts = F.array_sort(
+        F.array_distinct(F.flatten(F.transform(names, lambda n: _name_parts(n["w"], n["s"])))),
+        lambda a, b: F.length(b["w"]) - F.length(a["w"]),
+    )
+
+    def rename(told: Column) -> Column:
+        pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.transform(told, lambda p: p["w"]), "|"), F.lit(r")(?!\p{L})"))
+        return _let(F.struct(told.alias("parts"), pattern.alias("pattern")), lambda t: F.transform(gaps, lambda g: _renamed(g, t["parts"], t["pattern"])))
+
+    bare = F.transform(gaps, lambda g: F.struct(g.alias("text"), F.lit(0).alias("n")))
+    return F.when(F.exists(found, lambda f: f["kind"] == "name"), _let(parts, rename)).otherwise(bare)
+
+
 def replace_private(docs: DataFrame, key: str, text: str = "text", counted: str | None = "n_replaced") -> DataFrame:
     """Replace all personal data in ``text``; add their number as ``counted``.
 
@@ -365,8 +410,19 @@ def replace_private(docs: DataFrame, key: str, text: str = "text", counted: str
             surrogate(key, f["entity"], f["kind"], f["gender"], F.lit(0)),
         ),
     )
-    whole = F.array_join(F.zip_with("_gaps", F.concat(replaced, F.array(F.lit(""))), lambda g, s: F.concat(g, s)), "")
-    done = ready.withColumn(text, F.when(F.size("_found") > 0, whole).otherwise(F.col(text)))
+
+    def told(new: Column) -> Column:
+        gaps = with_recurrences(F.col("_gaps"), F.col("_found"), new)
+        return _let(
+            gaps,
+            lambda gaps: F.struct(
+                F.array_join(F.zip_with(gaps, F.concat(new, F.array(F.lit(""))), lambda g, s: F.concat(g["text"], s)), "").alias("text"),
+                F.aggregate(gaps, F.size(new), lambda n, g: n + g["n"]).alias("n"),
+            ),
+        )
+
+    done = ready.withColumn("_done", F.when(F.size("_found") > 0, _let(replaced, told)))
+    done = done.withColumn(text, F.when(F.col("_done").isNotNull(), F.col("_done.text")).otherwise(F.col(text)))
     if counted:
-        done = done.withColumn(counted, F.size("_found"))
-    return done.drop("_gaps", "_found", "_fixes", "_h1", "_h2")
+        done = done.withColumn(counted, F.coalesce(F.col("_done.n"), F.lit(0)))
+    return done.drop("_gaps", "_found", "_fixes", "_h1", "_h2", "_done")
