@@ -27,7 +27,17 @@ VERSION = "WARC/1.1"
 #: Given to responses without a date of their own.
 CAPTURED = "2024-01-01T00:00:00Z"
 
-_UNSEEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|head|template|noscript|svg)\b[^>]*>.*?(?:</\1\s*>|$)", re.I | re.S)
+# Only comments, scripts and styles run to the end of a page that doesn't close them.
+_UNSEEN = re.compile(
+    r"<!--.*?(?:-->|$)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|$)|<svg\b[^>]*/>|<(template|noscript|svg)\b[^>]*>.*?</\2\s*>",
+    re.I | re.S,
+)
+# A head ends at its closing tag, else before the first thing that cannot be in one.
+_HEAD = re.compile(
+    r"<head\b[^>]*>(?:(?:(?!<body\b).)*?</head\s*>|"
+    r"(?:\s+|<title\b[^>]*>.*?</title\s*>|</?(?:base|basefont|bgsound|link|meta|noscript|template|title)\b[^>]*>)*)",
+    re.I | re.S,
+)
 _LINE_ENDS = re.compile(
     r"</?(?:address|article|aside|blockquote|body|br|caption|center|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|"
     r"h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)\b[^>]*>",
@@ -39,7 +49,7 @@ _TAGS = re.compile(r"</?[a-zA-Z][^>]*>|<[!?][^>]*>")
 def plain_text(page: str | None) -> str:
     """Text of a whole page: no scripts, styles, head or comments, one line per
     block, character references decoded, white space within a line made one space."""
-    marked = _TAGS.sub("", _LINE_ENDS.sub("\n", re.sub(r"\s+", " ", _UNSEEN.sub(" ", page or ""))))
+    marked = _TAGS.sub("", _LINE_ENDS.sub("\n", re.sub(r"\s+", " ", _HEAD.sub(" ", _UNSEEN.sub(" ", page or "")))))
     lines = (" ".join(html.unescape(line).split()) for line in marked.split("\n"))
     return "\n".join(line for line in lines if line)
 

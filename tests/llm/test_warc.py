@@ -53,6 +53,18 @@ def test_plain_text():
     assert warc.plain_text(None) == warc.plain_text("") == ""
 
 
+def test_plain_text_of_elements_left_open():
+    head = "<html><head><meta charset=utf-8><title>t <b> u</title><script>'</head><p>'</script><link rel=x>"
+    for start in ("<body class=a>", "", "<BODY>"):
+        assert warc.plain_text(f"{head}{start}<p>seen</p><div>too") == "seen\ntoo"
+        assert warc.plain_text(f"{head}</head>{start}<p>seen</p><div>too") == "seen\ntoo"
+    assert warc.plain_text(f"{head}seen <p>too") == "seen\ntoo"
+    assert warc.plain_text("<header>a</header><p>b") == "a\nb"
+    assert warc.plain_text("<p>a<svg width=1 />b</p>c<svg><text>x</text></svg>d") == "ab\nc d".replace("ab", "a b")
+    assert warc.plain_text("<p>a<template>b<noscript>c") == "abc"
+    assert warc.plain_text("<p>a<script>b</p>c") == "a"
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None), (1, None, None), (2, "http://a\r\nWARC-Type: x", ""), (None, "u", "p")]
     df = spark.createDataFrame([(*r, "old") for r in rows], "page_id long, url string, html string, header string")
