@@ -9,7 +9,8 @@ weight in each block: a passage skips every block whose maxima cannot add up to
 the threshold. Terms that occur in many items are left out of that sum altogether
 and answered for by lowering the threshold by the most they can contribute to any
 item. What is left is scored exactly, then checked word by word: enough of the
-question's word shingles and of the answer's have to be in the passage.
+word shingles of the whole item, or of its question and of its answer where they
+stand apart, have to be in the passage.
 """
 
 from __future__ import annotations
@@ -30,9 +31,12 @@ K1, B = 1.2, 0.75
 SCORE = 0.6
 #: Most of any item's own score that frequent terms may make up together.
 FREQUENT = 0.3
-#: Share of the shingles of the question, and of the answer, to be found.
+#: Share of the shingles of the item, or of question and answer each, to be found.
 OVERLAP = 0.8
 SHINGLE = 5
+#: Shorter answers, of which one changed word can take over a fifth of the shingles,
+#: are also judged by their words.
+SHORT_WORDS = 29
 BLOCK_ITEMS = 8
 #: Words of an index that is broadcast, at most; more items make more indexes,
 #: each of which all texts are held against.
@@ -78,6 +82,8 @@ class BenchmarkIndex:
         items = sorted(items, key=lambda x: (x[1], x[0]))
         self.ids = [i for i, _ in items]
         self.parts = [tuple(shingles(words_of(p)) for p in split_item(t)) for _, t in items]
+        self.whole = [shingles(words_of(t)) for _, t in items]
+        self.short = [{(w,) for w in a} if len(a) < SHORT_WORDS else set() for a in (words_of(split_item(t)[1]) for _, t in items)]
         counts = [Counter(words_of(t)) for _, t in items]
         self.longest = max(sum(c.values()) for c in counts)
         self.words = sum(sum(c.values()) for c in counts)
@@ -161,7 +167,9 @@ class BenchmarkIndex:
             if score < SCORE - 1e-9:
                 continue
             question, answer = (_share(part, words) for part in self.parts[i])
-            if min(question, answer) >= OVERLAP:
+            if self.short[i]:
+                answer = max(answer, _share(self.short[i], words))
+            if min(question, answer) >= OVERLAP or _share(self.whole[i], words) >= OVERLAP:
                 found[i] = max(found.get(i, (0.0, 0.0, 0.0)), (score, question, answer))
 
 

@@ -71,6 +71,24 @@ def test_bound_never_loses_a_score():
         assert {i: s for i, (s, _, _) in found.items()} == pytest.approx(want)
 
 
+@pytest.mark.parametrize("answer_words", [3, 4, 8, 20])
+def test_one_word_changed_in_the_last_sentence(spark, answer_words):
+    rng = random.Random(answer_words)
+    text = lambda n: [f"q{rng.randint(0, 5000)}" for _ in range(n)]
+    items, docs = [], []
+    for i in range(20):
+        question, answer = text(60 - answer_words), text(answer_words)
+        items.append((i, " ".join(question).capitalize() + ". " + " ".join(answer).capitalize() + "."))
+        changed = list(answer)
+        changed[rng.randrange(answer_words)] = "changed"
+        docs.append((i, " ".join([*text(40), *question, *changed, *text(40)])))
+        # Half of an item is none.
+        docs.append((100 + i, " ".join([*text(40), *question[: len(question) // 2], *answer, *text(40)])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = dec.find_leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(i, i) for i in range(20)]
+
+
 def test_toxicity_on_held_out_rows(spark):
     data = DATA.replace("sf0.001", "sf0.01")
     got = {r.doc_id: r for r in queries.op7_toxicity(spark, data).collect()}
