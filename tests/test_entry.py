@@ -1,6 +1,10 @@
 """Every registered query against its SQL, and what its plan must not hold."""
 
 import math
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -43,6 +47,20 @@ def test_flagship(spark):
     assert entry.entry(spark).count() > 0
 
 
+@pytest.mark.parametrize("gone", [["blockmill/llm", "tests/llm"], ["blockmill/llm", "tests/llm", "corpus_pipeline.py"]])
+def test_the_rest_works_without_the_optional_part(tmp_path, gone):
+    root = Path(entry.__file__).parent
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=lambda folder, names: [
+        n for n in names
+        if n in (".git", "__pycache__", ".pytest_cache") or str((Path(folder) / n).relative_to(root)) in gone
+    ])
+    code = "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') for n in e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, check=True).stdout
+    rest = [n for n in entry.queries() if n != "pipeline" and not (n.startswith("op") and n[2].isdigit())]
+    assert out.split() == [str(len(rest)), "False"]
+
+
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query(spark, duck, name):
     got = entry.queries()[name](spark, DATA)
