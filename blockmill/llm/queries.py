@@ -6,7 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockmill.llm import bpe, decontamination, density, passages, pivots, simhash, surrogates, toxicity, urls, warc
+from blockmill.llm import (
+    bpe,
+    decontamination,
+    density,
+    infill,
+    passages,
+    pivots,
+    simhash,
+    surrogates,
+    toxicity,
+    urls,
+    warc,
+)
 from blockmill.llm.tables import table
 from workload.registry import query
 
@@ -133,3 +145,37 @@ def op9_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     found = pages.select("page_id", "url", density.main_texts("html").alias("text"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query(
+    "op12_infill",
+    r"""
+    WITH d AS (
+      SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents
+    ), u AS (
+      SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS units,
+        ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2,
+        ('0x' || x[17:24])::BIGINT AS h3, ('0x' || x[25:32])::BIGINT AS h4
+      FROM d
+    ), c AS (
+      SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a,
+        greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100
+          THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+      FROM u
+    ), p AS (
+      SELECT doc_id, t, n, form, array_to_string(units[1:a], '') AS prefix,
+        array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:n], '') AS suffix
+      FROM c
+    )
+    SELECT doc_id, n, form,
+      CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+      CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+      sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+      sha256(t) AS restored_sha256
+    FROM p
+    """,
+)
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.example_digests(table(spark, sf_dir, "documents"))
