@@ -10,6 +10,7 @@ from blockmill.llm import (
     bpe,
     decontamination,
     density,
+    dialogues,
     infill,
     passages,
     pivots,
@@ -179,3 +180,8 @@ def op9_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.example_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op13_dialogues")
+def op13_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogues.audit_damaged(table(spark, sf_dir, "conversations"))
