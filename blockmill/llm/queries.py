@@ -12,6 +12,7 @@ from blockmill.llm import (
     density,
     dialogues,
     infill,
+    mixing,
     passages,
     pivots,
     simhash,
@@ -185,3 +186,56 @@ def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_dialogues")
 def op13_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogues.audit_damaged(table(spark, sf_dir, "conversations"))
+
+
+@query(
+    "op11_mixing",
+    r"""
+    WITH d AS (
+      SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+        md5(coalesce(doc_id::VARCHAR, '-') || ':' || md5(coalesce(text, ''))) AS place
+      FROM documents
+    ), s AS (
+      SELECT source, sum(size)::BIGINT AS w, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank
+      FROM d GROUP BY source
+    ), a AS (
+      SELECT list({'w': (rank % 3 + 1)::DOUBLE, 'most': (3 * w)::DOUBLE}) AS l, sum(w)::DOUBLE AS total FROM s
+    ), t AS (
+      SELECT list_reduce(list_concat([0::DOUBLE], list_transform(range(0, len(l) + 1), lambda i: 0::DOUBLE)),
+        lambda v, i: coalesce((total - coalesce(list_sum([s.most for s in l if s.w * v > s.most]), 0))
+          / nullif(coalesce(list_sum([s.w for s in l if s.w * v <= s.most]), 0), 0), v)) AS level
+      FROM a
+    ), g AS (
+      SELECT source, rank, w, least((3 * w)::DOUBLE, (rank % 3 + 1)::DOUBLE * level) AS target,
+        least(1024, greatest(1, w // 256)) AS block
+      FROM s, t
+    ), q AS (
+      SELECT *, ((w + block - 1) // block)::BIGINT AS blocks,
+        CASE WHEN w > 0 THEN floor(target / w)::BIGINT ELSE 0 END AS passes FROM g
+    ), r AS (
+      SELECT *, least(blocks, floor((target - passes * w) / block + 0.5))::BIGINT AS extra FROM q
+    ), e AS (
+      SELECT rank, list_reduce(list_concat([k], range(0, 32)), lambda x, i: CASE
+          WHEN md5('bit:' || rank || ':' || passes || ':' || i || ':' || greatest(x,
+            (('0x' || md5('key:' || rank || ':' || passes || ':' || i)[1:12])::BIGINT % blocks - x + blocks) % blocks
+          ))[1:1] < '8' THEN x
+          ELSE (('0x' || md5('key:' || rank || ':' || passes || ':' || i)[1:12])::BIGINT % blocks - x + blocks) % blocks
+        END) AS number
+      FROM (SELECT *, unnest(range(0, extra)) AS k FROM r)
+    ), p AS (
+      SELECT d.doc_id, d.size, r.*,
+        (sum(size) OVER (PARTITION BY rank ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT - size AS start,
+        row_number() OVER () AS row_id
+      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+    ), c AS (
+      SELECT *, unnest(range(start // block, (start + size - 1) // block + 1)) AS number FROM p WHERE size > 0
+    ), x AS (
+      SELECT c.row_id, sum((least(start + size, (c.number + 1) * block) - greatest(start, c.number * block))
+        * (passes + (e.rank IS NOT NULL)::INT))::BIGINT AS taken
+      FROM c LEFT JOIN e ON c.rank = e.rank AND c.number = e.number GROUP BY c.row_id
+    )
+    SELECT doc_id, size, w AS source_size, target, coalesce(taken, 0) AS taken FROM p LEFT JOIN x USING (row_id)
+    """,
+)
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digest(table(spark, sf_dir, "documents"))
