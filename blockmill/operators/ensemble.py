@@ -8,17 +8,18 @@ signatures and not with the rows.
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.linalg import Vectors
-from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockmill.functions.vectors import majority
-from blockmill.operators.blocks import blocks_at
-from blockmill.operators.learn import block_kmeans, with_predictions
+from blockmill.operators import lloyd
+from blockmill.operators.blocks import BLOCK, blocks_at
+from blockmill.operators.subspace import leading_vectors
+from blockmill.runtime import store
+
+
+#: Most centres of all clusterings together that are grouped; a setting, not data.
+MAX_CENTRES = 2_000
 
 
 def signatures(clusterings: DataFrame) -> DataFrame:
@@ -132,27 +133,25 @@ def ncut_matrix(clusterings: DataFrame, n_clusterings: int, k: int) -> DataFrame
 
 def ncut_centre_labels(
     clusterings: DataFrame, n_clusterings: int, k: int, k_final: int, keep_first: bool = True, seed: int = 42
-) -> list[list[int]]:
-    """Final cluster of every (clustering, cluster), by the top singular vectors.
-
-    Works on the (H k) x (H k) matrix, whose size is fixed by the parameters.
-    """
-    size = n_clusterings * k
-    dense = np.zeros((size, size))
-    for i, j, value in ncut_matrix(clusterings, n_clusterings, k).collect():
-        dense[i, j] = value
-    spark = clusterings.sparkSession
-    rows = spark.sparkContext.parallelize([OldVectors.dense(row) for row in dense])
-    wanted = min(size, k_final if keep_first else k_final + 1)
-    vectors = RowMatrix(rows).computeSVD(wanted).V.toArray()
-    if not keep_first:
-        vectors = vectors[:, 1:]
-    points = spark.createDataFrame(
-        [(c, Vectors.dense(row)) for c, row in enumerate(vectors)], ["col", "features"]
+) -> DataFrame:
+    """(col, label): the final cluster of every column h k + c, by the leading vectors
+    of the cut matrix, whose size is fixed by the parameters."""
+    if n_clusterings * k > MAX_CENTRES:
+        raise ValueError(f"{n_clusterings * k} centres; at most {MAX_CENTRES} are grouped")
+    cells = ncut_matrix(clusterings, n_clusterings, k)
+    g = F.lit(0).cast("bigint").alias("g")
+    # Sums of roots differ in the last digits from run to run.
+    entries = cells.select(g, F.col("col_i").alias("i"), F.col("col_j").alias("j"), F.round("value", 12).alias("w"))
+    nodes = clusterings.sparkSession.range(n_clusterings * k).select(g, F.col("id").alias("i"))
+    wanted = min(n_clusterings * k, k_final if keep_first else k_final + 1)
+    vectors, _ = leading_vectors(entries, nodes, wanted)
+    used = F.col("vec") if keep_first else F.slice("vec", 2, wanted)
+    rows = store(vectors.select("g", F.col("i").alias("id"), used.alias("vec")), "cut")
+    centres = lloyd.kmeans(rows, k_final, group="g", seed=seed, start="spread")
+    labelled = store(lloyd.with_own_label(rows, centres, "g").select("g", "id", "prediction"), "cut-labels")
+    return lloyd.by_smallest_member(labelled, "prediction", "g").select(
+        F.col("id").alias("col"), F.col("prediction").alias("label")
     )
-    model = KMeans(k=k_final, seed=seed).fit(points)
-    flat = dict(model.transform(points).select("col", "prediction").collect())
-    return [[flat[h * k + c] for c in range(k)] for h in range(n_clusterings)]
 
 
 def ensemble_ncut(
@@ -166,22 +165,17 @@ def ensemble_ncut(
 ) -> DataFrame:
     """(id, label): block k-means models combined by a bipartite normalised cut.
 
-    ``df`` has block_id, id and features. The models of ``train_ids`` cluster
-    the rows of ``test_ids``; the cut groups their centres; every row of ``df``
-    then takes the majority of its nearest centres' groups, one per model.
+    ``df`` has block_id, id and vec. The models of ``train_ids`` cluster the rows
+    of ``test_ids``; the cut groups their centres; every row of ``df`` then takes
+    the majority of its nearest centres' groups, one per model. Equal calls give
+    equal labels.
     """
-    models = block_kmeans(df, train_ids, k, seed=seed)
-    names = [f"p{b}" for b in models]
-    test = with_predictions(blocks_at(df, test_ids), models).select(
-        "id", F.array(*names).alias("labels")
-    )
-    groups = ncut_centre_labels(test, len(models), k, k_final, keep_first, seed)
-    votes = F.array(
-        *(
-            F.get(F.array(*map(F.lit, groups[h])), F.col(name))
-            for h, name in enumerate(names)
-        )
-    )
-    return with_predictions(df.select("id", "features"), models).select(
-        "id", majority(votes).alias("label")
-    )
+    models = store(lloyd.kmeans(blocks_at(df, train_ids), k, seed=seed, start="spread"), "models")
+    n_models = models.select(BLOCK).distinct().count()
+    test = lloyd.with_labels(blocks_at(df, test_ids), models).select("id", "labels")
+    groups = ncut_centre_labels(test, n_models, k, k_final, keep_first, seed)
+    names = dict(groups.collect())
+    ordered = F.array(*(F.lit(names.get(col)) for col in range(n_models * k)))
+    rows = lloyd.with_labels(df.select("id", "vec"), models)
+    votes = F.transform("labels", lambda c, h: F.get(ordered, h * k + c))
+    return rows.select("id", majority(votes).alias("label"))

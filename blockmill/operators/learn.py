@@ -1,123 +1,17 @@
-"""One pyspark.ml model per block, and how those models are judged.
-
-Each fit is a Spark job over the rows of its block, however many there are, so
-no block has to fit into one task. Blocks are few: they are a sample. A handful
-of fits run side by side to keep the cluster busy between their stages.
-"""
+"""Judging block models, clusterings of all rows, and means per label."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
-
 from pyspark import StorageLevel
-from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.clustering import BisectingKMeans, GaussianMixture
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from blockmill.functions.ranking import split_row_number
 from blockmill.functions.vectors import vector_to_array
-from blockmill.operators.blocks import BLOCK, blocks_at
-
-#: Fits that run side by side.
-PARALLEL_FITS = 4
-
-
-def fit_per_block(
-    df: DataFrame, ids: Sequence[int], estimator: Callable[[], Estimator]
-) -> dict[int, Model]:
-    """Fit a fresh estimator on every named block."""
-    sample = blocks_at(df, ids).persist(StorageLevel.MEMORY_AND_DISK)
-
-    def fit(block: int) -> Model:
-        return estimator().fit(sample.where(F.col(BLOCK) == block))
-
-    try:
-        with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-            return dict(zip(ids, pool.map(fit, ids)))
-    finally:
-        sample.unpersist()
-
-
-def block_trees(
-    df: DataFrame, ids: Sequence[int], max_depth: int = 2, node_size: int = 2, seed: int = 42
-) -> dict[int, Model]:
-    """One Gini tree per block on ``features`` and ``label``."""
-    return fit_per_block(
-        df,
-        ids,
-        lambda: DecisionTreeClassifier(
-            maxDepth=max_depth, minInstancesPerNode=node_size, impurity="gini", seed=seed
-        ),
-    )
-
-
-def block_forests(
-    df: DataFrame,
-    ids: Sequence[int],
-    trees: int = 500,
-    max_depth: int = 20,
-    node_size: int = 1,
-    seed: int = 42,
-) -> dict[int, Model]:
-    """One random forest per block."""
-    return fit_per_block(
-        df,
-        ids,
-        lambda: RandomForestClassifier(
-            numTrees=trees, maxDepth=max_depth, minInstancesPerNode=node_size, seed=seed
-        ),
-    )
-
-
-def block_kmeans(
-    df: DataFrame,
-    ids: Sequence[int],
-    k: int,
-    max_iter: int = 100,
-    tol: float = 1e-4,
-    seed: int = 42,
-) -> dict[int, Model]:
-    """One k-means per block on ``features``."""
-    return fit_per_block(
-        df, ids, lambda: KMeans(k=k, maxIter=max_iter, tol=tol, seed=seed)
-    )
-
-
-def with_predictions(df: DataFrame, models: Mapping[int, Model], prefix: str = "p") -> DataFrame:
-    """Add ``{prefix}{block}`` for every model, all in one pass over ``df``."""
-
-    def apply(rows: DataFrame, entry: tuple[int, Model]) -> DataFrame:
-        block, model = entry
-        model = model.copy().setPredictionCol(f"{prefix}{block}")
-        extra = [name for name in ("rawPredictionCol", "probabilityCol") if model.hasParam(name)]
-        for name in extra:
-            model.set(model.getParam(name), f"_{name}{block}")
-        scored = model.transform(rows)
-        return scored.drop(*(f"_{name}{block}" for name in extra))
-
-    return reduce(apply, models.items(), df)
-
-
-def block_model_accuracy(models: Mapping[int, Model], test: DataFrame) -> DataFrame:
-    """(model, block_id, accuracy): every model on every block of ``test``.
-
-    The test rows are read once whatever the number of models.
-    """
-    scored = with_predictions(test, models)
-    hits = [
-        F.avg((F.col(f"p{b}") == F.col("label")).cast("double")).alias(str(b)) for b in models
-    ]
-    wide = scored.groupBy(BLOCK).agg(*hits)
-    return wide.unpivot([BLOCK], [str(b) for b in models], "model", "accuracy").select(
-        F.col("model").cast("bigint").alias("model"), BLOCK, "accuracy"
-    )
+from blockmill.operators import lloyd
+from blockmill.runtime import store
 
 
 def trim_models(
@@ -125,30 +19,60 @@ def trim_models(
 ) -> DataFrame:
     """Drop the worst and the best ``cut`` of the rows by a score in [0, 1].
 
-    Counted from 0 in ascending order, the rows from ``cut * n`` to
-    ``(1 - cut) * n - 1`` stay.
+    Counted from 0 in ascending order, ties by key (a number), the rows from ``cut * n`` to
+    ``(1 - cut) * n - 1`` stay. How many rows have a smaller score is worked out
+    over the distinct scores, cut into stripes; only rows of a score on which a
+    limit falls are numbered, and one score that many rows share in stripes of
+    its keys' range, so no task sorts them all.
     """
-    ranked = split_row_number(
-        scores,
-        [],
-        F.floor(F.col(score) * stripes),
-        [F.col(score), F.col(key)],
-        "_row",
-        size="_n",
+    counts = scores.groupBy(F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_c"))
+    stripe = F.floor(F.col("_s") * stripes)
+    before = Window.partitionBy("_stripe").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.groupBy(stripe.alias("_stripe")).agg(F.sum("_c").alias("_n")).select(
+        "_stripe",
+        F.coalesce(
+            F.sum("_n").over(Window.orderBy("_stripe").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+        ).alias("_start"),
+        F.sum("_n").over(Window.partitionBy()).alias("_n"),
+    )
+    placed = store(
+        counts.withColumn("_stripe", stripe)
+        .withColumn("_within", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+        .join(F.broadcast(starts), "_stripe")
+        .select("_s", "_c", "_n", (F.col("_start") + F.col("_within")).alias("_from")),
+        "scores",
+    )
+    low, high = F.ceil(F.lit(cut) * F.col("_n")), F.floor(F.lit(1 - cut) * F.col("_n") - 1)
+    last = F.col("_from") + F.col("_c") - 1
+    inside = placed.where((F.col("_from") >= low) & (last <= high))
+    # At most two scores are cut through, the one at either limit.
+    split = placed.where(
+        ((F.col("_from") < low) | (last > high)) & (last >= low) & (F.col("_from") <= high)
     )
-    index, n = F.col("_row") - 1, F.col("_n")
-    kept = (index >= F.lit(cut) * n) & (index <= F.lit(1 - cut) * n - 1)
-    return ranked.where(kept).drop("_row", "_n")
+    kept = scores.join(inside.select("_s"), scores[score].eqNullSafe(F.col("_s")), "left_semi")
+    tied = scores.join(F.broadcast(split), scores[score].eqNullSafe(F.col("_s")))
+    limits = tied.groupBy("_s").agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
+    part = F.floor(F.try_divide(F.col(key) - F.col("_lo"), F.col("_hi") - F.col("_lo") + 1) * stripes)
+    numbered = split_row_number(
+        tied.join(F.broadcast(limits), "_s"), ["_s"], F.coalesce(part, F.lit(0)), [F.col(key)], "_row"
+    )
+    index = F.col("_from") + F.col("_row") - 1
+    return kept.unionByName(numbered.where((index >= low) & (index <= high)).select(*scores.columns))
 
 
 def cluster_global(df: DataFrame, k: int, kind: str = "mixture", seed: int = 9) -> DataFrame:
     """(label, prediction) from one clustering of all rows.
 
-    ``kind`` is mixture, kmeans or bisecting.
+    ``kind`` is mixture, kmeans or bisecting; kmeans reads ``id`` and ``vec``,
+    the others ``features``.
     """
-    kinds = {"mixture": GaussianMixture, "kmeans": KMeans, "bisecting": BisectingKMeans}
+    if kind == "kmeans":
+        rows = df.withColumn("_all", F.lit(0))
+        centres = lloyd.kmeans(rows, k, group="_all", seed=seed)
+        return lloyd.with_own_label(rows, centres, "_all").select("label", "prediction")
+    kinds = {"mixture": GaussianMixture, "bisecting": BisectingKMeans}
     if kind not in kinds:
-        raise ValueError(f"kind must be one of {', '.join(kinds)}, not {kind!r}")
+        raise ValueError(f"kind must be one of kmeans, {', '.join(kinds)}, not {kind!r}")
     rows = df.select("label", "features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model = kinds[kind](k=k, seed=seed).fit(rows)
@@ -157,24 +81,6 @@ def cluster_global(df: DataFrame, k: int, kind: str = "mixture", seed: int = 9)
     return model.transform(df).select("label", "prediction")
 
 
-def centres_table(df: DataFrame, models: Mapping[int, Model]) -> DataFrame:
-    """(block_id, cluster, features) of k-means models; they are model parameters,
-    so small and already on the driver."""
-    schema = StructType(
-        [
-            StructField(BLOCK, LongType()),
-            StructField("cluster", IntegerType()),
-            StructField("features", VectorUDT()),
-        ]
-    )
-    rows = [
-        (int(block), c, Vectors.dense(centre))
-        for block, model in models.items()
-        for c, centre in enumerate(model.clusterCenters())
-    ]
-    return df.sparkSession.createDataFrame(rows, schema)
-
-
 def group_mean_vector(df: DataFrame, label: str = "label", features: str = "features") -> DataFrame:
     """(label, mean): mean vector per label, added up on the map side."""
     return df.groupBy(label).agg(

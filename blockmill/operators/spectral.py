@@ -2,51 +2,86 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.linalg import Vectors
-from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockmill.functions.hashing import HASH_RANGE, bucket_hash
-from blockmill.functions.ranking import split_row_number
-from blockmill.functions.vectors import array_to_vector, vector_to_array
+from blockmill.functions.vectors import array_to_vector
+from blockmill.operators import lloyd
+from blockmill.operators.blocks import BLOCK
 from blockmill.operators.neighbours import knn_label, nearest_within
-from blockmill.runtime import store
+from blockmill.operators.subspace import leading_vectors
+from blockmill.runtime import store, store_counted
 
-#: Most centres that are clustered; they are model parameters, worked on in one place.
+#: Most centres that are clustered; they are model parameters, and each is compared with all.
 MAX_CENTRES = 2_000
 
-#: Parts of the similarity matrix of a block.
-_PARTITIONS = 8
+#: Similarities below this are taken for 0.
+_LEAST = 1e-12
 
-#: Digits of a weight that are kept; sums of parts differ in the last ones.
-_DIGITS = 9
 
-#: Stripes used to number the rows of a block without one big sort.
-_STRIPES = 64
+def gaussian_laplacian(centres: DataFrame) -> DataFrame:
+    """(g, i, j, w) of ``I - 2 L / c``: L is the plain Laplacian of the similarities
+    ``exp(-d^2 / 2)`` and c an upper bound of its eigenvalues, so that the smallest
+    ones of L are the largest here and all lie in [-1, 1].
 
+    ``centres`` is (id, vec), ``MAX_CENTRES`` rows at most, which are shipped to
+    the tasks that compare their share of them with all.
+    """
+    rows = centres.collect()
+    shared = centres.sparkSession.sparkContext.broadcast(
+        (np.array([r["id"] for r in rows]), np.array([r["vec"] for r in rows], dtype=np.float64))
+    )
 
-def spectral_gaussian(df: DataFrame, centres: Sequence[np.ndarray], k: int, seed: int = 1) -> DataFrame:
-    """(id, features, prediction) for a set of centres.
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, vectors = shared.value
+        for batch in batches:
+            for i, vec in zip(batch["id"], batch["vec"]):
+                s = np.exp(-((vectors - np.array(vec)) ** 2).sum(axis=1) / 2)
+                kept = (s > _LEAST) & (ids != i)
+                yield pd.DataFrame({"i": i, "j": ids[kept], "s": s[kept]})
+
+    similar = store(centres.mapInPandas(compare, "i bigint, j bigint, s double"), "similar")
+    degree = similar.groupBy("i").agg(F.sum("s").alias("d"))
+    bound = 2 * (degree.agg(F.max("d")).first()[0] or 1.0)
+    g = F.lit(0).cast("bigint").alias("g")
+    # Sums of degrees differ in the last digits from run to run; nine are kept.
+    off = similar.select(g, "i", "j", F.round(2 * F.col("s") / bound, 12).alias("w"))
+    alone = centres.select(F.col("id").alias("i")).join(degree, "i", "left")
+    on = alone.select(g, "i", F.col("i").alias("j"), F.round(1 - 2 * F.coalesce("d", F.lit(0.0)) / bound, 12).alias("w"))
+    return off.unionByName(on)
+
+
+def _clustered(entries: DataFrame, nodes: DataFrame, k: int, seed: int) -> DataFrame:
+    """(g, id, prediction): k-means on the rows of the leading vectors."""
+    vectors, _ = leading_vectors(entries, nodes, k)
+    rows = store(vectors.select("g", F.col("i").alias("id"), "vec"), "embedded")
+    centres = lloyd.kmeans(rows, k, group="g", seed=seed, start="spread")
+    labelled = store(lloyd.with_own_label(rows, centres, "g").select("g", "id", "prediction"), "clustered")
+    return lloyd.by_smallest_member(labelled, "prediction", "g")
+
+
+def spectral_gaussian(centres: DataFrame, k: int, seed: int = 1) -> DataFrame:
+    """(id, prediction) for a set of centres (id, vec).
 
     Similarity ``exp(-d^2 / 2)``, plain Laplacian, ``k`` smallest eigenvectors,
     k-means. Centres are model parameters: their number is a setting, at most
-    ``MAX_CENTRES``, and does not grow with the data.
+    ``MAX_CENTRES``, and does not grow with the data. Clusters are numbered by
+    their smallest member; equal calls give equal numbers.
     """
-    if len(centres) > MAX_CENTRES:
-        raise ValueError(f"{len(centres)} centres; at most {MAX_CENTRES} are clustered in one place")
-    points = np.array([np.asarray(c, dtype=float) for c in centres])
-    sq = ((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2)
-    similarity = np.exp(-sq / 2.0)
-    laplacian = np.diag(similarity.sum(axis=1)) - similarity
-    _, vectors = np.linalg.eigh(laplacian)
-    rows = [(i, Vectors.dense(row)) for i, row in enumerate(vectors[:, :k])]
-    embedded = df.sparkSession.createDataFrame(rows, ["id", "features"])
-    return KMeans(k=k, seed=seed).fit(embedded).transform(embedded)
+    given = centres.select(F.col("id").cast("bigint").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    stored, n = store_counted(given, "centres")
+    if n > MAX_CENTRES:
+        raise ValueError(f"{n} centres; at most {MAX_CENTRES} are compared with each other")
+    nodes = stored.select(F.lit(0).cast("bigint").alias("g"), F.col("id").alias("i"))
+    return _clustered(gaussian_laplacian(stored), nodes, k, seed).select("id", "prediction")
+
+
+#: Digits of a weight that are kept; sums of parts differ in the last ones.
+_DIGITS = 9
 
 
 def adaptive_similarity(df: DataFrame, k_max: int = 30, group: str = "block_id") -> DataFrame:
@@ -86,78 +121,44 @@ def normalised_similarity(weights: DataFrame) -> DataFrame:
     )
 
 
-def _leading_vectors(entries: DataFrame, size: int, k: int) -> DataFrame:
-    """(pos, features): the ``k`` leading left singular vectors, row by row.
+def spectral_adaptive(df: DataFrame, k: int, k_max: int = 30, group: str = BLOCK, seed: int = 1) -> DataFrame:
+    """(block, id, prediction) for the rows (block, id, vec), every block by itself
+    and all at once.
 
-    ``entries`` (pi, pj, w) is a stored table, as the decomposition goes over
-    it once per iteration.
+    The similarity is a sparse table of at most ``2 k_max`` entries per row. The
+    rows of its ``k`` leading eigenvectors are clustered. Clusters are numbered by
+    their smallest member; equal calls give equal numbers.
     """
-    # Rows of one place in one order, so that sums come out alike in every run.
-    placed = entries.repartition(_PARTITIONS, "pi").sortWithinPartitions("pi", "pj")
-    cells = placed.rdd.map(lambda e: MatrixEntry(e.pi, e.pj, e.w))
-    matrix = CoordinateMatrix(cells, size, size).toIndexedRowMatrix()
-    left = matrix.computeSVD(k, computeU=True).U
-    return left.rows.map(lambda r: (r.index, Vectors.dense(r.vector.toArray()))).toDF(
-        ["pos", "features"]
+    rows = store(
+        df.select(
+            F.col(group).cast("bigint").alias(BLOCK), F.col("id").cast("bigint").alias("id"),
+            F.col("vec").cast("array<double>").alias("vec"),
+        ).where(f"{BLOCK} IS NOT NULL AND vec IS NOT NULL"),
+        "rows",
     )
-
-
-def spectral_adaptive(block: DataFrame, k: int, k_max: int = 30, seed: int = 1) -> DataFrame:
-    """(id, prediction) for the rows ``id, vec`` of one sample block.
-
-    The similarity is a sparse table of ``2 k_max`` entries per row. Its ``k``
-    eigenvectors of the largest eigenvalues come from Spark's distributed
-    decomposition: with one added to the diagonal no eigenvalue is negative, so
-    they are the leading singular vectors. Equal calls give equal labels.
-    """
-    rows = block.select(F.lit(0).cast("bigint").alias("block_id"), "id", "vec")
-    numbered = store(
-        split_row_number(
-            rows.select("id").withColumn("_h", bucket_hash(3, F.col("id"))),
-            [],
-            F.floor(F.col("_h") * _STRIPES / F.lit(HASH_RANGE)),
-            [F.col("_h"), F.col("id")],
-            "_row",
-        ).select("id", (F.col("_row") - 1).alias("pos")),
-        "positions",
-    )
-    weights = (
-        normalised_similarity(adaptive_similarity(rows, k_max))
-        .join(numbered.select(F.col("id").alias("i"), F.col("pos").alias("pi")), "i")
-        .join(numbered.select(F.col("id").alias("j"), F.col("pos").alias("pj")), "j")
-        .select("pi", "pj", F.round("w", _DIGITS).alias("w"))
-    )
-    # The diagonal also keeps rows in that are similar to nothing.
-    entries = weights.unionByName(
-        numbered.select(F.col("pos").alias("pi"), F.col("pos").alias("pj"), F.lit(1.0).alias("w"))
-    )
-    embedded = store(
-        _leading_vectors(store(entries, "similarity"), numbered.count(), k), "embedded"
-    )
-    predicted = KMeans(k=k, seed=seed).fit(embedded).transform(embedded)
-    return numbered.join(predicted.select("pos", "prediction"), "pos").select("id", "prediction")
+    near = store(adaptive_similarity(rows, k_max), "near")
+    weights = normalised_similarity(near).withColumn("w", F.round("w", _DIGITS))
+    nodes = rows.select(F.col(BLOCK).alias("g"), F.col("id").alias("i"))
+    found = _clustered(weights, nodes, k, seed)
+    return found.select(F.col("g").cast(df.schema[group].dataType).alias(group), "id", "prediction")
 
 
 def anchor_labels(
-    df: DataFrame, labelled: DataFrame, k: int, per_cluster: int = 10, seed: int = 1
+    df: DataFrame, labelled: DataFrame, k: int, per_cluster: int = 10, steps: int = 100, seed: int = 42
 ) -> DataFrame:
     """(id, label) for every row of ``df`` through ``per_cluster * k`` anchors.
 
-    ``df`` has id, features; ``labelled`` also has label. The anchors are
-    k-means centres of the labelled rows, named after their nearest labelled
-    row; rows then take the name of their nearest anchor.
+    ``df`` has id, vec; ``labelled`` also has label. The anchors are k-means
+    centres of the labelled rows, named after their nearest labelled row; rows
+    then take the name of their nearest anchor.
     """
-    model = KMeans(k=k * per_cluster, seed=seed).fit(labelled)
-    spark = df.sparkSession
-    anchors = spark.createDataFrame(
-        [(i, Vectors.dense(c)) for i, c in enumerate(model.clusterCenters())], ["id", "features"]
-    ).select("id", vector_to_array("features").alias("vec"))
-    named = knn_label(
-        anchors, labelled.select("id", vector_to_array("features").alias("vec"), "label")
-    )
+    together = labelled.select(F.lit(0).alias("g"), "id", "vec")
+    centres = lloyd.kmeans(together, k * per_cluster, steps=steps, tol=0.0, group="g", seed=seed)
+    anchors = store(centres.select(F.col("cluster").cast("bigint").alias("id"), F.col("centre").alias("vec")), "anchors")
+    named = knn_label(anchors, labelled.select("id", "vec", "label"))
     names = dict(named.collect())
-    ordered = F.array(*(F.lit(names.get(i)) for i in range(len(model.clusterCenters()))))
-    nearest = model.transform(df.select("id", "features"))
+    ordered = F.array(*(F.lit(names.get(i)) for i in range(k * per_cluster)))
+    nearest = lloyd.with_own_label(df.select("id", "vec", F.lit(0).alias("g")), centres, "g")
     return nearest.select("id", F.get(ordered, F.col("prediction")).alias("label"))
 
 

@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from blockmill.functions.hashing import bucket_hash
 from blockmill.functions.vectors import array_to_vector, euclidean_distance, majority, vector_to_array
-from blockmill.operators import ensemble, learn, neighbours, propagation, quality, spectral
+from blockmill.operators import ensemble, learn, lloyd, neighbours, propagation, quality, spectral, subspace, trees
 from blockmill.operators.blocks import assign_blocks
 
 
@@ -144,21 +145,69 @@ def test_ensemble_finds_the_three_groups(table, keep_first):
             assert share > 0.8
 
 
+def test_ensemble_has_a_bound(labelled, monkeypatch):
+    monkeypatch.setattr(ensemble, "MAX_CENTRES", 8)
+    with pytest.raises(ValueError, match="at most 8"):
+        ensemble.ncut_centre_labels(labelled[1], 3, 3, 2)
+
+
+def symmetric(rng, n, density):
+    """A random sparse symmetric matrix with eigenvalues in [-1, 1]."""
+    m = rng.random((n, n)) * (rng.random((n, n)) < density)
+    m = (m + m.T) / 2
+    return m / np.abs(np.linalg.eigvalsh(m)).max()
+
+
+def test_leading_vectors_equal_numpy(spark):
+    rng = np.random.default_rng(3)
+    two = np.zeros((50, 50))
+    two[:20, :20], two[20:, 20:] = symmetric(rng, 20, 0.4), symmetric(rng, 30, 0.3)
+    matrices = {0: symmetric(rng, 40, 0.3), 7: two, 9: np.array([[0.5]])}
+    cells = [(g, i, j, float(m[i, j])) for g, m in matrices.items() for i in range(len(m)) for j in range(len(m)) if m[i, j]]
+    nodes = [(g, i) for g, m in matrices.items() for i in range(len(m))]
+    given = spark.createDataFrame(cells, "g bigint, i bigint, j bigint, w double"), spark.createDataFrame(nodes, "g bigint, i bigint")
+    vectors, values = subspace.leading_vectors(*given, 3)
+    rows, values = vectors.collect(), {(r.g, r["rank"]): r.value for r in values.collect()}
+    for g, m in matrices.items():
+        want = np.linalg.eigvalsh(m)[::-1][:3]
+        assert [values[g, r] for r in range(len(want))] == pytest.approx(list(want), abs=1e-8)
+        x = np.array([r.vec for r in sorted(rows) if r.g == g])[:, : len(want)]
+        assert np.allclose(x.T @ x, np.eye(len(want)), atol=1e-6)
+        assert np.allclose(m @ x, x * want, atol=1e-4)
+        assert all(column[np.abs(column).argmax()] > 0 for column in x.T)
+    again, _ = subspace.leading_vectors(given[0].repartition(5), given[1].repartition(3), 3)
+    assert sorted(again.collect()) == sorted(rows)
+
+
 def test_spectral_adaptive_is_the_same_each_time(table):
-    rows = table.where("id % 2 = 0").select("id", "vec")
+    rows = table.where("id % 2 = 0").select("id", "vec", F.lit(0).alias("block_id"))
     got, again = (
-        {r.id: r.prediction for r in spectral.spectral_adaptive(rows, 3, k_max=10).collect()}
-        for _ in range(2)
+        {r.id: r.prediction for r in spectral.spectral_adaptive(part, 3, k_max=10).collect()}
+        for part in (rows, rows.repartition(5))
     )
-    assert got == again and len(got) == 60 and set(got.values()) <= {0, 1, 2}
-    clusters = {c: Counter(i // 40 for i in got if got[i] == c) for c in set(got.values())}
-    pure = sum(n.most_common(1)[0][1] for n in clusters.values()) / 60
-    assert pure > 0.6, clusters
+    assert got == again and len(got) == 60 and set(got.values()) == {0, 1, 2}
+    # The groups are far apart, so each is one cluster; numbers follow the smallest members.
+    assert [got[i] for i in range(0, 120, 2)] == [0] * 20 + [1] * 20 + [2] * 20
+
+
+def test_spectral_gaussian_has_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(spectral, "MAX_CENTRES", 3)
+    centres = spark.range(4).select("id", F.array(F.col("id").cast("double")).alias("vec"))
+    with pytest.raises(ValueError, match="at most 3"):
+        spectral.spectral_gaussian(centres, 2)
 
 
-def test_spectral_gaussian_has_a_bound(spark):
-    with pytest.raises(ValueError, match="at most"):
-        spectral.spectral_gaussian(spark.range(1), [[0.0]] * (spectral.MAX_CENTRES + 1), 2)
+def test_gaussian_laplacian_equals_numpy(spark, table, points):
+    centres = table.where("id % 10 = 0").select("id", "vec")
+    ids = list(range(0, 120, 10))
+    own = points[ids]
+    similar = np.exp(-((own[:, None] - own[None]) ** 2).sum(axis=2) / 2)
+    laplacian = np.diag(similar.sum(axis=1)) - similar
+    got = np.zeros((12, 12))
+    for r in spectral.gaussian_laplacian(centres).collect():
+        got[ids.index(r.i), ids.index(r.j)] += r.w
+    scale = 2 * (similar.sum(axis=1) - 1).max()
+    assert np.allclose(got, np.eye(12) - 2 * laplacian / scale, atol=1e-9)
 
 
 def test_spectral_similarity_has_the_components_as_top_vectors(table, points):
@@ -174,25 +223,154 @@ def test_spectral_similarity_has_the_components_as_top_vectors(table, points):
     assert np.allclose(values[:3], 1.0) and values[3] < 1.0
 
 
-def test_spectral_gaussian_and_anchors(table, points):
-    centres = [points[i] for i in (0, 1, 40, 41, 80, 81)]
-    got = spectral.spectral_gaussian(table, centres, 3).orderBy("id").collect()
-    assert got[0].prediction == got[1].prediction and len({r.prediction for r in got}) <= 3
-    labels = spectral.anchor_labels(table.select("id", "features"), table, 3, per_cluster=3)
+def test_spectral_gaussian_and_anchors(table):
+    centres = table.where("id IN (0, 1, 40, 41, 80, 81)").select("id", "vec")
+    got = {r.id: r.prediction for r in spectral.spectral_gaussian(centres, 3).collect()}
+    assert got[0] == 0 and len(set(got.values())) == 3
+    assert got[0] == got[1] and got[40] == got[41] and got[80] == got[81]
+    labels = spectral.anchor_labels(table.select("id", "vec"), table, 3, per_cluster=3)
     right = sum(r.label == r.id // 40 for r in labels.collect())
     assert right >= 118
 
 
-def test_block_models(table):
-    trees = learn.block_trees(table, [0, 1], max_depth=3, node_size=2)
-    assert all(m.depth <= 3 for m in trees.values())
-    scores = learn.block_model_accuracy(trees, table).collect()
-    assert {(r.model, r.block_id) for r in scores} == {(m, b) for m in (0, 1) for b in (0, 1, 2)}
+def brute_kmeans(rows, k, steps):
+    """Lloyd steps on [(id, vector)] in the order of their start; (centres, counts)"""
+    centres = np.array([v for _, v in rows[:k]])
+    x = np.array([v for _, v in rows])
+    counts = np.zeros(len(centres), int)
+    for _ in range(steps):
+        near = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        counts = np.bincount(near, minlength=len(centres))
+        centres = np.array([x[near == c].mean(axis=0) if counts[c] else centres[c] for c in range(len(centres))])
+    return centres, counts
+
+
+@pytest.mark.parametrize("wave_bytes", [64 << 20, 50])
+def test_kmeans_of_all_blocks_equals_plain_steps(spark, table, points, wave_bytes, monkeypatch):
+    monkeypatch.setattr(lloyd, "WAVE_BYTES", wave_bytes)
+    # Copies make empty clusters and ties; block 9 has fewer rows than centres; nulls take no part.
+    more = [(500 + i, [1.0, 1.0], 5) for i in range(20)] + [(600, [2.0, 3.0], 9), (601, None, 9), (602, [1.0, 1.0], None)]
+    rows = table.select("id", "vec", "block_id").unionByName(
+        spark.createDataFrame(more, "id bigint, vec array<double>, block_id bigint")
+    )
+    got = lloyd.kmeans(rows, 4, steps=3, tol=0.0).collect()
+    assert sorted(lloyd.kmeans(rows.repartition(7), 4, steps=3, tol=0.0).collect()) == sorted(got)
+    hashed = rows.where("vec IS NOT NULL AND block_id IS NOT NULL").withColumn("h", bucket_hash(42, F.col("id")))
+    blocks = {}
+    for r in sorted(hashed.collect(), key=lambda r: (r.h, r.id)):
+        blocks.setdefault(r.block_id, []).append((r.id, r.vec))
+    assert {r.block_id for r in got} == set(blocks) == {0, 1, 2, 5, 9}
+    for block, mine in blocks.items():
+        centres, counts = brute_kmeans(mine, 4, 3)
+        found = sorted(r for r in got if r.block_id == block)
+        assert [r.n for r in found] == list(counts) and np.allclose([r.centre for r in found], centres)
+
+
+def test_kmeans_starts_and_labels(table, spark):
+    far = lloyd.kmeans(table.withColumn("g", F.lit(1)), 3, group="g", start="spread")
+    labelled = lloyd.with_own_label(table.withColumn("g", F.lit(1)), far, "g")
+    got = {r.id: r.prediction for r in lloyd.by_smallest_member(labelled, "prediction", "g").collect()}
+    assert [got[i] for i in range(120)] == [0] * 40 + [1] * 40 + [2] * 40
+    centres = lloyd.kmeans(table, 2)
+    rows = lloyd.with_labels(table.select("id", "vec"), centres).collect()
+    models = {}
+    for r in sorted(centres.collect()):
+        models.setdefault(r.block_id, []).append(r.centre)
+    for r in rows:
+        want = [int(((np.array(models[b]) - r.vec) ** 2).sum(axis=1).argmin()) for b in sorted(models)]
+        assert r.labels == want
+    odd = spark.createDataFrame([(1, None, 0), (2, [0.0, 0.0], 77), (3, [0.0, 0.0], None)], "id bigint, vec array<double>, block_id bigint")
+    assert [r.prediction for r in lloyd.with_own_label(odd, centres).collect()] == [None] * 3
+    assert lloyd.kmeans(odd.limit(0), 3).count() == 0
+    with pytest.raises(ValueError, match="hash or spread"):
+        lloyd.kmeans(table, 2, start="any")
+
+
+def plain_tree(rows, ranges, depth, node_size, node=1):
+    """{node: (feature, bin, label, n)} over [(bins, label)], every split tried."""
+    counts = Counter(label for _, label in rows)
+    top = min(counts, key=lambda c: (-counts[c], c))
+    out = {node: (None, None, top, len(rows))}
+    if not depth:
+        return out
+    parent = sum(c * c for c in counts.values()) / len(rows)
+    best = None
+    for f in range(len(rows[0][0])):
+        for b in sorted({bins[f] for bins, _ in rows}):
+            left = [label for bins, label in rows if bins[f] <= b]
+            right = [label for bins, label in rows if bins[f] > b]
+            if min(len(left), len(right)) < max(node_size, 1):
+                continue
+            score = sum(sum(c * c for c in Counter(side).values()) / len(side) for side in (left, right))
+            if score - parent > 1e-9 * len(rows) and (best is None or score > best[0]):
+                best = (score, f, b)
+    if best:
+        _, f, b = best
+        out[node] = (f, b, top, len(rows))
+        for side, part in enumerate(([r for r in rows if r[0][f] <= b], [r for r in rows if r[0][f] > b])):
+            out |= plain_tree(part, ranges, depth - 1, node_size, 2 * node + side)
+    return out
+
+
+def in_bins(vectors):
+    x = np.array(vectors)
+    low, width = x.min(axis=0), x.max(axis=0) - x.min(axis=0)
+    part = np.floor(np.divide(x - low, width, out=np.zeros_like(x), where=width > 0) * trees.BINS)
+    return np.clip(part, 0, trees.BINS - 1).astype(int).tolist()
+
+
+@pytest.mark.parametrize("depth, node_size", [(3, 1), (8, 2)])
+def test_trees_of_all_blocks_equal_plain_ones(spark, depth, node_size, monkeypatch):
+    monkeypatch.setattr(trees, "STORED_LEVELS", 2)
+    rng = random.Random(8)
+    rows = [(i, [rng.choice([0.0, 1.0, 2.5]), 3.0, rng.random()], rng.randrange(3), rng.choice([0, 0, 0, 4])) for i in range(150)]
+    rows += [(900, [1.0, 1.0, 1.0], 2, 6), (901, None, 1, 0), (902, [1.0, 1.0, 1.0], None, 0)]
+    df = spark.createDataFrame(rows, "id bigint, vec array<double>, label int, block_id bigint").withColumn("node", F.lit("x"))
+    got = {}
+    for r in trees.grow(df, max_depth=depth, node_size=node_size).collect():
+        got.setdefault(r.block_id, {})[r.node] = (r.feature, r.bin, r.label, r.n)
+        if r.feature is not None:
+            assert r.threshold == pytest.approx(r.low + (r.bin + 1) * r.width / trees.BINS)
+    for block in (0, 4, 6):
+        mine = [r for r in rows if r[3] == block and r[1] is not None and r[2] is not None]
+        binned = list(zip(in_bins([r[1] for r in mine]), [r[2] for r in mine]))
+        assert got[block] == plain_tree(binned, None, depth, node_size)
+
+
+def walk(nodes, vec):
+    node = 1
+    while nodes[node].feature is not None:
+        r = nodes[node]
+        part = math.floor((vec[r.feature] - r.low) / r.width * trees.BINS) if r.width else 0
+        node = 2 * node + (min(trees.BINS - 1, max(0, part)) > r.bin)
+    return nodes[node].label
+
+
+def test_block_models_judge_every_block(table):
+    grown = trees.grow(table, max_depth=3, node_size=2)
+    rows = table.select("block_id", "id", "vec", "label")
+    judged = trees.predictions(rows, grown)
+    nodes = {}
+    for r in grown.collect():
+        nodes.setdefault(r.block_id, {})[r.node] = r
+    got = judged.collect()
+    assert len(got) == 3 * 120 and all(r.prediction == walk(nodes[r.model], r.vec) for r in got)
+    scores = trees.accuracy(judged).collect()
+    assert {(r.model, r.block_id) for r in scores} == {(m, b) for m in (0, 1, 2) for b in (0, 1, 2)}
+    assert min(r.accuracy for r in scores) > 0.9
+
+
+def test_forests(table):
+    made = dict(trees=7, max_depth=3, features=1, bootstrap=True)
+    grown = trees.grow(table, **made)
+    rows = grown.collect()
+    assert {(r.block_id, r.tree) for r in rows} == {(b, t) for b in (0, 1, 2) for t in range(7)}
+    assert sorted(trees.grow(table.repartition(5), **made).collect(), key=str) == sorted(rows, key=str)
+    # Samples differ from tree to tree and hold about as many rows as the block.
+    roots = [r.n for r in rows if r.node == 1]
+    assert len(set(roots)) > 3 and 0.7 < sum(roots) / (7 * 120) < 1.3
+    scores = trees.accuracy(trees.predictions(table.select("block_id", "id", "vec", "label"), grown)).collect()
     assert min(r.accuracy for r in scores) > 0.9
-    forests = learn.block_forests(table, [2], trees=3, max_depth=2)
-    assert forests[2].getNumTrees == 3
-    means = learn.block_kmeans(table, [0, 2], 3)
-    assert learn.centres_table(table, means).count() == 6
 
 
 @pytest.mark.parametrize("kind", ["mixture", "kmeans", "bisecting"])
@@ -204,10 +382,13 @@ def test_global_clusterings(table, kind):
         learn.cluster_global(table, 3, "other")
 
 
-def test_trimmed_models(spark):
-    scores = spark.createDataFrame([(i, (i * 7 % 20) / 20) for i in range(20)], "m int, accuracy double")
-    kept = sorted(r.accuracy for r in learn.trim_models(scores, "m").collect())
-    assert kept == sorted(i / 20 for i in range(2, 18))
+@pytest.mark.parametrize("values", [20, 3, 1])
+def test_trimmed_models(spark, values):
+    rows = [(i, (i * 7 % values) / 20) for i in range(20)]
+    scores = spark.createDataFrame(rows, "m int, accuracy double")
+    kept = sorted((r.accuracy, r.m) for r in learn.trim_models(scores, "m").collect())
+    assert kept == sorted((a, m) for m, a in rows)[2:18]
+    assert learn.trim_models(scores.limit(0), "m").count() == 0
 
 
 def literal_rounds(sims, rounds, d=0.5):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from blockmill.functions.hashing import bucket_hash
 from blockmill.functions.vectors import array_to_vector, euclidean_distance, vector_to_array
-from blockmill.operators import ensemble, learn, neighbours, propagation, quality, spectral
+from blockmill.operators import ensemble, learn, lloyd, neighbours, propagation, quality, spectral, trees
 from blockmill.operators.blocks import assign_blocks, blocks_at
 from blockmill.runtime import store
 from workload.fixtures import SEED, baskets, sql_hash, sql_pairs, table
@@ -38,30 +38,91 @@ _MEANS = (
 # --- block models ----------------------------------------------------------
 
 
-@query("block_trees")
-def block_trees(spark, sf_dir):
-    rows = vectors(spark, sf_dir)
-    models = learn.block_trees(rows, TRAIN, max_depth=3, node_size=10)
-    return spark.createDataFrame(
-        [(b, m.depth, m.numNodes) for b, m in models.items()], "block_id bigint, depth int, nodes int"
+def _sql_rows(where: str = "TRUE") -> str:
+    return f"rows AS (SELECT block_id AS g, id, vec, label FROM e WHERE {where})"
+
+
+def _sql_trees(max_depth: int, node_size: int) -> str:
+    """Ranges, then per level the counts, the splits of least impurity, and where rows go."""
+    ctes = [
+        _sql_rows(),
+        "x AS (SELECT g, id, label, p - 1 AS f, vec[p] AS v FROM rows, range(1, len(vec) + 1) t(p))",
+        "z AS (SELECT g, f, min(v) AS low, max(v) - min(v) AS width FROM x GROUP BY 1, 2)",
+        "b AS (SELECT g, id, label, f, least(31, greatest(0, floor(coalesce((v - low) / nullif(width, 0), 0) * 32)))"
+        "::INTEGER AS bin FROM x JOIN z USING (g, f))",
+        "s0 AS (SELECT g, id, label, 1 AS node FROM rows)",
+    ]
+    for d in range(max_depth):
+        ctes += [
+            f"n{d} AS (SELECT g, node, label, count(*) AS c FROM s{d} GROUP BY 1, 2, 3)",
+            f"t{d} AS (SELECT g, node, sum(c)::BIGINT AS n, sum(c * c)::BIGINT AS sq, "
+            f"arg_min(label, {{'c': -c, 'l': label}}) AS label FROM n{d} GROUP BY 1, 2)",
+            f"u{d} AS (SELECT DISTINCT g, node, f, bin FROM s{d} JOIN b USING (g, id))",
+            f"l{d} AS (SELECT u.g, u.node, u.f, u.bin, b.label, count(*) AS c FROM u{d} u JOIN s{d} s ON "
+            "s.g = u.g AND s.node = u.node JOIN b ON b.g = s.g AND b.id = s.id AND b.f = u.f AND b.bin <= u.bin "
+            "GROUP BY 1, 2, 3, 4, 5)",
+            f"p{d} AS (SELECT l.g, l.node, l.f, l.bin, sum(l.c)::BIGINT AS nl, sum(l.c * l.c)::BIGINT AS sl, "
+            f"(any_value(t.sq) + sum(l.c * l.c - 2 * l.c * n.c))::BIGINT AS sr FROM l{d} l "
+            f"JOIN n{d} n ON n.g = l.g AND n.node = l.node AND n.label = l.label "
+            f"JOIN t{d} t ON t.g = l.g AND t.node = l.node GROUP BY 1, 2, 3, 4)",
+            f"c{d} AS (SELECT p.*, sl / nl + sr / (n - nl) AS score FROM p{d} p JOIN t{d} USING (g, node) "
+            f"WHERE nl >= {node_size} AND n - nl >= {node_size} AND sl / nl + sr / (n - nl) - sq / n > 1e-9 * n)",
+            f"w{d} AS (SELECT g, node, arg_min({{'f': f, 'bin': bin}}, {{'s': -score, 'f': f, 'bin': bin}}) AS best "
+            f"FROM c{d} GROUP BY 1, 2)",
+            f"m{d} AS (SELECT t.g, t.node, best.f AS feature, best.bin AS bin, label, n FROM t{d} t "
+            f"LEFT JOIN w{d} USING (g, node))",
+            f"s{d + 1} AS (SELECT s.g, s.id, s.label, 2 * s.node + (b.bin > m.bin)::INT AS node FROM s{d} s "
+            f"JOIN m{d} m USING (g, node) JOIN b ON b.g = s.g AND b.id = s.id AND b.f = m.feature)",
+        ]
+    d = max_depth
+    ctes.append(
+        f"m{d} AS (SELECT g, node, NULL AS feature, NULL AS bin, arg_min(label, {{'c': -c, 'l': label}}) AS label, "
+        f"sum(c)::BIGINT AS n FROM (SELECT g, node, label, count(*) AS c FROM s{d} GROUP BY 1, 2, 3) GROUP BY 1, 2)"
     )
+    every = " UNION ALL ".join(f"SELECT * FROM m{d}" for d in range(max_depth + 1))
+    return f"{_VEC}, {', '.join(ctes)}, trees AS ({every})"
+
+
+@query(
+    "block_trees",
+    f"""WITH {_sql_trees(3, 10)} SELECT g AS block_id, t.node::BIGINT AS node, t.feature::INTEGER AS feature,
+      round(low + (bin + 1) * width / 32, 6) AS threshold, label::BIGINT AS label, n
+    FROM trees t LEFT JOIN z ON z.g = t.g AND z.f = t.feature""".replace("SELECT g AS", "SELECT t.g AS"),
+)
+def block_trees(spark, sf_dir):
+    """The models themselves: one row per node of the tree of every block."""
+    grown = trees.grow(vectors(spark, sf_dir), max_depth=3, node_size=10)
+    return grown.select("block_id", "node", "feature", F.round("threshold", 6).alias("threshold"), "label", "n")
 
 
 @query("block_forests")
 def block_forests(spark, sf_dir):
-    rows = vectors(spark, sf_dir)
-    models = learn.block_forests(rows, TRAIN, trees=1, max_depth=2, node_size=2)
-    return spark.createDataFrame(
-        [(b, m.getNumTrees, m.totalNumNodes) for b, m in models.items()],
-        "block_id bigint, trees int, nodes int",
+    """Nodes of the trees of every block; trees are grown on hashed samples."""
+    grown = trees.grow(
+        vectors(spark, sf_dir), trees=10, max_depth=4, node_size=2, features=8, bootstrap=True
     )
+    return grown.select("block_id", "tree", "node", "feature", F.round("threshold", 6).alias("threshold"), "label", "n")
 
 
-@query("block_model_accuracy")
+@query(
+    "block_model_accuracy",
+    f"""WITH {_sql_trees(3, 10)},
+    q AS (SELECT m.g AS model, r.g AS block_id, r.id, r.label, 1 AS node FROM rows r, (SELECT DISTINCT g FROM trees) m),
+    {", ".join(
+        f"q{d} AS (SELECT q.model, q.block_id, q.id, q.label, CASE WHEN t.feature IS NULL THEN q.node ELSE 2 * q.node + "
+        "(least(31, greatest(0, floor(coalesce((v.v - z.low) / nullif(z.width, 0), 0) * 32))) > t.bin)::INT END AS node "
+        f"FROM {'q' if d == 0 else f'q{d - 1}'} q JOIN trees t ON t.g = q.model AND t.node = q.node "
+        "LEFT JOIN z ON z.g = t.g AND z.f = t.feature LEFT JOIN x v ON v.g = q.block_id AND v.id = q.id AND v.f = t.feature)"
+        for d in range(3)
+    )}
+    SELECT q2.model, q2.block_id, round(avg((q2.label = t.label)::INT), 6) AS accuracy
+    FROM q2 JOIN trees t ON t.g = q2.model AND t.node = q2.node GROUP BY 1, 2""",
+)
 def block_model_accuracy(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    models = learn.block_trees(rows, TRAIN, max_depth=3, node_size=10)
-    return learn.block_model_accuracy(models, rows)
+    grown = trees.grow(rows, max_depth=3, node_size=10)
+    judged = trees.predictions(rows.select("block_id", "id", "vec", "label"), grown)
+    return trees.accuracy(judged).withColumn("accuracy", F.round("accuracy", 6))
 
 
 @query(
@@ -82,12 +143,41 @@ def trim_models(spark, sf_dir):
     return learn.trim_models(scores, "model").select("model", F.round("accuracy", 6).alias("accuracy"))
 
 
-@query("block_kmeans")
+def _sql_kmeans(k: int, steps: int) -> str:
+    """Centres from the first rows by hash, then assignments and means in turns."""
+    ctes = [
+        f"c0 AS (SELECT g, (n - 1)::INTEGER AS cluster, vec AS centre FROM (SELECT *, row_number() OVER "
+        f"(PARTITION BY g ORDER BY {sql_hash(SEED, 'id')}, id) AS n FROM rows) WHERE n <= {k})"
+    ]
+    for t in range(steps):
+        ctes += [
+            f"a{t} AS (SELECT r.g, r.id, any_value(r.vec) AS vec, arg_min(c.cluster, "
+            f"{{'d': list_distance(r.vec, c.centre), 'c': c.cluster}}) AS cluster "
+            f"FROM rows r JOIN c{t} c USING (g) GROUP BY 1, 2)",
+            f"v{t} AS (SELECT g, cluster, list(m ORDER BY p) AS centre FROM (SELECT g, cluster, p, avg(vec[p]) AS m "
+            f"FROM a{t}, range(1, 65) s(p) GROUP BY 1, 2, 3) GROUP BY 1, 2)",
+            f"c{t + 1} AS (SELECT g, cluster, coalesce(v.centre, c.centre) AS centre FROM c{t} c "
+            f"LEFT JOIN v{t} v USING (g, cluster))",
+        ]
+    return ", ".join(ctes)
+
+
+#: Steps of k-means in the queries, few as SQL takes them one by one.
+_STEPS = 3
+
+
+@query(
+    "block_kmeans",
+    f"""WITH {_VEC}, {_sql_rows()}, {_sql_kmeans(10, _STEPS)},
+    s AS (SELECT g, cluster, count(*) AS n FROM a{_STEPS - 1} GROUP BY 1, 2)
+    SELECT g AS block_id, cluster, coalesce(n, 0) AS n, p AS pos, round(centre[p], 6) AS value
+    FROM c{_STEPS} LEFT JOIN s USING (g, cluster), range(1, 65) t(p)""",
+)
 def block_kmeans(spark, sf_dir):
-    rows = vectors(spark, sf_dir)
-    models = learn.block_kmeans(rows, TRAIN, k=10)
-    return learn.centres_table(rows, models).select(
-        "block_id", "cluster", F.round(F.get(vector_to_array("features"), F.lit(0)), 6).alias("first_value")
+    """The centres of every block's model, component by component."""
+    centres = lloyd.kmeans(vectors(spark, sf_dir), 10, steps=_STEPS, tol=0.0, seed=SEED)
+    return centres.select("block_id", "cluster", "n", F.posexplode("centre").alias("p", "value")).select(
+        "block_id", "cluster", "n", (F.col("p") + 1).cast("bigint").alias("pos"), F.round("value", 6).alias("value")
     )
 
 
@@ -96,9 +186,16 @@ def cluster_global(spark, sf_dir):
     return learn.cluster_global(vectors(spark, sf_dir), k=10)
 
 
-@query("cluster_global_kmeans")
+@query(
+    "cluster_global_kmeans",
+    f"""WITH {_VEC}, rows AS (SELECT 0 AS g, id, vec, label FROM e), {_sql_kmeans(10, _STEPS)}
+    SELECT r.id, arg_min(c.cluster, {{'d': list_distance(r.vec, c.centre), 'c': c.cluster}}) AS prediction
+    FROM rows r JOIN c{_STEPS} c USING (g) GROUP BY 1""",
+)
 def cluster_global_kmeans(spark, sf_dir):
-    return learn.cluster_global(vectors(spark, sf_dir), k=10, kind="kmeans")
+    rows = vectors(spark, sf_dir).withColumn("g", F.lit(0))
+    centres = lloyd.kmeans(rows, 10, steps=_STEPS, tol=0.0, group="g", seed=SEED)
+    return lloyd.with_own_label(rows, centres, "g").select("id", "prediction")
 
 
 # --- vectors ---------------------------------------------------------------
@@ -318,10 +415,16 @@ def ensemble_ncut(spark, sf_dir):
     return ensemble.ensemble_ncut(vectors(spark, sf_dir), TRAIN, TEST, k=10, k_final=5)
 
 
-@query("anchor_labels")
+@query(
+    "anchor_labels",
+    f"""WITH {_VEC}, rows AS (SELECT 0 AS g, id, vec, label FROM e WHERE block_id = {TEST[0]}), {_sql_kmeans(20, _STEPS)},
+    n AS (SELECT c.cluster, any_value(c.centre) AS centre, arg_min(r.label, {{'d': list_distance(r.vec, c.centre), 'i': r.id}}) AS label
+      FROM c{_STEPS} c, rows r GROUP BY 1)
+    SELECT e.id, arg_min(n.label, {{'d': list_distance(e.vec, n.centre), 'c': n.cluster}}) AS label FROM e, n GROUP BY 1""",
+)
 def anchor_labels(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    return spectral.anchor_labels(rows, blocks_at(rows, TEST), k=5, per_cluster=4)
+    return spectral.anchor_labels(rows, blocks_at(rows, TEST), k=5, per_cluster=4, steps=_STEPS)
 
 
 # --- spectral --------------------------------------------------------------
@@ -329,10 +432,10 @@ def anchor_labels(spark, sf_dir):
 
 @query("spectral_gaussian")
 def spectral_gaussian(spark, sf_dir):
-    rows = vectors(spark, sf_dir)
-    models = learn.block_kmeans(rows, TRAIN, k=10)
-    centres = [c for m in models.values() for c in m.clusterCenters()]
-    return spectral.spectral_gaussian(rows, centres, k=3).select("id", "prediction")
+    """The centres of all blocks' models, clustered."""
+    centres = lloyd.kmeans(vectors(spark, sf_dir), 10, seed=SEED)
+    rows = centres.select((F.col("block_id") * 10 + F.col("cluster")).alias("id"), F.col("centre").alias("vec"))
+    return spectral.spectral_gaussian(rows, k=3)
 
 
 @query(
@@ -349,7 +452,7 @@ def spectral_similarity(spark, sf_dir):
 
 @query("spectral_adaptive")
 def spectral_adaptive(spark, sf_dir):
-    return spectral.spectral_adaptive(blocks_at(vectors(spark, sf_dir), TEST), k=5)
+    return spectral.spectral_adaptive(vectors(spark, sf_dir), k=5)
 
 
 # --- message passing -------------------------------------------------------
