@@ -8,11 +8,19 @@ put together, and the result goes back to its pieces.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockmill.runtime import scratch_path, store
+from blockmill.runtime import join_checked, scratch_path, store, store_counted
+
+#: Share of a row's largest value within which another one counts as tied with it.
+TIED = 1e-9
+
+#: Rounds between two looks at the centres.
+LOOK = 10
 
 #: Longest run of entries of one row that is handled by one task.
 ROW_PIECE = 100_000
@@ -20,10 +28,14 @@ ROW_PIECE = 100_000
 
 def start_messages(similarities: DataFrame, row_piece: int = ROW_PIECE) -> DataFrame:
     """(i, k, piece, pieces, r, a) with r = 0 and a = s."""
-    lengths = similarities.groupBy("i").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(row_piece)).cast("int").alias("pieces")
+    lengths, rows = store_counted(
+        similarities.groupBy("i").agg(
+            F.ceil(F.count(F.lit(1)) / F.lit(row_piece)).cast("int").alias("pieces")
+        ),
+        "lengths",
     )
-    return similarities.join(lengths, "i").select(
+    # A long row is not joined in one task either.
+    return join_checked(similarities, lengths, ["i"], rows, F.col("k")).select(
         "i",
         "k",
         F.pmod(F.hash("k"), "pieces").alias("piece"),
@@ -77,10 +89,10 @@ def availabilities(state: DataFrame, damping: float = 0.5) -> DataFrame:
     )
 
 
-def run_rounds(
-    similarities: DataFrame, rounds: int, damping: float = 0.5, row_piece: int = ROW_PIECE
-) -> DataFrame:
-    """(i, k, r, a) after ``rounds`` rounds.
+def _rounds(
+    similarities: DataFrame, rounds: int, damping: float, row_piece: int
+) -> Iterator[DataFrame]:
+    """The state after each round, at the latest until the next but one is asked for.
 
     The state is stored after each round: the plan never grows, and a lost
     executor costs at most the round at hand. Two places are written in turn,
@@ -93,18 +105,49 @@ def run_rounds(
         half = responsibilities(state, damping).persist(StorageLevel.MEMORY_AND_DISK)
         state = store(availabilities(half, damping), "messages", places[done % 2])
         half.unpersist()
+        yield state
+
+
+def run_rounds(
+    similarities: DataFrame, rounds: int, damping: float = 0.5, row_piece: int = ROW_PIECE
+) -> DataFrame:
+    """(i, k, r, a) after ``rounds`` rounds."""
+    for state in _rounds(similarities, rounds, damping, row_piece):
+        pass
     return state.select("i", "k", "r", "a")
 
 
+def centres(state: DataFrame) -> DataFrame:
+    """(i, centre): the k with the largest a + r of a row, the lowest k on a tie.
+
+    Values within ``TIED`` of the largest count as tied with it: the order in which
+    sums are added up changes their last digits from run to run.
+    """
+    valued = state.select("i", "k", "piece", "pieces", (F.col("a") + F.col("r")).alias("v"))
+    most = valued.groupBy("i", "pieces").agg(F.max("v").alias("most"))
+    near = F.col("v") >= F.col("most") - F.lit(TIED) * F.abs("most")
+    return _back_to_pieces(valued, most).where(near).groupBy("i").agg(F.min("k").alias("centre"))
+
+
 def message_passing(
-    similarities: DataFrame, rounds: int = 100, damping: float = 0.5, row_piece: int = ROW_PIECE
+    similarities: DataFrame,
+    rounds: int = 100,
+    damping: float = 0.5,
+    row_piece: int = ROW_PIECE,
+    patience: int | None = 20,
 ) -> DataFrame:
-    """(i, centre): the k with the largest a + r, the lowest k on a tie.
+    """(i, centre) after ``rounds`` rounds, or earlier where nothing changes any more.
 
-    Values that agree to 12 digits count as tied, as the order in which sums
-    are added up changes the digits after that from run to run.
+    Every ``LOOK`` rounds the centres are looked at; when they have stayed the same
+    for ``patience`` rounds, they are taken. Without ``patience`` all rounds are run.
     """
-    final = run_rounds(similarities, rounds, damping, row_piece)
-    value = F.round(F.col("a") + F.col("r"), 12)
-    best = F.max(F.struct(value.alias("v"), (-F.col("k")).alias("neg")))
-    return final.groupBy("i").agg(best.alias("b")).select("i", (-F.col("b.neg")).alias("centre"))
+    last, same, state = None, 0, None
+    for done, state in enumerate(_rounds(similarities, rounds, damping, row_piece), start=1):
+        if patience is None or done % LOOK or done == rounds:
+            continue
+        found = store(centres(state), "centres")
+        changed = last is None or not found.join(last, ["i", "centre"], "left_anti").isEmpty()
+        last, same = found, 0 if changed else same + LOOK
+        if same >= patience:
+            return found
+    return store(centres(state), "centres")

@@ -417,5 +417,20 @@ def test_message_passing_follows_the_recurrence(spark, row_piece):
     want = literal_rounds(sims, 3)
     assert {(r.i, r.k): r.r for r in state} == pytest.approx({k: v[0] for k, v in want.items()})
     assert {(r.i, r.k): r.a for r in state} == pytest.approx({k: v[1] for k, v in want.items()})
-    centres = propagation.message_passing(df, rounds=1, row_piece=row_piece).collect()
-    assert {r.i for r in centres} == {1, 2, 3, 5}
+    for rounds, patience in ((1, None), (3, 20)):
+        state = literal_rounds(sims, rounds)
+        best = {i: max(sum(v) for (ii, _), v in state.items() if ii == i) for i in (1, 2, 3, 5)}
+        lowest = {i: min(k for (ii, k), v in state.items() if ii == i and sum(v) >= b - 1e-9 * abs(b)) for i, b in best.items()}
+        found = propagation.message_passing(df, rounds, row_piece=row_piece, patience=patience)
+        assert {r.i: r.centre for r in found.collect()} == lowest
+
+
+def test_message_passing_stops_when_nothing_changes(spark, monkeypatch):
+    monkeypatch.setattr(propagation, "LOOK", 2)
+    ran = []
+    step = propagation.availabilities
+    monkeypatch.setattr(propagation, "availabilities", lambda *a: ran.append(1) or step(*a))
+    # Two equal best values: a tie goes to the lower k.
+    df = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.5), (2, 1, 0.4)], "i int, k int, s double")
+    found = propagation.message_passing(df, rounds=30, patience=4)
+    assert {r.i: r.centre for r in found.collect()} == {1: 2, 2: 1} and len(ran) == 6
