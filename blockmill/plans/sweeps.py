@@ -17,6 +17,7 @@ from blockmill.operators.mining import (
     tally,
 )
 from blockmill.operators.sizing import itemset_stats, sample_size
+from blockmill.runtime import store
 
 
 def _each(counts: Sequence[int]) -> Column:
@@ -70,7 +71,8 @@ def sweep_block_counts(
 ) -> DataFrame:
     """Judge the merged result of every block count against the one-block result."""
     itemsets, blocks = mine_blockings(baskets, [1, *counts], min_support, max_len=max_len)
-    merged = _merge_each(itemsets, blocks, [])
+    # Written once: it is used as the truth and as what is judged, twice each.
+    merged = store(_merge_each(itemsets, blocks, []), "merged")
     settings = _each(counts).alias("n")
     truth = merged.where("n = 1").select(settings, "items", "freq")
     approx = merged.where(F.col("n").isin(list(counts)))
@@ -98,7 +100,7 @@ def sweep_supports(
         F.floor(F.col("n_rows").cast("double") * F.col("min_support")).cast("bigint"),
     )
     kept = itemsets.withColumn("min_support", level).where(F.col("freq") >= needed)
-    merged = _merge_each(kept, blocks, ["min_support"])
+    merged = store(_merge_each(kept, blocks, ["min_support"]), "merged")
     truth = merged.where("n = 1")
     approx = merged.where(F.col("n") == n_blocks)
     scores = evaluate_itemsets(approx, truth, ["min_support"])

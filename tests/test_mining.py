@@ -1,5 +1,6 @@
 import math
 import random
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from blockmill import runtime
 from blockmill.functions.itemsets import canonical, itemset_key, parse_key
 from blockmill.operators import mining as M
+from blockmill.operators import rules
 from blockmill.operators.blocks import assign_blocks
 from blockmill.plans.itemsets import full_itemsets, sampled_local_itemsets
 from tests.helpers import brute_blocks, brute_itemsets, random_baskets
@@ -164,3 +166,43 @@ def test_keys_sort_numbers_as_numbers(spark):
     assert row.first().key == "{2,9,10}"
     back = row.select(parse_key(F.col("key"), "int").alias("items")).first()["items"]
     assert back == [2, 9, 10]
+
+
+def brute_rules(counts, min_confidence):
+    """{(left, right): freq} over {itemset: count}"""
+    return {
+        (left, tuple(sorted(set(whole) - set(left)))): n
+        for whole, n in counts.items()
+        for size in range(1, len(whole))
+        for left in combinations(whole, size)
+        if n / counts[left] >= min_confidence
+    }
+
+
+@pytest.mark.parametrize("min_confidence", [0.0, 0.3, 0.7])
+def test_rules_of_any_length_equal_brute_force(spark, min_confidence, monkeypatch):
+    monkeypatch.setattr("blockmill.runtime.BROADCAST_ROWS", 3)
+    rng = random.Random(12)
+    groups = {None: random_baskets(rng, 40, 6, 5), 1: random_baskets(rng, 60, 5, 4), 2: [[3]]}
+    rows = [(g, list(items), n) for g, b in groups.items() for items, n in brute_itemsets(b, 2 if g else 1).items()]
+    df = spark.createDataFrame(rows, "block_id bigint, items array<int>, freq bigint")
+    got = rules.rules(df, min_confidence, ["block_id"]).collect()
+    want = {
+        (g, *key): n
+        for g, b in groups.items()
+        for key, n in brute_rules(brute_itemsets(b, 2 if g else 1), min_confidence).items()
+    }
+    assert {(r.block_id, tuple(r.antecedent), tuple(r.consequent)): r.freq for r in got} == want
+    assert len(got) == len(want)
+
+
+def test_rules_of_the_three_by_four_matrix(spark):
+    """Every basket has items of its own, so every rule within a basket is certain."""
+    baskets = [[i * 4 + j for j in range(4)] for i in range(3)]
+    df = spark.createDataFrame([(b,) for b in baskets], "items array<int>").withColumn("block_id", F.lit(0).cast("bigint"))
+    mined = M.mine_blocks(df, min_count=1).itemsets
+    got = rules.rules(mined, 0.99).collect()
+    assert len(got) == 3 * (3**4 - 2 * 2**4 + 1) and {r.confidence for r in got} == {1.0}
+    short = rules.rules(mined, 0.99, max_right=1).collect()
+    assert len(short) == 3 * (4 * 3 + 4 * 3 + 4) and all(len(r.consequent) == 1 for r in short)
+    assert rules.rules(mined.limit(0), 0.5).count() == 0

@@ -203,7 +203,7 @@ def snk_csv(spark, sf_dir):
     return back.select("o_orderkey", F.round("o_totalprice", 6).alias("o_totalprice"))
 
 
-_REBLOCK = (1, 11, 21)
+_REBLOCK = range(1, 22, 2)
 
 
 @query(
@@ -314,11 +314,33 @@ def draw_block_ids(spark, sf_dir):
 
 @query(
     "random_files",
+    f"WITH {_BLOCKED} SELECT 100 AS wanted, block_id, count(*) AS n FROM ob GROUP BY 2 "
+    "UNION ALL SELECT 5, -1, 5",
+)
+def random_files(spark, sf_dir):
+    """A hundred files are more than the table has: all its rows, per block. Of five
+    random files, which are named by chance, only their number is known."""
+    path = scratch_path(spark, "files")
+    W.write_blocks(blocked_orders(spark, sf_dir), path)
+
+    def read(n: int) -> DataFrame:
+        rows = R.read_files(spark, R.random_files(spark, path, n, SEED))
+        return B.assign_blocks(rows, N_BLOCKS, "o_orderkey", SEED).withColumn("wanted", F.lit(n))
+
+    every = read(100).groupBy("wanted", "block_id").agg(F.count(F.lit(1)).alias("n"))
+    few = read(5).select("wanted", "_metadata.file_path").groupBy("wanted").agg(
+        F.count_distinct("file_path").alias("n")
+    )
+    return every.unionByName(few.withColumn("block_id", F.lit(-1).cast("bigint")))
+
+
+@query(
+    "random_stored_blocks",
     f"WITH {_BLOCKED}, {_RANKED} SELECT o_orderkey, o_totalprice, block_id FROM ob "
     "WHERE block_id IN (SELECT block_id FROM rb WHERE rn <= 5)",
 )
-def random_files(spark, sf_dir):
-    """Rows of five random files of one table, which has a file per block."""
+def random_stored_blocks(spark, sf_dir):
+    """Rows of five random blocks of a stored table."""
     path = scratch_path(spark, "files")
     W.write_blocks(blocked_orders(spark, sf_dir), path)
     return R.random_stored_blocks(spark, path, 5, SEED).select(

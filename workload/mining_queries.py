@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockmill.functions.itemsets import itemset_key
-from blockmill.operators import enrich, evaluate, mining, sizing
+from blockmill.operators import enrich, evaluate, mining, rules, sizing
 from blockmill.operators.mining import LocalItemsets, mine_blocks
 from blockmill.plans import sweeps
 from blockmill.plans.itemsets import (
@@ -232,6 +232,27 @@ def assoc_rules(spark, sf_dir):
     )
 
 
+@query(
+    "assoc_rules_long",
+    f"""WITH {sql_blocked("p_type")}, {sql_local()} SELECT z.block_id, {sql_key('a.items')} AS antecedent,
+      {sql_key('list_filter(z.items, lambda x: NOT list_contains(a.items, x))')} AS consequent, z.freq,
+      round(z.freq::DOUBLE / a.freq, 6) AS confidence
+    FROM loc z JOIN loc a ON a.block_id = z.block_id AND len(a.items) < len(z.items) AND list_has_all(z.items, a.items)
+    WHERE z.freq::DOUBLE / a.freq >= {MIN_CONFIDENCE}::DOUBLE""",
+)
+def assoc_rules_long(spark, sf_dir):
+    """All rules of every block, with any number of part types on either side."""
+    local = mine_blocks(stored_baskets(spark, sf_dir, "p_type"), min_support=SUPPORT)
+    found = rules.rules(local.itemsets, MIN_CONFIDENCE, ["block_id"])
+    return found.select(
+        "block_id",
+        itemset_key(F.col("antecedent")).alias("antecedent"),
+        itemset_key(F.col("consequent")).alias("consequent"),
+        "freq",
+        F.round("confidence", 6).alias("confidence"),
+    )
+
+
 _BLOCK_RULES = _RULES.format(by="b.block_id, ", on="a.block_id = b.block_id AND ", table="loc")
 
 
