@@ -50,6 +50,8 @@ MAX_SOURCES = 10_000
 ROUNDS = 32
 #: Positions that one row stands for before they are spread over the cluster.
 CHUNK = 256
+#: Such rows of one task.
+TASK_CHUNKS = 16
 #: Nodes of the tree at which its rows are spread over the cluster.
 SPREAD_NODES = 64
 
@@ -280,6 +282,8 @@ class Mix:
         words = self.plan.first()["words"]
         self.stripes = max(1, -(-n_rows // STRIPE_ROWS))
         self.shards = max(1, -(-words // SHARD_WORDS))
+        # Told by number: rows this small would be put together into one task.
+        self.draw_tasks = max(1, -(-words // (BLOCK_WORDS * CHUNK * TASK_CHUNKS)))
 
     def placed(self) -> DataFrame:
         """The rows with their source's recipe and ``start``, the words of the source before them."""
@@ -327,7 +331,7 @@ class Mix:
             F.col("rank").cast("long").alias("rank"),
             last.alias("last"),
             F.explode(F.sequence(F.col("run.starts"), last, F.lit(CHUNK).cast("long"))).alias("from"),
-        ).repartition("shard", "rank", "from")
+        ).repartition(self.draw_tasks, "shard", "rank", "from")
         taken = chunks.select(
             "shard",
             "rank",
