@@ -43,7 +43,7 @@ SOURCE_BLOCKS = 256
 #: Words of an output shard, about 100 MB of text.
 SHARD_WORDS = 16 << 20
 #: Rows of one stripe of running counts.
-STRIPE_ROWS = 50_000
+STRIPE_ROWS = 5_000
 #: Sources of one mix.
 MAX_SOURCES = 10_000
 #: Swapping steps of a permutation.
