@@ -45,3 +45,41 @@ def split_row_number(
         .withColumn(name, F.col("_start") + F.col("_within"))
         .drop("_group", "_stripe", "_within", "_start")
     )
+
+
+def split_running_sum(
+    df: DataFrame,
+    by: Sequence[str],
+    stripe: Column,
+    order: Sequence[Column],
+    value: Column,
+    name: str,
+    peers: bool = False,
+    total: str | None = None,
+) -> DataFrame:
+    """Add ``sum(VALUE) over (partition by BY order by ORDER rows unbounded preceding)``
+    as ``name``, and the sum of the group as ``total`` if named.
+
+    With ``peers`` the frame is by RANGE: rows equal in ``order`` share their sum.
+    ``stripe`` as in ``split_row_number``; with ``peers`` it must be a function of
+    ``order``, so that equal rows share a stripe.
+    """
+    group = ["_group"] if by else []
+    keys = [*group, "_stripe"]
+    striped = df.withColumns({"_stripe": stripe, "_value": value})
+    if by:
+        striped = striped.withColumn("_group", F.struct(*by))
+    before = Window.partitionBy(*group).orderBy("_stripe").rowsBetween(Window.unboundedPreceding, -1)
+    starts = striped.groupBy(*keys).agg(F.coalesce(F.sum("_value"), F.lit(0)).alias("_n")).select(
+        *keys,
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
+        *([F.sum("_n").over(Window.partitionBy(*group)).alias(total)] if total else []),
+    )
+    within = Window.partitionBy(*keys).orderBy(*order)
+    frame = (within.rangeBetween if peers else within.rowsBetween)(Window.unboundedPreceding, Window.currentRow)
+    return (
+        striped.withColumn("_within", F.coalesce(F.sum("_value").over(frame), F.lit(0)))
+        .join(starts, keys)
+        .withColumn(name, F.col("_start") + F.col("_within"))
+        .drop("_group", "_stripe", "_value", "_within", "_start")
+    )
