@@ -44,6 +44,8 @@ CLOSES = {
 SCOPES = frozenset("article body div dl html main ol section table ul".split())
 #: Blocks nested deeper than this only end lines, as in browsers.
 DEEPEST = 512
+#: What may stand in a head; anything else ends one that was not closed.
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
 #: Words of class, id and role that mark what is not the article.
 OTHER_WORDS = frozenset(
     "ad ads advert advertisement adverts advertising adsense sponsor sponsored promo promotion banner sidebar sidebars "
@@ -55,7 +57,7 @@ OTHER_WORDS = frozenset(
 #: Words that make the next one a statement about the surroundings.
 ABOUT = frozenset("has no not with without".split())
 #: Elements that are never dropped for what they are called.
-KEPT = frozenset("html body main article".split())
+KEPT = frozenset("html body main".split())
 _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -91,13 +93,17 @@ def _is_other(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
 class _Reader(HTMLParser):
     """Builds the tree; never fails on broken markup."""
 
-    def __init__(self):
+    def __init__(self, by_name: bool = True):
         super().__init__(convert_charrefs=True)
+        self.by_name = by_name  # whether elements are dropped for what they are called
+        self.dropped_by_name = False
         self.root = self.at = Node("html", None)
         self.skipped: list[str] = []  # open elements within a dropped one
         self.links = 0
 
     def handle_starttag(self, tag, attrs):
+        if self.skipped:
+            self._end_skipped(tag)
         if self.skipped:
             if tag not in VOID:
                 self.skipped.append(tag)
@@ -106,7 +112,9 @@ class _Reader(HTMLParser):
             self._end_paragraph()
         for old in CLOSES.get(tag, ()):
             self._close(old)
-        dropped = tag in DROPPED or _is_other(tag, attrs) or tag == "header" and not self._inside_article()
+        dropped = tag in DROPPED or tag == "header" and not self._inside_article()
+        if not dropped and self.by_name and _is_other(tag, attrs):
+            dropped = self.dropped_by_name = True
         if dropped:
             if tag not in VOID:
                 self.skipped.append(tag)
@@ -147,7 +155,10 @@ class _Reader(HTMLParser):
             if tag in self.skipped:
                 while self.skipped.pop() != tag:
                     pass
-            return
+                return
+            if tag not in BLOCKS or not self._is_open(tag):
+                return
+            self.skipped.clear()  # the end of an element around it ends a dropped one
         if tag == "a":
             self.links = 0
         elif tag in ("td", "th"):
@@ -164,6 +175,27 @@ class _Reader(HTMLParser):
         if self.links:
             self.at.link_chars += size
 
+    def _end_skipped(self, tag: str) -> None:
+        """End dropped elements that a starting ``tag`` closes, as their end tags may be left out."""
+        if self.skipped == ["head"] and tag not in IN_HEAD:
+            self.skipped.clear()
+            return
+        closed = CLOSES.get(tag, ()) + (("p",) if tag in BLOCKS else ())
+        for n in range(len(self.skipped) - 1, -1, -1):
+            if self.skipped[n] in closed:
+                del self.skipped[n:]
+                return
+            if self.skipped[n] in BLOCKS or self.skipped[n] in DROPPED:
+                return
+
+    def _is_open(self, tag: str) -> bool:
+        node = self.at
+        while node.up is not None:
+            if node.tag == tag:
+                return True
+            node = node.up
+        return False
+
     def _inside_article(self) -> bool:
         node = self.at
         while node is not None:
@@ -280,35 +312,50 @@ def _holds(node: Node, inner: Node) -> bool:
 
 
 def _article(root: Node) -> Node:
-    """The page's only article or main element if there is one, else its body."""
+    """The page's only article or main element, if it has the densest block or half
+    of the text, else its body: a teaser that is the only article is not the story."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo.extend(reversed(node.nodes()))
+    densest = max((n for n in order if not n.nodes()), key=lambda n: n.density, default=root)
     for tag in ("article", "main"):
-        found, todo = [], [root]
-        while todo:
-            node = todo.pop()
-            if node.tag == tag:
-                found.append(node)
-            else:
-                todo.extend(node.nodes())
-        found = [n for n in found if n.chars]
-        if len(found) == 1:
+        found = [n for n in order if n.tag == tag and n.chars]
+        found = [n for n in found if not any(_holds(o, n) for o in found if o is not n)]
+        if len(found) == 1 and (_holds(found[0], densest) or 2 * found[0].chars >= root.chars):
             return found[0]
     return root
 
 
 def main_text(html: str | None) -> str:
     """Article of a page: blocks in page order joined by a newline, white space
-    within a block turned into one space. Null or empty: the empty text."""
+    within a block turned into one space. Null or empty: the empty text.
+
+    Names of elements are no ground to drop all there is: a page of which nothing
+    is left is read again without regard to them.
+    """
     if not html:
         return ""
-    reader = _Reader()
     last = html.rfind("<")
     if last >= 0 and html.find(">", last) < 0 and (html[last + 1 : last + 2].isalpha() or html[last + 1 : last + 2] == "/"):
         html = html[:last]  # a tag cut off by the end of the page
+    reader = _Reader()
     reader.feed(html)
     reader.close()
-    _wrap_loose_text(reader.root)
-    _measure(reader.root)
-    top = _article(reader.root)
+    text = _text_of_tree(reader.root)
+    if not text and reader.dropped_by_name:
+        reader = _Reader(by_name=False)
+        reader.feed(html)
+        reader.close()
+        text = _text_of_tree(reader.root)
+    return text
+
+
+def _text_of_tree(root: Node) -> str:
+    _wrap_loose_text(root)
+    _measure(root)
+    top = _article(root)
     chosen = _chosen(top)
     blocks: list[str] = []
     line: list[str] = []

@@ -84,3 +84,27 @@ def test_column(spark):
     df = spark.createDataFrame([(1, None, "t"), (1, "<p>x</p>", "t")], "page_id long, html string, text string")
     assert [r[0] for r in df.select(main_texts("html")).collect()] == ["", "x"]
     assert df.limit(0).select(main_texts("html")).count() == 0
+
+
+STORY = LONG * 6
+
+
+@pytest.mark.parametrize("page", [
+    "<head><title>x</title><body><div>{}</div></body>",
+    "<ul><li class='share'>s<li>y</ul><div>{}</div>",
+    "<p class='notice'>we use<div>{}</div>",
+    "<section><div class='advert'>buy</section><div>{}</div>",
+    "<table><tr class='menu'><td>m<tr><td>{}</table>",
+    "<article class='comment'>I think so too.</article><div>{}</div>",
+    "<div class='social-science-story'>{}</div>",
+])
+def test_dropped_elements_end_where_html_ends_them(page):
+    text = main_text(page.format(STORY))
+    assert STORY.strip() in text and "buy" not in text and "we use" not in text and "think" not in text
+
+
+def test_a_teaser_is_not_the_story():
+    text = main_text(f"<div>{STORY}</div><article class='card'>Teaser</article>")
+    assert STORY.strip() in text
+    both = main_text(f"<article><p>{STORY}</p><p>End.</p></article><div>Short.</div>")
+    assert both == f"{STORY.strip()}\nEnd."
