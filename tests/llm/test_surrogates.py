@@ -131,3 +131,14 @@ def test_names_that_recur_without_a_title(spark):
     assert a == d == g and b == c == e and f == b.upper() and "John" not in got[0][0] and "Smith " not in got[0][0]
     a, b, c, d, e, f = re.fullmatch(r"Mrs (\w+) (\w+) (\w+): (\w+), (\w+); call .*, (\w+)!", got[2][0]).groups()
     assert (a, b, c) == (f, e, d) and not {a, b, c} & {"Anna", "Maria", "Lopez"}
+
+
+def test_long_hosts_and_runs_are_read_in_one_go(spark):
+    """Neither thousands of labels nor a megabyte of letters stop the engine."""
+    texts = ["x@" + "a." * 3000 + "a", "1 " + "b" * 1_000_000, "mail ann.lee@mail.example.org now", "9" * 200_000 + "@", "=" + "c-" * 200_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in surrogates.replace_private(df, "key").select("doc_id", "text").collect()}
+    assert len(got) == 5 and got[1] == texts[1] and got[3] == texts[3] and got[4] == texts[4]
+    assert "ann.lee" not in got[2] and got[2].startswith("mail ") and got[2].endswith(" now")
+    # The first 127 labels of the long host are the entity.
+    assert not got[0].startswith("x@") and got[0].endswith("a." * 2000 + "a")
