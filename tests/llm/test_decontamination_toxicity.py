@@ -1,7 +1,11 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +146,58 @@ def test_words_are_counted_once_per_document(spark):
     df = spark.createDataFrame([("a b a", 1), ("a", 0), ("b c", None), (None, 1)], "text string, side int")
     got = {r.word: (r.n_toxic, r.n_plain, r.n_all) for r in toxicity.word_counts(df.withColumn("x", F.lit(1))).collect()}
     assert got == {"a": (1, 1, 2), "b": (1, 0, 2), "c": (0, 0, 1)}
+
+
+def kneser_ney(docs, order=toxicity.ORDER, discount=toxicity.DISCOUNT):
+    """Difference of a word, from counts in dictionaries: [(text, side)] -> function"""
+    own = {1: Counter(), 0: Counter()}
+    every = set()
+    for text, side in docs:
+        for word in set(toxicity.words_of(text)):
+            for gram in toxicity._grams(word):
+                every.add(gram)
+                if side is not None:
+                    own[side][gram] += 1
+
+    def shared(gram):
+        p = 1 / 1000
+        for m in range(1, len(gram) + 1):
+            part = gram[-m:]
+            longer = {g[-m - 1 :] for g in every if len(g) > m}
+            after = Counter(g[1:] for g in longer if g[1:-1] == part[:-1])
+            p = (max(after[part] - discount, 0) + discount * len(after) * p) / sum(after.values())
+        return p
+
+    def probability(gram, side, below):
+        here = {g: n for g, n in own[side].items() if g[:-1] == gram[:-1]}
+        if not here:
+            return below
+        return (max(here.get(gram, 0) - discount, 0) + discount * len(here) * below) / sum(here.values())
+
+    def difference(word):
+        out = 0.0
+        for gram in toxicity._grams(word):
+            below = shared(gram[1:]) if any(own[s][gram] for s in (0, 1)) else 1.0
+            out += math.log(probability(gram, 1, below) / probability(gram, 0, below))
+        return out
+
+    return difference
+
+
+def test_differences_equal_counts_in_dictionaries(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcé", k=rng.randint(1, 7)))
+    docs = [(" ".join(word() for _ in range(6)), rng.choice([0, 0, 1, None])) for _ in range(40)]
+    spelling = toxicity.fit_spelling(toxicity.word_counts(spark.createDataFrame(docs, "text string, side int")))
+    words = sorted({word() for _ in range(60)} | {"zzz", "a", "abz", "𝔸a"})
+    plain = kneser_ney(docs)
+    assert spelling.score(words)[0].tolist() == pytest.approx([plain(w) for w in words], abs=1e-4)
+
+
+def test_sequences_beyond_the_bound_count_as_unseen(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SEQUENCES", 3)
+    docs, labels = toy(spark)
+    df = spark.createDataFrame([(t, labels[i][1]) for i, t in docs], "text string, side int")
+    spelling = toxicity.fit_spelling(toxicity.word_counts(df))
+    assert len(spelling.seen.keys) == len(spelling.unseen.keys) == 3
+    assert toxicity.Known.of(pd.DataFrame({"key": [], "d": []})).find(np.zeros(2, dtype=np.uint64)).size == 2
