@@ -2,7 +2,8 @@
 
 The trie goes from the last host label to the first and then along the path
 segments. A rule ends at a host node with a run of whole segments and the
-beginning of the next one. The deepest rule on the way of a url decides.
+beginning of the next one. Of the rules on the way of a url the longest, host and
+path together, decides; of equally long ones the one with the longer host.
 """
 
 from __future__ import annotations
@@ -25,6 +26,15 @@ class _Paths:
     below: dict[str, _Paths] = field(default_factory=dict)
     #: beginning of the next segment -> (rule, verdict)
     starts: dict[str, tuple[str, str]] = field(default_factory=dict)
+    #: lengths of these beginnings, longest first
+    lengths: list[int] = field(default_factory=list)
+
+    def longest(self, segment: str) -> tuple[str, str] | None:
+        """The longest beginning of a segment: one look-up per length, however many there are."""
+        for length in self.lengths:
+            if length <= len(segment) and (entry := self.starts.get(segment[:length])):
+                return entry
+        return None
 
 
 @dataclass
@@ -59,9 +69,11 @@ class UrlTrie:
                 place = place.below.setdefault(segment, _Paths())
             if rest[-1] not in place.starts or verdict == "block":
                 place.starts[rest[-1]] = entry
+            if len(rest[-1]) not in place.lengths:
+                place.lengths = sorted([*place.lengths, len(rest[-1])], reverse=True)
 
     def find(self, host: str, path: str) -> tuple[str, str] | None:
-        """The rule and verdict of the longest match, hosts before paths."""
+        """The rule and verdict of the longest match."""
         best, node = None, self._root
         segments = path.split("/")[1:]
         for label in reversed(host.split(".")):
@@ -73,11 +85,10 @@ class UrlTrie:
             for segment in segments:
                 if place is None:
                     break
-                fits = [s for s in place.starts if segment.startswith(s)]
-                if fits:
-                    here = place.starts[max(fits, key=len)]
+                here = place.longest(segment) or here
                 place = place.below.get(segment)
-            best = here or best
+            if here and (best is None or len(here[0]) >= len(best[0])):
+                best = here
         return best
 
 
@@ -98,6 +109,7 @@ def judge_urls(
 ) -> DataFrame:
     """Add ``host``, ``path``, ``rule`` and ``verdict`` (replacing such columns).
 
+    The longest rule counts (see above), and of two equal ones a block.
     Null urls and urls without ``://`` have an empty host and path, no rule and
     the verdict ``otherwise``. The path must begin with the rule's, so a url
     without any path does not fit a rule whose path is ``/``. Rows stay one to

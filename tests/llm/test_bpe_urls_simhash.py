@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -68,6 +69,35 @@ def test_url_trie_longest_wins():
     assert trie.find("k.c", "") == ("c", "block")
 
 
+def test_url_trie_equals_all_rules_tried_in_turn():
+    rng = random.Random(3)
+    part = lambda: "".join(rng.choices("ab", k=rng.randint(0, 3)))
+    host = lambda: ".".join(part() or "c" for _ in range(rng.randint(1, 3)))
+    path = lambda: "".join("/" + part() for _ in range(rng.randint(0, 3)))
+    rules = [(host(), path(), rng.choice(["allow", "block"])) for _ in range(150)]
+    trie, hits = urls.UrlTrie(rules), 0
+    for _ in range(3000):
+        h, p = host(), path()
+        fits = [r for r in rules if ("." + h).endswith("." + r[0]) and p.startswith(r[1])]
+        best = max(fits, key=lambda r: (len(r[0] + r[1]), len(r[0]), r[2] == "block"), default=None)
+        assert trie.find(h, p) == (best and (best[0] + best[1], best[2]))
+        hits += best is not None
+    assert hits > 1000
+
+
+def test_url_trie_longer_path_before_deeper_host():
+    trie = urls.UrlTrie([("org", "/es/long/path", "allow"), ("example.org", "/es/", "block")])
+    assert trie.find("example.org", "/es/long/path/x") == ("org/es/long/path", "allow")
+    assert trie.find("example.org", "/es/other") == ("example.org/es/", "block")
+
+
+def test_many_rules_of_one_segment():
+    trie = urls.UrlTrie([("a.b", f"/p{i}", "block") for i in range(100_000)])
+    started = time.perf_counter()
+    assert all(trie.find("a.b", f"/p{i}x") == (f"a.b/p{i}", "block") for i in range(20_000))
+    assert time.perf_counter() - started < 5
+
+
 def slow_fingerprint(text):
     words = (text or "").encode().lower().split()
     if not words:
