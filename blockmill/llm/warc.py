@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,30 +28,102 @@ VERSION = "WARC/1.1"
 #: Given to responses without a date of their own.
 CAPTURED = "2024-01-01T00:00:00Z"
 
-# Only comments, scripts and styles run to the end of a page that doesn't close them.
-_UNSEEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|$)|<svg\b[^>]*/>|<(template|noscript|svg)\b[^>]*>.*?</\2\s*>",
-    re.I | re.S,
+# A quoted value may hold ">". Possessive, so that a tag is read once.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>"']*+)(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+_BARE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)[^>]*+>")
+#: Their contents are never text; the first two run to the end of a page that doesn't
+#: close them, of the others only the tag is left out then.
+_TO_THE_END, _IF_CLOSED = ("script", "style"), ("template", "noscript", "svg")
+_CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in (*_TO_THE_END, *_IF_CLOSED)}
+#: What may stand in a head that isn't closed.
+_IN_HEAD = {"base", "basefont", "bgsound", "link", "meta", "noscript", "template", "title"}
+_LINE_ENDS = set(
+    "address article aside blockquote body br caption center dd div dl dt fieldset figcaption figure footer form "
+    "h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul".split()
 )
-# A head ends at its closing tag, else before the first thing that cannot be in one.
-_HEAD = re.compile(
-    r"<head\b[^>]*>(?:(?:(?!<body\b).)*?</head\s*>|"
-    r"(?:\s+|<title\b[^>]*>.*?</title\s*>|</?(?:base|basefont|bgsound|link|meta|noscript|template|title)\b[^>]*>)*)",
-    re.I | re.S,
-)
-_LINE_ENDS = re.compile(
-    r"</?(?:address|article|aside|blockquote|body|br|caption|center|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|"
-    r"h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)\b[^>]*>",
-    re.I,
-)
-_TAGS = re.compile(r"</?[a-zA-Z][^>]*>|<[!?][^>]*>")
+_SPACE = re.compile(r"\s+")
+
+
+def _tokens(page: str) -> list[tuple[str, str]]:
+    """``("", text)``, and ``(name, "")`` or ``("/name", "")`` for tags; comments and
+    unseen elements are a space. Each character is looked at a bounded number of times:
+    what was once looked for in vain is not looked for again."""
+    out, at, last = [], 0, page.rfind(">")
+    quotes, lost = True, set()
+    while True:
+        start = page.find("<", at)
+        if start < 0 or start > last:
+            # An open comment hides the rest also where nothing is closed any more.
+            comment = page.find("<!--", at)
+            out.append(("", page[at:] if comment < 0 else page[at:comment]))
+            return out
+        if start > at:
+            out.append(("", page[at:start]))
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            out.append(("", " "))
+            if end < 0:
+                return out
+            at = end + 3
+            continue
+        if page[start + 1] in "!?":
+            at = page.index(">", start) + 1
+            continue
+        tag = _TAG.match(page, start) if quotes else None
+        if tag is None:
+            tag = _BARE_TAG.match(page, start)
+            if tag is None:
+                out.append(("", "<"))
+                at = start + 1
+                continue
+            # A quote stays open to the end of the page: none is heeded from here on.
+            quotes = False
+        slash, name, at = tag[1], tag[2].lower(), tag.end()
+        if name == "svg" and page[at - 2] == "/":
+            out.append(("", " "))
+            continue
+        if not slash and name in _CLOSING:
+            close = None if name in lost else _CLOSING[name].search(page, at)
+            if close or name in _TO_THE_END:
+                out.append(("", " "))
+                if close is None:
+                    return out
+                at = close.end()
+                continue
+            lost.add(name)
+        out.append((slash + name, ""))
+
+
+def _next_of(tokens: list[tuple[str, str]], name: str) -> Callable[[int], int]:
+    """Where the next tag of a name is at or after a token; the number of tokens if nowhere."""
+    places = [i for i, (tag, _) in enumerate(tokens) if tag == name]
+    return lambda i: places[k] if (k := bisect_left(places, i)) < len(places) else len(tokens)
 
 
 def plain_text(page: str | None) -> str:
     """Text of a whole page: no scripts, styles, head or comments, one line per
-    block, character references decoded, white space within a line made one space."""
-    marked = _TAGS.sub("", _LINE_ENDS.sub("\n", re.sub(r"\s+", " ", _HEAD.sub(" ", _UNSEEN.sub(" ", page or "")))))
-    lines = (" ".join(html.unescape(line).split()) for line in marked.split("\n"))
+    block, character references decoded, white space within a line made one space.
+
+    A head ends at its closing tag, or where a body begins before that (or there is
+    none) at the first thing that cannot be in a head. Takes time in proportion to the
+    page, whatever is left open in it."""
+    tokens = _tokens(page or "")
+    head_end, body, title_end = (_next_of(tokens, name) for name in ("/head", "body", "/title"))
+    out, i = [], 0
+    while i < len(tokens):
+        tag, text = tokens[i]
+        i += 1
+        if tag == "head":
+            out.append(" ")
+            if head_end(i) < body(i):
+                i = head_end(i) + 1
+            while i < len(tokens) and (tokens[i][0].lstrip("/") in _IN_HEAD or (not tokens[i][0] and tokens[i][1].isspace())):
+                i = (title_end(i) if tokens[i][0] == "title" and title_end(i) < len(tokens) else i) + 1
+        elif tag:
+            out.append("\n" if tag.lstrip("/") in _LINE_ENDS else "")
+        else:
+            out.append(_SPACE.sub(" ", text))
+    lines = (" ".join(html.unescape(line).split()) for line in "".join(out).split("\n"))
     return "\n".join(line for line in lines if line)
 
 
@@ -111,13 +184,16 @@ def derive(responses: DataFrame) -> DataFrame:
     ``warc_type, derived_id, refers_to, content_type, block, block_digest,
     payload_digest, content_length, header``. Two rows for each one; fields
     whose value is null or empty are left out of the headers; a null payload is
-    an empty one. A response without a record id is given one from its target,
+    an empty one. A ``payload_digest`` that a response brings is kept, else it is
+    worked out. A response without a record id is given one from its target,
     date and payload.
     """
     payload = text_of("payload")
     headers = text_of("http_headers")
     source_id = F.coalesce("record_id", record_id(F.col("target_uri"), F.col("warc_date"), payload))
     source_digest = digest(payload)
+    if "payload_digest" in responses.columns:
+        source_digest = F.coalesce(F.col("payload_digest").cast("string"), source_digest)
     lines = F.filter(F.split(headers, "\r?\n"), lambda x: x != "")
     named = F.transform(
         lines,

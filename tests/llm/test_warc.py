@@ -1,6 +1,8 @@
 import gzip
 import hashlib
 import re
+import time
+from html.parser import HTMLParser
 
 import duckdb
 
@@ -78,3 +80,78 @@ def test_odd_rows(spark):
     bare = spark.createDataFrame([(None, None, None, None, None)], "record_id string, target_uri string, warc_date string, http_headers string, payload string")
     assert [r.refers_to is not None for r in warc.derive(bare).collect()] == [True, True]
     assert warc.derive(warc.responses_of_pages(df.limit(0))).count() == 0
+
+
+class Reader(HTMLParser):
+    """Text by a parser that shares nothing with the operator; for pages that close what they open."""
+
+    HIDDEN = ("head", "script", "style", "template", "noscript", "svg")
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.hidden, self.out = [], []
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.HIDDEN:
+            self.hidden.append(tag)
+        self.cut(tag)
+
+    def handle_endtag(self, tag):
+        if self.hidden and self.hidden[-1] == tag:
+            self.hidden.pop()
+        self.cut(tag)
+
+    def cut(self, tag):
+        if tag in warc._LINE_ENDS:
+            self.out.append(None)
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.out.append(data)
+
+    def text(self):
+        lines = [[]]
+        for piece in self.out:
+            if piece is None:
+                lines.append([])
+            else:
+                lines[-1].append(piece)
+        return "\n".join(x for x in (" ".join("".join(line).split()) for line in lines) if x)
+
+
+def test_text_equals_that_of_another_parser(spark):
+    pages = duckdb.sql(f"SELECT page_id, html FROM '{DATA.replace('0.001', '0.01')}/pages.parquet'").fetchall()
+    for page, html in pages:
+        assert warc.plain_text(html) == Reader(html).text(), page
+
+
+def test_quoted_attributes_and_stray_signs():
+    assert warc.plain_text("<p title='a>b' x=\"c>d\">x</p>") == "x"
+    assert warc.plain_text("a < b <3 c <") == "a < b <3 c <"
+    assert warc.plain_text("<p>it's<b>so</b>") == "it'sso"
+    # A quote that stays open is none.
+    assert warc.plain_text("<p title='a>seen<b c=\"d>e</b>f</p>") == "seenef"
+    assert warc.plain_text("<!doctype html><p>a<!-- b > c --><br/>d<!-- e") == "a\nd"
+
+
+def test_what_is_left_open_takes_time_in_proportion():
+    for piece in ("<head>", "<noscript>", "<template>", "<head><title>", "<svg>", "<!", "<a '", "<a '>\"", "</head><head>", "<"):
+        started = time.perf_counter()
+        warc.plain_text(piece * 150_000 + ">x")
+        assert time.perf_counter() - started < 8, piece
+
+
+def test_digests_of_a_response_are_kept(spark):
+    rows = [("a", "p", "sha1:OWN"), ("b", "p", None)]
+    df = spark.createDataFrame(
+        [(i, "u", "2024-01-01T00:00:00Z", "", p, d) for i, p, d in rows],
+        "record_id string, target_uri string, warc_date string, http_headers string, payload string, payload_digest string",
+    )
+    got = {(r.refers_to, r.warc_type): r for r in warc.derive(df).collect()}
+    worked_out = "sha256:" + hashlib.sha256(b"p").hexdigest()
+    for i, want in (("a", "sha1:OWN"), ("b", worked_out)):
+        assert got[i, "metadata"].payload_digest == got[i, "conversion"].payload_digest == want
+        assert f"payload-digest: {want}" in got[i, "metadata"].block
+        assert f"WARC-Source-Payload-Digest: {want}" in got[i, "conversion"].header
