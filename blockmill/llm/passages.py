@@ -12,12 +12,11 @@ Runs with equal min-hashes in several documents are candidates. A run stands for
 those of its band value that are word for word the same, whole. Two distinct runs
 are laid over each other at the shared min-hash and linked by the passages of both
 that have a Jaccard similarity of ``SIMILARITY``. All are compared with the head of
-their band value, the run that stands for most; those that don't match it are
-compared with all others of the band value, block by block. Runs that lay two
-documents over each other at the same distance are joined into stretches before they
-are compared, so a passage is compared once, whatever the number of its bands and
-runs. A comparison is only left out where it could not join anything: the two are
-linked through others, and the later one has a partner.
+their band value, the run that stands for most, and with all others of the band
+value, block by block. Runs that lay two documents over each other at the same
+distance as their heads are joined into stretches before they are compared with
+those, so such a passage is compared once, whatever the number of its bands and
+runs. No two distinct runs of a band value are left out.
 """
 
 from __future__ import annotations
@@ -276,11 +275,10 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text") -
     similarity``: stretches of a document made of passages of ``WORDS`` words that a
     document with a smaller id has as well, with their smallest similarity.
 
-    A passage held by many documents gives one row for each but one of them: every
-    passage is linked to the most frequent of those it shares min-hashes with, or
-    to the first that it matches where it does not match that one, and to others
-    where they would not be linked otherwise. The document with the larger id is
-    told first.
+    A passage that is word for word the same in many documents gives one row for each
+    but one of them, the smallest, which stands for all. Those that stand for different
+    passages are linked wherever they match, in all pairs. The document with the larger
+    id is told first.
     Null and short texts have no passages; rows with a null id, or with the id of
     another row, take part but are not compared with themselves. Words are split
     at white space and lower-cased.
@@ -311,9 +309,9 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text") -
     several = stands.groupBy("band").agg(F.min(most).alias("h"), F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a <> b")
     heads = several.select("band", *[F.col(f"h.{c}").alias(f"p_{c}") for c in ("doc", "first", "last", "at", "again", "content")])
     beside = store(_placed(stands.join(heads, "band").filter("content <> p_content")), "beside")
-    compared = store(_compared(own, beside), "compared")
-    near = compared.filter("doc <> p_doc").select("doc", "p_doc", F.explode("found").alias("f")).select("doc", "p_doc", "f.*")
-    met = _meetings(own, _with_matches(beside, compared))
+    compared = _compared(own, beside)
+    near = compared.select("doc", "p_doc", F.explode("found").alias("f")).select("doc", "p_doc", "f.*")
+    met = _meetings(own, beside)
     # As many parts as are set: few bytes can be much work here.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = met.repartition(parts, "meeting").sortWithinPartitions("meeting", "band", "doc", "first").mapInPandas(_meet, _LINKED)
@@ -335,7 +333,7 @@ def _placed(pairs: DataFrame) -> DataFrame:
     shift = F.col("p_at") - F.col("at")
     alone = F.col("again") | F.col("p_again")
     placed = pairs.select(
-        "band", "doc", "first", "last", "at", "p_doc", "p_first", "p_last", "p_at", shift.alias("shift"),
+        "band", "doc", "first", "last", "at", "again", "p_doc", "p_first", "p_last", "p_at", shift.alias("shift"),
         F.when(alone, F.col("first")).otherwise(F.greatest("first", F.col("p_first") - shift)).alias("low"),
         F.when(alone, F.col("last")).otherwise(F.least("last", F.col("p_last") - shift)).alias("high"),
         F.when(alone, F.col("band")).otherwise(F.lit(0)).alias("kind"),
@@ -351,7 +349,7 @@ def _placed(pairs: DataFrame) -> DataFrame:
 
 def _compared(docs: DataFrame, beside: DataFrame) -> DataFrame:
     """``found`` passages that match, for everything there is to compare."""
-    asked = beside.filter("low <= high").groupBy(*_KEY).agg(
+    asked = beside.filter("low <= high AND doc <> p_doc").groupBy(*_KEY).agg(
         F.max("high").alias("high"), *[F.min(c).alias(c) for c in ("at", "p_at", "p_first")], F.max("p_last").alias("p_last")
     )
     plain = F.col("kind") == 0
@@ -383,47 +381,33 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[_KEY].assign(found=pd.Series(found, index=batch.index, dtype=object))
 
 
-def _with_matches(beside: DataFrame, compared: DataFrame) -> DataFrame:
-    """Which runs match the head of their band value."""
-    some = compared.filter(F.size("found") > 0).groupBy(*_KEY).agg(F.flatten(F.collect_list("found")).alias("found"))
-    here = F.exists("found", lambda f: (f["low"] <= F.col("high")) & (f["high"] >= F.col("low")))
-    matched = F.coalesce((F.col("low") <= F.col("high")) & here, F.lit(False))
-    rows = beside.join(some, _KEY, "left").select("band", "doc", "first", "last", "at", matched.alias("matched"))
-    return store(rows, "matched")
-
-
 def _meetings(docs: DataFrame, beside: DataFrame) -> DataFrame:
-    """The runs to be compared, ``BLOCK`` at most to a meeting: of each band value all
-    pairs but those of which both match its head. ``side`` is null where all of a
-    meeting are compared, else those of different sides are."""
-    matched = F.col("matched")
-    sizes = beside.groupBy("band").agg(F.count_if(matched).alias("m"), F.count_if(~matched).alias("u")).filter("u > 0 AND m + u > 1")
-    blocks = [F.when(F.col("m") + F.col("u") > BLOCK, F.ceil(F.col(c) / (BLOCK // 2))).otherwise(0).cast("int").alias(f"{c}_blocks") for c in "mu"]
-    rows = _with_shingles(docs, beside.join(sizes.select("band", *blocks), "band"), "doc")
-    dealt = F.greatest(F.when(F.col("matched"), F.col("m_blocks")).otherwise(F.col("u_blocks")), F.lit(1))
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("doc", "first"), dealt).cast("int"))
-
-    def meeting(kind: str, i: Column, j: Column, side: Column) -> Column:
-        return F.struct(F.xxhash64("band", F.lit(kind), i, j).alias("meeting"), side.cast("int").alias("side"))
-
-    def each(n: str, body) -> Column:
-        return F.transform(F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>")), body)
-
-    mine, none = F.col("mine"), F.lit(None)
-    whole = F.array(meeting("whole", F.lit(0), F.lit(0), none))
-    with_unmatched = each("u_blocks", lambda j: meeting("m", j, mine, F.lit(1)))
-    own = F.concat(
-        each("m_blocks", lambda j: meeting("m", mine, j, F.lit(0))),
-        each("u_blocks", lambda j: meeting("u", F.least(mine, j), F.greatest(mine, j), F.when(mine != j, (mine > j).cast("int")))),
-    )
-    goes = F.when(F.col("u_blocks") == 0, whole).when(F.col("matched"), with_unmatched).otherwise(own)
-    return rows.withColumn("goes", F.explode(goes)).select("goes.*", "band", "doc", "first", "at", "shingles", "matched")
+    """The runs to be compared, ``BLOCK`` at most to a meeting: all pairs of each band
+    value but those with its head. ``side`` is null where all of a meeting are compared,
+    else those of different sides are."""
+    sizes = beside.groupBy("band").agg(
+        F.count(F.lit(1)).alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b")
+    ).filter("n > 1 AND a <> b")
+    blocks = F.when(F.col("n") > BLOCK, F.ceil(F.col("n") / (BLOCK // 2))).otherwise(1).cast("int")
+    named = beside.select("band", "doc", "first", "last", "at", "again")
+    rows = _with_shingles(docs, named.join(sizes.select("band", blocks.alias("blocks")), "band"), "doc")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("doc", "first"), F.col("blocks")).cast("int"))
+    mine = F.col("mine")
+
+    def meeting(other: Column) -> Column:
+        return F.struct(
+            F.xxhash64("band", F.least(mine, other), F.greatest(mine, other)).alias("meeting"),
+            F.when(mine != other, (mine > other).cast("int")).alias("side"),
+        )
+
+    rows = rows.withColumn("goes", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), meeting)))
+    return rows.select("goes.*", "band", "doc", "first", "at", "shingles", "again")
 
 
 def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows come sorted by meeting; one meeting is in memory at a time."""
     key, rows = None, []
-    columns = ["doc", "first", "at", "shingles", "matched", "side"]
+    columns = ["doc", "first", "at", "shingles", "again", "side"]
     for batch in batches:
         found = []
         for *mine, m, b in zip(*(batch[c] for c in columns), batch["meeting"], batch["band"], strict=True):
@@ -466,36 +450,28 @@ class _Shared:
 
 
 def _links_of(rows: list[list]) -> list[tuple]:
-    """Links of a meeting's runs, given in order: of each run to the first that it
-    matches, and to every other that it matches and is not linked to yet."""
+    """Links of a meeting's runs, given in order: of each run to every other before it
+    that it matches, in another document."""
     if len(rows) < 2:
         return []
     docs, firsts, places = ([int(r[c]) for r in rows] for c in range(3))
     shingles = [np.asarray(r[3]) for r in rows]
-    matched = np.array([r[4] for r in rows], dtype=bool)
-    side = np.array([0 if pd.isna(r[5]) else r[5] for r in rows], dtype=np.int64)
-    crossing = not pd.isna(rows[0][5])
+    again = np.array([r[4] for r in rows], dtype=bool)
+    # Runs of one side are not compared here; where all are, each has a side of its own.
+    side = np.arange(len(rows)) if pd.isna(rows[0][5]) else np.array([r[5] for r in rows], dtype=np.int64)
+    owner = np.array(docs)
     shared = _Shared(shingles)
-    # Those that match the head of the band value are linked through it.
-    group = np.where(matched, -1, np.arange(len(rows)))
     out = []
     for v in range(1, len(rows)):
-        partner = bool(matched[v])
-        apart = side[:v] != side[v] if crossing else ~(matched[:v] & matched[v])
-        apart = apart & (group[:v] != group[v]) if partner else apart
+        apart = (side[:v] != side[v]) & (owner[:v] != owner[v])
         if not apart.any():
             continue
         for u in np.nonzero(apart & shared.enough(v))[0]:
-            if partner and group[u] == group[v]:
-                continue
-            shift, found = _matches(shingles[v], places[v] - firsts[v], shingles[u], places[u] - firsts[u])
-            if not found:
-                continue
-            group[group == group[v]] = group[u]
-            if docs[u] != docs[v]:
-                partner = True
-                told = (docs[v], docs[u], firsts[u] - firsts[v] - shift)
-                out += [(*told, firsts[v] + low, firsts[v] + high, sim) for low, high, sim in found]
+            shift, found = _matches(
+                shingles[v], places[v] - firsts[v], shingles[u], places[u] - firsts[u], once=not (again[u] or again[v])
+            )
+            told = (docs[v], docs[u], firsts[u] - firsts[v] - shift)
+            out += [(*told, firsts[v] + low, firsts[v] + high, sim) for low, high, sim in found]
     return out
 
 

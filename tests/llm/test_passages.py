@@ -226,3 +226,30 @@ def test_similarities_of_long_stretches(kinds):
     size = passages._LENGTH
     want = [(set(x[n : n + size]), set(y[n : n + size])) for n in range(300 - size + 1)]
     assert np.allclose(passages._alike(x, y), [len(a & b) / len(a | b) for a, b in want])
+
+
+def test_all_matches_of_a_meeting_are_linked():
+    """Also of runs that others link already."""
+    a = list(range(46))
+    rows = []
+    for n, at in enumerate((5, 20, 40, 30)):
+        mine = a.copy()
+        mine[at] = 100 + n
+        rows.append([n, 0, 0, np.array(mine, dtype=np.int32), False, None])
+    assert {(v, u) for v, u, *_ in passages._links_of(rows)} == {(v, u) for v in range(4) for u in range(v)}
+
+
+@pytest.mark.parametrize("block", [2, 1024])
+def test_all_pairs_of_near_copies(spark, block, monkeypatch):
+    """Many versions of one passage: every two that are alike are linked."""
+    monkeypatch.setattr(passages, "BLOCK", block)
+    rng = random.Random(12)
+    docs = []
+    for _ in range(10):
+        text = [f"n{rng.randint(0, 10**6)}" for _ in range(50)]
+        docs += [like(text, at) for at in (0, 1, 2, 47, 48, 49)]
+    texts = [" ".join(d) for d in docs]
+    held = [sets(t)[0] for t in texts]
+    want = {(v, u) for v in range(len(docs)) for u in range(v) if len(held[v] & held[u]) / len(held[v] | held[u]) >= 0.8}
+    got = {(r.doc_id, r.partner_id) for r in passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(want) > 100 and got <= want and len(got) >= 0.97 * len(want)
