@@ -7,6 +7,8 @@ from blockmill.operators.blocks import assign_blocks
 from blockmill.operators.blocks import random_blocks
 from blockmill.sources import readers as R
 from blockmill.sources import writers as W
+from tests.helpers import DATA
+from workload import block_queries
 
 
 @pytest.fixture(scope="module")
@@ -155,3 +157,14 @@ def test_written_tables_are_replaced(spark, tmp_path):
     W.write_parquet(spark.range(5), path)
     W.write_parquet(spark.range(3), path)
     assert spark.read.parquet(path).count() == 3
+
+
+def test_random_files_query_gives_every_row(spark):
+    """A hundred files are all there are: the rows of the whole table, not their number."""
+    got = block_queries.random_files(spark, DATA)
+    orders = spark.read.parquet(f"{DATA}/orders.parquet")
+    rows = got.where("wanted = 100")
+    assert sorted(tuple(r) for r in rows.select("o_orderkey", "o_totalprice").collect()) == sorted(
+        tuple(r) for r in orders.select("o_orderkey", "o_totalprice").collect()
+    )
+    assert [r.n for r in got.where("wanted = 5").collect()] == [5]
