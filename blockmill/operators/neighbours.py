@@ -2,7 +2,7 @@
 
 Distances are worked out in numpy over batches, and only the k best leave a
 task. Which side is shipped to the tasks depends on the row counts; when neither
-is small, both are cut into tiles and every pair of tiles is one task.
+is small, the queries are cut into tiles and all candidates stream past each tile.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +22,9 @@ from blockmill.functions.vectors import majority
 SHIP_ROWS = 50_000
 SHIP_NUMBERS = 8_000_000
 
-#: Rows per tile when both sides are large.
+#: Queries per tile when both sides are large, and candidates looked at together.
 TILE_ROWS = 4_000
+STEP_ROWS = 500
 
 _PAIR = "q bigint, sq_dist double, id bigint, label int"
 _HITS = "array<struct<sq_dist:double,id:bigint,label:int>>"
@@ -200,53 +202,149 @@ def _ship_queries(queries: DataFrame, candidates: DataFrame, k: int, skip_self:
     return _gather(candidates.mapInPandas(run, _PAIR), k)
 
 
-def _tiles(left: DataFrame, right: DataFrame, k: int, skip_self: bool) -> DataFrame:
-    """(g, q, hits) within every group ``g``; both sides are ``g, id, vec, label``."""
+class _Tile:
+    """The queries of a tile and their ``k`` nearest of the candidates seen so far.
 
-    def tiled(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-        sizes = df.groupBy("g").agg(
-            F.ceil(F.count(F.lit(1)) / F.lit(TILE_ROWS)).cast("int").alias("n")
-        )
-        tile = (bucket_hash(7, F.col("id")) % F.col("n")).cast("int")
-        return df.join(sizes, "g").withColumn("tile", tile).drop("n"), sizes
-
-    left, left_sizes = tiled(left)
-    right, right_sizes = tiled(right)
-    others = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    left = left.join(right_sizes, "g").select(
-        "g", F.col("tile").alias("lt"), others.alias("rt"), "id", "vec"
-    )
-    # New names throughout: both sides may come from the same table.
-    right = right.join(left_sizes, "g").select(
-        F.col("g").alias("rg"),
-        others.alias("rlt"),
-        F.col("tile").alias("rrt"),
-        F.col("id").alias("rid"),
-        F.col("vec").alias("rvec"),
-        F.col("label").alias("rlabel"),
-    )
+    Candidates are sifted by one product of matrices, whose distances are off in the
+    last digits; only those that may be among the nearest have theirs worked out.
+    """
 
-    def run(key, ls: pd.DataFrame, rs: pd.DataFrame) -> pd.DataFrame:
-        if ls.empty or rs.empty:
-            return pd.DataFrame({c: [] for c in ("g", "q", "sq_dist", "id", "label")})
-        found = _best(
-            ls["id"].to_numpy(dtype=np.int64),
-            _matrix(ls["vec"]),
-            rs["rid"].to_numpy(dtype=np.int64),
-            _matrix(rs["rvec"]),
-            rs["rlabel"].to_numpy(dtype=np.int64),
-            k,
-            skip_self,
+    def __init__(self, g: int, k: int, skip_self: bool):
+        self.g, self.k, self.skip_self = g, k, skip_self
+        self.given: list[tuple[np.ndarray, np.ndarray]] = []
+        self.vecs: np.ndarray | None = None
+
+    def add(self, ids: np.ndarray, vecs: np.ndarray) -> None:
+        self.given.append((ids, vecs))
+
+    def _begin(self) -> None:
+        self.ids = np.concatenate([i for i, _ in self.given])
+        self.vecs = np.concatenate([v for _, v in self.given])
+        self.sizes = (self.vecs**2).sum(axis=1)
+        self.wide = np.c_[self.vecs, np.ones(len(self.vecs))]
+        self.bound = np.full(len(self.ids), np.inf)
+        none = np.zeros(0, dtype=np.int64)
+        self.best = (none, np.zeros(0), none, none)  # place of the query, distance, id, label
+        self.pending: list[tuple[np.ndarray, ...]] = []
+
+    def see(self, ids: np.ndarray, vecs: np.ndarray, labels: np.ndarray) -> None:
+        if self.vecs is None:
+            self._begin()
+        for start in range(0, len(ids), STEP_ROWS):
+            part = slice(start, start + STEP_ROWS)
+            self._sift(ids[part], vecs[part], labels[part])
+
+    def _sift(self, ids: np.ndarray, vecs: np.ndarray, labels: np.ndarray) -> None:
+        sizes = (vecs**2).sum(axis=1)
+        with np.errstate(all="ignore"):
+            # Squared distances less the query's own square.
+            near = self.wide @ np.c_[-2 * vecs, sizes].T
+            # What a distance may be off by.
+            slack = (self.vecs.shape[1] + 8) * 1e-15 * (self.sizes + sizes.max())
+            cut = self.bound - self.sizes + slack
+            if len(ids) > self.k and not np.isfinite(self.bound).all():
+                others = np.where(self.ids[:, None] == ids, np.inf, near) if self.skip_self else near
+                # Twice over, as this bound is off as well.
+                cut = np.fmin(cut, np.partition(others, self.k - 1, axis=1)[:, self.k - 1] + 2 * slack)
+            # Not a number is not greater either, and looked at below.
+            far = near > cut[:, None]
+            q, c = np.divmod(np.flatnonzero(np.logical_not(far, out=far)), len(ids))
+        for start in range(0, len(q), 1 << 18):
+            mine, theirs = q[start : start + (1 << 18)], c[start : start + (1 << 18)]
+            dist = ((self.vecs[mine] - vecs[theirs]) ** 2).sum(axis=1)
+            keep = np.isfinite(dist)
+            if self.skip_self:
+                keep &= self.ids[mine] != ids[theirs]
+            mine, theirs = mine[keep], theirs[keep]
+            self.pending.append((mine, dist[keep], ids[theirs], labels[theirs]))
+        if sum(len(p[0]) for p in self.pending) >= len(self.ids) * self.k // 2:
+            self._shrink()
+
+    def _shrink(self) -> None:
+        """The ``k`` nearest of what is held, ties by id."""
+        q, dist, ids, labels = (np.concatenate(x) for x in zip(self.best, *self.pending))
+        self.pending = []
+        still = dist <= self.bound[q]
+        q, dist, ids, labels = q[still], dist[still], ids[still], labels[still]
+        order = np.lexsort((ids, dist, q))
+        starts = np.searchsorted(q[order], np.arange(len(self.ids)))
+        order = order[np.arange(len(order)) - starts[q[order]] < self.k]
+        self.best = tuple(x[order] for x in (q, dist, ids, labels))
+        last = np.searchsorted(self.best[0], np.arange(len(self.ids)) + 1) - 1
+        full = np.bincount(self.best[0], minlength=len(self.ids)) == self.k
+        self.bound[full] = self.best[1][last[full]]
+
+    def hits(self) -> Iterator[pa.RecordBatch]:
+        if self.vecs is None:
+            return
+        self._shrink()
+        q, dist, ids, labels = self.best
+        held, counts = np.unique(q, return_counts=True)
+        values = pa.StructArray.from_arrays(
+            [pa.array(dist), pa.array(ids), pa.array(labels.astype(np.int32))], ["sq_dist", "id", "label"]
+        )
+        offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(held), self.g)), pa.array(self.ids[held]), pa.ListArray.from_arrays(offsets, values)],
+            ["g", "q", "hits"],
         )
-        return found.assign(g=key[0])[["g", "q", "sq_dist", "id", "label"]]
 
-    pairs = (
-        left.groupBy("g", "lt", "rt")
-        .cogroup(right.groupBy("rg", "rlt", "rrt"))
-        .applyInPandas(run, f"g bigint, {_PAIR}")
+
+def _rows_of(column: pa.Array) -> np.ndarray:
+    """Arrays of one length, none of them null, as rows."""
+    if column.null_count:
+        raise ValueError("null vectors have no distance")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _tiles(left: DataFrame, right: DataFrame, k: int, skip_self: bool) -> DataFrame:
+    """(g, q, hits) within every group ``g``; both sides are ``g, id, vec, label``.
+
+    All rows of a group are compared, which takes time with the square of its size,
+    but a task holds one tile of queries and passes its candidates on batch by batch.
+    """
+    sizes = left.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE_ROWS)).cast("int").alias("n"))
+    columns = ["id", F.col("vec").cast("array<double>").alias("vec"), F.col("label").cast("int").alias("label")]
+    tile = (bucket_hash(7, F.col("id")) % F.col("n")).cast("int")
+    queries = left.join(sizes, "g").select("g", tile.alias("tile"), F.lit(0).alias("side"), *columns)
+    every = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    seen = right.join(sizes, "g").select("g", every.alias("tile"), F.lit(1).alias("side"), *columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, None
+        for batch in batches:
+            kinds = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("g", "tile", "side")]
+            changes = np.any([np.diff(x) != 0 for x in kinds], axis=0)
+            edges = np.r_[0, np.nonzero(changes)[0] + 1, batch.num_rows]
+            for low, high in zip(edges[:-1], edges[1:]):
+                if low == high:
+                    continue
+                g, number, side = (int(x[low]) for x in kinds)
+                if (g, number) != key:
+                    if held is not None:
+                        yield from held.hits()
+                    key, held = (g, number), _Tile(g, k, skip_self)
+                part = batch.slice(low, high - low)
+                ids = part.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+                vecs = _rows_of(part.column("vec"))
+                if side == 0:
+                    held.add(ids, vecs)
+                elif held.given:
+                    held.see(ids, vecs, part.column("label").to_numpy(zero_copy_only=False).astype(np.int64))
+        if held is not None:
+            yield from held.hits()
+
+    # As many parts as are set: few bytes are much work here.
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = (
+        queries.unionByName(seen)
+        .repartition(parts, "g", "tile")
+        .sortWithinPartitions("g", "tile", "side")
+        .mapInArrow(run, f"g bigint, q bigint, hits {_HITS}")
     )
-    hits = F.sort_array(F.collect_list(F.struct("sq_dist", "id", "label")))
-    return pairs.groupBy("g", "q").agg(F.slice(hits, 1, k).cast(_HITS).alias("hits"))
+    # Rows with the same id are one query.
+    hits = F.sort_array(F.flatten(F.collect_list("hits")))
+    return found.groupBy("g", "q").agg(F.slice(hits, 1, k).cast(_HITS).alias("hits"))
 
 
 def nearest_within(df: DataFrame, group: str, k: int) -> DataFrame:

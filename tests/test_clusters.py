@@ -68,6 +68,26 @@ def test_neighbours_stay_within_the_group(table, monkeypatch):
         assert r.q not in [h.id for h in r.hits]
 
 
+def test_sifted_candidates_are_the_nearest(monkeypatch):
+    """Whole numbers far from 0: many ties, and products that lose the last digits."""
+    monkeypatch.setattr(neighbours, "STEP_ROWS", 7)
+    rng = np.random.default_rng(5)
+    vecs = rng.integers(0, 3, (60, 4)) + 1e7
+    vecs[50] = np.nan
+    ids = rng.permutation(60)
+    tile = neighbours._Tile(3, 5, True)
+    tile.add(ids[:20], vecs[:20])
+    tile.add(ids[20:], vecs[20:])
+    for low in (0, 25):
+        tile.see(ids[low : low + 25 + low], vecs[low : low + 25 + low], np.zeros(60, np.int64)[low : low + 25 + low])
+    (found,) = tile.hits()
+    got = {r["q"]: [(h["sq_dist"], h["id"]) for h in r["hits"]] for r in found.to_pylist()}
+    for n in range(60):
+        dist = ((vecs - vecs[n]) ** 2).sum(axis=1)
+        want = sorted((d, i) for d, i in zip(dist, ids) if i != ids[n] and np.isfinite(d))[:5]
+        assert got.get(ids[n], []) == want
+
+
 def test_majority_and_distance(spark):
     row = spark.createDataFrame(
         [([3, 1, 1, 3, 2], [0.0, 3.0], [4.0, 0.0])], "l array<int>, a array<double>, b array<double>"
