@@ -8,26 +8,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockmill.functions.ranking import split_row_number, split_running_sum
-from blockmill.runtime import store
+from blockmill.runtime import join_checked, store, store_counted
 
 #: Rows of a stripe, about.
 STRIPE_ROWS = 100_000
 
 
-def _stripe(df: DataFrame, order: str) -> Column:
-    """The number of the stripe that a row's place in the order falls into, null first."""
-    parts = min(10_000, -(-df.count() // STRIPE_ROWS))
+def _striped(df: DataFrame, order: str) -> DataFrame:
+    """``df`` stored with ``_stripe``: consecutive ranges of the order, null first, as
+    Spark cuts it by a sample. Rows that are equal in ``order`` share a stripe."""
+    stored, n = store_counted(df, "running")
+    parts = min(10_000, -(-n // STRIPE_ROWS))
     if parts <= 1:
-        return F.lit(0)
-    cuts = df.agg(F.percentile_approx(order, F.lit([i / parts for i in range(1, parts)]), 10_000)).first()[0]
-    if not cuts:
-        return F.lit(0)
-    limits = F.array(*(F.lit(c) for c in sorted(set(cuts))))
-    return F.coalesce(F.size(F.filter(limits, lambda c: c < F.col(order))) + 1, F.lit(0))
+        return stored.withColumn("_stripe", F.lit(0))
+    ranges = stored.repartitionByRange(parts, F.col(order).asc_nulls_first())
+    return store(ranges.withColumn("_stripe", F.spark_partition_id()), "running")
 
 
 def running_totals(
@@ -41,20 +39,46 @@ def running_totals(
     this row and the N - 1 before it. ``order`` is a number or a time, ``key`` unique; a
     null value adds nothing.
     """
-    stored = store(df, "running")
-    stripe = _stripe(stored, order)
+    striped = _striped(df, order)
     amount = F.coalesce(F.col(value), F.lit(0))
-    along = [F.col(order).asc_nulls_first(), F.col(key)]
-    found = split_running_sum(stored, [], stripe, along, amount, rows)
+    first = [F.col(order).asc_nulls_first()]
+    within = Window.partitionBy("_stripe").orderBy(*first, F.col(key))
+    upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # One row per stripe: what the stripes before it hold.
+    before = Window.orderBy("_stripe").rowsBetween(Window.unboundedPreceding, -1)
+    stripes = striped.groupBy("_stripe").agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.sum(amount), F.lit(0)).alias("_sum"))
+    starts, n_stripes = store_counted(
+        stripes.select(
+            "_stripe", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_rows_before"),
+            F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"),
+        ),
+        "starts",
+    )
+    # All sums of a stripe come from one sort.
+    sums = {rows: F.sum(amount).over(upto)}
     if peers:
-        found = split_running_sum(found, [], stripe, [F.col(order).asc_nulls_first()], amount, peers, peers=True)
+        by_range = Window.partitionBy("_stripe").orderBy(*first)
+        sums[peers] = F.sum(amount).over(by_range.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     if last:
-        found = store(split_row_number(found, [], stripe, along, "_row"), "running")
-        sums = found.select(F.col("_row").alias("_then"), F.col(rows).alias("_before"))
-        for n in last:
-            # The sum up to this row less that up to N rows before: one equi-join by number.
-            found = found.withColumn("_then", F.col("_row") - n).join(sums, "_then", "left").withColumn(
-                f"last_{n}", F.col(rows) - F.coalesce("_before", F.lit(0))
-            ).drop("_then", "_before")
-        found = found.drop("_row")
-    return found
+        sums["_within"] = F.row_number().over(within)
+    found = join_checked(striped.withColumns(sums), starts, ["_stripe"], n_stripes, F.col(key))
+    found = found.withColumns({name: F.col("_before") + F.col(name) for name in sums if name != "_within"})
+    if not last:
+        return found.drop("_stripe", "_rows_before", "_before")
+    # The sum up to this row less that up to N rows before, which lies in the stripe
+    # itself but for the first N rows of each; theirs are joined by number.
+    lags = {f"_lag_{n}": F.lag(rows, n).over(within) for n in last}
+    found = found.withColumn("_row", F.col("_rows_before") + F.col("_within")).withColumns(lags)
+    found = store(found, "running")
+    for n in last:
+        edge = found.where((F.col("_within") <= n) & (F.col("_row") > n)).select((F.col("_row") - n).alias("_row"))
+        edge, n_edge = store_counted(edge, "edge")
+        reached, n_reached = store_counted(
+            join_checked(found.select("_row", F.col(rows).alias("_then")), edge, ["_row"], n_edge, F.col("_row"))
+            .select((F.col("_row") + n).alias("_row"), "_then"),
+            "reached",
+        )
+        found = join_checked(found, reached, ["_row"], n_reached, F.col("_row"), "left").withColumn(
+            f"last_{n}", F.col(rows) - F.coalesce(f"_lag_{n}", "_then", F.lit(0))
+        ).drop("_then", f"_lag_{n}")
+    return found.drop("_stripe", "_rows_before", "_before", "_within", "_row")

@@ -54,3 +54,14 @@ def test_running_sums_equal_brute_force(spark, stripe_rows, monkeypatch):
         for size in (1, 7, 1000):
             assert r[f"last_{size}"] == sum(amounts[max(0, n + 1 - size) : n + 1])
     assert running.running_totals(df.limit(0), "at", "id", "x", last=[3]).count() == 0
+
+
+def test_stripes_are_told_once_per_row(spark, monkeypatch):
+    """Ranges of the order that Spark cuts: no row is compared with all limits."""
+    monkeypatch.setattr(running, "STRIPE_ROWS", 20)
+    df = spark.range(2000).select("id", F.when(F.col("id") > 50, F.col("id") % 700).alias("at"))
+    striped = running._striped(df, "at")
+    assert "lambda" not in striped._jdf.queryExecution().optimizedPlan().toString()
+    rows = sorted((-1 if r.at is None else r.at, r._stripe) for r in striped.collect())
+    assert len(rows) == 2000 and [s for _, s in rows] == sorted(s for _, s in rows)
+    assert len({s for _, s in rows}) > 50 and len(set(rows)) == len({at for at, _ in rows})
