@@ -30,6 +30,9 @@ MAX_ROUNDS = 40
 RESIDUAL = 1e-5
 #: Vectors carried beyond those asked for; they make the others converge faster.
 EXTRA = 6
+#: From so many rows on all vectors of a row travel in one row, which multiplies the
+#: entries by fewer rows; below, one row per vector takes less time to plan and compile.
+WIDE_ROWS = 10_000
 #: Units of sums of products with vectors, whose numbers stay below about 1 ...
 _UNIT = 2.0**44
 #: ... and of inner products, whose sums stay below about 1.
@@ -40,17 +43,26 @@ def _fixed(value: Column, unit: float) -> Column:
     return F.rint(value * unit).cast("bigint")
 
 
-def _multiply(entries: DataFrame, state: DataFrame, rows: int, value: Column) -> DataFrame:
-    """(g, j, c, t, u): per row and vector the sum of ``value`` over the row's entries,
-    and the number that was there before.
+def _multiply(entries: DataFrame, state: DataFrame, rows: int, factors: tuple[Column, ...] | None = None) -> DataFrame:
+    """``state`` with, per row and vector, the sum of the products of the row's entries
+    as ``t`` and the number that was there before as ``u``.
 
-    ``value`` may use the entry (``w``, and ``own``: whether it is the row's own)
-    and the state of row j. Each row has an own entry, so a recurrence stays
-    within one aggregate.
+    ``factors`` are alpha, beta, gamma: of the product, of the number itself and of the
+    one before. Each row has an own entry, so a recurrence stays within one aggregate.
     """
+    names = [name[1:] for name in state.columns if name.startswith("t")]
     joined = join_checked(entries, state, ["g", "j"], rows, F.col("i"))
-    return joined.groupBy("g", F.col("i").alias("j"), "c").agg(
-        (F.sum(_fixed(value, _UNIT)) / _UNIT).alias("t"), F.max(F.when(F.col("own"), F.col("t"))).alias("u")
+
+    def value(name: str) -> Column:
+        if factors is None:
+            return F.col("w") * F.col(f"t{name}")
+        alpha, beta, gamma = factors
+        own = F.when(F.col("own"), beta * F.col(f"t{name}") + gamma * F.col(f"u{name}")).otherwise(F.lit(0.0))
+        return alpha * F.col("w") * F.col(f"t{name}") + own
+
+    return joined.groupBy("g", F.col("i").alias("j"), *(["c"] if "c" in state.columns else [])).agg(
+        *((F.sum(_fixed(value(name), _UNIT)) / _UNIT).alias(f"t{name}") for name in names),
+        *(F.max(F.when(F.col("own"), F.col(f"t{name}"))).alias(f"u{name}") for name in names),
     )
 
 
@@ -61,16 +73,17 @@ def _filtered(entries: DataFrame, state: DataFrame, rows: int) -> DataFrame:
     product, of the vector itself and of the one before.
     """
     for m in range(DEGREE):
-        alpha, beta, gamma = (F.get(name, F.lit(m)) for name in ("alpha", "beta", "gamma"))
-        own = F.when(F.col("own"), beta * F.col("t") + gamma * F.col("u")).otherwise(F.lit(0.0))
-        state = _multiply(entries, state, rows, alpha * F.col("w") * F.col("t") + own)
+        state = _multiply(entries, state, rows, tuple(F.get(name, F.lit(m)) for name in ("alpha", "beta", "gamma")))
     return state
 
 
-def _with_product(cells: DataFrame, state: DataFrame, rows: int) -> DataFrame:
+def _with_product(cells: DataFrame, state: DataFrame, rows: int, p: int) -> DataFrame:
     """(g, i, t, y): the vectors by row and their product with the matrix, as arrays."""
-    both = _multiply(cells, state, rows, F.col("w") * F.col("t"))
-    listed = both.groupBy("g", F.col("j").alias("i")).agg(
+    both = _multiply(cells, state, rows).withColumnRenamed("j", "i")
+    if "c" not in state.columns:
+        t, y = (F.array(*(f"{name}{c}" for c in range(p))) for name in "ut")
+        return both.select("g", "i", t.alias("t"), y.alias("y"))
+    listed = both.groupBy("g", "i").agg(
         F.sort_array(F.collect_list(F.struct("c", F.col("u").alias("t"), F.col("t").alias("y")))).alias("all")
     )
     return listed.select("g", "i", F.col("all.t").alias("t"), F.col("all.y").alias("y"))
@@ -144,10 +157,16 @@ def leading_vectors(entries: DataFrame, nodes: DataFrame, k: int, seed: int = 7)
     sizes = {r["g"]: r["n"] for r in block.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
     # Sums over all rows fit their unit if vectors have about the length 1.
     block = _turned(block, {g: np.eye(p) / math.sqrt(n) for g, n in sizes.items()}, p)
-    state = _long(block)
+    wide = rows > WIDE_ROWS
+    carried = rows if wide else rows * p
+
+    def spread(block: DataFrame) -> DataFrame:
+        return _wide(block, p) if wide else _long(block)
+
+    state = spread(block)
     last: dict[int, tuple] = {}
     for _ in range(MAX_ROUNDS):
-        both = store(_with_product(cells, state, rows * p), "vectors")
+        both = store(_with_product(cells, state, carried, p), "vectors")
         last = {g: _ritz(inner) for g, inner in _inner_products(both, p).items()}
         turn = {}
         for g, (_, _, rotation) in last.items():
@@ -165,7 +184,7 @@ def leading_vectors(entries: DataFrame, nodes: DataFrame, k: int, seed: int = 7)
             [(g, *_factors(cut)) for g, cut in cuts.items()],
             "g bigint, alpha array<double>, beta array<double>, gamma array<double>",
         )
-        state = _filtered(cells.join(F.broadcast(factors), "g"), _long(block), rows * p)
+        state = _filtered(cells.join(F.broadcast(factors), "g"), spread(block), carried)
     return _signed(block, k), spark.createDataFrame(
         [
             (g, r, float(values[r]), float(residuals[r]))
@@ -190,6 +209,14 @@ def _turned(block: DataFrame, turn: dict[int, np.ndarray], p: int) -> DataFrame:
     return block.join(F.broadcast(matrices), "g").select("g", "i", product.alias("t"))
 
 
+def _wide(block: DataFrame, p: int) -> DataFrame:
+    """(g, j, t0, t1, .., u0, u1, ..): a column per vector, none before it."""
+    return block.select(
+        "g", F.col("i").alias("j"),
+        *(F.get("t", F.lit(c)).alias(f"t{c}") for c in range(p)), *(F.lit(0.0).alias(f"u{c}") for c in range(p)),
+    )
+
+
 def _long(block: DataFrame) -> DataFrame:
     return block.select("g", F.col("i").alias("j"), F.posexplode("t").alias("c", "t")).withColumn("u", F.lit(0.0))
 

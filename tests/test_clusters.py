@@ -454,3 +454,16 @@ def test_message_passing_stops_when_nothing_changes(spark, monkeypatch):
     df = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.5), (2, 1, 0.4)], "i int, k int, s double")
     found = propagation.message_passing(df, rounds=30, patience=4)
     assert {r.i: r.centre for r in found.collect()} == {1: 2, 2: 1} and len(ran) == 6
+
+
+def test_vectors_carried_together_are_those_carried_apart(spark, monkeypatch):
+    """One row per vector or one for all: the same to the last bit."""
+    entries = [(0, i, j, 0.2) for i in range(30) for j in range(30) if i != j and (i // 10 == j // 10) and (i + j) % 3]
+    df = spark.createDataFrame(entries, "g bigint, i bigint, j bigint, w double")
+    nodes = spark.range(30).select(F.lit(0).cast("bigint").alias("g"), F.col("id").alias("i"))
+    monkeypatch.setattr(subspace, "MAX_ROUNDS", 2)
+    found = []
+    for wide in (0, 1_000):
+        monkeypatch.setattr(subspace, "WIDE_ROWS", wide)
+        found.append(sorted((r.i, *r.vec) for r in subspace.leading_vectors(df, nodes, 2)[0].collect()))
+    assert found[0] == found[1] and len(found[0]) == 30
