@@ -183,6 +183,14 @@ def exact_itemsets(model: FPGrowthModel, min_size: int = 2) -> DataFrame:
     )
 
 
+def exact_by_levels(baskets: DataFrame, min_support: float, min_size: int = 2) -> DataFrame:
+    """What ``exact_itemsets(fit_exact(..))`` gives, level by level: equal baskets count
+    as one after the first level, where FP-growth carries every basket into its trees."""
+    whole = baskets.select(F.lit(0).cast("bigint").alias(BLOCK), "items")
+    found = mine_blocks(whole, min_support=min_support, rounding="ceil").itemsets
+    return found.where(F.size("items") >= min_size).select(F.sort_array("items").alias("items"), "freq")
+
+
 def exact_rules(model: FPGrowthModel) -> DataFrame:
     """(antecedent, consequent, confidence) of a fitted model."""
     return model.associationRules.select(

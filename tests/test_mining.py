@@ -206,3 +206,13 @@ def test_rules_of_the_three_by_four_matrix(spark):
     short = rules.rules(mined, 0.99, max_right=1).collect()
     assert len(short) == 3 * (4 * 3 + 4 * 3 + 4) and all(len(r.consequent) == 1 for r in short)
     assert rules.rules(mined.limit(0), 0.5).count() == 0
+
+
+def test_levels_find_what_fp_growth_finds(spark):
+    rng = random.Random(21)
+    rows = random_baskets(rng, 150) * 3 + [[]] * 4
+    df = spark.createDataFrame([(r,) for r in rows], "items array<int>").cache()
+    for size in (1, 2):
+        want = M.exact_itemsets(M.fit_exact(df, 0.05), size)
+        got = M.exact_by_levels(df, 0.05, size)
+        assert got.count() and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

@@ -383,7 +383,7 @@ _SETTINGS_SQL = ", ".join(f"({e}::DOUBLE, {d}::DOUBLE)" for e, d in _SETTINGS)
       round((SELECT c FROM tp) / (SELECT count(*) FROM exact), 4) AS recall FROM st, p""",
 )
 def eps_delta_sweep(spark, sf_dir):
-    exact = mining.exact_itemsets(mining.fit_exact(all_baskets(spark, sf_dir), SUPPORT), min_size=1)
+    exact = mining.exact_by_levels(all_baskets(spark, sf_dir), SUPPORT, min_size=1)
     return sweeps.sweep_eps_delta(
         every_local(spark, sf_dir, "ceil"), exact, _SETTINGS, MIN_CONFIDENCE
     )
@@ -428,7 +428,7 @@ def fim_eval(spark, sf_dir):
 )
 def fim_ase(spark, sf_dir):
     rows = all_baskets(spark, sf_dir)
-    exact = mining.exact_itemsets(mining.fit_exact(rows, SUPPORT))
+    exact = mining.exact_by_levels(rows, SUPPORT)
     errors = evaluate.support_error(sampled(spark, sf_dir), exact, N_BLOCKS, rows.count())
     return errors.select(F.round("error", 6).alias("error"), F.round("ase", 6).alias("ase"))
 
