@@ -73,7 +73,9 @@ def _step(rows: DataFrame, centres: dict[int, np.ndarray], scale: float) -> dict
                 mine = shared.value[g]
                 number, _ = _nearest(vectors, mine)
                 whole = np.rint(vectors * scale).astype(np.int64)
-                np.add.at(sums.setdefault(g, np.zeros(mine.shape, np.int64)), number, whole)
+                total = sums.setdefault(g, np.zeros(mine.shape, np.int64))
+                for c in np.unique(number):
+                    total[c] += whole[number == c].sum(axis=0)
                 counts[g] = counts.get(g, 0) + np.bincount(number, minlength=len(mine))
         out = [(g, c, int(counts[g][c]), sums[g][c].tolist()) for g in sums for c in np.nonzero(counts[g])[0].tolist()]
         columns = list(zip(*out)) or [[], [], [], []]
@@ -122,9 +124,12 @@ def _spread_start(rows: DataFrame, k: int, seed: int) -> dict[int, np.ndarray]:
                 for g, places, vectors in _parts(batch):
                     _, distance = _nearest(vectors, shared.value[g])
                     # Ties to ten digits go by id: copies may differ in the last bits.
-                    rounded = np.array([float(f"{x:.10g}") for x in distance])
-                    top = np.lexsort((ids[places], -rounded))[0]
-                    mine = (-rounded[top], int(ids[places][top]), vectors[top].tolist())
+                    # Only the farthest can be chosen (all, if one is not a number).
+                    far = np.nonzero(~(distance < distance.max() * (1 - 1e-8)))[0]
+                    rounded = np.array([float(f"{x:.10g}") for x in distance[far]])
+                    first = np.lexsort((ids[places[far]], -rounded))[0]
+                    top = far[first]
+                    mine = (-rounded[first], int(ids[places[top]]), vectors[top].tolist())
                     best[g] = min(best.get(g, mine), mine)
             columns = list(zip(*((g, *b) for g, b in best.items()))) or [[], [], [], []]
             types = [pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64())]
