@@ -51,7 +51,11 @@ STRETCH = 4096
 #: Ranges of a document cut out together; for more of them its text is read again.
 RANGES = 5_000
 
+#: Pairs of runs compared together.
+_PAIRS = 1 << 13
+
 _LENGTH = WORDS - SHINGLE + 1  # of a passage, in shingles
+_SPAN = 2 * _LENGTH - 1  # places that passages with a common place can hold
 #: Share of the sum of their distinct shingles that two matching passages have in common.
 _SHARED = SIMILARITY / (1 + SIMILARITY)
 #: Of a run: band value, document, places, whether it holds its min-hash several times.
@@ -81,7 +85,7 @@ def words_of(text: str | None) -> list[str]:
 
 def shingle_hashes(words: list[str]) -> np.ndarray:
     """A 64-bit hash of every run of five words."""
-    one = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    one = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), dtype=">u8").astype(np.uint64)
     n = len(one) - SHINGLE + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
@@ -93,34 +97,43 @@ def shingle_hashes(words: list[str]) -> np.ndarray:
 
 def compact_windows(values: np.ndarray, firsts: np.ndarray, lasts: np.ndarray, length: int = _LENGTH):
     """``(l, c, r, value)`` of all windows at least ``length`` wide over the ranges
-    [first, last]. All ranges are split together, level by level of their
-    Cartesian trees."""
+    [first, last], by place. Such a window's ``c`` is the smallest of ``length``
+    neighbours, and so are the smaller ones on both its sides, where it ends."""
     low_bits = _u64((1 << 20) - 1)
-    placed = (values >> _PLACE << _PLACE) | (np.arange(len(values), dtype=np.uint64) * _u64(_SCATTER) & low_bits)
-    minima = [placed]
-    widest = int((lasts - firsts).max(initial=0)) + 1
-    while 2 ** len(minima) <= widest:
-        half = 2 ** (len(minima) - 1)
-        minima.append(np.minimum(minima[-1][:-half], minima[-1][half:]))
-    out = []
-    low, high = firsts, lasts
-    while True:
-        wide = high - low + 1 >= length
-        low, high = low[wide], high[wide]
-        if not len(low):
-            break
-        level = np.frexp((high - low + 1).astype(np.float64))[1] - 1
-        best = np.zeros(len(low), dtype=np.uint64)
-        for n in range(int(level.min()), int(level.max()) + 1):
-            at = np.nonzero(level == n)[0]
-            best[at] = np.minimum(minima[n][low[at]], minima[n][high[at] - 2**n + 1])
-        middle = ((best & low_bits) * _u64(_GATHER) & low_bits).astype(np.int64)
-        out.append((low, middle, high, best >> _PLACE))
-        low, high = np.concatenate([low, middle + 1]), np.concatenate([middle - 1, high])
-    if not out:
+    minima = (values >> _PLACE << _PLACE) | (np.arange(len(values), dtype=np.uint64) * _u64(_SCATTER) & low_bits)
+    wide = np.nonzero(lasts - firsts + 1 >= length)[0]
+    if not len(wide):
         none = np.zeros(0, dtype=np.int64)
         return none, none, none, none.astype(np.uint64)
-    return tuple(np.concatenate(x) for x in zip(*out))
+    width = 1
+    while width < length:
+        step = min(width, length - width)
+        minima = np.minimum(minima[:-step], minima[step:])
+        width += step
+    # Beginnings of ``length`` neighbours that lie in one range; each window has some, in a row.
+    steps = np.zeros(len(minima) + 1, dtype=np.int8)
+    steps[firsts[wide]] += 1
+    steps[lasts[wide] - length + 2] -= 1
+    begins = np.nonzero(np.cumsum(steps[:-1], dtype=np.int8))[0]
+    best = minima[begins]
+    best = best[np.r_[True, best[1:] != best[:-1]]]
+    middle = ((best & low_bits) * _u64(_GATHER) & low_bits).astype(np.int64)
+    owner = np.searchsorted(firsts, middle, "right") - 1
+    before, after = _smaller(best), len(best) - 1 - _smaller(best[::-1])[::-1]
+    low = np.where(before >= 0, middle[before] + 1, 0)
+    high = np.where(after < len(best), middle[np.minimum(after, len(best) - 1)] - 1, len(values))
+    return np.maximum(low, firsts[owner]), middle, np.minimum(high, lasts[owner]), best >> _PLACE
+
+
+def _smaller(values: np.ndarray) -> np.ndarray:
+    """For each of distinct values the place of the next smaller one before it, else -1."""
+    before = np.arange(len(values)) - 1
+    left = np.nonzero(before >= 0)[0]
+    while len(left):
+        left = left[values[before[left]] > values[left]]
+        before[left] = before[before[left]]
+        left = left[before[left] >= 0]
+    return before
 
 
 def _runs(shingles: np.ndarray, firsts: np.ndarray, lasts: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
@@ -230,44 +243,9 @@ def _filter_of(bands: DataFrame) -> np.ndarray:
 def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Jaccard similarities of the passages of two equally long rows of shingles,
     of those that begin at the same place."""
-    starts = len(x) - _LENGTH + 1
-    order = np.argsort(y, kind="stable")
-    ordered = y[order]
-    if len(np.unique(x)) < len(x) or (ordered[1:] == ordered[:-1]).any():
-        if starts > _LENGTH:
-            parts = range(0, starts, _LENGTH)
-            return np.concatenate([_alike(x[n : n + 2 * _LENGTH - 1], y[n : n + 2 * _LENGTH - 1]) for n in parts])
-        pairs = ((set(x[n : n + _LENGTH].tolist()), set(y[n : n + _LENGTH].tolist())) for n in range(starts))
-        return np.array([len(a & b) / len(a | b) for a, b in pairs])
-    found = np.minimum(np.searchsorted(ordered, x), len(y) - 1)
-    i = np.nonzero(ordered[found] == x)[0]
-    j = order[found[i]]
-    # A shingle counts for all passages that hold it in both rows.
-    low, high = np.maximum(np.maximum(i, j) - _LENGTH + 1, 0), np.minimum(np.minimum(i, j), starts - 1)
-    low, high = low[low <= high], high[low <= high]
-    both = np.cumsum(np.bincount(low, minlength=starts + 1) - np.bincount(high + 1, minlength=starts + 1))[:starts]
-    return both / (2 * _LENGTH - both)
-
-
-def _matches(
-    a: np.ndarray, a_at: int, b: np.ndarray, b_at: int, once: bool = False
-) -> tuple[int, list[tuple[int, int, float]]]:
-    """Two runs laid over each other at their shared min-hash: how far ``b`` is moved,
-    and from where to where passages of ``a`` match theirs, with the least similarity.
-    A min-hash that a run holds several times is tried at each of its places, unless ``once``."""
-    shifts = [a_at - b_at]
-    mine, theirs = ((), ()) if once else (np.nonzero(a == a[a_at])[0], np.nonzero(b == b[b_at])[0])
-    if len(mine) > 1 or len(theirs) > 1:
-        shifts += sorted({int(i - j) for i in mine for j in theirs} - {a_at - b_at}, key=abs)
-    for shift in shifts:
-        low, high = max(0, shift), min(len(a), len(b) + shift)
-        if high - low < _LENGTH:
-            continue
-        sim = _alike(a[low:high], b[low - shift : high - shift])
-        edges = np.nonzero(np.diff(np.r_[False, sim >= SIMILARITY, False]))[0].reshape(-1, 2)
-        if len(edges):
-            return shift, [(low + int(i), low + int(j) - 1, float(sim[i:j].min())) for i, j in edges]
-    return shifts[0], []
+    both = _laid([1], [0], [x], [0], [0], [y])
+    sim = next(both.similar())[-1]
+    return np.concatenate([row[: high + 1] for row, high in zip(sim, both.high[1::2])])
 
 
 def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -309,8 +287,7 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text") -
     several = stands.groupBy("band").agg(F.min(most).alias("h"), F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a <> b")
     heads = several.select("band", *[F.col(f"h.{c}").alias(f"p_{c}") for c in ("doc", "first", "last", "at", "again", "content")])
     beside = store(_placed(stands.join(heads, "band").filter("content <> p_content")), "beside")
-    compared = _compared(own, beside)
-    near = compared.select("doc", "p_doc", F.explode("found").alias("f")).select("doc", "p_doc", "f.*")
+    near = _compared(own, beside)
     met = _meetings(own, beside)
     # As many parts as are set: few bytes can be much work here.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -318,7 +295,6 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text") -
     return _stretches(links.unionByName(near).unionByName(met))
 
 
-_FOUND = "array<struct<shift: int, low: int, high: int, sim: double>>"
 _LINKED = "doc long, p_doc long, shift int, low int, high int, sim double"
 #: What is compared: places ``low`` to ``high`` of a document with those of another that
 #: lie ``shift`` further on; ``kind`` is 0 for stretches and the band value for runs that
@@ -348,7 +324,7 @@ def _placed(pairs: DataFrame) -> DataFrame:
 
 
 def _compared(docs: DataFrame, beside: DataFrame) -> DataFrame:
-    """``found`` passages that match, for everything there is to compare."""
+    """Passages that match, for everything there is to compare."""
     asked = beside.filter("low <= high AND doc <> p_doc").groupBy(*_KEY).agg(
         F.max("high").alias("high"), *[F.min(c).alias(c) for c in ("at", "p_at", "p_first")], F.max("p_last").alias("p_last")
     )
@@ -365,20 +341,43 @@ def _compared(docs: DataFrame, beside: DataFrame) -> DataFrame:
     ranges = asked.select(*_KEY, F.explode("both").alias("r")).select(*_KEY, "r.*")
     cut = store(_with_shingles(docs, ranges, "of"), "ranges")
     theirs = cut.filter("side = 1").select(*_KEY, *[F.col(c).alias(f"p_{c}") for c in ("first", "place", "shingles")])
-    return cut.filter("side = 0").join(theirs, _KEY).mapInPandas(
-        _compare, f"doc long, p_doc long, shift int, start int, kind long, found {_FOUND}"
-    )
+    return cut.filter("side = 0").join(theirs, _KEY).mapInPandas(_compare, _LINKED)
 
 
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["shingles", "place", "first", "p_shingles", "p_place", "p_first", "kind"]
     for batch in batches:
         found = []
-        for a, i, f, b, j, g, kind in zip(*(batch[c] for c in columns), strict=True):
-            i, j = (i - f, j - g) if kind else (0, 0)
-            shift, parts = _matches(np.asarray(a), i, np.asarray(b), j, once=not kind)
-            found.append([{"shift": g - f - shift, "low": f + low, "high": f + high, "sim": sim} for low, high, sim in parts])
-        yield batch[_KEY].assign(found=pd.Series(found, index=batch.index, dtype=object))
+        for n in range(0, len(batch), _PAIRS // 8):
+            part = batch.iloc[n : n + _PAIRS // 8]
+            again = (part["kind"] != 0).to_numpy()
+            side, p_side = ([part[p + c].to_numpy() for c in ("doc", "first", "shingles")] for p in ("", "p_"))
+            if (~again).any():
+                found += _laid(*(c[~again] for c in (*side, *p_side))).links()
+            if again.any():
+                rows = [[x for both in zip(b[again], a[again]) for x in both] for a, b in zip(side, p_side)]
+                rows = [np.array(rows[0]), np.array(rows[1]), rows[2]]
+                # Of several runs of one document and beginning the longest is laid down whole.
+                last = side[1][again] + [len(x) - _LENGTH for x in side[2][again]]
+                at, shift = np.maximum(part["place"][again], last), (part["p_place"] - part["place"])[again]
+                at = np.stack([at + shift, at], axis=1).ravel()
+                numbers = np.arange(len(at)) // 2
+                found += _Meetings(numbers, rows[0], rows[1], at, numbers >= 0, numbers * 0 - 1, rows[2]).links()
+        yield _frame(found)
+
+
+def _laid(doc, first, shingles, p_doc, p_first, p_shingles) -> _Meetings:
+    """Pairs of equally long stretches, beginning over beginning, each cut into pieces."""
+    pieces = [max(1, -(-(len(x) - _LENGTH + 1) // _LENGTH)) for x in shingles]
+    n = np.repeat(np.arange(len(pieces)), pieces)
+    moved = (np.arange(len(n)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * _LENGTH
+    cut = [x[k][at : at + _SPAN] for k, at in zip(n, moved) for x in (p_shingles, shingles)]
+    docs, firsts = (
+        np.stack([np.asarray(a)[n], np.asarray(b)[n]], axis=1) + at
+        for a, b, at in ((p_doc, doc, 0), (p_first, first, moved[:, None]))
+    )
+    numbers = np.repeat(np.arange(len(n)), 2)
+    first = firsts.ravel()
+    return _Meetings(numbers, docs.ravel(), first, first + _LENGTH - 1, numbers < 0, numbers * 0 - 1, cut)
 
 
 def _meetings(docs: DataFrame, beside: DataFrame) -> DataFrame:
@@ -405,74 +404,219 @@ def _meetings(docs: DataFrame, beside: DataFrame) -> DataFrame:
 
 
 def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by meeting; one meeting is in memory at a time."""
-    key, rows = None, []
-    columns = ["doc", "first", "at", "shingles", "again", "side"]
+    """Rows come sorted by meeting; the last meeting of a batch waits for the next batch."""
+    rest = None
     for batch in batches:
-        found = []
-        for *mine, m, b in zip(*(batch[c] for c in columns), batch["meeting"], batch["band"], strict=True):
-            if (m, b) != key:
-                found += _links_of(rows)
-                key, rows = (m, b), []
-            rows.append(mine)
-        yield _frame(found)
-    yield _frame(_links_of(rows))
+        if rest is not None:
+            batch = pd.concat([rest, batch], ignore_index=True)
+        key = batch[["meeting", "band"]].to_numpy()
+        whole = len(key) - int(np.argmax((key[::-1] != key[-1:]).any(axis=1))) if len(key) and (key != key[-1:]).any() else 0
+        rest = batch.iloc[whole:]
+        yield _linked(batch.iloc[:whole])
+    if rest is not None:
+        yield _linked(rest)
+
+
+def _linked(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links of whole meetings."""
+    if len(rows) < 2:
+        return _frame([])
+    numbers = np.cumsum((rows[["meeting", "band"]].diff() != 0).any(axis=1).to_numpy()) - 1
+    side = rows["side"].astype(float).fillna(-1).to_numpy().astype(np.int64)
+    told = [rows[c].to_numpy() for c in ("doc", "first", "at", "again")]
+    return _frame(_Meetings(numbers, *told, side, [np.asarray(x) for x in rows["shingles"]]).links())
 
 
 def _frame(found: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(found, columns=[c.split()[0] for c in _LINKED.split(", ")])
-
-
-class _Shared:
-    """Which runs have so many shingles in common that a passage of both can match."""
-
-    def __init__(self, shingles: list[np.ndarray]):
-        sets = [np.unique(x) for x in shingles]
-        # Distinct shingles that every passage of a run has, at least.
-        least = [
-            _LENGTH if len(s) == len(x) else min(len(set(x[n : n + _LENGTH].tolist())) for n in range(max(1, len(x) - _LENGTH + 1)))
-            for s, x in zip(sets, shingles)
-        ]
-        self.least = np.array(least)
-        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        numbers, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
-        self.first, self.count = np.cumsum(counts) - counts, counts
-        self.holders = owner[np.argsort(numbers, kind="stable")]
-        self.of = np.split(numbers, np.cumsum([len(s) for s in sets])[:-1])
-
-    def enough(self, v: int) -> np.ndarray:
-        """For every run before ``v``."""
-        mine = self.of[v][self.count[self.of[v]] > 1]
-        count = self.count[mine]
-        at = np.arange(count.sum()) + np.repeat(self.first[mine] - np.cumsum(count) + count, count)
-        both = np.bincount(self.holders[at], minlength=len(self.of))[:v]
-        return both >= _SHARED * (self.least[:v] + self.least[v]) - 1e-6
+    names = [c.split()[0] for c in _LINKED.split(", ")]
+    if not found:
+        return pd.DataFrame([], columns=names)
+    return pd.DataFrame({name: np.concatenate(x) for name, x in zip(names, zip(*found))})
+
+
+class _Meetings:
+    """All pairs of the runs of each meeting, many pairs at a time.
+
+    Runs are laid over each other at their min-hash, so a place of a run is one of
+    ``_SPAN`` columns and a beginning of a passage one of ``_LENGTH``. A shingle that
+    all its holders in a meeting have in one column is counted column by column;
+    others, such as those after an inserted word or those that a run repeats, are
+    counted by the beginnings whose passages hold it in both runs.
+    """
+
+    def __init__(self, meeting, doc, first, at, again, side, shingles):
+        self.doc, self.first, self.at, self.side = doc.astype(np.int64), first.astype(np.int64), at.astype(np.int64), side
+        self.again, self.shingles = again.astype(bool), shingles
+        n = len(shingles)
+        sizes = np.array([len(x) for x in shingles], dtype=np.int64)
+        self.low = self.first - self.at + _LENGTH - 1
+        self.high = self.low + sizes - _LENGTH
+        self.opens = np.searchsorted(meeting, meeting)
+        row = np.repeat(np.arange(n), sizes)
+        column = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes - self.low, sizes)
+        code = meeting[row] << 32 | np.concatenate(shingles).astype(np.int64) & 0xFFFFFFFF
+        within = (column >= 0) & (column < _SPAN)
+        code, row, column = code[within], row[within], column[within]
+        order = np.argsort(code, kind="stable")
+        code, row, column = code[order], row[order], column[order]
+        begins = np.nonzero(np.r_[True, code[1:] != code[:-1]])[0]
+        group = np.repeat(np.arange(len(begins)), np.diff(np.r_[begins, len(code)]))
+        mixed = (np.minimum.reduceat(column, begins) != np.maximum.reduceat(column, begins))[group]
+        self.table = np.repeat(-1 - np.arange(n, dtype=np.int32)[:, None], _SPAN, axis=1)
+        self.table[row[~mixed], column[~mixed]] = group[~mixed]
+        group, row, column = group[mixed], row[mixed], column[mixed]
+        opens, since, until = _spans(group * n + row, column)
+        # Distinct shingles of every passage: of each span with several places one counts.
+        several = until - since >= _LENGTH
+        places = np.repeat(several, np.diff(np.r_[opens, len(row)]))
+        more = _covered(row[places], column[places] - _LENGTH + 1, column[places], n)
+        self.distinct = _LENGTH - more + _covered(row[opens][several], since[several], until[several], n)
+        begin = np.arange(_LENGTH)
+        inside = (begin >= self.low[:, None]) & (begin <= self.high[:, None])
+        self.least = np.where(inside, self.distinct, _LENGTH).min(axis=1)
+        # Spans by shingle: where those of their shingle begin; and their numbers by run.
+        group, self.row, self.since, self.until = group[opens], row[opens], since, until
+        self.heads = np.searchsorted(group, group)
+        self.by_run = np.argsort(self.row, kind="stable")
+        self.ends = np.searchsorted(self.row[self.by_run], np.arange(n + 1))
+        self.sets = {}
+
+    def links(self) -> list[tuple]:
+        out = []
+        for v, u, shift, opens, closes, least in self.matches():
+            base = self.at[v] - _LENGTH + 1
+            out.append((self.doc[v], self.doc[u], shift, base + opens, base + closes, least))
+        return out
+
+    def matches(self) -> Iterator[tuple]:
+        """Runs, those before them, how far these are moved, and the beginnings from where
+        to where they match, with the least similarity."""
+        for v, u, low, high, sim in self.similar():
+            begin = np.arange(_LENGTH)
+            alike = (sim >= SIMILARITY) & (begin >= low[:, None]) & (begin <= high[:, None])
+            found = alike.any(axis=1)
+            hits = np.nonzero(found)[0]
+            if len(hits):
+                edges = np.diff(np.pad(alike[hits].astype(np.int8), ((0, 0), (1, 1))), axis=1)
+                which, opens = np.nonzero(edges == 1)
+                closes = np.nonzero(edges == -1)[1]
+                padded = np.pad(sim[hits], ((0, 0), (0, 1))).ravel()
+                spans = np.stack([which, which], axis=1) * (_LENGTH + 1) + np.stack([opens, closes], axis=1)
+                least = np.minimum.reduceat(padded, spans.ravel())[::2]
+                mine, theirs = v[hits][which], u[hits][which]
+                yield mine, theirs, self.at[theirs] - self.at[mine], opens, closes - 1, least
+            rest = ~found & (self.again[u] | self.again[v])
+            if rest.any():
+                yield from self._elsewhere(v[rest], u[rest])
+
+    def similar(self) -> Iterator[tuple]:
+        """Runs, those before them in their meetings, the beginnings that both have, and
+        the similarities of their passages."""
+        before = np.arange(len(self.doc)) - self.opens
+        cuts = np.unique(np.searchsorted(np.cumsum(before), np.arange(0, before.sum() + 1, _PAIRS), "left"))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(before)]):
+            yield from self._similar(a, b, before[a:b])
+
+    def _similar(self, start: int, end: int, before: np.ndarray) -> Iterator[tuple]:
+        offset = np.cumsum(before) - before
+        v = np.repeat(np.arange(start, end), before)
+        u = np.arange(len(v)) - np.repeat(offset - self.opens[start:end], before)
+        low, high = np.maximum(self.low[u], self.low[v]), np.minimum(self.high[u], self.high[v])
+        apart = (self.doc[u] != self.doc[v]) & ((self.side[u] != self.side[v]) | (self.side[u] < 0))
+        taken = np.nonzero(apart & ((low <= high) | self.again[u] | self.again[v]))[0]
+        if not len(taken):
+            return
+        slot = np.full(len(v), -1)
+        slot[taken] = np.arange(len(taken))
+        u, v, low, high = u[taken], v[taken], low[taken], high[taken]
+        sums = np.zeros((len(u), _SPAN + 1), dtype=np.uint8)
+        np.cumsum(self.table[u] == self.table[v], axis=1, dtype=np.uint8, out=sums[:, 1:])
+        both = (sums[:, _LENGTH:] - sums[:, : _LENGTH]).astype(np.int64)
+        # Shingles in several columns: each span of a run with those before it.
+        mine = self.by_run[self.ends[start] : self.ends[end]]
+        count = mine - self.heads[mine]
+        if count.any():
+            x = np.repeat(mine, count)
+            y = np.arange(len(x)) - np.repeat(np.cumsum(count) - count - self.heads[mine], count)
+            r, other = self.row[x], self.row[y]
+            pair = offset[r - start] + other - self.opens[r]
+            pair = np.where(other < r, slot[np.minimum(pair, len(slot) - 1)], -1)
+            kept = np.nonzero(pair >= 0)[0]
+            x, y = x[kept], y[kept]
+            both += _covered(pair[kept], np.maximum(self.since[x], self.since[y]), np.minimum(self.until[x], self.until[y]), len(u))
+        sim = both / (self.distinct[u] + self.distinct[v] - both)
+        total = self.distinct[u] + self.distinct[v] - both
+        yield v, u, low, high, both / np.maximum(total, 1)
+
+    def _elsewhere(self, v: np.ndarray, u: np.ndarray) -> Iterator[tuple]:
+        """A min-hash that a run holds several times is tried at its other places as
+        well, those nearest to its first one first."""
+        trials = []
+        enough = _SHARED * (self.least[v] + self.least[u]) - 1e-6
+        for n, (i, j) in enumerate(zip(v.tolist(), u.tolist())):
+            if len(self._set(i) & self._set(j)) < enough[n]:
+                continue
+            a, b = self.shingles[i], self.shingles[j]
+            at, p_at = int(self.at[i] - self.first[i]), int(self.at[j] - self.first[j])
+            mine, theirs = np.nonzero(a == a[at])[0], np.nonzero(b == b[p_at])[0]
+            others = set(np.subtract.outer(mine, theirs).ravel().tolist()) - {at - p_at}
+            trials += [(n, x) for x in sorted(others, key=abs) if min(len(a), len(b) + x) - max(0, x) >= _LENGTH]
+        done = np.zeros(len(v), dtype=bool)
+        for at in range(0, len(trials), _PAIRS // 8):
+            n, moved = np.array(trials[at : at + _PAIRS // 8]).T
+            n, moved = n[~done[n]], moved[~done[n]]
+            if not len(n):
+                continue
+            rows = np.stack([u[n], v[n]], axis=1).ravel()
+            shift = self.first[u[n]] - self.first[v[n]] - moved
+            place = np.stack([self.at[v[n]] + shift, self.at[v[n]]], axis=1).ravel()
+            numbers = np.arange(len(rows)) // 2
+            tried = _Meetings(
+                numbers, self.doc[rows], self.first[rows], place, numbers < 0, numbers * 0 - 1, [self.shingles[r] for r in rows]
+            )
+            for mine, _, _, *found in tried.matches():
+                trial = mine // 2
+                # The first trial of a pair that finds something counts; they come in order.
+                first = np.searchsorted(n[trial], n[trial])
+                kept = (trial == trial[first]) & ~done[n[trial]]
+                pair = n[trial[kept]]
+                yield v[pair], u[pair], shift[trial[kept]], *(x[kept] for x in found)
+                done[n[trial]] = True
+
+    def _set(self, n: int) -> set:
+        if n not in self.sets:
+            self.sets[n] = set(self.shingles[n].tolist())
+        return self.sets[n]
+
+
+def _spans(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of places that are sorted by key: where a span opens, and its beginnings of
+    passages. Places of a key that follow each other within a passage are one span."""
+    opens = np.nonzero(np.r_[True, (keys[1:] != keys[:-1]) | (places[1:] - places[:-1] > _LENGTH)][: len(keys)])[0]
+    closes = np.r_[opens[1:], len(keys)][: len(opens)] - 1
+    return opens, places[opens] - _LENGTH + 1, places[closes]
+
+
+def _covered(row: np.ndarray, low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
+    """How many of the intervals [low, high] of each of ``n`` rows hold each beginning."""
+    low, high = np.maximum(low, 0), np.minimum(high, _LENGTH - 1)
+    some = low <= high
+    row, low, high = row[some] * (_LENGTH + 1), low[some], high[some]
+    size = n * (_LENGTH + 1)
+    steps = np.bincount(row + low, minlength=size) - np.bincount(row + high + 1, minlength=size)
+    return np.cumsum(steps.reshape(n, -1), axis=1)[:, :-1]
 
 
 def _links_of(rows: list[list]) -> list[tuple]:
-    """Links of a meeting's runs, given in order: of each run to every other before it
+    """Links of one meeting's runs, given in order: of each run to every other before it
     that it matches, in another document."""
     if len(rows) < 2:
         return []
-    docs, firsts, places = ([int(r[c]) for r in rows] for c in range(3))
-    shingles = [np.asarray(r[3]) for r in rows]
-    again = np.array([r[4] for r in rows], dtype=bool)
-    # Runs of one side are not compared here; where all are, each has a side of its own.
-    side = np.arange(len(rows)) if pd.isna(rows[0][5]) else np.array([r[5] for r in rows], dtype=np.int64)
-    owner = np.array(docs)
-    shared = _Shared(shingles)
-    out = []
-    for v in range(1, len(rows)):
-        apart = (side[:v] != side[v]) & (owner[:v] != owner[v])
-        if not apart.any():
-            continue
-        for u in np.nonzero(apart & shared.enough(v))[0]:
-            shift, found = _matches(
-                shingles[v], places[v] - firsts[v], shingles[u], places[u] - firsts[u], once=not (again[u] or again[v])
-            )
-            told = (docs[v], docs[u], firsts[u] - firsts[v] - shift)
-            out += [(*told, firsts[v] + low, firsts[v] + high, sim) for low, high, sim in found]
-    return out
+    doc, first, at, shingles, again, side = zip(*rows)
+    sides = np.full(len(rows), -1) if pd.isna(side[0]) else np.array(side, dtype=np.int64)
+    told = [np.array(x) for x in (doc, first, at, again)]
+    found = _Meetings(np.zeros(len(rows), dtype=np.int64), *told, sides, [np.asarray(x) for x in shingles]).links()
+    return [tuple(x) for links in found for x in zip(*(c.tolist() for c in links))]
 
 
 def _with_shingles(docs: DataFrame, ranges: DataFrame, of: str) -> DataFrame:
