@@ -124,6 +124,78 @@ def mine_blocks(
     return LocalItemsets(reduce(DataFrame.union, found), blocks, n_blocks)
 
 
+def mine_groupings(
+    baskets: DataFrame,
+    key: str,
+    sizes: DataFrame,
+    place: Column,
+    min_support: float,
+    max_len: int | None = None,
+) -> LocalItemsets:
+    """``mine_blocks`` for baskets that lie in one block of each of several groupings.
+
+    ``baskets`` holds ``key`` and ``items``; ``place`` makes the block, a struct that
+    begins with its grouping ``n``, from ``key`` and ``n``; ``sizes`` has the block of
+    every basket in every grouping. A level counts its itemsets over all baskets
+    first. Only those that reach the least threshold of a grouping's blocks are
+    counted by its blocks: no block holds more of them than the table.
+    """
+    blocks, n_blocks = store_counted(
+        sizes.groupBy(BLOCK)
+        .agg(F.count(F.lit(1)).alias("n_rows"))
+        .withColumn("min_count", _threshold(min_support, None, "floor")),
+        "blocks",
+    )
+    least = blocks.groupBy(F.col(f"{BLOCK}.n").alias("n")).agg(F.min("min_count").alias("least"))
+    item_type = dict(baskets.dtypes)["items"]
+    state = baskets.select(key, F.array().cast(item_type).alias("prefix"), F.col("items").alias("rest"))
+    levels: list[DataFrame] = []
+    held: list[DataFrame] = []
+    while True:
+        found = state.select(key, F.explode("rest").alias("item"), "prefix").select(
+            key, F.concat("prefix", F.array("item")).alias("items")
+        )
+        total = found.groupBy("items").agg(F.count(F.lit(1)).alias("total"))
+        wanted, n_wanted = store_counted(
+            total.join(F.broadcast(least), F.col("total") >= F.col("least"))
+            .groupBy("items")
+            .agg(F.collect_list("n").alias("groupings"))
+            .withColumn("id", F.monotonically_increasing_id()),
+            f"wanted{len(levels) + 1}",
+        )
+        counted = (
+            join_checked(found, wanted, ["items"], n_wanted, F.col(key))
+            .select(key, "id", F.explode("groupings").alias("n"))
+            .groupBy(place.alias(BLOCK), "id")
+            .agg(F.count(F.lit(1)).alias("freq"))
+        )
+        limits = blocks.select(BLOCK, "min_count")
+        enough = join_checked(counted, limits, [BLOCK], n_blocks, F.col("id")).where("freq >= min_count")
+        frequent, n_frequent = store_counted(
+            join_checked(enough, wanted.select("id", "items"), ["id"], n_wanted, F.col("freq"))
+            .select(BLOCK, "items", "freq"),
+            f"level{len(levels) + 1}",
+        )
+        levels.append(frequent)
+        if not n_frequent or len(levels) == max_len:
+            break
+        several = frequent.select(
+            F.slice("items", 1, len(levels) - 1).alias("prefix"), F.element_at("items", -1).alias("item")
+        ).distinct()
+        # In any block: each block's own are told by the count of the next level.
+        allowed = several.groupBy("prefix").agg(F.sort_array(F.collect_list("item")).alias("allowed"))
+        cut = join_checked(state, allowed, ["prefix"], n_frequent, F.col(key)).select(
+            key, "prefix", F.array_intersect("allowed", "rest").alias("rest")
+        )
+        state = _longer(cut, [key])
+        held.append(state.persist(StorageLevel.MEMORY_AND_DISK))
+        if len(held) > 2:
+            held.pop(0).unpersist()
+    for rows_held in held:
+        rows_held.unpersist()
+    return LocalItemsets(reduce(DataFrame.union, levels), blocks, n_blocks)
+
+
 def _extend(state: DataFrame, frequent: DataFrame, n_frequent: int, first: bool) -> DataFrame:
     """Working rows of the next level.
 
@@ -140,17 +212,21 @@ def _extend(state: DataFrame, frequent: DataFrame, n_frequent: int, first: bool)
     if first:
         # Baskets that agree on their frequent items count as one from here on.
         cut = cut.groupBy(BLOCK, "prefix", "rest").agg(F.sum("weight").alias("weight"))
+    return _longer(cut, [BLOCK, "weight"])
+
+
+def _longer(cut: DataFrame, kept: Sequence[str]) -> DataFrame:
+    """Every prefix with each item of ``rest`` that others follow, and these."""
     # The outer form, as the inner one has Spark work out ``rest`` once more for
     # a filter on its size; the condition on pos drops what it adds.
     exploded = F.posexplode_outer("rest").alias("pos", "item")
     return (
-        cut.select(BLOCK, "prefix", "rest", "weight", exploded)
+        cut.select(*kept, "prefix", "rest", exploded)
         .where(F.col("pos") < F.size("rest") - 1)
         .select(
-            BLOCK,
+            *kept,
             F.concat("prefix", F.array("item")).alias("prefix"),
             F.slice("rest", F.col("pos") + 2, F.size("rest")).alias("rest"),
-            "weight",
         )
     )
 

@@ -12,7 +12,7 @@ from blockmill.operators.blocks import BLOCK
 from blockmill.operators.evaluate import evaluate_itemsets, support_error
 from blockmill.operators.mining import (
     LocalItemsets,
-    mine_blocks,
+    mine_groupings,
     rules_from_itemsets,
     tally,
 )
@@ -33,17 +33,18 @@ def mine_blockings(
     seed: int = 42,
     max_len: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Mine the same baskets cut into each of ``counts`` blocks, in one pass.
+    """Mine the same baskets cut into each of ``counts`` blocks, in one pass and
+    without a copy of the baskets for each.
 
     Returns the local itemsets and the blocks, both with ``n``, the blocking.
     """
     counts = sorted(set(counts))
-    copies = baskets.select(key, "items", _each(counts).alias("n"))
+    h = bucket_hash(seed, F.col(key))
+    rows = baskets.select(h.alias("hash"), F.array_distinct("items").alias("items"))
     # Blocking and block name a block together, so no id can run into another's.
-    place = F.struct("n", (bucket_hash(seed, F.col(key)) % F.col("n")).alias("block"))
-    local = mine_blocks(
-        copies.select(place.alias(BLOCK), "items"), min_support=min_support, max_len=max_len
-    )
+    place = F.struct("n", (F.col("hash") % F.col("n")).alias("block"))
+    sizes = rows.select("hash", _each(counts).alias("n")).select(place.alias(BLOCK))
+    local = mine_groupings(rows, "hash", sizes, place, min_support, max_len)
     n = F.col(f"{BLOCK}.n")
     return local.with_support().withColumn("n", n), local.blocks.withColumn("n", n)
 
