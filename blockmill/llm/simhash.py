@@ -240,9 +240,20 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", max_distan
     # Two hashes name a row, so that null ids can be joined as well.
     names = {"_k1": F.xxhash64(id, text), "_k2": F.xxhash64(text, id, F.lit(1))}
     prints = docs.select(F.col(id).alias("doc_id"), fingerprints(text).alias("fp"), *[c.alias(n) for n, c in names.items()])
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_k1", "_k2")
-    kept = _linked(prints, max_distance).groupBy("root").agg(F.min(rank).alias("kept")).select("kept._k1", "kept._k2")
-    return docs.withColumns(names).join(store(kept, "kept"), [*names]).dropDuplicates([*names]).select(*docs.columns)
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *names, "n")
+    rows = _linked(prints, max_distance).groupBy("root", "doc_id", *names).agg(F.count(F.lit(1)).alias("n"))
+    kept = store(rows.groupBy("root").agg(F.min(rank).alias("kept")).select("kept._k1", "kept._k2", "kept.n"), "kept")
+    named = docs.withColumns(names)
+
+    def of(some: DataFrame) -> DataFrame:
+        # A table of names per part, so that no text is sorted.
+        return named.join(some.select(*names).hint("shuffle_hash"), [*names], "left_semi")
+
+    # Texts are brought together only where rows are repeated.
+    out, repeated = of(kept.filter("n = 1")), kept.filter("n > 1")
+    if not repeated.isEmpty():
+        out = out.unionByName(of(repeated).dropDuplicates([*names]))
+    return out.select(*docs.columns)
 
 
 def as_hex(fp: Column) -> Column:

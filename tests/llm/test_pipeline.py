@@ -90,3 +90,16 @@ def test_keep_one(spark):
     df = spark.createDataFrame([(2, "a b c"), (1, "A b c"), (1, "A b c"), (1, "other text"), (None, "z")], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.text) for r in simhash.keep_one(df).collect())
     assert got == [(0, "z"), (1, "A b c"), (1, "other text")]
+
+
+def test_keep_one_sorts_no_texts(spark):
+    """Texts go to the names that are kept and past; sorted with them they took an executor's memory."""
+    rows = [(n // 2 if n % 7 else None, f"text {n // 3} of many words " * 5) for n in range(60)]
+    df = spark.createDataFrame([*rows, *rows[:20]], "doc_id long, text string")
+    one = simhash.keep_one(df.distinct())
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("Join LeftSemi", 1)[0] and "strategy=shuffle_hash" in plan
+    pairs = lambda got: sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in got.collect())
+    assert pairs(simhash.keep_one(df)) == pairs(one)
+    classes = slow_components([slow_fingerprint(t) for t in sorted({t for _, t in rows})])
+    assert one.count() == len(set(classes))
