@@ -11,12 +11,10 @@ share their min-hashes. ``BANDS`` such bands of functions are kept.
 Runs with equal min-hashes in several documents are candidates. A run stands for
 those of its band value that are word for word the same, whole. Two distinct runs
 are laid over each other at the shared min-hash and linked by the passages of both
-that have a Jaccard similarity of ``SIMILARITY``. All are compared with the head of
-their band value, the run that stands for most, and with all others of the band
-value, block by block. Runs that lay two documents over each other at the same
-distance as their heads are joined into stretches before they are compared with
-those, so such a passage is compared once, whatever the number of its bands and
-runs. No two distinct runs of a band value are left out.
+that have a Jaccard similarity of ``SIMILARITY``. The distinct runs of a band value
+meet block by block, and every two are compared unless links found there connect
+them already: what leaves a meeting is a spanning forest of its links, never all
+pairs. Documents connected by links are a class; no link between two is lost to it.
 """
 
 from __future__ import annotations
@@ -29,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockmill.llm.tables import store, text_of
+from blockmill.llm.tables import connected, store, text_of
 
 SHINGLE = 5
 #: Words of the shortest passage looked for.
@@ -46,12 +44,10 @@ BATCH_WORDS = 1 << 18
 FILTER_BITS = 1 << 26
 #: Most runs of a band value that meet in one place; more are cut into blocks.
 BLOCK = 1024
-#: Beginnings of passages compared in one row; longer stretches are cut.
-STRETCH = 4096
 #: Ranges of a document cut out together; for more of them its text is read again.
 RANGES = 5_000
 
-#: Pairs of runs compared together.
+#: Pairs of runs compared together, about.
 _PAIRS = 1 << 13
 
 _LENGTH = WORDS - SHINGLE + 1  # of a passage, in shingles
@@ -244,19 +240,22 @@ def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Jaccard similarities of the passages of two equally long rows of shingles,
     of those that begin at the same place."""
     both = _laid([1], [0], [x], [0], [0], [y])
-    sim = next(both.similar())[-1]
+    sim = both.similar(*next(both._pairs()))[-1]
     return np.concatenate([row[: high + 1] for row, high in zip(sim, both.high[1::2])])
 
 
 def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, partner_id, first_word, last_word, partner_first_word, partner_last_word,
-    similarity``: stretches of a document made of passages of ``WORDS`` words that a
-    document with a smaller id has as well, with their smallest similarity.
-
-    A passage that is word for word the same in many documents gives one row for each
-    but one of them, the smallest, which stands for all. Those that stand for different
-    passages are linked wherever they match, in all pairs. The document with the larger
-    id is told first.
+    similarity, component_id``: stretches of a document made of passages of ``WORDS`` words
+    that a document with a smaller id has as well, with their smallest similarity, and
+    the smallest id of the document's class.
+
+    Documents are of one class if links connect them, whatever passages these are of. A
+    passage that is word for word the same in many documents gives one row for each but
+    one of them, the smallest, which stands for all. Those that stand for different
+    passages are linked to the first that they match, and where that leaves classes of a
+    band value apart, to further ones: rows grow with the runs, not with their pairs.
+    A document that only stands for others is told as their partner.
     Null and short texts have no passages; rows with a null id, or with the id of
     another row, take part but are not compared with themselves. Words are split
     at white space and lower-cased.
@@ -281,88 +280,18 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text") -
         ),
         "links",
     )
-    # The run that stands for most is the likeliest to match the others: a join,
-    # which Spark can split where a value is held by very many.
-    most = F.struct((-F.col("n")).alias("n"), "doc", "first", "last", "at", "again", "content")
-    several = stands.groupBy("band").agg(F.min(most).alias("h"), F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a <> b")
-    heads = several.select("band", *[F.col(f"h.{c}").alias(f"p_{c}") for c in ("doc", "first", "last", "at", "again", "content")])
-    beside = store(_placed(stands.join(heads, "band").filter("content <> p_content")), "beside")
-    near = _compared(own, beside)
-    met = _meetings(own, beside)
+    met = _meetings(own, stands)
     # As many parts as are set: few bytes can be much work here.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = met.repartition(parts, "meeting").sortWithinPartitions("meeting", "band", "doc", "first").mapInPandas(_meet, _LINKED)
-    return _stretches(links.unionByName(near).unionByName(met))
+    told = store(_stretches(links.unionByName(met)), "stretches")
+    if told.isEmpty():
+        return told.withColumn("component_id", F.col("partner_id"))
+    classes = connected(told.select(F.col("doc_id").alias("a"), F.col("partner_id").alias("b")).distinct())
+    return told.join(classes.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id")), "doc_id")
 
 
 _LINKED = "doc long, p_doc long, shift int, low int, high int, sim double"
-#: What is compared: places ``low`` to ``high`` of a document with those of another that
-#: lie ``shift`` further on; ``kind`` is 0 for stretches and the band value for runs that
-#: hold their min-hash several times, which are compared one by one.
-_KEY = ["doc", "p_doc", "shift", "start", "kind"]
-
-
-def _placed(pairs: DataFrame) -> DataFrame:
-    """Runs and the heads of their band values: the places ``low`` to ``high`` that both
-    have, and the beginning of the stretch of such places that a run is part of. A
-    stretch is neighbouring runs of the same two documents and the same shift."""
-    shift = F.col("p_at") - F.col("at")
-    alone = F.col("again") | F.col("p_again")
-    placed = pairs.select(
-        "band", "doc", "first", "last", "at", "again", "p_doc", "p_first", "p_last", "p_at", shift.alias("shift"),
-        F.when(alone, F.col("first")).otherwise(F.greatest("first", F.col("p_first") - shift)).alias("low"),
-        F.when(alone, F.col("last")).otherwise(F.least("last", F.col("p_last") - shift)).alias("high"),
-        F.when(alone, F.col("band")).otherwise(F.lit(0)).alias("kind"),
-    )
-    order = Window.partitionBy("doc", "p_doc", "shift", "kind").orderBy("low", "high")
-    reach = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    cell = F.floor(F.col("low") / STRETCH)
-    goes_on = (F.col("kind") == 0) & (F.col("low") <= reach + 1) & (cell == F.lag(cell).over(order))
-    placed = placed.withColumn("opens", F.when(F.coalesce(goes_on, F.lit(False)), F.lit(None)).otherwise(F.col("low")))
-    start = F.last("opens", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return placed.withColumn("start", start).drop("opens")
-
-
-def _compared(docs: DataFrame, beside: DataFrame) -> DataFrame:
-    """Passages that match, for everything there is to compare."""
-    asked = beside.filter("low <= high AND doc <> p_doc").groupBy(*_KEY).agg(
-        F.max("high").alias("high"), *[F.min(c).alias(c) for c in ("at", "p_at", "p_first")], F.max("p_last").alias("p_last")
-    )
-    plain = F.col("kind") == 0
-    p_low = F.when(plain, F.col("start") + F.col("shift")).otherwise(F.col("p_first"))
-    p_high = F.when(plain, F.col("high") + F.col("shift")).otherwise(F.col("p_last"))
-    asked = asked.select(
-        *_KEY,
-        F.array(
-            F.struct(F.col("doc").alias("of"), F.col("start").alias("first"), F.col("high").alias("last"), F.col("at").alias("place"), F.lit(0).alias("side")),
-            F.struct(F.col("p_doc").alias("of"), p_low.alias("first"), p_high.alias("last"), F.col("p_at").alias("place"), F.lit(1).alias("side")),
-        ).alias("both"),
-    )
-    ranges = asked.select(*_KEY, F.explode("both").alias("r")).select(*_KEY, "r.*")
-    cut = store(_with_shingles(docs, ranges, "of"), "ranges")
-    theirs = cut.filter("side = 1").select(*_KEY, *[F.col(c).alias(f"p_{c}") for c in ("first", "place", "shingles")])
-    return cut.filter("side = 0").join(theirs, _KEY).mapInPandas(_compare, _LINKED)
-
-
-def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        found = []
-        for n in range(0, len(batch), _PAIRS // 8):
-            part = batch.iloc[n : n + _PAIRS // 8]
-            again = (part["kind"] != 0).to_numpy()
-            side, p_side = ([part[p + c].to_numpy() for c in ("doc", "first", "shingles")] for p in ("", "p_"))
-            if (~again).any():
-                found += _laid(*(c[~again] for c in (*side, *p_side))).links()
-            if again.any():
-                rows = [[x for both in zip(b[again], a[again]) for x in both] for a, b in zip(side, p_side)]
-                rows = [np.array(rows[0]), np.array(rows[1]), rows[2]]
-                # Of several runs of one document and beginning the longest is laid down whole.
-                last = side[1][again] + [len(x) - _LENGTH for x in side[2][again]]
-                at, shift = np.maximum(part["place"][again], last), (part["p_place"] - part["place"])[again]
-                at = np.stack([at + shift, at], axis=1).ravel()
-                numbers = np.arange(len(at)) // 2
-                found += _Meetings(numbers, rows[0], rows[1], at, numbers >= 0, numbers * 0 - 1, rows[2]).links()
-        yield _frame(found)
 
 
 def _laid(doc, first, shingles, p_doc, p_first, p_shingles) -> _Meetings:
@@ -380,15 +309,15 @@ def _laid(doc, first, shingles, p_doc, p_first, p_shingles) -> _Meetings:
     return _Meetings(numbers, docs.ravel(), first, first + _LENGTH - 1, numbers < 0, numbers * 0 - 1, cut)
 
 
-def _meetings(docs: DataFrame, beside: DataFrame) -> DataFrame:
-    """The runs to be compared, ``BLOCK`` at most to a meeting: all pairs of each band
-    value but those with its head. ``side`` is null where all of a meeting are compared,
-    else those of different sides are."""
-    sizes = beside.groupBy("band").agg(
+def _meetings(docs: DataFrame, stands: DataFrame) -> DataFrame:
+    """The runs to be compared, ``BLOCK`` at most to a meeting, of band values that
+    distinct runs of several documents have. ``side`` is null where all of a meeting are
+    compared, else those of different sides are."""
+    sizes = stands.groupBy("band").agg(
         F.count(F.lit(1)).alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b")
-    ).filter("n > 1 AND a <> b")
+    ).filter("a <> b")
     blocks = F.when(F.col("n") > BLOCK, F.ceil(F.col("n") / (BLOCK // 2))).otherwise(1).cast("int")
-    named = beside.select("band", "doc", "first", "last", "at", "again")
+    named = stands.select("band", "doc", "first", "last", "at", "again")
     rows = _with_shingles(docs, named.join(sizes.select("band", blocks.alias("blocks")), "band"), "doc")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("doc", "first"), F.col("blocks")).cast("int"))
     mine = F.col("mine")
@@ -424,7 +353,7 @@ def _linked(rows: pd.DataFrame) -> pd.DataFrame:
     numbers = np.cumsum((rows[["meeting", "band"]].diff() != 0).any(axis=1).to_numpy()) - 1
     side = rows["side"].astype(float).fillna(-1).to_numpy().astype(np.int64)
     told = [rows[c].to_numpy() for c in ("doc", "first", "at", "again")]
-    return _frame(_Meetings(numbers, *told, side, [np.asarray(x) for x in rows["shingles"]]).links())
+    return _frame(_Meetings(numbers, *told, side, [np.asarray(x) for x in rows["shingles"]]).forest())
 
 
 def _frame(found: list[tuple]) -> pd.DataFrame:
@@ -435,7 +364,7 @@ def _frame(found: list[tuple]) -> pd.DataFrame:
 
 
 class _Meetings:
-    """All pairs of the runs of each meeting, many pairs at a time.
+    """Pairs of the runs of each meeting, many pairs at a time.
 
     Runs are laid over each other at their min-hash, so a place of a run is one of
     ``_SPAN`` columns and a beginning of a passage one of ``_LENGTH``. A shingle that
@@ -476,77 +405,97 @@ class _Meetings:
         self.least = np.where(inside, self.distinct, _LENGTH).min(axis=1)
         # Spans by shingle: where those of their shingle begin; and their numbers by run.
         group, self.row, self.since, self.until = group[opens], row[opens], since, until
-        self.heads = np.searchsorted(group, group)
+        self.heads, self.tails = np.searchsorted(group, group), np.searchsorted(group, group, "right")
         self.by_run = np.argsort(self.row, kind="stable")
         self.ends = np.searchsorted(self.row[self.by_run], np.arange(n + 1))
         self.sets = {}
 
     def links(self) -> list[tuple]:
-        out = []
-        for v, u, shift, opens, closes, least in self.matches():
-            base = self.at[v] - _LENGTH + 1
-            out.append((self.doc[v], self.doc[u], shift, base + opens, base + closes, least))
+        """Of all pairs that match."""
+        return [self._told(*found) for v, u in self._pairs() for found in self._matched(v, u)]
+
+    def forest(self) -> list[tuple]:
+        """Of pairs enough to connect all runs that links connect: each run's first, and
+        those that join classes."""
+        out, classes = [], np.arange(len(self.doc))
+        for v, u in self._pairs(classes):
+            found = [*self._matched(v, u)]
+            if not found:
+                continue
+            found = [np.concatenate(x) for x in zip(*found)]
+            mine, theirs = found[:2]
+            first = np.unique(classes[mine], return_index=True)[1]
+            kept = np.isin(mine, mine[first])
+            out.append(self._told(*(x[kept] for x in found)))
+            into = np.arange(len(classes))
+            into[classes[mine[first]]] = classes[theirs[first]]
+            classes[:] = into[classes]
         return out
 
-    def matches(self) -> Iterator[tuple]:
-        """Runs, those before them, how far these are moved, and the beginnings from where
-        to where they match, with the least similarity."""
-        for v, u, low, high, sim in self.similar():
-            begin = np.arange(_LENGTH)
-            alike = (sim >= SIMILARITY) & (begin >= low[:, None]) & (begin <= high[:, None])
-            found = alike.any(axis=1)
-            hits = np.nonzero(found)[0]
-            if len(hits):
-                edges = np.diff(np.pad(alike[hits].astype(np.int8), ((0, 0), (1, 1))), axis=1)
-                which, opens = np.nonzero(edges == 1)
-                closes = np.nonzero(edges == -1)[1]
-                padded = np.pad(sim[hits], ((0, 0), (0, 1))).ravel()
-                spans = np.stack([which, which], axis=1) * (_LENGTH + 1) + np.stack([opens, closes], axis=1)
-                least = np.minimum.reduceat(padded, spans.ravel())[::2]
-                mine, theirs = v[hits][which], u[hits][which]
-                yield mine, theirs, self.at[theirs] - self.at[mine], opens, closes - 1, least
-            rest = ~found & (self.again[u] | self.again[v])
-            if rest.any():
-                yield from self._elsewhere(v[rest], u[rest])
-
-    def similar(self) -> Iterator[tuple]:
-        """Runs, those before them in their meetings, the beginnings that both have, and
-        the similarities of their passages."""
-        before = np.arange(len(self.doc)) - self.opens
-        cuts = np.unique(np.searchsorted(np.cumsum(before), np.arange(0, before.sum() + 1, _PAIRS), "left"))
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(before)]):
-            yield from self._similar(a, b, before[a:b])
-
-    def _similar(self, start: int, end: int, before: np.ndarray) -> Iterator[tuple]:
-        offset = np.cumsum(before) - before
-        v = np.repeat(np.arange(start, end), before)
-        u = np.arange(len(v)) - np.repeat(offset - self.opens[start:end], before)
+    def _told(self, v, u, shift, opens, closes, least) -> tuple:
+        base = self.at[v] - _LENGTH + 1
+        return self.doc[v], self.doc[u], shift, base + opens, base + closes, least
+
+    def _pairs(self, classes: np.ndarray | None = None) -> Iterator[tuple]:
+        """Runs and the one of their meeting they are paired with: its first, then its
+        second, and so on. With classes only those of different ones."""
+        rank = np.arange(len(self.doc)) - self.opens
+        left, at = np.nonzero(rank > 0)[0], 0
+        while len(left):
+            u = self.opens[left] + at
+            apart = (self.doc[u] != self.doc[left]) & ((self.side[u] != self.side[left]) | (self.side[u] < 0))
+            if classes is not None:
+                apart &= classes[u] != classes[left]
+            v, u = left[apart], u[apart]
+            for n in range(0, len(v), _PAIRS):
+                yield v[n : n + _PAIRS], u[n : n + _PAIRS]
+            at += 1
+            left = left[rank[left] > at]
+
+    def _matched(self, v: np.ndarray, u: np.ndarray) -> Iterator[tuple]:
+        """Runs, those paired with them, how far these are moved, and the beginnings from
+        where to where they match, with the least similarity."""
+        v, u, low, high, sim = self.similar(v, u)
+        begin = np.arange(_LENGTH)
+        alike = (sim >= SIMILARITY) & (begin >= low[:, None]) & (begin <= high[:, None])
+        found = alike.any(axis=1)
+        hits = np.nonzero(found)[0]
+        if len(hits):
+            edges = np.diff(np.pad(alike[hits].astype(np.int8), ((0, 0), (1, 1))), axis=1)
+            which, opens = np.nonzero(edges == 1)
+            closes = np.nonzero(edges == -1)[1]
+            padded = np.pad(sim[hits], ((0, 0), (0, 1))).ravel()
+            spans = np.stack([which, which], axis=1) * (_LENGTH + 1) + np.stack([opens, closes], axis=1)
+            least = np.minimum.reduceat(padded, spans.ravel())[::2]
+            mine, theirs = v[hits][which], u[hits][which]
+            yield mine, theirs, self.at[theirs] - self.at[mine], opens, closes - 1, least
+        rest = ~found & (self.again[u] | self.again[v])
+        if rest.any():
+            yield from self._elsewhere(v[rest], u[rest])
+
+    def similar(self, v: np.ndarray, u: np.ndarray) -> tuple:
+        """Of the pairs that can match: both runs, the beginnings that both have, and the
+        similarities of their passages. A run is paired with one other at a time."""
         low, high = np.maximum(self.low[u], self.low[v]), np.minimum(self.high[u], self.high[v])
-        apart = (self.doc[u] != self.doc[v]) & ((self.side[u] != self.side[v]) | (self.side[u] < 0))
-        taken = np.nonzero(apart & ((low <= high) | self.again[u] | self.again[v]))[0]
-        if not len(taken):
-            return
-        slot = np.full(len(v), -1)
-        slot[taken] = np.arange(len(taken))
-        u, v, low, high = u[taken], v[taken], low[taken], high[taken]
+        taken = (low <= high) | self.again[u] | self.again[v]
+        v, u, low, high = v[taken], u[taken], low[taken], high[taken]
         sums = np.zeros((len(u), _SPAN + 1), dtype=np.uint8)
         np.cumsum(self.table[u] == self.table[v], axis=1, dtype=np.uint8, out=sums[:, 1:])
         both = (sums[:, _LENGTH:] - sums[:, : _LENGTH]).astype(np.int64)
-        # Shingles in several columns: each span of a run with those before it.
-        mine = self.by_run[self.ends[start] : self.ends[end]]
-        count = mine - self.heads[mine]
-        if count.any():
-            x = np.repeat(mine, count)
-            y = np.arange(len(x)) - np.repeat(np.cumsum(count) - count - self.heads[mine], count)
-            r, other = self.row[x], self.row[y]
-            pair = offset[r - start] + other - self.opens[r]
-            pair = np.where(other < r, slot[np.minimum(pair, len(slot) - 1)], -1)
+        # Shingles in several columns: each span of the others with those of its shingle.
+        other = np.unique(u)
+        y = self.by_run[_ranges(self.ends[other], self.ends[other + 1])]
+        if len(y):
+            x = _ranges(self.heads[y], self.tails[y])
+            y = np.repeat(y, self.tails[y] - self.heads[y])
+            slot = np.full(len(self.doc), -1)
+            slot[v] = np.arange(len(v))
+            pair = slot[self.row[x]]
             kept = np.nonzero(pair >= 0)[0]
             x, y = x[kept], y[kept]
             both += _covered(pair[kept], np.maximum(self.since[x], self.since[y]), np.minimum(self.until[x], self.until[y]), len(u))
-        sim = both / (self.distinct[u] + self.distinct[v] - both)
         total = self.distinct[u] + self.distinct[v] - both
-        yield v, u, low, high, both / np.maximum(total, 1)
+        return v, u, low, high, both / np.maximum(total, 1)
 
     def _elsewhere(self, v: np.ndarray, u: np.ndarray) -> Iterator[tuple]:
         """A min-hash that a run holds several times is tried at its other places as
@@ -574,7 +523,7 @@ class _Meetings:
             tried = _Meetings(
                 numbers, self.doc[rows], self.first[rows], place, numbers < 0, numbers * 0 - 1, [self.shingles[r] for r in rows]
             )
-            for mine, _, _, *found in tried.matches():
+            for mine, _, _, *found in (x for pair in tried._pairs() for x in tried._matched(*pair)):
                 trial = mine // 2
                 # The first trial of a pair that finds something counts; they come in order.
                 first = np.searchsorted(n[trial], n[trial])
@@ -589,6 +538,12 @@ class _Meetings:
         return self.sets[n]
 
 
+def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The numbers from each of ``low`` to below its ``high``, in a row."""
+    size = high - low
+    return np.arange(size.sum()) + np.repeat(low - np.cumsum(size) + size, size)
+
+
 def _spans(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of places that are sorted by key: where a span opens, and its beginnings of
     passages. Places of a key that follow each other within a passage are one span."""

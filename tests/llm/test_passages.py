@@ -240,9 +240,17 @@ def test_all_matches_of_a_meeting_are_linked():
     assert {(v, u) for v, u, *_ in passages._links_of(rows)} == {(v, u) for v in range(4) for u in range(v)}
 
 
+def classes_of(pairs, n):
+    group = list(range(n))
+    for v, u in pairs:
+        low, high = sorted((group[v], group[u]))
+        group = [low if g == high else g for g in group]
+    return group
+
+
 @pytest.mark.parametrize("block", [2, 1024])
-def test_all_pairs_of_near_copies(spark, block, monkeypatch):
-    """Many versions of one passage: every two that are alike are linked."""
+def test_classes_of_near_copies(spark, block, monkeypatch):
+    """Many versions of one passage: those connected by matches are of one class."""
     monkeypatch.setattr(passages, "BLOCK", block)
     rng = random.Random(12)
     docs = []
@@ -251,9 +259,30 @@ def test_all_pairs_of_near_copies(spark, block, monkeypatch):
         docs += [like(text, at) for at in (0, 1, 2, 47, 48, 49)]
     texts = [" ".join(d) for d in docs]
     held = [sets(t)[0] for t in texts]
-    want = {(v, u) for v in range(len(docs)) for u in range(v) if len(held[v] & held[u]) / len(held[v] | held[u]) >= 0.8}
-    got = {(r.doc_id, r.partner_id) for r in passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert len(want) > 100 and got <= want and len(got) >= 0.97 * len(want)
+    near = {(v, u) for v in range(len(docs)) for u in range(v) if len(held[v] & held[u]) / len(held[v] | held[u]) >= 0.8}
+    rows = passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.partner_id) for r in rows} <= near
+    want, got = classes_of(near, len(docs)), dict(enumerate(range(len(docs)))) | {r.doc_id: r.component_id for r in rows}
+    assert [got[n] for n in range(len(docs))] == want and len(set(want)) < len(docs)
+
+
+def test_links_grow_with_the_runs_not_with_their_pairs():
+    """A meeting gives a spanning forest of all its links."""
+    rng = np.random.default_rng(14)
+    base = rng.integers(0, 1 << 30, 46).astype(np.int32)
+    rows = []
+    for n in range(400):
+        mine = base.copy()
+        at = rng.choice(np.arange(1, 46), rng.integers(2, 6), replace=False)
+        mine[at] = rng.integers(0, 1 << 30, len(at))
+        rows.append([n, 0, 0, mine, False, None])
+    told = [np.array(x) for x in list(zip(*rows))[:3]]
+    met = passages._Meetings(np.zeros(400, dtype=np.int64), *told, told[0] < 0, np.full(400, -1), [r[3] for r in rows])
+    pairs = [(v, u) for found in met.forest() for v, u in zip(found[0].tolist(), found[1].tolist())]
+    every = {(v, u) for v, u, *_ in passages._links_of(rows)}
+    group = classes_of(every, 400)
+    assert set(pairs) <= every and len(every) > 400
+    assert classes_of(pairs, 400) == group and len(pairs) == 400 - len(set(group))
 
 
 def test_many_runs_of_a_band_value_are_compared_together():
