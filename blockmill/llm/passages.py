@@ -15,19 +15,26 @@ that have a Jaccard similarity of ``SIMILARITY``. The distinct runs of a band va
 meet block by block, and every two are compared unless links found there connect
 them already: what leaves a meeting is a spanning forest of its links, never all
 pairs. Documents connected by links are a class; no link between two is lost to it.
+
+Most band values with distinct runs have two, of the same two documents as other band
+values near by. Their shingles travel together, once for each document, and what lies
+over each other in several of them is compared once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockmill.llm.tables import connected, store, text_of
+from blockmill.llm.tables import connected, slices, store, text_of
 
 SHINGLE = 5
 #: Words of the shortest passage looked for.
@@ -36,9 +43,11 @@ SIMILARITY = 0.8
 #: Passages at similarity 0.8 share a band value with probability 0.994 (0.76 for two
 #: bands of three, 0.997 for eight, which take 2.4 times the windows of five of two).
 BANDS, FUNCTIONS = 5, 2
-#: Words of text worked on together by a task; longer texts are cut into pieces
-#: that overlap by a passage.
+#: Words of text gathered by a task; longer texts are cut into pieces that overlap by a
+#: passage.
 BATCH_WORDS = 1 << 18
+#: Shingles of gathered texts worked on together: their arrays stay in a core's cache.
+BLOCK_SHINGLES = 1 << 17
 #: Bits of the filter of repeated band values (8 MB, whatever the corpus; a fuller
 #: filter lets more rows through to the join that decides).
 FILTER_BITS = 1 << 26
@@ -47,8 +56,8 @@ BLOCK = 1024
 #: Ranges of a document cut out together; for more of them its text is read again.
 RANGES = 5_000
 
-#: Pairs of runs compared together, about.
-_PAIRS = 1 << 13
+#: Pairs of runs compared together, and shingles of a batch that is handed on, about.
+_PAIRS, _SHINGLES = 1 << 13, 1 << 19
 
 _LENGTH = WORDS - SHINGLE + 1  # of a passage, in shingles
 _SPAN = 2 * _LENGTH - 1  # places that passages with a common place can hold
@@ -70,9 +79,13 @@ _INVERSE = _u64(pow(int(_ODD), -1, 1 << 64))
 
 def _mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     x = x ^ _u64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    x = (x ^ (x >> _u64(30))) * _u64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _u64(27))) * _u64(0x94D049BB133111EB)
-    return x ^ (x >> _u64(31))
+    moved = x >> _u64(30)
+    x ^= moved
+    x *= _u64(0xBF58476D1CE4E5B9)
+    x ^= np.right_shift(x, _u64(27), out=moved)
+    x *= _u64(0x94D049BB133111EB)
+    x ^= np.right_shift(x, _u64(31), out=moved)
+    return x
 
 
 def words_of(text: str | None) -> list[str]:
@@ -91,12 +104,14 @@ def shingle_hashes(words: list[str]) -> np.ndarray:
     return _mixed(out)
 
 
-def compact_windows(values: np.ndarray, firsts: np.ndarray, lasts: np.ndarray, length: int = _LENGTH):
+def compact_windows(values: np.ndarray, firsts: np.ndarray, lasts: np.ndarray, length: int = _LENGTH, opens: int = 0):
     """``(l, c, r, value)`` of all windows at least ``length`` wide over the ranges
     [first, last], by place. Such a window's ``c`` is the smallest of ``length``
-    neighbours, and so are the smaller ones on both its sides, where it ends."""
+    neighbours, and so are the smaller ones on both its sides, where it ends. Sorted by
+    ``c``, and so by the beginnings of their passages. Equal values are told apart by
+    places counted from ``opens``."""
     low_bits = _u64((1 << 20) - 1)
-    minima = (values >> _PLACE << _PLACE) | (np.arange(len(values), dtype=np.uint64) * _u64(_SCATTER) & low_bits)
+    minima = (values & ~low_bits) | _scattered(opens, len(values))
     wide = np.nonzero(lasts - firsts + 1 >= length)[0]
     if not len(wide):
         none = np.zeros(0, dtype=np.int64)
@@ -113,7 +128,7 @@ def compact_windows(values: np.ndarray, firsts: np.ndarray, lasts: np.ndarray, l
     begins = np.nonzero(np.cumsum(steps[:-1], dtype=np.int8))[0]
     best = minima[begins]
     best = best[np.r_[True, best[1:] != best[:-1]]]
-    middle = ((best & low_bits) * _u64(_GATHER) & low_bits).astype(np.int64)
+    middle = ((best & low_bits) * _u64(_GATHER) & low_bits).astype(np.int64) - opens
     owner = np.searchsorted(firsts, middle, "right") - 1
     before, after = _smaller(best), len(best) - 1 - _smaller(best[::-1])[::-1]
     low = np.where(before >= 0, middle[before] + 1, 0)
@@ -121,6 +136,11 @@ def compact_windows(values: np.ndarray, firsts: np.ndarray, lasts: np.ndarray, l
     return np.maximum(low, firsts[owner]), middle, np.minimum(high, lasts[owner]), best >> _PLACE
 
 
+@lru_cache(maxsize=1)
+def _scattered(opens: int, n: int) -> np.ndarray:
+    return np.arange(opens, opens + n, dtype=np.uint64) * _u64(_SCATTER) & _u64((1 << 20) - 1)
+
+
 def _smaller(values: np.ndarray) -> np.ndarray:
     """For each of distinct values the place of the next smaller one before it, else -1."""
     before = np.arange(len(values)) - 1
@@ -132,23 +152,24 @@ def _smaller(values: np.ndarray) -> np.ndarray:
     return before
 
 
-def _runs(shingles: np.ndarray, firsts: np.ndarray, lasts: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+def _runs(shingles: np.ndarray, firsts: np.ndarray, lasts: np.ndarray, opens: int = 0) -> Iterator[tuple[np.ndarray, ...]]:
     """For each band: beginnings [a, b] of passages that share its min-hashes, the
     place of the first of them, and the band value; sorted by beginning."""
     for band in range(BANDS):
         begins, values, middles, ends = [], [], [], None
         for n in range(FUNCTIONS):
-            l, c, r, v = compact_windows(_mixed(shingles, 1 + band * FUNCTIONS + n), firsts, lasts)
-            begin = np.maximum(l, c - _LENGTH + 1)
-            order = np.argsort(begin)
-            begins.append(begin[order])
-            values.append(v[order])
-            middles.append(c[order])
+            l, c, r, v = compact_windows(_mixed(shingles, 1 + band * FUNCTIONS + n), firsts, lasts, opens=opens)
+            begins.append(np.maximum(l, c - _LENGTH + 1))
+            values.append(v)
+            middles.append(c)
             if n == 0:
-                ends = np.minimum(c, r - _LENGTH + 1)[order]
+                ends = np.minimum(c, r - _LENGTH + 1)
         # The intervals of every function cover the same beginnings, so their
         # join is the common refinement.
-        a = np.unique(np.concatenate(begins))
+        marks = np.zeros(len(shingles), dtype=bool)
+        for begin in begins:
+            marks[begin] = True
+        a = np.nonzero(marks)[0]
         value = np.zeros(len(a), dtype=np.uint64)
         for begin, v in zip(begins, values):
             value = _mixed(value ^ v[np.searchsorted(begin, a, "right") - 1], band + 11)
@@ -176,6 +197,16 @@ def _pieces(ids, texts):
 
 def _rows(gathered, columns: list[str] = _COLUMNS, bits: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
     """The runs of gathered texts; with a filter those whose band value is in it."""
+    sizes = np.cumsum([0, *(len(s) for _, _, s in gathered)])
+    block = sizes[:-1] // BLOCK_SHINGLES
+    cuts = [0, *(np.nonzero(np.diff(block))[0] + 1).tolist(), len(gathered)]
+    for low, high in pairwise(cuts):
+        yield _rows_of(gathered[low:high], int(sizes[low]), columns, bits)
+
+
+def _rows_of(gathered, opens: int, columns: list[str], bits: np.ndarray | None) -> pd.DataFrame:
+    """The runs of texts that stand from the place ``opens`` on in what was gathered."""
+    found = []
     sizes = np.array([len(s) for _, _, s in gathered], dtype=np.int64)
     lasts = np.cumsum(sizes) - 1
     firsts = lasts - sizes + 1
@@ -193,10 +224,9 @@ def _rows(gathered, columns: list[str] = _COLUMNS, bits: np.ndarray | None = Non
         same = shingles[order[1:]] == shingles[order[:-1]]
         before, after = np.full(len(shingles), -1), np.full(len(shingles), len(shingles))
         before[order[1:][same]], after[order[:-1][same]] = order[:-1][same], order[1:][same]
-    for a, b, c, value in _runs(shingles, firsts, lasts):
+    for a, b, c, value in _runs(shingles, firsts, lasts, opens):
         if bits is not None:
-            at = value % _u64(FILTER_BITS)
-            kept = np.nonzero((bits[(at >> _u64(6)).astype(np.int64)] >> (at & _u64(63))) & _u64(1))[0]
+            kept = np.nonzero(_held(bits, value))[0]
             a, b, c, value = a[kept], b[kept], c[kept], value[kept]
         doc = owner[a]
         rows = {"band": value.view(np.int64), "doc": docs[doc]}
@@ -209,7 +239,8 @@ def _rows(gathered, columns: list[str] = _COLUMNS, bits: np.ndarray | None = Non
                 # Hash of all shingles of the run, in their order.
                 "content": _mixed((sums[b + _LENGTH] - sums[a]) * inverse[a] + (b - a).astype(np.uint64)).view(np.int64),
             }
-        yield pd.DataFrame(rows)
+        found.append(rows)
+    return pd.DataFrame({c: np.concatenate([rows[c] for rows in found]) for c in columns})
 
 
 def _runs_of(docs: DataFrame, columns: list[str], shared=None) -> DataFrame:
@@ -236,6 +267,12 @@ def _filter_of(bands: DataFrame) -> np.ndarray:
     return out
 
 
+def _held(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values may be among those of the filter."""
+    at = values % _u64(FILTER_BITS)
+    return ((bits[(at >> _u64(6)).astype(np.int64)] >> (at & _u64(63))) & _u64(1)).astype(bool)
+
+
 def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Jaccard similarities of the passages of two equally long rows of shingles,
     of those that begin at the same place."""
@@ -283,7 +320,7 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text") -
     met = _meetings(own, stands)
     # As many parts as are set: few bytes can be much work here.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = met.repartition(parts, "meeting").sortWithinPartitions("meeting", "band", "doc", "first").mapInPandas(_meet, _LINKED)
+    met = met.repartition(parts, "meeting").sortWithinPartitions("meeting").mapInArrow(_meet, _LINKED)
     told = store(_stretches(links.unionByName(met)), "stretches")
     if told.isEmpty():
         return told.withColumn("component_id", F.col("partner_id"))
@@ -292,6 +329,8 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text") -
 
 
 _LINKED = "doc long, p_doc long, shift int, low int, high int, sim double"
+#: Of a range to be cut out: what its meeting follows from, and the run.
+_RANGE = ["key", "mine", "blocks", "band", "first", "last", "at", "again"]
 
 
 def _laid(doc, first, shingles, p_doc, p_first, p_shingles) -> _Meetings:
@@ -311,56 +350,110 @@ def _laid(doc, first, shingles, p_doc, p_first, p_shingles) -> _Meetings:
 
 def _meetings(docs: DataFrame, stands: DataFrame) -> DataFrame:
     """The runs to be compared, ``BLOCK`` at most to a meeting, of band values that
-    distinct runs of several documents have. ``side`` is null where all of a meeting are
-    compared, else those of different sides are."""
+    distinct runs of several documents have; those of a document that overlap within a
+    meeting in one row. Band values with two runs meet with others of the same two
+    documents. ``side`` is null where all of a meeting are compared, else those of
+    different sides are."""
     sizes = stands.groupBy("band").agg(
-        F.count(F.lit(1)).alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b")
+        F.count(F.lit(1)).alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b"), F.min("first").alias("from")
     ).filter("a <> b")
     blocks = F.when(F.col("n") > BLOCK, F.ceil(F.col("n") / (BLOCK // 2))).otherwise(1).cast("int")
+    near = F.xxhash64("a", "b", F.floor(F.col("from") / BLOCK))
+    key = F.when(F.col("n") == 2, near).otherwise(F.xxhash64("band"))
     named = stands.select("band", "doc", "first", "last", "at", "again")
-    rows = _with_shingles(docs, named.join(sizes.select("band", blocks.alias("blocks")), "band"), "doc")
+    rows = named.join(sizes.select("band", blocks.alias("blocks"), key.alias("key")), "band")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("doc", "first"), F.col("blocks")).cast("int"))
+    rows = _with_shingles(docs, rows)
     mine = F.col("mine")
 
     def meeting(other: Column) -> Column:
         return F.struct(
-            F.xxhash64("band", F.least(mine, other), F.greatest(mine, other)).alias("meeting"),
+            F.xxhash64("key", F.least(mine, other), F.greatest(mine, other)).alias("meeting"),
             F.when(mine != other, (mine > other).cast("int")).alias("side"),
         )
 
     rows = rows.withColumn("goes", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), meeting)))
-    return rows.select("goes.*", "band", "doc", "first", "at", "shingles", "again")
+    return rows.select("goes.*", "doc", "start", "shingles", *_RANGE[3:])
 
 
-def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by meeting; the last meeting of a batch waits for the next batch."""
     rest = None
     for batch in batches:
         if rest is not None:
-            batch = pd.concat([rest, batch], ignore_index=True)
-        key = batch[["meeting", "band"]].to_numpy()
-        whole = len(key) - int(np.argmax((key[::-1] != key[-1:]).any(axis=1))) if len(key) and (key != key[-1:]).any() else 0
-        rest = batch.iloc[whole:]
-        yield _linked(batch.iloc[:whole])
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        if not batch.num_rows:
+            continue
+        meeting = batch.column("meeting").to_numpy()
+        opens = np.nonzero(np.r_[True, meeting[1:] != meeting[:-1]])[0]
+        rest = batch.slice(opens[-1])
+        part = (np.cumsum(batch.column("band").value_lengths().to_numpy())[opens] - 1) // (4 * _PAIRS)
+        cuts = [*opens[np.r_[True, part[1:] != part[:-1]]].tolist(), int(opens[-1])]
+        for low, high in pairwise(cuts):
+            yield _linked(batch.slice(low, high - low))
     if rest is not None:
         yield _linked(rest)
 
 
-def _linked(rows: pd.DataFrame) -> pd.DataFrame:
+def _linked(rows: pa.RecordBatch) -> pa.RecordBatch:
     """Links of whole meetings."""
-    if len(rows) < 2:
-        return _frame([])
-    numbers = np.cumsum((rows[["meeting", "band"]].diff() != 0).any(axis=1).to_numpy()) - 1
-    side = rows["side"].astype(float).fillna(-1).to_numpy().astype(np.int64)
-    told = [rows[c].to_numpy() for c in ("doc", "first", "at", "again")]
-    return _frame(_Meetings(numbers, *told, side, [np.asarray(x) for x in rows["shingles"]]).forest())
+    sizes, lengths = (rows.column(c).value_lengths().to_numpy().astype(np.int64) for c in ("band", "shingles"))
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    band, first, last, at, again = (rows.column(c).flatten().to_numpy(zero_copy_only=False) for c in _RANGE[3:])
+    meeting, doc, start = (rows.column(c).to_numpy()[row] for c in ("meeting", "doc", "start"))
+    side = rows.column("side").fill_null(-1).to_numpy().astype(np.int64)[row]
+    whole = rows.column("shingles").flatten().to_numpy()
+    base = (np.cumsum(lengths) - lengths)[row] - start
+    order = np.lexsort((first, doc, band, meeting))
+    row, meeting, band, doc, first, last, at, again, side, base = (
+        x[order] for x in (row, meeting, band, doc, first, last, at, again, side, base)
+    )
+    fresh = np.r_[True, (meeting[1:] != meeting[:-1]) | (band[1:] != band[:-1])][: len(band)]
+    opens, numbers = np.nonzero(fresh)[0], np.cumsum(fresh) - 1
+    # Two runs with one place each for their min-hash are compared at that place alone.
+    u = opens[np.bincount(numbers) == 2]
+    u = u[(doc[u] != doc[u + 1]) & ~again[u] & ~again[u + 1] & (side[u] < 0)]
+    others = np.ones(len(doc), dtype=bool)
+    others[u] = others[u + 1] = False
+    found, others = [], np.nonzero(others)[0]
+    if len(others) > 1:
+        told = [x[others] for x in (doc, first, at, again, side)]
+        runs = zip((base + first)[others].tolist(), (base + last + _LENGTH)[others].tolist())
+        found += _Meetings(numbers[others], *told, [whole[a:b] for a, b in runs]).forest()
+    shift = at[u] - at[u + 1]
+    low, high = np.maximum(first[u + 1], first[u] - shift), np.minimum(last[u + 1], last[u] - shift)
+    kept = low <= high
+    u, shift, low, high = u[kept], shift[kept], low[kept], high[kept]
+    if len(u):
+        keys = row[u + 1], row[u], shift
+        order = np.lexsort((low, *keys[::-1]))
+        u, shift, low, high = u[order], shift[order], low[order], high[order]
+        opens, high = _unions(_numbered(*(x[order] for x in keys)), low, high)
+        u, shift, low = u[opens], shift[opens], low[opens]
+        size = high - low + _LENGTH
+        x, y = (
+            [whole[a : a + n] for a, n in zip(begins.tolist(), size.tolist())]
+            for begins in (base[u + 1] + low, base[u] + low + shift)
+        )
+        found += _laid(doc[u + 1], low, x, doc[u], low + shift, y).links()
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
+    columns = [np.concatenate(x) for x in zip(*found)] or [np.zeros(0)] * len(kinds)
+    names = [c.split()[0] for c in _LINKED.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(k.to_pandas_dtype())) for x, k in zip(columns, kinds)], names)
 
 
-def _frame(found: list[tuple]) -> pd.DataFrame:
-    names = [c.split()[0] for c in _LINKED.split(", ")]
-    if not found:
-        return pd.DataFrame([], columns=names)
-    return pd.DataFrame({name: np.concatenate(x) for name, x in zip(names, zip(*found))})
+def _numbered(*keys: np.ndarray) -> np.ndarray:
+    """Numbers of the groups of equal keys, which follow each other."""
+    return np.cumsum(np.any([np.diff(x, prepend=x[:1]) != 0 for x in keys], axis=0))
+
+
+def _unions(group: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of intervals [low, high], sorted by group and low: those where a union of
+    neighbouring ones of a group opens, and where the union ends."""
+    group, low = group.astype(np.int64) << 32, low.astype(np.int64)
+    reach = np.maximum.accumulate(group + high)
+    opens = np.nonzero(np.r_[True, group[1:] + low[1:] > reach[:-1] + 1])[0]
+    return opens, reach[np.r_[opens[1:], len(group)] - 1] - group[opens]
 
 
 class _Meetings:
@@ -574,34 +667,63 @@ def _links_of(rows: list[list]) -> list[tuple]:
     return [tuple(x) for links in found for x in zip(*(c.tolist() for c in links))]
 
 
-def _with_shingles(docs: DataFrame, ranges: DataFrame, of: str) -> DataFrame:
-    """Add the shingles of all passages that begin at ``first`` to ``last`` of the
-    document ``of`` (32 bits of each hash)."""
-    schema = ranges.schema
-    number = F.row_number().over(Window.partitionBy("id").orderBy("first"))
-    part = F.floor((number - 1) / RANGES)
-    named = ranges.select(F.col(of).alias("id"), F.struct(*ranges.columns).alias("w"), F.col("first"))
-    wanted = named.withColumn("part", part).groupBy("id", "part").agg(F.collect_list("w").alias("wanted"))
-    columns = [*ranges.columns, "shingles"]
+def _with_shingles(docs: DataFrame, ranges: DataFrame) -> DataFrame:
+    """For each document and meeting the runs that overlap, and the shingles of all
+    passages that begin at their first to last (32 bits of each hash)."""
+    number = F.row_number().over(Window.partitionBy("doc").orderBy("first"))
+    parts = ranges.withColumn("part", F.floor((number - 1) / RANGES)).groupBy("doc", "part")
+    wanted = store(parts.agg(F.collect_list(F.struct(*_RANGE)).alias("wanted")), "wanted")
+    # Texts without ranges are not shuffled.
+    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted.select(F.xxhash64("doc").alias("band"))))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, size = [], 0
-            for text, wanted in zip(batch["text"], batch["wanted"], strict=True):
-                whole = (shingle_hashes(words_of(text)) >> _u64(32)).astype(np.uint32).view(np.int32)
-                for w in wanted:
-                    # Another text of the same id may be too short.
-                    if w["last"] + _LENGTH <= len(whole):
-                        rows.append((*(w[c] for c in columns[:-1]), whole[w["first"] : w["last"] + _LENGTH]))
-                        size += w["last"] - w["first"] + _LENGTH
-                    if size >= 1 << 19:
-                        yield pd.DataFrame(rows, columns=columns)
-                        rows, size = [], 0
-            yield pd.DataFrame(rows, columns=columns)
-
-    told = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
-    own = docs.select(F.col("doc").alias("id"), "text")
-    return own.join(wanted, "id").select("text", "wanted").mapInPandas(cut, f"{told}, shingles array<int>")
+            kept = _held(shared.value, batch.column("hash").to_numpy().view(np.uint64))
+            yield batch.select(["doc", "text"]).filter(pa.array(kept))
+
+    own = docs.select("doc", "text", F.xxhash64("doc").alias("hash")).mapInArrow(held, "doc long, text string")
+    told = "key long, mine int, blocks int, band array<long>, first array<int>, last array<int>, at array<int>, again array<boolean>"
+    return own.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(
+        _cut, f"doc long, start int, shingles array<int>, {told}"
+    )
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text"):
+            yield from _overlapping(part)
+
+
+def _overlapping(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The ranges of each text that overlap within a meeting, with their shingles."""
+    texts = [(shingle_hashes(words_of(x)) >> _u64(32)).astype(np.uint32).view(np.int32) for x in rows.column("text").to_pylist()]
+    sizes = np.array([len(x) for x in texts], dtype=np.int64)
+    owner = np.repeat(np.arange(len(texts)), rows.column("wanted").value_lengths().to_numpy())
+    flat = rows.column("wanted").flatten().flatten()
+    runs = {c: x.to_numpy(zero_copy_only=False) for c, x in zip(_RANGE, flat, strict=True)}
+    # Another text of the same id may be too short.
+    kept = np.nonzero(runs["last"] + _LENGTH <= sizes[owner])[0]
+    if not len(kept):
+        return
+    order = kept[np.lexsort([x[kept] for x in (runs["first"], runs["mine"], runs["key"], owner)])]
+    runs, owner = {c: x[order] for c, x in runs.items()}, owner[order]
+    begins = (np.cumsum(sizes) - sizes)[owner]
+    low = begins + runs["first"]
+    opens, high = _unions(_numbered(owner, runs["key"], runs["mine"]), low, begins + runs["last"] + _LENGTH - 1)
+    low, high, closes, whole = low[opens], high + 1, np.r_[opens[1:], len(owner)], np.concatenate(texts)
+    part = (np.cumsum(high - low) - 1) // _SHINGLES
+    cuts = [0, *(np.nonzero(np.diff(part))[0] + 1).tolist(), len(opens)]
+    doc = rows.column("doc").to_numpy()[owner[opens]]
+    for a, b in pairwise(cuts):
+        inside, at = slice(opens[a], closes[b - 1]), opens[a:b]
+        told = {"doc": doc[a:b], "start": runs["first"][at]}
+        told["shingles"] = _lists(whole[_ranges(low[a:b], high[a:b])], high[a:b] - low[a:b])
+        told |= {c: runs[c][at] for c in _RANGE[:3]} | {c: _lists(runs[c][inside], closes[a:b] - at) for c in _RANGE[3:]}
+        yield pa.RecordBatch.from_pydict(told)
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values))
 
 
 def _stretches(pairs: DataFrame) -> DataFrame:

@@ -341,3 +341,49 @@ def test_pairs_of_a_meeting_against_sets(kinds):
                         want.add(at)
                 assert want == set(got.get((v, u, 0), {})) or not want
     assert total > 100
+
+
+def test_shingles_of_two_documents_travel_once(spark):
+    """Not once for every run of every band: links and bytes of near copies."""
+    rng = random.Random(15)
+    docs = []
+    for n in range(12):
+        text = [f"t{rng.randint(0, 10**6)}" for _ in range(500)]
+        if n % 3 == 0:
+            text[200:240] = text[100:140]
+        docs += [text, like(text, *rng.sample(range(500), 8))]
+    own = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc long, text string")
+    runs = passages._runs_of(own, passages._COLUMNS)
+    rows = runs.toPandas().sort_values(["doc", "first"]).drop_duplicates(["band", "content"])
+    stands = spark.createDataFrame(rows.astype(object).values.tolist(), runs.schema)
+    met = passages._meetings(own, stands).collect()
+    apart = rows.groupby("band").filter(lambda x: x["doc"].nunique() > 1)
+    wide = (apart["last"] - apart["first"] + passages._LENGTH).sum()
+    sent = sum(len(r.shingles) for r in met)
+    assert len(apart) == sum(len(r.band) for r in met) and wide > 3 * sent > 0
+    # The links are those of every band value compared by itself.
+    hashes = [(passages.shingle_hashes(d) >> np.uint64(32)).astype(np.uint32).view(np.int32) for d in docs]
+    want, got = {}, {}
+    for _, x in apart.sort_values(["doc", "first"]).groupby("band"):
+        told = [x[c].to_numpy() for c in ("doc", "first", "at", "again")]
+        held = [hashes[d][a : b + passages._LENGTH] for d, a, b in zip(x["doc"], x["first"], x["last"])]
+        alone = passages._Meetings(np.zeros(len(x), dtype=np.int64), *told, np.full(len(x), -1), held)
+        for links in alone.forest():
+            for v, u, shift, low, high, _ in zip(*(c.tolist() for c in links)):
+                want.setdefault((v, u, shift), set()).update(range(low, high + 1))
+    linked = passages._meetings(own, stands).repartition(3, "meeting").sortWithinPartitions("meeting").mapInArrow(passages._meet, passages._LINKED)
+    for r in linked.collect():
+        got.setdefault((r.doc, r.p_doc, r.shift), set()).update(range(r.low, r.high + 1))
+    assert len(want) >= 12 and got == want
+
+
+def test_windows_in_blocks_are_those_of_all_texts(monkeypatch):
+    rng = np.random.default_rng(16)
+    gathered = [(n, 0, rng.integers(0, 60, int(rng.integers(0, 400))).astype(np.uint64)) for n in range(30)]
+    told = []
+    for size in (1 << 17, 1000):
+        monkeypatch.setattr(passages, "BLOCK_SHINGLES", size)
+        found = list(passages._rows(gathered))
+        told.append(sorted(tuple(x) for rows in found for x in rows.to_numpy().tolist()))
+        assert (len(found) > 3) == (size == 1000)
+    assert told[0] == told[1]
