@@ -467,3 +467,19 @@ def test_vectors_carried_together_are_those_carried_apart(spark, monkeypatch):
         monkeypatch.setattr(subspace, "WIDE_ROWS", wide)
         found.append(sorted((r.i, *r.vec) for r in subspace.leading_vectors(df, nodes, 2)[0].collect()))
     assert found[0] == found[1] and len(found[0]) == 30
+
+
+def test_large_matrices_broadcast_no_vectors(spark, monkeypatch):
+    """Stripes give the vectors of the joined way to the last bit; nothing that grows with the rows is broadcast."""
+    rng = np.random.default_rng(9)
+    cells = [(g, i, j, float(w)) for g, n in ((0, 23), (4, 9)) for (i, j), w in np.ndenumerate(symmetric(rng, n, 0.3)) if w]
+    df = spark.createDataFrame([*cells, (0, 3, 99, 0.5), (0, 99, 3, 0.5)], "g bigint, i bigint, j bigint, w double")
+    nodes = spark.createDataFrame([(0, i) for i in range(24)] + [(4, i) for i in range(9)], "g bigint, i bigint")
+    monkeypatch.setattr(subspace, "MAX_ROUNDS", 2)
+    want = subspace.leading_vectors(df.where("i < 99 AND j < 99"), nodes, 2)[0].collect()
+    monkeypatch.setattr(subspace, "WIDE_ROWS", 0)
+    monkeypatch.setattr(subspace, "STRIPE_ROWS", 8)
+    monkeypatch.setattr(subspace, "PIECE_ENTRIES", 5)
+    monkeypatch.setattr(subspace, "join_checked", None)
+    got = subspace.leading_vectors(df, nodes, 2)[0].select("g", "i", "vec").collect()
+    assert sorted(got) == sorted(want) and len(got) == 33
