@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from blockmill import runtime
 from blockmill.llm import decontamination as dec
 from blockmill.llm import queries, toxicity
 from tests.helpers import DATA
@@ -201,3 +202,25 @@ def test_sequences_beyond_the_bound_count_as_unseen(spark, monkeypatch):
     spelling = toxicity.fit_spelling(toxicity.word_counts(df))
     assert len(spelling.seen.keys) == len(spelling.unseen.keys) == 3
     assert toxicity.Known.of(pd.DataFrame({"key": [], "d": []})).find(np.zeros(2, dtype=np.uint64)).size == 2
+
+
+def test_all_labels_and_sequences_count(spark, monkeypatch):
+    """Beyond what is broadcast, scores come from joins and are the same; no label is left out."""
+    docs, labels = toy(spark)
+    docs += [(1000, "house river grumpfinger stone"), (1001, "Ünused 𝔸a 𝔸b zzyzx"), (1002, None), (1003, ""), (None, "walk"), (7, "walk walk")]
+    docs += [docs[0], (2000, docs[0][1]), (1004, "grumpfoot")]
+    # The only row of its class that has this word, so that leaving it out shows.
+    docs += [(3000 + i, f"house rarest{'qvxj'[i]}word river") for i in range(4)]
+    labels += [(3000 + i, 1) for i in range(4)]
+    df = spark.createDataFrame([(*d, "kept") for d in docs], "doc_id long, text string, _note string")
+    known = spark.createDataFrame([*labels, (5, None), (7, 3), (None, 1)], "doc_id long, toxic int")
+
+    def scores():
+        return sorted((r.doc_id or 0, r.text or "", r._note, r.held_out, r.predicted, round(r.score, 7)) for r in toxicity.score_documents(df, known).collect())
+
+    want = scores()
+    assert len(want) == len(docs)
+    monkeypatch.setattr(toxicity, "LABELLED_ROWS", 40, raising=False)
+    monkeypatch.setattr(runtime, "BROADCAST_ROWS", 20)
+    monkeypatch.setattr(toxicity, "SEQUENCES", 30)
+    assert scores() == want
